@@ -174,9 +174,9 @@ _CORRELATION = f"""
 SELECT recording_id, channel, avg(CASE WHEN best < 0.35 THEN 1.0 ELSE 0.0 END) AS low_share
 FROM (SELECT recording_id, channel, win, {_hazen('l', 'len(l)', 0.98)} AS best
       FROM (SELECT recording_id, channel, win, list_sort(list(c)) AS l
-            FROM (SELECT a.recording_id, a.channel, b.channel AS other, a.idx // {FRAME} AS win,
-                         CASE WHEN a.channel = b.channel THEN 0.0 ELSE abs(corr(a.v, b.v)) END AS c
-                  FROM samples a JOIN samples b ON a.recording_id = b.recording_id AND a.idx = b.idx GROUP BY ALL)
+            FROM (SELECT recording_id, channel, win, CASE WHEN channel = other THEN 0.0 ELSE abs(c) END AS c
+                  FROM (SELECT a.recording_id, a.channel, b.channel AS other, a.idx // {FRAME} AS win, corr(a.v, b.v) AS c
+                        FROM samples a JOIN samples b ON a.recording_id = b.recording_id AND a.idx = b.idx GROUP BY ALL))
             GROUP BY ALL)) GROUP BY ALL"""
 _PREDICTION = f"""
 SELECT recording_id, channel, avg(CASE WHEN c < 0.05 THEN 1.0 ELSE 0.0 END) AS low_share

@@ -94,7 +94,8 @@ def dataset_filter(spark, sf):
 
 
 def few_shot_counts(spark, sf):
-    return S.shot_limits(V.scored(spark, sf)).drop("n_pos", "n_neg")
+    cuts = {c: F.coalesce(c, F.lit(-1).cast("bigint")) for c in ("pos_cut", "neg_cut")}
+    return S.shot_limits(V.scored(spark, sf)).withColumns(cuts | {"reason": F.coalesce("reason", F.lit(""))}).drop("n_pos", "n_neg")
 
 
 def few_shot_split(spark, sf):
@@ -330,7 +331,8 @@ ORACLE = {
         UNION ALL SELECT row_idx, patient_id, y, 'test' FROM emb WHERE patient_id = 'P58' AND row_idx // 10 % 2 = 1""", extra={"emb": _EMB}),
     "dataset_filter": sql("""SELECT CASE WHEN patient_id = 'P58' THEN 'own' ELSE 'others' END AS part, patient_id, count(*) AS n,
         CAST(sum(y) AS BIGINT) AS n_pos FROM line_rows GROUP BY 1, 2""", "line_rows"),
-    "few_shot_counts": sql("SELECT * FROM lim", "scored", extra={"lim": _LIMITS}),
+    "few_shot_counts": sql("""SELECT source, n_shot, coalesce(pos_cut, -1) AS pos_cut, coalesce(neg_cut, -1) AS neg_cut, usable,
+        coalesce(reason, '') AS reason FROM lim""", "scored", extra={"lim": _LIMITS}),
     "few_shot_split": sql("""SELECT source, row_idx, y, k <= 2 AS is_train
         FROM (SELECT *, row_number() OVER (PARTITION BY source, y ORDER BY row_idx) AS k FROM scored) JOIN lim USING (source)
         WHERE usable AND n_shot = 2""", "scored", extra={"lim": _LIMITS}),

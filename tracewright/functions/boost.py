@@ -1,0 +1,66 @@
+"""Boosted trees for a handful of rows.
+
+The few-shot sweep fits one model per file and n on at most 2 n <= 40 rows. Such a
+fit is a few milliseconds of array work, so it runs inside a Spark task; models on
+unbounded rows use MLlib (``plans.model``).
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+L2, MIN_WEIGHT = 1.0, 1.0       # penalty on leaf values; least second-order weight of a child
+
+
+def _sigmoid(m: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-m))
+
+
+def _best_split(x: np.ndarray, g: np.ndarray, h: np.ndarray, columns: np.ndarray):
+    """(gain, column, threshold) of the best split; undefined values go left."""
+    best = (1e-12, -1, 0.0)
+    gain_all = g.sum() ** 2 / (h.sum() + L2)
+    for j in columns:
+        v = np.where(np.isnan(x[:, j]), -np.inf, x[:, j])
+        order = np.argsort(v, kind="stable")
+        v, gl, hl = v[order], np.cumsum(g[order])[:-1], np.cumsum(h[order])[:-1]
+        gr, hr = g.sum() - gl, h.sum() - hl
+        ok = (v[1:] > v[:-1]) & (hl >= MIN_WEIGHT) & (hr >= MIN_WEIGHT)
+        if not ok.any():
+            continue
+        gain = np.where(ok, gl ** 2 / (hl + L2) + gr ** 2 / (hr + L2) - gain_all, -np.inf)
+        i = int(np.argmax(gain))
+        if gain[i] > best[0]:
+            middle = v[i + 1] if np.isinf(v[i]) else (v[i] + v[i + 1]) / 2
+            best = (float(gain[i]), int(j), float(middle))
+    return best
+
+
+def _grow(x, g, h, columns, depth, rate, scored):
+    """Leaf values of the training rows and of ``scored`` rows for one tree."""
+    gain, j, t = _best_split(x, g, h, columns) if depth else (0.0, -1, 0.0)
+    if j < 0:
+        value = -rate * g.sum() / (h.sum() + L2)
+        return np.full(len(x), value), np.full(len(scored), value)
+    own, other = np.empty(len(x)), np.empty(len(scored))
+    left, left_scored = ~(x[:, j] >= t), ~(scored[:, j] >= t)
+    for side, side_scored in ((left, left_scored), (~left, ~left_scored)):
+        own[side], other[side_scored] = _grow(x[side], g[side], h[side], columns, depth - 1, rate, scored[side_scored])
+    return own, other
+
+
+def fit_and_score(x: np.ndarray, y: np.ndarray, scored: np.ndarray, rounds: int, rate: float, depth: int,
+                  column_share: float, seed: int) -> np.ndarray:
+    """Probability of the positive class for the ``scored`` rows. Positives weigh
+    negatives / positives; every tree sees a random share of the columns."""
+    pos = y.sum()
+    w = np.where(y == 1, (len(y) - pos) / pos if pos else 1.0, 1.0)
+    rng = np.random.default_rng(seed)
+    k = max(1, int(column_share * x.shape[1]))
+    margin, out = np.zeros(len(x)), np.zeros(len(scored))
+    for _ in range(rounds):
+        p = _sigmoid(margin)
+        columns = np.sort(rng.choice(x.shape[1], k, replace=False))
+        own, other = _grow(x, w * (p - y), w * p * (1 - p), columns, depth, rate, scored)
+        margin, out = margin + own, out + other
+    return _sigmoid(out)

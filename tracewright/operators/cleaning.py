@@ -56,7 +56,7 @@ def average_reference(chunks: DataFrame, keys: list[str] = RECORDING) -> DataFra
     """Subtract, at every instant, the mean over the channels. One shuffle on
     (keys, chunk); a window partition holds one chunk of every channel."""
     w = Window.partitionBy(*keys, "chunk")
-    mean = vector_to_array(Summarizer.mean(array_to_vector("x")).over(w))
+    mean = vector_to_array(Summarizer.metrics("mean").summary(array_to_vector("x")).over(w)["mean"])
     return (chunks.withColumn("_mean", mean)
             .withColumn("x", F.zip_with("x", "_mean", lambda v, m: v - m)).drop("_mean"))
 

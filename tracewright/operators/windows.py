@@ -121,18 +121,18 @@ def channel_lengths(chunks: DataFrame, chunk_len: int) -> DataFrame:
 
 
 def cut_spans(chunks: DataFrame, spans: DataFrame, chunk_len: int, keys: list[str],
-              out_len: int | None = None) -> DataFrame:
-    """Samples start..stop-1 of every span, for every channel of its recording.
+              out_len: int | None = None, signal: list[str] = ["recording_id"]) -> DataFrame:
+    """Samples start..stop-1 of every span, for every channel of its signal.
 
-    ``spans``: recording_id, the ``keys`` that name a span, start, stop (bigint).
+    ``spans``: the ``signal`` columns, the ``keys`` that name a span, start, stop (bigint).
     With ``out_len`` the span comes back as chunk rows of that length counted from
     its start, else as one row with the whole span (use this for short windows).
-    Joins on (recording, chunk), so a long recording never meets in one task.
+    Joins on (signal, chunk), so a long recording never meets in one task.
     """
     size = F.lit(out_len) if out_len else F.col("stop") - F.col("start")
     parts = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("stop") - F.col("start") - 1) / size).cast("bigint"))
     outs = (spans.filter(F.col("stop") > F.col("start"))
-            .select("recording_id", *keys, "start", "stop", F.explode(parts).alias("out_chunk"))
+            .select(*signal, *keys, "start", "stop", F.explode(parts).alias("out_chunk"))
             .withColumn("_from", F.col("start") + F.col("out_chunk") * size)
             .withColumn("_to", F.least(F.col("stop"), F.col("_from") + size)))
     wanted = outs.withColumn("chunk", F.explode(F.sequence(
@@ -141,9 +141,9 @@ def cut_spans(chunks: DataFrame, spans: DataFrame, chunk_len: int, keys: list[st
     base = F.col("chunk") * chunk_len
     lo = F.greatest(F.col("_from") - base, F.lit(0)).cast("int")
     hi = F.least(F.col("_to") - base, F.lit(chunk_len)).cast("int")
-    pieces = chunks.join(wanted, ["recording_id", "chunk"]).select(
-        *CHANNEL, *keys, "out_chunk", "chunk", F.slice("x", lo + 1, hi - lo).alias("part"))
-    whole = pieces.groupBy(*CHANNEL, *keys, "out_chunk").agg(
+    pieces = chunks.join(wanted, [*signal, "chunk"]).select(
+        *signal, "channel", *keys, "out_chunk", "chunk", F.slice("x", lo + 1, hi - lo).alias("part"))
+    whole = pieces.groupBy(*signal, "channel", *keys, "out_chunk").agg(
         F.flatten(F.array_sort(F.collect_list(F.struct("chunk", "part")))["part"]).alias("x"))
     return whole.withColumnRenamed("out_chunk", "chunk") if out_len else whole.drop("out_chunk")
 
