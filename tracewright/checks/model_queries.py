@@ -13,6 +13,7 @@ from tracewright.plans.tables import materialize
 from tracewright.sources.tables import embedding_columns, read_embeddings
 
 QUICK = L.BoostParams(rounds=3, rate=0.3, depth=2, max_bins=32)
+LIMITS = P.Detection(correlation=0.0)      # the channels of these signals are independent
 RATES = P.Rates(source=256.0, chunk_len=V.CHUNK)
 CHANNELS = ["EEG Fp1", "EEG Fp2", "EEG F7", "EEG T3", "EEG C3", "EEG Pz", "EEG O1", "EEG O2"]
 
@@ -110,7 +111,7 @@ def extract_annotated(spark, sf):
 
 def _crops(spark, sf):
     segs = S.build_segments(signal_annotations(spark, sf))
-    return P.clean_crops(signals(spark, sf), RATES, segs, signal_weights(spark, sf)), segs
+    return P.clean_crops(signals(spark, sf), RATES, segs, signal_weights(spark, sf), limits=LIMITS), segs
 
 
 def extract_sliding(spark, sf):

@@ -111,7 +111,7 @@ def ransac_vote(spark, sf):
 def bad_union(spark, sf):
     c = V.chunks(spark, sf)
     return G.bad_union(
-        G.bad_by_deviation(c, limit=1.5), G.bad_by_correlation(c, V.CHUNK, FRAME, limit=0.35, share=0.4),
+        G.bad_by_deviation(c, limit=1.5), G.bad_by_correlation(c, V.CHUNK, FRAME, limit=0.35, share=0.7),
         G.bad_by_prediction(c, V.CHUNK, FRAME, prediction_weights(spark, sf), limit=0.05, share=0.6), present=c)
 
 
@@ -215,7 +215,7 @@ ORACLE = {
     "bad_correlation": sql(f"SELECT recording_id, channel, {rs('low_share')} AS low_share FROM cor", "samples", extra={"cor": _CORRELATION}),
     "ransac_vote": sql(f"SELECT recording_id, channel, {rs('low_share')} AS low_share FROM pre", "samples", extra={"pre": _PREDICTION}),
     "bad_union": sql("""SELECT recording_id, channel FROM dev WHERE abs(z) > 1.5
-        UNION SELECT recording_id, channel FROM cor WHERE low_share > 0.4
+        UNION SELECT recording_id, channel FROM cor WHERE low_share > 0.7
         UNION SELECT recording_id, channel FROM pre WHERE low_share > 0.6""", "samples",
                      extra={"dev": _DEVIATION, "cor": _CORRELATION, "pre": _PREDICTION}),
     "finite_check": sql("""SELECT recording_id, string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels, 'non-finite samples' AS reason

@@ -66,10 +66,10 @@ def interpolate(chunks: DataFrame, bad: DataFrame, weights: DataFrame,
     """Replace bad channels by weighted sums of the others.
 
     ``bad``: keys, channel. ``weights``: bad_set (sorted names joined by commas),
-    bad_channel, src_channel, w.
+    bad_channel, src_channel, w. Look at ``without_weights`` first: a bad channel
+    whose set has no weights cannot be replaced and is left out.
     """
-    sets = bad.groupBy(*keys).agg(F.concat_ws(",", F.array_sort(F.collect_set("channel"))).alias("bad_set"))
-    wanted = sets.join(weights, "bad_set").select(
+    wanted = bad_sets(bad, keys).join(weights, "bad_set").select(
         *keys, "bad_channel", F.col("src_channel").alias("channel"), "w")
     replaced = (chunks.join(wanted, [*keys, "channel"])
                 .select(*keys, "chunk", F.col("bad_channel").alias("channel"),
@@ -81,6 +81,17 @@ def interpolate(chunks: DataFrame, bad: DataFrame, weights: DataFrame,
     return kept.select(*cols).unionByName(replaced.select(*cols))
 
 
+def bad_sets(bad: DataFrame, keys: list[str] = RECORDING) -> DataFrame:
+    """keys, bad_set: the sorted bad channels of a signal."""
+    return bad.groupBy(*keys).agg(F.concat_ws(",", F.array_sort(F.collect_set("channel"))).alias("bad_set"))
+
+
+def without_weights(bad: DataFrame, weights: DataFrame, keys: list[str] = RECORDING) -> DataFrame:
+    """Signals whose bad set cannot be interpolated, as rejects."""
+    return (bad_sets(bad, keys).join(weights.select("bad_set").distinct(), "bad_set", "left_anti")
+            .select(*keys, F.concat(F.lit("no weights for "), "bad_set").alias("reason")))
+
+
 def non_finite_channels(chunks: DataFrame, keys: list[str] = RECORDING) -> DataFrame:
     """Channels with NaN or infinite samples, one sorted list per signal."""
     odd = F.exists("x", lambda v: F.isnan(v) | (F.abs(v) == float("inf")))

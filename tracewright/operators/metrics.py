@@ -40,23 +40,36 @@ def threshold_metrics(counts: DataFrame) -> DataFrame:
         "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn)})
 
 
-def rank_metrics(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """roc_auc and pr_auc (average precision, step sum) per key; one class gives NaN."""
-    ranked = counts_below(scored, keys, "proba", {"pos": (F.col("y") == 1).cast("bigint"),
-                                                  "neg": (F.col("y") == 0).cast("bigint")})
+def _by_score(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per distinct score of a key, with its class counts and those below."""
+    return counts_below(scored, keys, "proba", {"pos": (F.col("y") == 1).cast("bigint"),
+                                                "neg": (F.col("y") == 0).cast("bigint")})
+
+
+def _average_precision() -> Column:
     tp = (F.col("pos_total") - F.col("pos_below")).cast("double")
     fp = F.col("neg_total") - F.col("neg_below")
     step = F.try_divide(F.col("pos").cast("double"), F.col("pos_total")) * F.try_divide(tp, tp + fp)
-    ap = F.when(F.max(F.col("neg_total")) > 0, F.sum(step))
-    return ranked.groupBy(*keys).agg(auc_from_counts().alias("roc_auc"),
-                                     F.coalesce(ap, nan()).alias("pr_auc"))
+    return F.coalesce(F.when(F.max(F.col("neg_total")) > 0, F.sum(step)), nan())
+
+
+def rank_metrics(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """roc_auc and pr_auc (average precision, step sum) per key; one class gives NaN."""
+    return _by_score(scored, keys).groupBy(*keys).agg(
+        auc_from_counts().alias("roc_auc"), _average_precision().alias("pr_auc"))
 
 
 def fold_metrics(scored: DataFrame, keys: list[str] = ["fold"],
                  threshold: float = C.THRESHOLD) -> DataFrame:
-    """keys, the seven metrics, the four counts."""
-    counted = threshold_metrics(confusion(scored, keys, threshold))
-    return counted.join(rank_metrics(scored, keys), keys).select(*keys, *C.METRICS, *C.COUNTS)
+    """keys, the seven metrics, the four counts. The rows are read once: counts and
+    areas come from the same table of distinct scores."""
+    hit = F.col("proba") >= threshold
+    count = lambda c, keep: F.coalesce(F.sum(F.when(keep, F.col(c))), F.lit(0)).cast("bigint")
+    one = _by_score(scored, keys).groupBy(*keys).agg(
+        count("pos", hit).alias("tp"), count("neg", hit).alias("fp"),
+        count("neg", ~hit).alias("tn"), count("pos", ~hit).alias("fn"),
+        auc_from_counts().alias("roc_auc"), _average_precision().alias("pr_auc"))
+    return threshold_metrics(one).select(*keys, *C.METRICS, *C.COUNTS)
 
 
 def summary(metrics: DataFrame, keys: list[str] = [], names: list[str] = C.METRICS) -> DataFrame:

@@ -71,19 +71,33 @@ def annotation_features(signals: DataFrame, rates: Rates, annotations: DataFrame
     return X.window_features(cut, rates.target).join(meta, ["recording_id", "row_idx"])
 
 
+@dataclass(frozen=True)
+class Detection:
+    """Limits of the bad-channel detectors."""
+    deviation: float = 5.0
+    correlation: float = 0.4
+    correlation_share: float = 0.01
+    prediction: float = 0.75
+    prediction_share: float = 0.4
+
+
 @dataclass(frozen=True)
 class CleanCrops:
     """Padded segment crops: ``spans`` (one row per crop with its times and sample
-    bounds) and cleaned ``chunks`` at the target rate, plus the channels replaced."""
+    bounds), cleaned ``chunks`` at the target rate, the ``bad`` channels found, and the
+    ``rejected`` crops (bad set without weights, or samples that are not finite)."""
     spans: DataFrame
     chunks: DataFrame
     bad: DataFrame
+    rejected: DataFrame
 
 
 def clean_crops(signals: DataFrame, rates: Rates, segments: DataFrame, weights: DataFrame,
-                prediction_weights: DataFrame | None = None) -> CleanCrops:
+                prediction_weights: DataFrame | None = None,
+                limits: Detection = Detection()) -> CleanCrops:
     """Every segment on its own: crop with padding, band-pass, detect and replace bad
-    channels at the source rate, average reference, resample."""
+    channels at the source rate, average reference, resample. A crop that fails is
+    rejected; the segment ids of the others do not change."""
     up, down = rates.ratio
     kept = CH.resolve_channels(signals.select("recording_id", "channel").distinct())
     named = signals.withColumnRenamed("channel", "raw_channel").join(
@@ -98,29 +112,26 @@ def clean_crops(signals: DataFrame, rates: Rates, segments: DataFrame, weights:
     band = G.fir_filter(crops, rates.chunk_len, K.bandpass_taps(C.LOW_HZ, C.HIGH_HZ, rates.source), keys=CROP)
     stored = materialize(band, "filtered")
     second = int(round(rates.source))
-    found = [G.bad_by_deviation(stored, CROP), G.bad_by_correlation(stored, rates.chunk_len, second, CROP)]
+    found = [G.bad_by_deviation(stored, CROP, limits.deviation),
+             G.bad_by_correlation(stored, rates.chunk_len, second, CROP, limits.correlation, limits.correlation_share)]
     if prediction_weights is not None:
-        found.append(G.bad_by_prediction(stored, rates.chunk_len, 5 * second, prediction_weights, CROP))
+        found.append(G.bad_by_prediction(stored, rates.chunk_len, 5 * second, prediction_weights, CROP,
+                                         limits.prediction, limits.prediction_share))
     bad = materialize(G.bad_union(*found, present=stored, keys=CROP), "bad")
-    fixed = G.average_reference(G.interpolate(stored, bad, weights, CROP), CROP)
-    done = materialize(G.resample(fixed, rates.chunk_len, up, down, keys=CROP), "crops")
-    return CleanCrops(spans, done, bad)
-
-
-def usable_crops(crops: CleanCrops) -> tuple[DataFrame, DataFrame]:
-    """Chunks of the crops whose samples are all finite, and the rejected crops."""
-    odd = G.non_finite_channels(crops.chunks, CROP)
-    return crops.chunks.join(odd.select(*CROP), CROP, "left_anti"), odd
+    hopeless = G.without_weights(bad, weights, CROP)
+    fixed = G.interpolate(stored.join(hopeless, CROP, "left_anti"), bad, weights, CROP)
+    done = materialize(G.resample(G.average_reference(fixed, CROP), rates.chunk_len, up, down, keys=CROP), "crops")
+    odd = G.non_finite_channels(done, CROP).select(*CROP, "reason")
+    return CleanCrops(spans, done.join(odd, CROP, "left_anti"), bad, hopeless.unionByName(odd))
 
 
 def sliding_features(crops: CleanCrops, rates: Rates, annotations: DataFrame) -> DataFrame:
     """One feature row per channel of every sliding window inside a segment, labelled
     by the marks. Windows of the padding are not made."""
     length, stride = (int(round(s * rates.target)) for s in (C.WINDOW_SEC, C.STRIDE_SEC))
-    chunks, _ = usable_crops(crops)
     core = S.core_bounds(crops.spans, rates.target, F.col("n_out")).select(
         *CROP, "seg_start", "seg_type", F.col("core_from").alias("start"), F.col("core_to").alias("stop"))
-    inside = W.cut_spans(chunks, core.select(*CROP, "start", "stop"), rates.out_len, [], rates.out_len, CROP)
+    inside = W.cut_spans(crops.chunks, core.select(*CROP, "start", "stop"), rates.out_len, [], rates.out_len, CROP)
     cut = W.slide_chunks(inside, rates.out_len, length, stride, [*CROP, "channel"])
     made = X.window_features(cut, rates.target)
     windows = W.sliding_windows(core, rates.target, n_samples=F.col("stop") - F.col("start"))
@@ -130,10 +141,9 @@ def sliding_features(crops: CleanCrops, rates: Rates, annotations: DataFrame) ->
 
 def event_features(crops: CleanCrops, rates: Rates, annotations: DataFrame, segments: DataFrame) -> DataFrame:
     """One feature row per channel of the window around every mark inside a segment."""
-    chunks, _ = usable_crops(crops)
     events = S.events_in_segments(annotations, segments)
     with_n = events.join(crops.spans.select(*CROP, "n_out"), CROP)
     placed = W.event_windows(with_n, crops.spans, rates.target, F.col("n_out"))
-    cut = W.cut_spans(chunks, placed, rates.out_len, ["ord"], signal=CROP)
+    cut = W.cut_spans(crops.chunks, placed, rates.out_len, ["ord"], signal=CROP)
     meta = placed.select(*CROP, "ord", F.col("onset_sec").alias("center_sec"), "seg_type", "label")
     return X.window_features(cut, rates.target).join(meta, [*CROP, "ord"])

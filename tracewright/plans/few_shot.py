@@ -9,6 +9,7 @@ from tracewright import constants as C
 from tracewright.functions.boost import fit_and_score
 from tracewright.operators import metrics as M, splits as S
 from tracewright.plans.model import BoostParams
+from tracewright.plans.tables import materialize
 
 BATCH_ROWS = 20_000
 
@@ -31,7 +32,8 @@ def few_shot_scores(rows: DataFrame, names: list[str] = C.FEATURES, max_shots: i
     shots = data.join(widest, file).filter(is_first).drop("_p", "_n")
     batches = tested.select(file, "batch").distinct()
     support = (batches.join(shots, file)
-               .join(limits.groupBy(file).agg(F.sort_array(F.collect_list("n_shot")).alias("shots")), file))
+               .join(limits.groupBy(file).agg(F.sort_array(F.collect_list("n_shot")).alias("shots")), file)
+               .withColumnsRenamed({file: "_file", "batch": "_batch"}))
 
     def score(key, test: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -49,13 +51,13 @@ def few_shot_scores(rows: DataFrame, names: list[str] = C.FEATURES, max_shots: i
         return pd.concat(parts)[cols] if parts else pd.DataFrame(columns=cols)
 
     schema = f"{file} string, n_shot int, row_idx bigint, y int, proba double"
-    return (tested.groupBy(file, "batch").cogroup(support.groupBy(file, "batch"))
+    return (tested.groupBy(file, "batch").cogroup(support.groupBy("_file", "_batch"))
             .applyInPandas(score, schema))
 
 
 def few_shot_sweep(rows: DataFrame, names: list[str] = C.FEATURES, max_shots: int = C.MAX_SHOTS,
                    params: BoostParams = BoostParams(row_share=1.0), file: str = "source") -> DataFrame:
     """One row per n: files used and skipped, summed counts, mean and std of the metrics."""
-    scored = few_shot_scores(rows, names, max_shots, params, file)
+    scored = materialize(few_shot_scores(rows, names, max_shots, params, file), "few-shot")
     usage = S.shot_usage(S.shot_limits(rows, max_shots, file))
     return M.sweep_table(M.fold_metrics(scored, ["n_shot", file]), usage).orderBy("n_shot")
