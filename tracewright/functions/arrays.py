@@ -91,6 +91,14 @@ def kurtosis(x: Column) -> Column:
     return let(_moment(x, 2), body)
 
 
+def sorted_quantile(ordered: Column, q: float) -> Column:
+    """Quantile of a sorted array at position n*q - 1/2 (0-based), linear in between."""
+    last = F.size(ordered) - 1
+    pos = F.least(F.greatest(F.size(ordered) * F.lit(q) - 0.5, F.lit(0.0)), last.cast("double"))
+    low, high = (F.get(ordered, f(pos).cast("int")) for f in (F.floor, F.ceil))
+    return low + (high - low) * (pos - F.floor(pos))
+
+
 # --- on a one-sided PSD whose bin k lies at k * step Hz ---------------------
 
 def band(psd: Column, step: Column, low: float, high: float) -> Column:

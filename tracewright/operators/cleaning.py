@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tracewright.functions import arrow, kernels as K
+from tracewright.functions import arrays as A, arrow, kernels as K
 from tracewright.operators.ordered import exact_quantiles
 from tracewright.operators.windows import slide_chunks, with_context
 
@@ -113,10 +113,14 @@ def channel_deviation(chunks: DataFrame, keys: list[str] = RECORDING) -> DataFra
     values = chunks.select(*keys, "channel", F.explode("x").alias("v"))
     spread = exact_quantiles(values, [*keys, "channel"], "v", {"q1": 0.25, "q3": 0.75}).select(
         *keys, "channel", (IQR_TO_SD * (F.col("q3") - F.col("q1"))).alias("spread"))
-    centre = exact_quantiles(spread, keys, "spread", {"q1": 0.25, "mid": 0.5, "q3": 0.75})
-    sd = IQR_TO_SD * (F.col("q3") - F.col("q1"))
-    z = F.when(sd > 0, F.try_divide(F.col("spread") - F.col("mid"), sd)).otherwise(F.lit(0.0))
-    return spread.join(centre, keys).select(*keys, "channel", "spread", z.alias("z"))
+    # one row per signal with its channels, then back: bounded by the number of channels
+    together = spread.groupBy(*keys).agg(
+        F.collect_list(F.struct("channel", "spread")).alias("c"),
+        F.array_sort(F.collect_list("spread")).alias("o"))
+    mid, q1, q3 = (A.sorted_quantile(F.col("o"), q) for q in (0.5, 0.25, 0.75))
+    rows = together.select(*keys, mid.alias("mid"), (IQR_TO_SD * (q3 - q1)).alias("sd"), F.explode("c").alias("c"))
+    z = F.when(F.col("sd") > 0, F.try_divide(F.col("c.spread") - F.col("mid"), F.col("sd"))).otherwise(F.lit(0.0))
+    return rows.select(*keys, "c.channel", "c.spread", z.alias("z"))
 
 
 def bad_by_deviation(chunks: DataFrame, keys: list[str] = RECORDING, limit: float = 5.0) -> DataFrame:

@@ -26,39 +26,43 @@ def value_bucket(value: Column, bits: int = 10) -> Column:
     fraction = F.floor((size / F.pow(F.lit(2.0), power) - 1.0) * float(2 ** bits)).cast("bigint")
     code = (power + 1100) * (2 ** bits) + fraction
     top = 4000 * 2 ** bits
-    return (F.when(F.isnan(value), F.lit(top + 1))
-            .when(size == float("inf"), F.signum(value).cast("bigint") * top)
-            .when(size < 1e-300, F.lit(0).cast("bigint"))
-            .when(value < 0, -code).otherwise(code))
-
-
-def add_position(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,
+    bucket = (F.when(F.isnan(value), F.lit(top + 1))
+              .when(size == float("inf"), F.signum(value).cast("bigint") * top)
+              .when(size < 1e-300, F.lit(0).cast("bigint"))
+              .when(value < 0, -code).otherwise(code))
+    return F.coalesce(bucket, F.lit(-top - 1).cast("bigint"))     # never null: no null checks before the scan
+
+
+def add_position(df: DataFrame, keys: list[str], order: list[str], bucket: str, name: str) -> DataFrame:
+    """0-based row number inside each key. The ``bucket`` column must not decrease along
+    ``order``. ``df`` is read twice (sizes and rows): store it first when it is costly."""
+    group = [*keys, bucket]
+    df = df.filter(F.col(bucket).isNotNull())
+    across = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    before = (df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+              .select(*group, F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before")))
+    inside = Window.partitionBy(*group).orderBy(*order)
+    return (df.withColumn("_rn", F.row_number().over(inside) - 1).join(before, group)
+            .withColumn(name, (F.col("_rn") + F.col("_before")).cast("bigint")).drop("_rn", "_before"))
+
+
+def add_previous(df: DataFrame, keys: list[str], order: list[str], bucket: str, value: Column,
                  name: str) -> DataFrame:
-    """0-based row number inside each key. ``bucket`` must not decrease along ``order``."""
-    tagged = df.withColumn(_BUCKET, bucket)
-    across = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    before = (tagged.groupBy(*keys, _BUCKET).agg(F.count(F.lit(1)).alias("_n"))
-              .select(*keys, _BUCKET, F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before")))
-    inside = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
-    return (tagged.withColumn("_rn", F.row_number().over(inside) - 1)
-            .join(before, [*keys, _BUCKET])
-            .withColumn(name, (F.col("_rn") + F.col("_before")).cast("bigint"))
-            .drop(_BUCKET, "_rn", "_before"))
-
-
-def add_previous(df: DataFrame, keys: list[str], order: list[str], bucket: Column,
-                 value: Column, name: str) -> DataFrame:
-    """``value`` of the preceding row of the key (null for its first row)."""
-    tagged = df.withColumn(_BUCKET, bucket).withColumn("_value", value)
-    last = tagged.groupBy(*keys, _BUCKET).agg(
-        F.max_by("_value", F.struct(*order)).alias("_last"))
-    across = Window.partitionBy(*keys).orderBy(_BUCKET)
-    carried = last.select(*keys, _BUCKET, F.lag("_last").over(across).alias("_carried"))
-    inside = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
-    return (tagged.withColumn("_own", F.lag("_value").over(inside))
-            .join(carried, [*keys, _BUCKET])
-            .withColumn(name, F.coalesce("_own", "_carried"))
-            .drop(_BUCKET, "_value", "_own", "_carried"))
+    """``value`` of the preceding row of the key (null for its first row).
+
+    Only the first and last rows of the buckets meet in the window over the key. Both
+    parts keep all columns, so Spark shuffles the rows once and reuses the exchange.
+    """
+    inside = Window.partitionBy(*keys, bucket).orderBy(*order)
+    across = Window.partitionBy(*keys).orderBy(*order)
+    # the explicit null filter keeps both parts' exchanges identical
+    tagged = df.filter(F.col(bucket).isNotNull()).withColumn("_value", value).withColumns({
+        name: F.lag("_value").over(inside), "_first": F.row_number().over(inside) == 1,
+        "_last": F.lead(F.lit(True), 1, False).over(inside)}).withColumn("_last", ~F.col("_last"))
+    edge = F.col("_first") | F.col("_last")
+    carried = F.when(F.col("_first"), F.lag("_value").over(across)).otherwise(F.col(name))
+    edges = tagged.filter(edge).withColumn(name, carried)
+    return tagged.filter(~edge).unionByName(edges).drop("_value", "_first", "_last")
 
 
 def counts_below(df: DataFrame, keys: list[str], value: str,
@@ -66,9 +70,13 @@ def counts_below(df: DataFrame, keys: list[str], value: str,
     """One row per distinct value of a key with, for every named count, its sum at
     the value (``c``), below it (``c_below``) and over the key (``c_total``).
 
-    Equal values are pre-aggregated before the shuffle, so ties cost one row.
+    Equal values are pre-aggregated before the shuffle, so ties cost one row. Rows
+    with a null key or value are left out.
     """
-    per_value = (df.groupBy(*keys, value).agg(*[F.sum(e).cast("bigint").alias(c) for c, e in counts.items()])
+    known = df
+    for c in (*keys, value):
+        known = known.filter(F.col(c).isNotNull())
+    per_value = (known.groupBy(*keys, value).agg(*[F.sum(e).cast("bigint").alias(c) for c, e in counts.items()])
                  .withColumn(_BUCKET, value_bucket(F.col(value).cast("double"))))
     across = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)

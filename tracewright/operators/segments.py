@@ -41,14 +41,13 @@ def build_segments(annotations: DataFrame, bucket_sec: float = HOUR) -> DataFram
     parts = F.regexp_extract(text, "^(" + "|".join(C.SEGMENT_TYPES) + ")_(START|STOP)$", 1)
     markers = (annotations.withColumn("seg_type", parts).filter(F.col("seg_type") != "")
                .select("recording_id", "ord", "onset_sec", "seg_type",
-                       text.endswith("_START").alias("is_start")))
-    bucket = time_bucket(F.col("onset_sec"), bucket_sec)
-    chained = add_previous(markers, ["recording_id"], ["onset_sec", "ord"], bucket,
+                       text.endswith("_START").alias("is_start"),
+                       time_bucket(F.col("onset_sec"), bucket_sec).alias("_bucket")))
+    chained = add_previous(markers, ["recording_id"], ["onset_sec", "ord"], "_bucket",
                            F.struct("is_start", "seg_type", "onset_sec"), "prev")
     closed = chained.filter(~F.col("is_start") & F.col("prev.is_start")
                             & (F.col("prev.seg_type") == F.col("seg_type")))
-    numbered = add_position(closed, ["recording_id"], [F.col("onset_sec"), F.col("ord")],
-                            bucket, "segment_id")
+    numbered = add_position(closed, ["recording_id"], ["onset_sec", "ord"], "_bucket", "segment_id")
     return numbered.select("recording_id", "segment_id", F.col("prev.onset_sec").alias("seg_start"),
                            F.col("onset_sec").alias("seg_stop"), "seg_type")
 

@@ -38,7 +38,8 @@ def single_feature_auc(df: DataFrame, names: list[str], keys: list[str] = ["data
                        label: str = "y") -> DataFrame:
     """keys, feature, auc of the raw values; ties count half, non-finite values are
     left out, one class gives NaN."""
-    rows = df.unpivot([*keys, label], names, "feature", "value")
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names]))
+    rows = df.select(*keys, label, pairs.alias("p")).select(*keys, label, "p.feature", "p.value")
     ok = finite(F.col("value"))
     rows = rows.select(*keys, "feature", F.when(ok, F.col("value")).otherwise(F.lit(0.0)).alias("value"),
                        F.when(ok, F.col(label)).alias("_y"))

@@ -50,8 +50,8 @@ def annotation_windows(annotations: DataFrame, recordings: DataFrame, window_ms:
     kept = (placed.withColumn("start", centre - margin).withColumn("stop", centre + margin)
             .filter((F.col("start") >= 0) & (F.col("stop") <= F.col("n_samples"))))
     # ord numbers the annotations of the source; a fixed block of it is the bucket
-    numbered = add_position(kept, ["recording_id"], [F.col("ord")],
-                            F.floor(F.col("ord") / 100_000).cast("bigint"), "row_idx")
+    blocks = kept.withColumn("_bucket", F.floor(F.col("ord") / 100_000).cast("bigint"))
+    numbered = add_position(blocks, ["recording_id"], ["ord"], "_bucket", "row_idx")
     return numbered.select("recording_id", "row_idx", "ord", "start", "stop", "label",
                            F.col("onset_sec").alias("center_sec"),
                            time_text(F.col("onset_sec")).alias("center_hmsms"))
@@ -82,8 +82,8 @@ def label_windows(windows: DataFrame, marks: DataFrame,
 
 def order_windows(windows: DataFrame, bucket_sec: float = HOUR) -> DataFrame:
     """Adds ``row_idx``: stable order by onset inside the recording."""
-    return add_position(windows, ["recording_id"], [F.col(c) for c in ("onset_sec", "segment_id", "s")],
-                        time_bucket(F.col("onset_sec"), bucket_sec), "row_idx")
+    blocks = windows.withColumn("_bucket", time_bucket(F.col("onset_sec"), bucket_sec))
+    return add_position(blocks, ["recording_id"], ["onset_sec", "segment_id", "s"], "_bucket", "row_idx").drop("_bucket")
 
 
 def window_counts(windows: DataFrame, keys: list[str] = ["recording_id"]) -> DataFrame:
