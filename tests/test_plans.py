@@ -142,8 +142,8 @@ def test_sliding_features(spark, crops):
 
 
 def test_event_features(spark, crops):
-    made, seq, a, rows, segs = crops
-    got = P.event_features(made, RATES, a, segs).collect()
+    made, seq, a, rows, _ = crops
+    got = P.event_features(made, RATES, a).collect()
     want = {}
     for (r, k), (start, lo, stop, m, _) in seq.items():
         for q, o, t, d in rows:

@@ -111,17 +111,15 @@ def extract_annotated(spark, sf):
 
 def _crops(spark, sf):
     segs = S.build_segments(signal_annotations(spark, sf))
-    return P.clean_crops(signals(spark, sf), RATES, segs, signal_weights(spark, sf), limits=LIMITS), segs
+    return P.clean_crops(signals(spark, sf), RATES, segs, signal_weights(spark, sf), limits=LIMITS)
 
 
 def extract_sliding(spark, sf):
-    crops, _ = _crops(spark, sf)
-    return P.sliding_features(crops, RATES, signal_annotations(spark, sf))
+    return P.sliding_features(_crops(spark, sf), RATES, signal_annotations(spark, sf))
 
 
 def extract_events(spark, sf):
-    crops, segs = _crops(spark, sf)
-    return P.event_features(crops, RATES, signal_annotations(spark, sf), segs)
+    return P.event_features(_crops(spark, sf), RATES, signal_annotations(spark, sf))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -47,7 +47,10 @@ def annotations(spark: SparkSession, sf: str) -> DataFrame:
     text = (F.when(kind == "signup", "Note : PD_START").when(kind == "error", "PD_STOP ")
             .when(kind == "click", "NON_PD_START").when(kind == "view", "Note : NON_PD_STOP")
             .when(m == 0, "*").when(m == 1, "-").when(m == 2, "Note : * ").otherwise("Note : - "))
-    onset = (F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / F.lit(1e6)
+    since = F.col("ts").cast("timestamp_ntz") - F.lit("2024-01-01").cast("timestamp_ntz")     # no time zone involved
+    part = lambda unit: F.extract(F.lit(unit), since)
+    seconds = ((part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")) * 60
+    onset = (seconds.cast("bigint") * 1_000_000 + (part("SECOND") * 1_000_000).cast("bigint")) / F.lit(1e6)
     return e.select(F.col("user_id").alias("recording_id"), F.col("event_id").alias("ord"),
                     onset.alias("onset_sec"), text.alias("description"))
 

@@ -55,9 +55,8 @@ def padded_crops(spark, sf):
 
 
 def event_windows(spark, sf):
-    a = V.annotations(spark, sf)
-    ev = S.events_in_segments(a, S.build_segments(a))
-    return W.event_windows(ev, _crops(spark, sf), V.RATE, window_sec=V.WINDOW_SEC).select(
+    ev = S.events_in_segments(V.annotations(spark, sf), _crops(spark, sf))
+    return W.event_windows(ev, V.RATE, window_sec=V.WINDOW_SEC).select(
         "recording_id", "segment_id", "ord", "label", "start", "stop")
 
 

@@ -18,6 +18,7 @@ from tracewright.operators.ordered import add_position, time_bucket
 from tracewright.operators.segments import HOUR, label_annotations
 
 CHANNEL = ["recording_id", "channel"]
+BLOCK_WINDOWS = 4096        # windows one row of a segment turns into
 
 
 # --- positions --------------------------------------------------------------
@@ -33,10 +34,15 @@ def sliding_windows(segments: DataFrame, rate: float, window_sec: float = C.WIND
     stride = int(round(stride_sec * rate))
     n = n_samples if n_samples is not None else F.bround(
         (F.col("seg_stop") - F.col("seg_start")) * float(rate)).cast("bigint")
-    starts = F.sequence(F.lit(0).cast("bigint"), F.col("_n") - length, F.lit(stride).cast("bigint"))
-    return (segments.withColumn("_n", n).filter(F.col("_n") >= length)
-            .withColumn("s", F.explode(starts))
-            .withColumn("onset_sec", F.col("seg_start") + F.col("s") / float(rate)).drop("_n"))
+    last = F.col("_n") - length
+    steps = lambda first, to, step: F.explode(F.sequence(first, to, F.lit(step).cast("bigint")))
+    # a long segment is cut into blocks that spread over the tasks before they become windows
+    blocks = (segments.withColumn("_n", n).filter(last >= 0)
+              .withColumn("_block", steps(F.lit(0).cast("bigint"), last, stride * BLOCK_WINDOWS))
+              .repartition("recording_id", "segment_id", "_block"))
+    within = F.least(last, F.col("_block") + stride * (BLOCK_WINDOWS - 1))
+    return (blocks.withColumn("s", steps(F.col("_block"), within, stride))
+            .withColumn("onset_sec", F.col("seg_start") + F.col("s") / float(rate)).drop("_n", "_block"))
 
 
 def annotation_windows(annotations: DataFrame, recordings: DataFrame, window_ms: int = 500,
@@ -57,17 +63,16 @@ def annotation_windows(annotations: DataFrame, recordings: DataFrame, window_ms:
                            time_text(F.col("onset_sec")).alias("center_hmsms"))
 
 
-def event_windows(events: DataFrame, crops: DataFrame, rate: float, n_samples: Column | None = None,
+def event_windows(events: DataFrame, rate: float, n_samples: Column | None = None,
                   window_sec: float = C.WINDOW_SEC) -> DataFrame:
-    """One window around every event of a segment, in samples of the padded crop.
-    Edges may use the padding; windows beyond the crop are dropped."""
+    """One window around every event, in samples of its padded crop. Edges may use the
+    padding; windows beyond the crop are dropped. ``events`` come from
+    ``events_in_segments`` with the crops as segments."""
     margin = int(round(window_sec / 2 * rate))
-    joined = events.join(crops.select("recording_id", "segment_id", "crop_start", "crop_stop"),
-                         ["recording_id", "segment_id"])
     centre = F.bround((F.col("onset_sec") - F.col("crop_start")) * float(rate)).cast("bigint")
     n = n_samples if n_samples is not None else F.bround(
         (F.col("crop_stop") - F.col("crop_start")) * float(rate)).cast("bigint")
-    return (joined.withColumn("start", centre - margin).withColumn("stop", centre + margin)
+    return (events.withColumn("start", centre - margin).withColumn("stop", centre + margin)
             .filter((F.col("start") >= 0) & (F.col("stop") <= n)))
 
 

@@ -139,11 +139,10 @@ def sliding_features(crops: CleanCrops, rates: Rates, annotations: DataFrame) ->
     return made.join(labelled, [*CROP, "s"])
 
 
-def event_features(crops: CleanCrops, rates: Rates, annotations: DataFrame, segments: DataFrame) -> DataFrame:
+def event_features(crops: CleanCrops, rates: Rates, annotations: DataFrame) -> DataFrame:
     """One feature row per channel of the window around every mark inside a segment."""
-    events = S.events_in_segments(annotations, segments)
-    with_n = events.join(crops.spans.select(*CROP, "n_out"), CROP)
-    placed = W.event_windows(with_n, crops.spans, rates.target, F.col("n_out"))
+    spans = crops.spans.drop("start", "stop")
+    placed = W.event_windows(S.events_in_segments(annotations, spans), rates.target, F.col("n_out"))
     cut = W.cut_spans(crops.chunks, placed, rates.out_len, ["ord"], signal=CROP)
     meta = placed.select(*CROP, "ord", F.col("onset_sec").alias("center_sec"), "seg_type", "label")
     return X.window_features(cut, rates.target).join(meta, [*CROP, "ord"])

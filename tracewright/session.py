@@ -28,15 +28,13 @@ def get_session(app: str = "tracewright", master: str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where
-    the setting is missing, as in local tests."""
+    """The shared folder named by ``spark.checkpoint.dir``. Only where the setting is
+    missing, as in local tests, a temporary folder takes its place."""
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tracewright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracewright-"))
+    return folder or context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
