@@ -14,7 +14,8 @@ def clean_channel(name: Column) -> Column:
 
 def strip_note(description: Column) -> Column:
     """Drop one leading note prefix, then trim."""
-    return F.trim(F.regexp_replace(description, "^" + C.NOTE_PREFIX, ""))
+    rest = F.substr(description, F.lit(len(C.NOTE_PREFIX) + 1))
+    return F.trim(F.when(F.startswith(description, F.lit(C.NOTE_PREFIX)), rest).otherwise(description))
 
 
 def mark_label(description: Column) -> Column:

@@ -38,8 +38,12 @@ def build_segments(annotations: DataFrame, bucket_sec: float = HOUR) -> DataFram
     ``segment_id`` is the position in order of closing, from 0.
     """
     text = strip_note(F.col("description"))
-    parts = F.regexp_extract(text, "^(" + "|".join(C.SEGMENT_TYPES) + ")_(START|STOP)$", 1)
-    markers = (annotations.withColumn("seg_type", parts).filter(F.col("seg_type") != "")
+    first, *others = C.SEGMENT_TYPES
+    is_marker = lambda t: text.isin(f"{t}_START", f"{t}_STOP")
+    seg_type = F.when(is_marker(first), first)
+    for t in others:
+        seg_type = seg_type.when(is_marker(t), t)
+    markers = (annotations.withColumn("seg_type", seg_type).filter(F.col("seg_type").isNotNull())
                .select("recording_id", "ord", "onset_sec", "seg_type",
                        text.endswith("_START").alias("is_start"),
                        time_bucket(F.col("onset_sec"), bucket_sec).alias("_bucket")))
