@@ -218,10 +218,16 @@ def test_within_patterns_and_holdout(spark):
     done = E.within_patterns(df, FEATS, QUICK)
     assert list(done) == ["LPD"] and {r.fold for r in done["LPD"].scored.collect()} == {"P20", "P36", "P58"}
     ignored = df.withColumn("y", F.when(F.col("row_idx") % 10 == 0, -1).otherwise(F.col("y")))
-    out = E.hold_out(df, ignored, FEATS, "handcrafted", True, params=QUICK)
+    rep = E.Representation("hand", FEATS, True)
+    out = E.hold_out(df, ignored, rep, params=QUICK)
     assert out.scored.count() == 36 and out.metrics().first().fold == "P58"
     with pytest.raises(ValueError):
-        E.hold_out(df, df.drop("source"), FEATS, "handcrafted", False, params=QUICK)
+        E.hold_out(df, df.drop("source"), E.Representation("hand", FEATS), params=QUICK)
+    vectors = df.select("patient_id", "source", "row_idx", F.col("y").alias("label"), F.array("f", "g").alias("emb"))
+    other = E.hold_out(vectors, vectors, E.EMBEDDING, params=QUICK)
+    pairs = {r.metric: r for r in E.compare_hold_out(out, other, ("hand", "embedding")).collect()}
+    assert set(pairs) == {"bacc", "roc_auc", "f1", "pr_auc"} and pairs["roc_auc"].second > 0.9
+    assert sorted(r.feature for r in other.importances.collect()) == ["f0", "f1"]
 
 
 def test_few_shot_sweep(spark, monkeypatch):

@@ -109,6 +109,8 @@ def test_hard_errors_order_and_plan(spark):
     errors = M.hard_errors(df, k=2)
     assert [(r.error_type, r.rank, r.row_idx) for r in errors.orderBy("error_type", "rank").collect()] == [
         ("false_negative", 1, 3), ("false_negative", 2, 1), ("false_positive", 1, 0), ("false_positive", 2, 2)]
+    line = M.hard_error_report(errors.filter("error_type = 'false_positive' and rank = 1")).first()
+    assert (line.y_proba, line.window_center_time, line.recording_file) == ("0.90000000", "00:00:00.000", "f0")
     assert "WindowGroupLimit" in errors._jdf.queryExecution().executedPlan().toString()
 
 

@@ -53,13 +53,10 @@ def gbt_patterns(spark, sf):
 
 def gbt_holdout(spark, sf):
     """Both representations; training rows from even windows, test rows from odd ones."""
-    hand = handcrafted(spark, sf)
-    emb, names = embedded(spark, sf)
     part = lambda df, i: df.filter(F.expr(f"(row_idx div 10) % 2 = {i}"))
-    done = [E.hold_out(part(d, 0), part(d, 1), n, rep, norm, params=QUICK).scored.select("representation", "y", "proba")
-            for d, n, rep, norm in ((hand, C.FEATURES, "handcrafted", True), (emb, names, "embedding", False))]
-    metrics = M.fold_metrics(done[0].unionByName(done[1]), ["representation"])
-    return M.metric_pairs(metrics, "handcrafted", "embedding")
+    tables = ((handcrafted(spark, sf), E.HANDCRAFTED), (V.embedding_rows(spark, sf), E.EMBEDDING))
+    first, second = (E.hold_out(part(d, 0), part(d, 1), rep, params=QUICK) for d, rep in tables)
+    return E.compare_hold_out(first, second, ("handcrafted", "embedding"))
 
 
 def gbt_paired(spark, sf):

@@ -64,8 +64,8 @@ def interpolate_and_reference(spark, sf):
 
 def _spans(spark, sf):
     ids = V.chunks(spark, sf).filter("chunk = 0 AND channel = 'C0'").select("recording_id")
-    return (ids.withColumn("span_id", F.explode(F.sequence(F.lit(0), F.lit(3))))
-            .withColumn("start", (F.col("span_id") * 131 + F.col("recording_id") * 7 % 50).cast("bigint"))
+    return (ids.withColumn("span_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))))
+            .withColumn("start", F.col("span_id") * 131 + F.col("recording_id") * 7 % 50)
             .withColumn("stop", F.col("start") + 90 + F.col("span_id") * 40))
 
 

@@ -8,7 +8,7 @@ from tracewright.checks import views as V
 from tracewright.checks.views import r, rs, sql
 from tracewright.operators import segments as S, windows as W
 
-HOUR_MS = 600_000      # ten minutes on each side of a mark
+MARGIN_MS = 600_000      # ten minutes on each side of a mark
 
 
 def segments(spark, sf):
@@ -40,7 +40,7 @@ def events_in_segments(spark, sf):
 
 
 def annotation_windows(spark, sf):
-    w = W.annotation_windows(V.annotations(spark, sf), V.recordings(spark, sf), HOUR_MS)
+    w = W.annotation_windows(V.annotations(spark, sf), V.recordings(spark, sf), MARGIN_MS)
     return w.withColumn("center_sec", r("center_sec"))
 
 
@@ -125,7 +125,7 @@ ORACLE = {
                c - m AS start, c + m AS stop, label, {rs('onset_sec')} AS center_sec,
                printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS center_hmsms
         FROM (SELECT a.*, n_samples, CASE description WHEN '*' THEN 1 ELSE 0 END AS label,
-                     {_BROUND.format('onset_sec * sfreq')} AS c, CAST(trunc(sfreq * {HOUR_MS} / 1000) AS BIGINT) AS m,
+                     {_BROUND.format('onset_sec * sfreq')} AS c, CAST(trunc(sfreq * {MARGIN_MS} / 1000) AS BIGINT) AS m,
                      {_BROUND.format('onset_sec * 1000')} AS ms
               FROM annotations a JOIN recordings USING (recording_id) WHERE description IN ('*', '-'))
         WHERE c - m >= 0 AND c + m <= n_samples""", "annotations", "recordings"),

@@ -9,7 +9,7 @@ from tracewright.functions.arrays import nan
 from tracewright.functions.text import time_text_truncated
 from tracewright.operators.channels import pattern
 from tracewright.operators.ordered import counts_below
-from tracewright.operators.stats import auc_from_counts, nan_to_null
+from tracewright.operators.stats import nan_to_null
 
 
 def decide(proba: Column, threshold: float = C.THRESHOLD) -> Column:
@@ -46,6 +46,13 @@ def _by_score(scored: DataFrame, keys: list[str]) -> DataFrame:
                                                 "neg": (F.col("y") == 0).cast("bigint")})
 
 
+def _area() -> Column:
+    """ROC area over the rows of ``_by_score``."""
+    wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / F.lit(2.0)))
+    pairs = F.max(F.col("pos_total").cast("double") * F.col("neg_total"))
+    return F.coalesce(F.try_divide(wins, pairs), nan())
+
+
 def _average_precision() -> Column:
     tp = (F.col("pos_total") - F.col("pos_below")).cast("double")
     fp = F.col("neg_total") - F.col("neg_below")
@@ -56,7 +63,7 @@ def _average_precision() -> Column:
 def rank_metrics(scored: DataFrame, keys: list[str]) -> DataFrame:
     """roc_auc and pr_auc (average precision, step sum) per key; one class gives NaN."""
     return _by_score(scored, keys).groupBy(*keys).agg(
-        auc_from_counts().alias("roc_auc"), _average_precision().alias("pr_auc"))
+        _area().alias("roc_auc"), _average_precision().alias("pr_auc"))
 
 
 def fold_metrics(scored: DataFrame, keys: list[str] = ["fold"],
@@ -68,7 +75,7 @@ def fold_metrics(scored: DataFrame, keys: list[str] = ["fold"],
     one = _by_score(scored, keys).groupBy(*keys).agg(
         count("pos", hit).alias("tp"), count("neg", hit).alias("fp"),
         count("neg", ~hit).alias("tn"), count("pos", ~hit).alias("fn"),
-        auc_from_counts().alias("roc_auc"), _average_precision().alias("pr_auc"))
+        _area().alias("roc_auc"), _average_precision().alias("pr_auc"))
     return threshold_metrics(one).select(*keys, *C.METRICS, *C.COUNTS)
 
 
@@ -104,6 +111,12 @@ def hard_errors(scored: DataFrame, keys: list[str] = [], k: int = 5,
                     F.col("y").alias("y_true"), "y_pred", "proba", F.col("source").alias("recording_file"), "row_idx"))
 
 
+def hard_error_report(errors: DataFrame) -> DataFrame:
+    """Columns of the error file; the probability as text with eight digits."""
+    return errors.select("error_type", "window_center_time", "y_true", "y_pred",
+                         F.format_string("%.8f", "proba").alias("y_proba"), "recording_file")
+
+
 def accuracy_by_patient(metrics: DataFrame, key: str = "fold") -> DataFrame:
     return metrics.select(key, pattern(F.col(key)).alias("pattern"), "acc").orderBy("acc", key)
 

@@ -65,28 +65,49 @@ def add_previous(df: DataFrame, keys: list[str], order: list[str], bucket: str,
     return tagged.filter(~edge).unionByName(edges).drop("_value", "_first", "_last")
 
 
-def counts_below(df: DataFrame, keys: list[str], value: str,
-                 counts: dict[str, Column]) -> DataFrame:
-    """One row per distinct value of a key with, for every named count, its sum at
-    the value (``c``), below it (``c_below``) and over the key (``c_total``).
-
-    Equal values are pre-aggregated before the shuffle, so ties cost one row. Rows
-    with a null key or value are left out.
-    """
+def counts_by_value(df: DataFrame, keys: list[str], value: str, counts: dict[str, Column]) -> DataFrame:
+    """One row per distinct value of a key with the named sums and its bucket. Equal
+    values are pre-aggregated before the shuffle, so ties cost one row. Rows with a
+    null key or value are left out."""
     known = df
     for c in (*keys, value):
         known = known.filter(F.col(c).isNotNull())
-    per_value = (known.groupBy(*keys, value).agg(*[F.sum(e).cast("bigint").alias(c) for c, e in counts.items()])
-                 .withColumn(_BUCKET, value_bucket(F.col(value).cast("double"))))
-    across = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    return (known.groupBy(*keys, value).agg(*[F.sum(e).cast("bigint").alias(c) for c, e in counts.items()])
+            .withColumn(_BUCKET, value_bucket(F.col(value).cast("double"))))
+
+
+def _before(order: str, *keys: str):
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def pairs_won(df: DataFrame, keys: list[str], value: str, pos: Column, neg: Column) -> DataFrame:
+    """keys, wins, pos, neg: over all (positive, negative) pairs of a key, how often the
+    positive has the larger value, ties one half.
+
+    Wins inside a bucket come from a window over the bucket; wins over lower buckets from
+    the bucket sums. Distinct values are shuffled once and never joined back.
+    """
+    own = counts_by_value(df, keys, value, {"pos": pos, "neg": neg})
+    below = F.coalesce(F.sum("neg").over(_before(value, *keys, _BUCKET)), F.lit(0))
+    per_bucket = (own.withColumn("wins", F.col("pos") * (below + F.col("neg") / F.lit(2.0)))
+                  .groupBy(*keys, _BUCKET).agg(*[F.sum(c).alias(c) for c in ("wins", "pos", "neg")]))
+    lower = F.coalesce(F.sum("neg").over(_before(_BUCKET, *keys)), F.lit(0)).cast("double")
+    return (per_bucket.withColumn("wins", F.col("wins") + F.col("pos") * lower)
+            .groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("wins", "pos", "neg")]))
+
+
+def counts_below(df: DataFrame, keys: list[str], value: str,
+                 counts: dict[str, Column]) -> DataFrame:
+    """One row per distinct value of a key with, for every named count, its sum at
+    the value (``c``), below it (``c_below``) and over the key (``c_total``)."""
+    per_value = counts_by_value(df, keys, value, counts)
+    across, whole = _before(_BUCKET, *keys), Window.partitionBy(*keys)
     per_bucket = per_value.groupBy(*keys, _BUCKET).agg(*[F.sum(c).alias(c) for c in counts])
     offsets = per_bucket.select(
         *keys, _BUCKET,
         *[F.coalesce(F.sum(c).over(across), F.lit(0)).alias(f"_{c}_before") for c in counts],
         *[F.sum(c).over(whole).alias(f"{c}_total") for c in counts])
-    inside = (Window.partitionBy(*keys, _BUCKET).orderBy(value)
-              .rowsBetween(Window.unboundedPreceding, -1))
+    inside = _before(value, *keys, _BUCKET)
     joined = per_value.select(
         *keys, _BUCKET, value, *counts,
         *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_{c}_inside") for c in counts],

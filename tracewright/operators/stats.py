@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tracewright import constants as C
 from tracewright.functions.arrays import nan
-from tracewright.operators.ordered import counts_below
+from tracewright.operators.ordered import pairs_won
 
 
 def finite(x: Column) -> Column:
@@ -43,17 +43,14 @@ def single_feature_auc(df: DataFrame, names: list[str], keys: list[str] = ["data
     ok = finite(F.col("value"))
     rows = rows.select(*keys, "feature", F.when(ok, F.col("value")).otherwise(F.lit(0.0)).alias("value"),
                        F.when(ok, F.col(label)).alias("_y"))
-    ranked = counts_below(rows, [*keys, "feature"], "value",
-                          {"pos": F.coalesce((F.col("_y") == 1).cast("bigint"), F.lit(0)),
-                           "neg": F.coalesce((F.col("_y") == 0).cast("bigint"), F.lit(0))})
-    return ranked.groupBy(*keys, "feature").agg(auc_from_counts().alias("auc"))
+    count = lambda y: F.coalesce((F.col("_y") == y).cast("bigint"), F.lit(0))
+    won = pairs_won(rows, [*keys, "feature"], "value", count(1), count(0))
+    return won.select(*keys, "feature", share_won().alias("auc"))
 
 
-def auc_from_counts() -> Column:
-    """Aggregate over ``counts_below`` rows with counts pos and neg."""
-    wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / F.lit(2.0)))
-    pairs = F.max(F.col("pos_total").cast("double") * F.col("neg_total"))
-    return F.coalesce(F.try_divide(wins, pairs), nan())
+def share_won() -> Column:
+    """AUC of a ``pairs_won`` row, NaN with one class."""
+    return F.coalesce(F.try_divide(F.col("wins"), F.col("pos").cast("double") * F.col("neg")), nan())
 
 
 def cohens_d(df: DataFrame, names: list[str], keys: list[str] = ["dataset"],

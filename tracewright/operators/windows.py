@@ -156,7 +156,11 @@ def cut_spans(chunks: DataFrame, spans: DataFrame, chunk_len: int, keys: list[st
 def with_context(chunks: DataFrame, chunk_len: int, left: int, right: int,
                  keys: list[str] = CHANNEL) -> DataFrame:
     """Adds to each chunk up to ``left`` samples before and ``right`` after it:
-    ``ext`` with ``before`` context samples in front. One shuffle on (channel, chunk)."""
+    ``ext`` with ``before`` context samples in front.
+
+    One shuffle, on the chunk without the channel: a chunk's channels land in the same
+    task, so a following mean over the channels is mostly done before it shuffles.
+    """
     def piece(shift: int, part: Column) -> Column:
         # a piece for the chunk ``shift`` places further on
         return F.struct((F.col("chunk") + shift).alias("chunk"), F.lit(-shift).alias("rel"), part.alias("part"))
@@ -167,8 +171,9 @@ def with_context(chunks: DataFrame, chunk_len: int, left: int, right: int,
         sent.append(piece(j, F.slice("x", F.greatest(F.size("x") - k + 1, F.lit(1)), F.lit(k))))
     for j in range(1, math.ceil(right / chunk_len) + 1):
         sent.append(piece(-j, F.slice("x", 1, min(chunk_len, right - (j - 1) * chunk_len))))
+    together = [k for k in keys if k != "channel"]
     met = (chunks.select(*keys, F.explode(F.array(*sent)).alias("p")).select(*keys, "p.*")
-           .groupBy(*keys, "chunk")
+           .repartition(*together, "chunk").groupBy(*keys, "chunk")
            .agg(F.array_sort(F.collect_list(F.struct("rel", "part"))).alias("parts"),
                 F.max(F.when(F.col("rel") == 0, F.size("part"))).alias("own"),
                 F.coalesce(F.sum(F.when(F.col("rel") < 0, F.size("part"))), F.lit(0)).cast("int").alias("before")))
