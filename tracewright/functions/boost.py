@@ -17,23 +17,24 @@ def _sigmoid(m: np.ndarray) -> np.ndarray:
 
 
 def _best_split(x: np.ndarray, g: np.ndarray, h: np.ndarray, columns: np.ndarray):
-    """(gain, column, threshold) of the best split; undefined values go left."""
-    best = (1e-12, -1, 0.0)
-    gain_all = g.sum() ** 2 / (h.sum() + L2)
-    for j in columns:
-        v = np.where(np.isnan(x[:, j]), -np.inf, x[:, j])
-        order = np.argsort(v, kind="stable")
-        v, gl, hl = v[order], np.cumsum(g[order])[:-1], np.cumsum(h[order])[:-1]
-        gr, hr = g.sum() - gl, h.sum() - hl
-        ok = (v[1:] > v[:-1]) & (hl >= MIN_WEIGHT) & (hr >= MIN_WEIGHT)
-        if not ok.any():
-            continue
-        gain = np.where(ok, gl ** 2 / (hl + L2) + gr ** 2 / (hr + L2) - gain_all, -np.inf)
-        i = int(np.argmax(gain))
-        if gain[i] > best[0]:
-            middle = v[i + 1] if np.isinf(v[i]) else (v[i] + v[i + 1]) / 2
-            best = (float(gain[i]), int(j), float(middle))
-    return best
+    """(gain, column, threshold) of the best split over all columns at once, column -1
+    when there is none; undefined values go left."""
+    none = (0.0, -1, 0.0)
+    if h.sum() < 2 * MIN_WEIGHT:
+        return none
+    v = x[:, columns]
+    v = np.where(np.isnan(v), -np.inf, v)
+    order = np.argsort(v, axis=0, kind="stable")
+    v = np.take_along_axis(v, order, axis=0)
+    gl, hl = np.cumsum(g[order], axis=0)[:-1], np.cumsum(h[order], axis=0)[:-1]
+    gr, hr = g.sum() - gl, h.sum() - hl
+    ok = (v[1:] > v[:-1]) & (hl >= MIN_WEIGHT) & (hr >= MIN_WEIGHT)
+    gain = np.where(ok, gl ** 2 / (hl + L2) + gr ** 2 / (hr + L2) - g.sum() ** 2 / (h.sum() + L2), -np.inf)
+    j, i = np.unravel_index(int(np.argmax(gain.T)), gain.T.shape) if gain.size else (0, 0)
+    if not gain.size or gain[i, j] <= 1e-12:
+        return none
+    low, high = v[i, j], v[i + 1, j]
+    return float(gain[i, j]), int(columns[j]), float(high if np.isinf(low) else (low + high) / 2)
 
 
 def _grow(x, g, h, columns, depth, rate, scored):
