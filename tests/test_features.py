@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright import constants as C
-from tracewright.functions import arrays as A, arrow, kernels as K
+from tracewright.functions import arrays as A, kernels as K
 from tracewright.operators import features as X
 
 FS = 80.0

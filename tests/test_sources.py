@@ -1,6 +1,5 @@
 """Catalogue, reports, datasets and rejects."""
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 

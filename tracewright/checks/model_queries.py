@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tracewright import constants as C
 from tracewright.checks import views as V
 from tracewright.operators import features as X, metrics as M, segments as S
 from tracewright.plans import evaluate as E, extract as P, few_shot as FS, model as L

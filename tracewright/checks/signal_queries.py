@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewright.checks import views as V
 from tracewright.checks.views import r, rs, sql
-from tracewright.operators import channels as CH, cleaning as G, windows as W
+from tracewright.operators import cleaning as G, windows as W
 
 ID = ["recording_id", "channel"]
 DIGITS = 8
