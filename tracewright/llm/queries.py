@@ -5,13 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import packing, token_file
+from tracewright.llm import exact_dedup, line_quality, packing, token_file
 from tracewright.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 
 
+def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op4_digest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
+
+
 def op6_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens. A sequence of 4096 tokens holds at most
     4096 documents and an attention cost of 4096 squared, so these limits never
@@ -23,5 +31,39 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, END_ID)
 
 
-QUERIES = {"op6_vector_best_fit": op6_vector_best_fit, "op10_token_files": op10_token_files}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op1_line_frequency": op1_line_frequency, "op4_digest_runs": op4_digest_runs,
+           "op6_vector_best_fit": op6_vector_best_fit,
+           "op10_token_files": op10_token_files}
+ORACLE = {
+    "op1_line_frequency": r"""
+with d as (select doc_id, source, coalesce(text, '') as text from documents),
+split as (select doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w,
+                 [x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] as l from d),
+pos as (select doc_id, w, unnest(range(1, len(w) - 6)) as p from split where len(w) >= 8),
+windows as (select doc_id, p, array_to_string(w[p:p + 7], ' ') as k from pos),
+twice as (select doc_id, p, count(*) over (partition by doc_id, k) as n from windows),
+covered as (select doc_id, count(distinct q) as n_repeat_words
+            from (select doc_id, unnest(range(p, p + 8)) as q from twice where n > 1) group by doc_id),
+ln as (select doc_id, source, text, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) as words,
+              lower(trim(regexp_replace(regexp_replace(s, '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g'))) as k
+       from (select doc_id, source, text, unnest(l) as s from split)),
+line_docs as (select source, k, count(distinct text) as n from ln group by all),
+hosts as (select source, count(distinct text) as hd from ln group by all),
+lost as (select ln.doc_id, sum(words) as removed_words
+         from ln join line_docs f on f.source is not distinct from ln.source and f.k = ln.k
+                 join hosts h on h.source is not distinct from ln.source
+         where f.n > 20 and f.n > 0.005 * hd group by ln.doc_id),
+m as (select doc_id, cast(len(w) as bigint) as n_words,
+             cast(length(array_to_string(w, '')) as bigint) as word_chars,
+             cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+             cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines,
+             cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words,
+             cast(coalesce(removed_words, 0) as bigint) as removed_words
+      from split left join covered using (doc_id) left join lost using (doc_id)),
+j as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
+select *, not base_failed and (n_words - removed_words) >= 0.2 * n_words as kept from j""",
+    "op4_digest_runs": """
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
+       doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
+from documents window same as (partition by coalesce(text, ''))""",
+}

@@ -4,50 +4,91 @@ from __future__ import annotations
 
 import os
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 from tokenizers import Tokenizer
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")       # Spark runs the tasks side by side
 
 MEMO_WORDS = 1_000_000
 MEMO_LENGTH = 64
+CHUNK_CHARS = 1 << 20
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes.
+    """Token ids of texts as little-endian 32-bit bytes, for a vocabulary whose pre-tokenizer
+    separates letters, digits, blanks and other signs and marks word ends with ``</w>``.
 
-    The vocabulary's pre-tokenizer never joins characters across a blank, so a text is
-    cut at blanks and line ends and the ids of short words are remembered. The memory
-    is only a cache: it is emptied when full, and results do not depend on it.
+    No token reaches across a blank, so a text is cut at blanks and line ends, and the ids of
+    short words are remembered. The memory is only a cache: it is emptied when full,
+    and results do not depend on it.
     """
 
     def __init__(self, path: str):
         self._tokenizer = Tokenizer.from_file(path)
         self._memo: dict[str, bytes] = {"": b""}
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        coded = self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return {w: array("I", c.ids).tobytes() for w, c in zip(pieces, coded)}
+    def _coded(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", c.ids).tobytes()
+                for c in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+    def _letters(self, bodies: list[str]) -> list[bytes]:
+        """Words of plain letters, encoded as one text and cut after each word end."""
+        coded = self._tokenizer.encode_batch_fast([" ".join(bodies)], add_special_tokens=False)[0].ids
+        ids = np.array(coded, "<u4")
+        ends = np.flatnonzero(self._ends[ids]) + 1
+        if len(ends) != len(bodies):              # a vocabulary with other rules
+            return self._coded(bodies)
+        raw, out, a = ids.tobytes(), [], 0
+        for b in (4 * ends).tolist():
+            out.append(raw[a:b])
+            a = b
+        return out
+
+    def _learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        tails = {".": self._coded(["."])[0], ",": self._coded([","])[0], "": b""}
+        simple, other = [], []
+        for w in pieces:
+            tail = w[-1] if w[-1] in ".," else ""
+            body = w[:-1] if tail else w
+            # letters that are their own normal form and have one pre-token
+            (simple if body.isalpha() and max(body) < "İ" else other).append((w, body, tail))
+        known = self._memo
+        bodies = sorted({b for _, b, _ in simple}.difference(known))
+        of_body = dict(zip(bodies, self._letters(bodies))) if bodies else {}
+        out = {w: (of_body.get(b) or known[b]) + tails[t] for w, b, t in simple}
+        whole = [w for w, _, _ in other]
+        return out | of_body | dict(zip(whole, self._coded(whole)))
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of every text in turn; null counts as empty."""
+        held: list[list[str]] = []
+        size = 0
         for text in texts:
-            pieces = (text or "").replace("\n", " ").split(" ")
-            new = set(pieces).difference(self._memo)
-            extra: dict[str, bytes] = {}
-            if new:
-                learnt = self._learn(sorted(new))
-                if len(self._memo) > MEMO_WORDS:
-                    self._memo = {"": b""}
-                    extra = self._learn(sorted(set(pieces)))
-                else:
-                    extra = {w: b for w, b in learnt.items() if len(w) > MEMO_LENGTH}
-                self._memo.update((w, b) for w, b in {**learnt, **extra}.items() if len(w) <= MEMO_LENGTH)
-            if extra:
-                yield b"".join([extra[w] if w in extra else self._memo[w] for w in pieces])
-            else:
-                yield b"".join(map(self._memo.__getitem__, pieces))
+            held.append((text or "").replace("\n", " ").split(" "))
+            size += len(text or "")
+            if size >= CHUNK_CHARS:
+                yield from self._chunk(held)
+                held, size = [], 0
+        yield from self._chunk(held)
+
+    def _chunk(self, held: list[list[str]]) -> Iterator[bytes]:
+        if len(self._memo) > MEMO_WORDS:
+            self._memo = {"": b""}
+        seen: set[str] = set()
+        for pieces in held:
+            seen.update(pieces)
+        new = seen.difference(self._memo)
+        if new:
+            self._memo.update(self._learn(new))
+        for pieces in held:
+            yield b"".join(map(self._memo.__getitem__, pieces))
+        for w in [w for w in new if len(w) > MEMO_LENGTH]:
+            del self._memo[w]
 
 
 _encoders: dict[str, Encoder] = {}
