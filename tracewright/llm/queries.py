@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import exact_dedup, line_quality, packing, token_file
+from tracewright.llm import exact_dedup, line_quality, packing, simhash, token_file
 from tracewright.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -27,13 +27,17 @@ def op6_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY, END_ID)
 
 
+def op8_ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, END_ID)
 
 
 QUERIES = {"op1_line_frequency": op1_line_frequency, "op4_digest_runs": op4_digest_runs,
            "op6_vector_best_fit": op6_vector_best_fit,
-           "op10_token_files": op10_token_files}
+           "op8_ball_hashing": op8_ball_hashing, "op10_token_files": op10_token_files}
 ORACLE = {
     "op1_line_frequency": r"""
 with d as (select doc_id, source, coalesce(text, '') as text from documents),
