@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import exact_dedup, line_quality, packing, simhash, token_file
+from tracewright.llm import exact_dedup, line_quality, packing, raking, simhash, token_file
 from tracewright.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -20,6 +20,10 @@ def op4_digest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op5_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raking.mixture(table(spark, sf_dir, "documents"))
+
+
 def op6_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens. A sequence of 4096 tokens holds at most
     4096 documents and an attention cost of 4096 squared, so these limits never
@@ -36,7 +40,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_line_frequency": op1_line_frequency, "op4_digest_runs": op4_digest_runs,
-           "op6_vector_best_fit": op6_vector_best_fit,
+           "op5_raked_mixture": op5_raked_mixture, "op6_vector_best_fit": op6_vector_best_fit,
            "op8_ball_hashing": op8_ball_hashing, "op10_token_files": op10_token_files}
 ORACLE = {
     "op1_line_frequency": r"""
