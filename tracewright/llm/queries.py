@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import exact_dedup, line_quality, packing, raking, simhash, token_file
+from tracewright.llm import exact_dedup, line_quality, packing, raking, role_repair, simhash, token_file
 from tracewright.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,10 @@ def op6_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY, END_ID)
 
 
+def op7_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return role_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def op8_ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_line_frequency": op1_line_frequency, "op4_digest_runs": op4_digest_runs,
            "op5_raked_mixture": op5_raked_mixture, "op6_vector_best_fit": op6_vector_best_fit,
-           "op8_ball_hashing": op8_ball_hashing, "op10_token_files": op10_token_files}
+           "op7_role_repair": op7_role_repair, "op8_ball_hashing": op8_ball_hashing, "op10_token_files": op10_token_files}
 ORACLE = {
     "op1_line_frequency": r"""
 with d as (select doc_id, source, coalesce(text, '') as text from documents),
