@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewright.llm import exact_dedup, line_quality, ordinal, packing, raking, role_repair, simhash, token_file
+from tracewright.llm import exact_dedup, licenses, line_quality, ordinal, packing, raking, role_repair, simhash, token_file
 from tracewright.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -43,6 +43,12 @@ def op8_ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents have no paths: they are placed in a tree by source and id, and one with a
+    licence statement in its first three lines stands for the licence file of its folder."""
+    return licenses.scan_files(licenses.document_paths(table(spark, sf_dir, "documents")), F.col("line") < 3)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, END_ID)
 
@@ -50,7 +56,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_line_frequency": op1_line_frequency, "op3_ordinal_severity": op3_ordinal_severity,
            "op4_digest_runs": op4_digest_runs,
            "op5_raked_mixture": op5_raked_mixture, "op6_vector_best_fit": op6_vector_best_fit,
-           "op7_role_repair": op7_role_repair, "op8_ball_hashing": op8_ball_hashing, "op10_token_files": op10_token_files}
+           "op7_role_repair": op7_role_repair, "op8_ball_hashing": op8_ball_hashing, "op9_licence_scan": op9_licence_scan,
+           "op10_token_files": op10_token_files}
 ORACLE = {
     "op1_line_frequency": r"""
 with d as (select doc_id, source, coalesce(text, '') as text from documents),
