@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SPACE = r"\x20\x09-\x0D"
@@ -24,11 +22,6 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def held_out(doc_id: int | None) -> bool:
-    """Every seventh document by the checksum of its id; a null id is held out."""
-    return doc_id is None or zlib.crc32(str(doc_id).encode()) % 7 == 2
-
-
 def unit_hash(column: Column, seed: int) -> Column:
     """Uniform number in [0, 1) that depends on the value and the seed only."""
     return F.shiftrightunsigned(F.xxhash64(column, F.lit(seed)), 11) / F.lit(float(2 ** 53))

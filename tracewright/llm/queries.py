@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewright.llm import exact_dedup, licenses, line_quality, ordinal, packing, raking, role_repair, simhash, token_file
+from tracewright.llm import exact_dedup, licenses, line_quality, lm, ordinal, packing, raking, role_repair, simhash, token_file
 from tracewright.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -16,6 +16,10 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.train_and_score(table(spark, sf_dir, "documents"))
+
+
 def op3_ordinal_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +57,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, END_ID)
 
 
-QUERIES = {"op1_line_frequency": op1_line_frequency, "op3_ordinal_severity": op3_ordinal_severity,
+QUERIES = {"op1_line_frequency": op1_line_frequency, "op2_trie_scores": op2_trie_scores,
+           "op3_ordinal_severity": op3_ordinal_severity,
            "op4_digest_runs": op4_digest_runs,
            "op5_raked_mixture": op5_raked_mixture, "op6_vector_best_fit": op6_vector_best_fit,
            "op7_role_repair": op7_role_repair, "op8_ball_hashing": op8_ball_hashing, "op9_licence_scan": op9_licence_scan,
