@@ -1,14 +1,39 @@
-"""Mixing sources to target weights by iterative proportional fitting."""
+"""Mixing sources to target weights by iterative proportional fitting.
+
+The token weights of the cells (source, language, topic) are scaled to one marginal after the
+other until all three fit. There may be any number of sources, but few languages and topics:
+one row per source holds its cells, so the step along the sources needs no shuffle, and a
+sweep is one job that sums the scaled weights per (language, topic). Only these sums, whose number
+is bounded and checked, come to the driver.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracewright.llm.common import WORD, text_or_empty, unit_hash
 from tracewright.plans.tables import materialize
 
-TOLERANCE = 1e-4
-SWEEPS = 50
+NARROW_CELLS = 100_000
+
+
+@dataclass(frozen=True)
+class Mix:
+    """Target shares of a marginal are its current shares to the given power (1 leaves it as it is), or
+    those given in ``shares`` ({"lang": {"=en": 0.5, ...}}; values are written with a leading "=", null is
+    "null"). ``tolerance`` is the largest relative error of a marginal at the end."""
+    source: float = 0.8
+    lang: float = 0.9
+    topic: float = 0.95
+    shares: dict[str, dict[str, float]] = field(default_factory=dict)
+    tolerance: float = 1e-4
+    sweeps: int = 50
+    seed: int = 7
 
 
 def word_count(name: str = "text") -> Column:
@@ -27,95 +52,128 @@ def topic_of(text: Column, n_words: Column) -> Column:
             .when(n_words >= 1000, "long").otherwise("prose"))
 
 
-def cells(rows: DataFrame, dims: list[str], weight: str) -> DataFrame:
-    """Weight of every combination of the dimensions. Null is a value of its own: dimensions
-    are turned into text with a leading sign, so it cannot clash with a name."""
-    keys = [F.coalesce(F.concat(F.lit("="), F.col(d).cast("string")), F.lit("null")).alias(d) for d in dims]
-    return rows.groupBy(*keys).agg(F.sum(weight).cast("double").alias("weight")).filter(F.col("weight") > 0)
-
-
-def tempered_targets(table: DataFrame, dims: list[str], power: dict[str, float]) -> DataFrame:
-    """dim, value, target: shares of the weight to the given power, normalised per dimension."""
-    parts = []
-    for d in dims:
-        own = table.groupBy(F.col(d).alias("value")).agg(F.pow(F.sum("weight"), F.lit(power[d])).alias("t"))
-        total = own.agg(F.sum("t").alias("all"))
-        parts.append(own.crossJoin(F.broadcast(total))             # one row
-                     .select(F.lit(d).alias("dim"), "value", (F.col("t") / F.col("all")).alias("target")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def rake(table: DataFrame, targets: DataFrame, dims: list[str], tolerance: float = TOLERANCE,
-         sweeps: int = SWEEPS) -> DataFrame:
-    """Cells (dims, weight) with ``fitted``: weights whose share along every dimension is the
-    target (dim, value, target).
-
-    In each sweep the cells are scaled to one marginal after the other, by the ratio of target and
-    current share; the sums are aggregated before they are shuffled and the cell table is written
-    after every sweep. It ends when every ratio is within ``tolerance`` of 1, or after ``sweeps``
-    (targets that contradict each other). Values without a target get none of the weight; targets of values
-    that do not occur are shared out among the others.
+def value_key(name: str) -> Column:
+    """A value as text with a leading sign, so that null ("null") is a value of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("null"))
+
+
+def goals(weights: dict[str, float], power: float, given: dict[str, float] | None) -> dict[str, float]:
+    """Target shares of the values that occur; given shares of others are shared out."""
+    raw = {v: (given.get(v, 0.0) if given is not None else w ** power) for v, w in weights.items()}
+    total = sum(raw.values()) or 1.0
+    return {v: x / total for v, x in raw.items()}
+
+
+def cell_factors(cells: DataFrame, rule: Mix = Mix()) -> tuple[DataFrame, float]:
+    """source, lang, topic (as keys) and factor (fitted over current weight) of every cell, and the largest
+    factor. ``cells``: source, lang, topic, weight > 0, one row per cell, a stored table.
+
+    The sweeps end when the marginals fit within the tolerance, or after ``sweeps`` if the targets
+    contradict each other. A value with target 0 gets factor 0.
     """
-    total = table.agg(F.sum("weight")).first()[0] or 0.0
-    goals = {}
-    for d in dims:
-        present = table.select(F.col(d).alias("value")).distinct()
-        goal = targets.filter(F.col("dim") == d).join(present, "value", "left_semi").select("value", "target")
-        mass = goal.agg(F.sum("target")).first()[0] or 1.0
-        goals[d] = goal.select(F.col("value").alias("_value"), (F.col("target") * (total / mass)).alias("_goal"))
-    now = materialize(table.withColumn("fitted", F.col("weight")), "cells")
-    for _ in range(sweeps):
-        step = now.withColumn("_off", F.lit(0.0))
-        for d in dims:
-            ratio = (step.groupBy(F.col(d).alias("_key")).agg(F.sum("fitted").alias("_sum"))
-                     .join(goals[d], F.col("_key") == F.col("_value"), "left")
-                     .select("_key", F.when(F.col("_sum") > 0, F.coalesce("_goal", F.lit(0.0)) / F.col("_sum"))
-                             .otherwise(0.0).alias("_ratio")))
-            # a value without a target is at 0 after the first sweep and no longer counts as off
-            off = F.when(F.col("fitted") > 0, F.abs(F.col("_ratio") - 1.0)).otherwise(0.0)
-            step = (step.join(ratio, F.col(d) == F.col("_key"))
-                    .withColumn("_off", F.greatest("_off", off))
-                    .withColumn("fitted", F.col("fitted") * F.col("_ratio")).drop("_key", "_ratio"))
-        stored = materialize(step, "cells")
-        worst = stored.agg(F.max("_off")).first()[0]
-        now = stored.drop("_off")
-        if worst is None or worst < tolerance:
+    sums = cells.groupBy("lang", "topic").agg(F.sum("weight").alias("weight")).limit(NARROW_CELLS + 1).collect()
+    if len(sums) > NARROW_CELLS:
+        raise ValueError(f"more than {NARROW_CELLS} pairs of language and topic")
+    sums.sort(key=lambda r: (r["lang"], r["topic"]))
+    width = len(sums)
+    place = {(r["lang"], r["topic"]): j for j, r in enumerate(sums)}
+    weight = np.array([r["weight"] for r in sums], float)
+    total = float(weight.sum())
+    axes = []                                   # per narrow marginal: index of every pair, target weights
+    for name, power in (("lang", rule.lang), ("topic", rule.topic)):
+        of = [r[name] for r in sums]
+        names = sorted(set(of))
+        now = {v: float(weight[[x == v for x in of]].sum()) for v in names}
+        target = goals(now, power, rule.shares.get(name))
+        axes.append((np.array([names.index(x) for x in of], int), np.array([target[v] * total for v in names])))
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"source": b["source"], "total": [sum(c["weight"] for c in x) for x in b["cells"]],
+                                "pair": [[place[c["lang"], c["topic"]] for c in x] for x in b["cells"]],
+                                "weight": [[c["weight"] for c in x] for x in b["cells"]]})
+
+    wide = materialize(cells.groupBy("source").agg(F.collect_list(F.struct("lang", "topic", "weight")).alias("cells"))
+                       .mapInPandas(rows, "source string, total double, pair array<int>, weight array<double>"), "sources")
+    given = rule.shares.get("source")
+    if given is not None:
+        share = F.element_at(F.create_map(*[F.lit(x) for kv in given.items() for x in kv]), F.col("source"))
+        raw = F.coalesce(share, F.lit(0.0))
+    else:
+        raw = F.pow("total", F.lit(rule.source))
+    mass = wide.agg(F.sum(raw)).first()[0] or 1.0
+    wide = wide.withColumn("goal", raw * F.lit(total / mass))
+
+    def scaled(batch: pd.DataFrame, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row and pair of every cell of a batch, its weight, and its factor after the step along the sources."""
+        size = batch["pair"].map(len).to_numpy()
+        row = np.repeat(np.arange(len(batch)), size)
+        pair = np.concatenate([*batch["pair"], np.zeros(0, int)]).astype(int)
+        own = np.concatenate([*batch["weight"], np.zeros(0)])
+        part = np.bincount(row, own * factor[pair], len(batch))
+        ratio = np.divide(batch["goal"].to_numpy(float), part, out=np.zeros(len(batch)), where=part > 0)
+        return row, pair, own, ratio[row] * factor[pair]
+
+    def sweep(factor: np.ndarray):
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = np.zeros(width)
+            for batch in batches:
+                _, pair, own, f = scaled(batch, factor)
+                out += np.bincount(pair, own * f, width)
+            yield pd.DataFrame({"pair": np.arange(width), "weight": out})
+        return work
+
+    factor = np.ones(width)
+    for _ in range(rule.sweeps if width else 0):
+        found = (wide.select("goal", "pair", "weight").mapInPandas(sweep(factor), "pair int, weight double")
+                 .groupBy("pair").agg(F.sum("weight").alias("weight")).collect())             # one row per pair
+        now = np.zeros(width)
+        for r in found:
+            now[r["pair"]] = r["weight"]
+        worst = 0.0
+        for index, target in axes:
+            have = np.bincount(index, now, len(target))
+            ratio = np.divide(target, have, out=np.zeros(len(target)), where=have > 0)
+            worst = max(worst, float(np.abs(have - target).max() / total))
+            factor, now = factor * ratio[index], now * ratio[index]
+        if worst < rule.tolerance:
             break
-    return now
 
+    names = [(r["lang"], r["topic"]) for r in sums]
 
-def mix(docs: DataFrame, dims: list[str], power: dict[str, float], targets: DataFrame | None = None,
-        weight: str = "n_tokens", seed: int = 7) -> DataFrame:
-    """``docs`` with cell weights: factor (fitted over current weight of its cell), probability and
-    selected.
+    def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            row, pair, _, f = scaled(batch, factor)
+            yield pd.DataFrame({"source": batch["source"].to_numpy()[row], "lang": [names[p][0] for p in pair],
+                                "topic": [names[p][1] for p in pair], "factor": f})
 
-    ``targets`` (dim, value with its leading "=", target) may be given; else the marginals are the current
-    shares to the power in ``power``. The probability is the factor over the largest factor, so the
-    expected weights of the sample have the target shares and no document is taken twice. Selection depends on
-    doc_id and ``seed`` only, so repeated rows go together; a document without weight is never selected, nor is
-    one whose cell has target zero. A null id has one fixed draw.
-    """
-    table = materialize(cells(docs, dims, weight), "raw-cells")
-    fitted = rake(table, tempered_targets(table, dims, power) if targets is None else targets, dims)
-    factor = fitted.select(*[F.col(d).alias(f"_{d}") for d in dims], (F.col("fitted") / F.col("weight")).alias("factor"))
-    most = fitted.agg(F.max(F.col("fitted") / F.col("weight"))).first()[0] or 1.0
-    on = None
-    for d in dims:
-        same = F.coalesce(F.concat(F.lit("="), F.col(d).cast("string")), F.lit("null")) == F.col(f"_{d}")
-        on = same if on is None else on & same
-    out = docs.join(factor, on, "left").drop(*[f"_{d}" for d in dims])
-    has = F.col(weight) > 0
-    p = F.when(has, F.coalesce(F.col("factor"), F.lit(0.0)) / F.lit(float(most))).otherwise(0.0)
-    out = out.withColumn("factor", F.coalesce("factor", F.lit(0.0))).withColumn("probability", p)
-    draw = unit_hash(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), seed)
-    return out.withColumn("selected", draw < F.col("probability"))
+    table = materialize(wide.mapInPandas(final, "source string, lang string, topic string, factor double"), "factors")
+    return table, float(table.agg(F.max("factor")).first()[0] or 1.0)
 
 
 DIMS = ["source", "lang", "topic"]
-POWER = {"source": 0.8, "lang": 0.9, "topic": 0.95}
+
+
+def mix(docs: DataFrame, rule: Mix = Mix()) -> DataFrame:
+    """``docs`` (doc_id, source, lang, topic, n_tokens, ...) with factor, probability and selected.
+
+    The probability is the factor of the cell over the largest factor, so the expected weights of the sample
+    have the target shares and no document is taken twice. Selection depends on doc_id and the seed
+    only, so repeated rows go together. A document without tokens is never selected; null ids share one draw.
+    """
+    keys = [value_key(d).alias(d) for d in DIMS]
+    cells = materialize(docs.groupBy(*keys).agg(F.sum("n_tokens").cast("double").alias("weight"))
+                        .filter(F.col("weight") > 0), "cells")
+    factors, most = cell_factors(cells, rule)
+    on = None
+    for d in DIMS:
+        same = value_key(d) == F.col(f"_{d}")
+        on = same if on is None else on & same
+    out = docs.join(factors.select(*[F.col(d).alias(f"_{d}") for d in DIMS], "factor"), on, "left")
+    out = out.drop(*[f"_{d}" for d in DIMS]).withColumn("factor", F.coalesce("factor", F.lit(0.0)))
+    p = F.when(F.col("n_tokens") > 0, F.col("factor") / F.lit(most)).otherwise(0.0)
+    draw = unit_hash(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), rule.seed)
+    return out.withColumn("probability", p).withColumn("selected", draw < F.col("probability"))
 
 
 def documents_with_topic(docs: DataFrame) -> DataFrame:
@@ -124,16 +182,16 @@ def documents_with_topic(docs: DataFrame) -> DataFrame:
     return n.select("doc_id", "source", "lang", topic_of(F.col("text"), F.col("n_tokens")).alias("topic"), "n_tokens")
 
 
-def mixture(docs: DataFrame, power: dict[str, float] = POWER) -> DataFrame:
+def mixture(docs: DataFrame, rule: Mix = Mix()) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, factor, probability, selected of every document. An empty
     table gives an empty result; other columns are ignored."""
-    return mix(materialize(documents_with_topic(docs), "weights"), DIMS, power)
+    return mix(materialize(documents_with_topic(docs), "weights"), rule)
 
 
-def keep_sample(docs: DataFrame, power: dict[str, float] = POWER) -> DataFrame:
+def keep_sample(docs: DataFrame, rule: Mix = Mix()) -> DataFrame:
     """The selected documents with their columns. A row's fate follows from its id and its own cell."""
     rows = docs.select(F.struct("*").alias("_row"))
     keyed = rows.select("_row", *[F.col(f"_row.{c}").alias(c) for c in ("doc_id", "source", "lang")],
                         word_count("_row.text").alias("n_tokens"))
     keyed = keyed.withColumn("topic", topic_of(text_or_empty("_row.text"), F.col("n_tokens")))
-    return mix(keyed, DIMS, power).filter("selected").select("_row.*")
+    return mix(keyed, rule).filter("selected").select("_row.*")
