@@ -92,7 +92,8 @@ def ball_links(values: DataFrame, bits: int = 64, radius: int = 2, keys: tuple[s
     if radius % 2:
         pairs = met.select(*keys, F.explode("fps").alias("a"), "fps").select(*keys, "a", F.explode("fps").alias("b"))
     else:
-        pairs = met.select(*keys, F.element_at("fps", 1).alias("a"), F.explode("fps").alias("b"))
+        rest = F.slice("fps", F.lit(2), F.size("fps"))
+        pairs = met.select(*keys, F.element_at("fps", 1).alias("a"), F.explode(rest).alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     return pairs.filter((F.col("a") < F.col("b")) & near).distinct()
 
