@@ -25,3 +25,10 @@ def text_or_empty(name: str = "text") -> Column:
 def unit_hash(column: Column, seed: int) -> Column:
     """Uniform number in [0, 1) that depends on the value and the seed only."""
     return F.shiftrightunsigned(F.xxhash64(column, F.lit(seed)), 11) / F.lit(float(2 ** 53))
+
+
+def few_files(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """Narrow rows in at most ``per_core`` partitions a core, so that they are not written as one
+    tiny file for each shuffle partition. Partitions are read one after the other by
+    a task, so its memory does not grow."""
+    return df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracewright.llm.common import SPACE, WORD, text_or_empty
+from tracewright.llm.common import SPACE, WORD, few_files, text_or_empty
 from tracewright.plans.tables import materialize
 
 _HAS_WORD = f"[^{SPACE}]"
@@ -140,7 +140,7 @@ def removed_lines(lines: DataFrame, limits: LineLimits = LineLimits()) -> DataFr
 
 def _with_lost(rows: DataFrame, docs: DataFrame, limits: LineLimits) -> DataFrame:
     """``rows`` (doc_id, host, text_hash, ...) with removed and removed_words (0 if nothing is removed)."""
-    lines = materialize(document_lines(docs), "lines")
+    lines = materialize(few_files(document_lines(docs)), "lines")
     lost = removed_lines(lines, limits).select(
         *[F.col(c).alias(f"_{c}") for c in ("doc_id", "host", "text_hash")], "removed", "removed_words")
     same = F.col("text_hash") == F.col("_text_hash")
@@ -163,7 +163,7 @@ def judge(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     empty result; columns besides doc_id, source and text are ignored.
     """
     rows = _with_lost(measure(docs, limits), docs, limits)
-    return rows.select("doc_id", *MEASURES, "base_failed", "removed_words", _kept(limits).alias("kept"))
+    return few_files(rows.select("doc_id", *MEASURES, "base_failed", "removed_words", _kept(limits).alias("kept")))
 
 
 def keep_good(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
