@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracewright.llm.common import WORD, text_or_empty, unit_hash
+from tracewright.llm.common import SPACE, WORD, few_files, text_or_empty, unit_hash
 from tracewright.plans.tables import materialize
 
 NARROW_CELLS = 100_000
@@ -37,18 +37,20 @@ class Mix:
 
 
 def word_count(name: str = "text") -> Column:
-    return F.regexp_count(text_or_empty(name), F.lit(WORD)).cast("long")
+    """Number of words, without an array of them: each word becomes one sign, then blanks go."""
+    signs = F.regexp_replace(text_or_empty(name), WORD, "x")
+    return F.length(F.regexp_replace(signs, f"[{SPACE}]+", "")).cast("long")
 
 
 def topic_of(text: Column, n_words: Column) -> Column:
     """A plain topic for tables without one: the form of the text, from its signs and length."""
     size = F.greatest(F.length(text), F.lit(1))
 
-    def share(pattern: str) -> Column:
-        return F.regexp_count(text, F.lit(pattern)) / size
+    def share(others: str) -> Column:
+        return F.length(F.regexp_replace(text, others, "")) / size
 
-    return (F.when(share(r"\|") > 0.03, "table").when(share("[#*$%&]") > 0.05, "markup")
-            .when(share("[A-Z]") > 0.4, "capitals").when(n_words < 60, "short")
+    return (F.when(share(r"[^|]+") > 0.03, "table").when(share("[^#*$%&]+") > 0.05, "markup")
+            .when(share("[^A-Z]+") > 0.4, "capitals").when(n_words < 60, "short")
             .when(n_words >= 1000, "long").otherwise("prose"))
 
 
@@ -185,7 +187,7 @@ def documents_with_topic(docs: DataFrame) -> DataFrame:
 def mixture(docs: DataFrame, rule: Mix = Mix()) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, factor, probability, selected of every document. An empty
     table gives an empty result; other columns are ignored."""
-    return mix(materialize(documents_with_topic(docs), "weights"), rule)
+    return few_files(mix(materialize(few_files(documents_with_topic(docs)), "weights"), rule))
 
 
 def keep_sample(docs: DataFrame, rule: Mix = Mix()) -> DataFrame:
