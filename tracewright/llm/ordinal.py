@@ -74,8 +74,8 @@ def sample(docs: DataFrame, labels: DataFrame, rule: FitRule = FitRule()) -> Dat
             yield pd.DataFrame({"doc_id": b["doc_id"], "features": [features(t).view(np.int64) for t in b["text"]],
                                 "toxic": b["toxic"]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    joined = rows.join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    joined = rows.join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic").dropDuplicates(["doc_id"])
     return joined.mapInPandas(work, "doc_id long, features array<long>, toxic int")
 
 
@@ -152,11 +152,22 @@ def _solve(col: np.ndarray, row: np.ndarray, n: int, width: int, target: np.ndar
 
 
 def train(docs: DataFrame, labels: DataFrame, rule: FitRule = FitRule()) -> Model:
-    """Fit on the sample; at most ``rule.rows`` feature lists reach the driver."""
-    got = sample(docs, labels, rule).toPandas().sort_values("doc_id", kind="stable")
-    rows = [np.array(r, np.int64).view(np.uint64) for r in got["features"]]
-    toxic = got["toxic"].to_numpy(int) > 0
-    return fit(rows, grade_labels(rows, toxic, rule), rule)
+    """Fit on the sample, in one task: it holds at most ``rule.rows`` lists of features. Only the
+    words with a weight come to the driver."""
+    def work(_: tuple, got: pd.DataFrame) -> pd.DataFrame:
+        got = got.sort_values("doc_id", kind="stable")
+        rows = [np.asarray(r, np.int64).view(np.uint64) for r in got["features"]]
+        toxic = got["toxic"].to_numpy(int) > 0
+        model = fit(rows, grade_labels(rows, toxic, rule), rule)
+        return pd.DataFrame({"keys": [model.keys.view(np.int64)], "weights": [model.weights],
+                             "thresholds": [model.thresholds]})
+
+    found = sample(docs, labels, rule).groupBy(F.lit(1)).applyInPandas(
+        work, "keys array<long>, weights array<double>, thresholds array<double>").collect()
+    if not found:
+        return fit([], np.zeros(0, int), rule)
+    return Model(np.array(found[0]["keys"], np.int64).view(np.uint64), np.array(found[0]["weights"], float),
+                 np.array(found[0]["thresholds"], float))
 
 
 def score(docs: DataFrame, model: Model, flag: float = FitRule.flag) -> DataFrame:
