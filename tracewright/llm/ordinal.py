@@ -34,7 +34,7 @@ class FitRule:
     steps: int = 150
     lift: float = 4.0
     seed: int = 11
-    flag: float = 0.3
+    flag: float = 0.4
 
 
 @dataclass(frozen=True)
@@ -154,7 +154,7 @@ def _solve(col: np.ndarray, row: np.ndarray, n: int, width: int, target: np.ndar
 def train(docs: DataFrame, labels: DataFrame, rule: FitRule = FitRule()) -> Model:
     """Fit on the sample, in one task: it holds at most ``rule.rows`` lists of features. Only the
     words with a weight come to the driver."""
-    def work(_: tuple, got: pd.DataFrame) -> pd.DataFrame:
+    def work(got: pd.DataFrame) -> pd.DataFrame:
         got = got.sort_values("doc_id", kind="stable")
         rows = [np.asarray(r, np.int64).view(np.uint64) for r in got["features"]]
         toxic = got["toxic"].to_numpy(int) > 0
@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, rule: FitRule = FitRule()) -> Mode
         return pd.DataFrame({"keys": [model.keys.view(np.int64)], "weights": [model.weights],
                              "thresholds": [model.thresholds]})
 
-    found = sample(docs, labels, rule).groupBy(F.lit(1)).applyInPandas(
+    found = sample(docs, labels, rule).groupBy().applyInPandas(
         work, "keys array<long>, weights array<double>, thresholds array<double>").collect()
     if not found:
         return fit([], np.zeros(0, int), rule)
