@@ -146,7 +146,7 @@ def own_licences(files: DataFrame, scan: Scan = Scan()) -> DataFrame:
 
 def folder_of(path: Column) -> Column:
     """Path without its last part; an empty text for the top."""
-    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
+    return F.when(path.isNotNull(), F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(""))
 
 
 def ancestors(path: Column) -> Column:

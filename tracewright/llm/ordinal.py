@@ -101,8 +101,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rule: FitRule = FitRule()) -
     n = len(rows)
     keys, counts = np.unique(np.concatenate([*rows, np.zeros(0, np.uint64)]), return_counts=True)
     keys = keys[counts >= rule.min_docs]
-    share = [max(float((grades >= k).mean()) if n else 0.0, 0.5 / (n + 1)) for k in range(1, GRADES)]
-    thresholds = np.maximum.accumulate(-np.log(np.array(share) / (1 - np.minimum(share, 1 - 0.5 / (n + 1)))))
+    least = 0.5 / (n + 10)                       # so that without labels nothing is flagged
+    share = np.clip([float((grades >= k).mean()) if n else 0.0 for k in range(1, GRADES)], least, 1 - least)
+    thresholds = np.maximum.accumulate(-np.log(share / (1 - share)))
     if not n or not len(keys) or len(set(grades.tolist())) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros(0), thresholds)
     columns, row_of = [], []

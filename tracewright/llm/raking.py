@@ -26,13 +26,15 @@ NARROW_CELLS = 100_000
 class Mix:
     """Target shares of a marginal are its current shares to the given power (1 leaves it as it is), or
     those given in ``shares`` ({"lang": {"=en": 0.5, ...}}; values are written with a leading "=", null is
-    "null"). ``tolerance`` is the largest relative error of a marginal at the end."""
+    "null"). ``tolerance`` is the largest error of a marginal at the end, as a share of all weights; factors
+    above ``trim`` are cut to it, so that a rare cell does not make all others rare."""
     source: float = 0.8
     lang: float = 0.9
     topic: float = 0.95
     shares: dict[str, dict[str, float]] = field(default_factory=dict)
     tolerance: float = 1e-4
     sweeps: int = 50
+    trim: float = 10.0
     seed: int = 7
 
 
@@ -147,7 +149,7 @@ def cell_factors(cells: DataFrame, rule: Mix = Mix()) -> tuple[DataFrame, float]
         for batch in batches:
             row, pair, _, f = scaled(batch, factor)
             yield pd.DataFrame({"source": batch["source"].to_numpy()[row], "lang": [names[p][0] for p in pair],
-                                "topic": [names[p][1] for p in pair], "factor": f})
+                                "topic": [names[p][1] for p in pair], "factor": np.minimum(f, rule.trim)})
 
     table = materialize(wide.mapInPandas(final, "source string, lang string, topic string, factor double"), "factors")
     return table, float(table.agg(F.max("factor")).first()[0] or 1.0)
