@@ -75,7 +75,13 @@ def test_reference_and_interpolation(spark):
         total = sum(ref[r, f"C{c}"] for c in range(4))
         assert np.allclose(total, 0, atol=1e-12)
         assert np.allclose(ref[r, "C2"], got[r, "C2"] - sum(got[r, f"C{c}"] for c in range(4)) / 4)
-    assert G.without_weights(spark.createDataFrame([(0, "C2")], bad.schema), weights).first().reason == "no weights for C2"
+    reasons = lambda rows, present=None: [(r.recording_id, r.reason) for r in G.without_weights(
+        spark.createDataFrame(rows, bad.schema), weights, present=present).collect()]
+    assert reasons([(0, "C2")]) == [(0, "no weights for C2")]
+    half = weights.filter("bad_channel <> 'C3'")            # one of two bad channels has weights
+    assert [r.reason for r in G.without_weights(bad.filter("recording_id = 0"), half).collect()] == ["no weights for C1,C3"]
+    channels = chunks.select("recording_id", "channel").filter("channel <> 'C2' OR recording_id = 0").distinct()
+    assert reasons([(0, "C1"), (0, "C3"), (1, "C0")], channels) == [(1, "no source C2")]
 
 
 def hazen(v, q):
@@ -114,8 +120,10 @@ def test_correlation_and_prediction(spark):
             low.append(hazen(r[c], 0.98) < 0.4)
         assert share[f"C{c}"] == pytest.approx(np.mean(low))
     w = [(d, f"C{c}", f"C{k}", float(rng.normal())) for d in range(5) for c in range(5) for k in range(5) if c != k]
-    weights = spark.createDataFrame(w, "sample_id int, channel string, src_channel string, w double")
+    weights = G.PredictionWeights.of(w)
     share = {r.channel: r.low_share for r in G.prediction_share(chunks, 16, 24, weights, limit=0.5).collect()}
+    few = G.PredictionWeights.of(x for x in w if "C4" not in x[1:3])         # a channel without weights gets no score
+    assert {r.channel: r.low_share for r in G.prediction_share(chunks, 16, 24, few, limit=0.5).collect()}["C4"] == 0.0
     at = {(d, c, k): v for d, c, k, v in w}
     for c in range(5):
         low = []
@@ -145,5 +153,8 @@ def test_channel_sets_and_subsets(spark):
     got = CH.resolve_channels(df).orderBy("recording_id", "ch_ord").collect()
     assert [(r.recording_id, r.channel) for r in got] == [(0, "Fp1"), (0, "T7"), (2, "P8"), (2, "O2")]
     assert [r.recording_id for r in CH.without_channels(df).collect()] == [1]
+    twice = spark.createDataFrame([*rows, (0, "T7"), (2, "O2 "), (3, "X"), (3, "EEG X")], "recording_id bigint, channel string")
+    assert sorted((r.recording_id, r.reason) for r in CH.duplicate_channels(twice).collect()) == [
+        (0, "channel given twice: T7"), (2, "channel given twice: O2")]
     draws = CH.ransac_subsets(spark, draws=6).groupBy("sample_id").agg(F.count_distinct("src_channel").alias("n")).collect()
     assert len(draws) == 6 and {r.n for r in draws} == {5}

@@ -159,6 +159,27 @@ def test_event_features(spark, crops):
         assert np.allclose([g[n] for n in C.FEATURES], feats, rtol=1e-6, atol=1e-14)
 
 
+def test_recordings_that_cannot_be_cleaned_are_rejected(spark):
+    x = signals()
+    report = spark.createDataFrame([(1, "ransac", "T3")], "recording_id bigint, category string, channel string")
+    columns = "bad_set string, bad_channel string, src_channel string, w double"
+    for weights, reason in (([], "no weights for T3"), ([("T3", "T3", "Cz", 1.0)], "no source Cz")):
+        made = P.clean_recordings(chunk_rows(spark, x, 50), RATES, report, spark.createDataFrame(weights, columns))
+        assert [(r.recording_id, r.reason) for r in made.rejected.collect()] == [(1, reason)]
+        assert {r.recording_id for r in made.chunks.select("recording_id").distinct().collect()} == {0}
+    doubled = x | {(0, "Fp1 "): x[0, "EEG Fp1"]}
+    made = P.clean_recordings(chunk_rows(spark, doubled, 50), RATES, report, spark.createDataFrame([("T3", "T3", "Pz", 1.0)], columns))
+    assert [(r.recording_id, r.reason) for r in made.rejected.collect()] == [(0, "channel given twice: Fp1")]
+    doubled = x | {(0, "T7"): x[0, "EEG T3"]}
+    a, _ = annotations(spark)
+    crops = P.clean_crops(chunk_rows(spark, doubled, 50), RATES, S.build_segments(a), spark.createDataFrame([], columns),
+                          limits=P.Detection(deviation=1e9, correlation=0.0))
+    assert {(r.recording_id, r.reason) for r in crops.rejected.collect()} == {(0, "channel given twice: T7")}
+    assert {r.recording_id for r in crops.chunks.select("recording_id").distinct().collect()} == {1}
+    assert "Join" not in P.clean_crops(chunk_rows(spark, x, 50), RATES, S.build_segments(a), spark.createDataFrame([], columns)
+                                       ).spans._jdf.queryExecution().executedPlan().toString()
+
+
 def test_crop_without_weights_is_rejected(spark):
     x = signals((1, "EEG T3"))
     a, _ = annotations(spark)

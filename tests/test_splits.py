@@ -94,6 +94,18 @@ def test_seeds(spark):
     assert table["P9"].test_neg == 22 and table["P9"].seed_pos == 3
 
 
+def test_seeds_with_row_numbers_that_restart(spark):
+    rows = [(p, f"{p}_{f}", i, int((i + f) % 3 == 0)) for p in ("P1", "P2") for f in range(3) for i in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    seeds = S.seed_rows(df)
+    picked = [(r.patient_id, r.source, r.row_idx) for r in seeds.collect()]
+    assert len(set(picked)) == 20
+    assert {(s[-1], i) for p, s, i in picked if p == "P1"} != {(s[-1], i) for p, s, i in picked if p == "P2"}
+    _, test = S.seeded_split(df, seeds, "P1")
+    table = {r.fold: r for r in S.seeded_fold_table(df, seeds).collect()}
+    assert test.count() == 50 == table["P1"].test_pos + table["P1"].test_neg
+
+
 def test_holdout_and_weights(spark):
     df = spark.createDataFrame(rows_of(), SCHEMA)
     train, test = S.holdout(df, df, "P2")

@@ -39,14 +39,9 @@ def weights(spark, sf):
             .withColumn("w", ((n("src_channel") * 7 + n("bad_channel") * 3) % 5 - 1) / F.lit(20.0)))
 
 
-def prediction_weights(spark, sf):
-    """Six predictions of every channel from all others."""
-    ch = V.chunks(spark, sf).select("channel").distinct()
-    n = lambda c: F.substring(c, 2, 1).cast("int")
-    others = F.explode(F.array(*[F.lit(f"C{i}") for i in range(8)])).alias("src_channel")
-    return (ch.select("channel", others).filter("channel <> src_channel")
-            .withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(5))))
-            .withColumn("w", ((n("channel") * 5 + n("src_channel") * 3 + F.col("sample_id") * 7) % 11 - 3) / F.lit(10.0)))
+# six predictions of every channel from all others
+PREDICTIONS = G.PredictionWeights.of(
+    (k, f"C{i}", f"C{j}", ((i * 5 + j * 3 + k * 7) % 11 - 3) / 10.0) for k in range(6) for i in range(8) for j in range(8) if i != j)
 
 
 def avg_reference(spark, sf):
@@ -104,7 +99,7 @@ def bad_correlation(spark, sf):
 
 
 def ransac_vote(spark, sf):
-    s = G.prediction_share(V.chunks(spark, sf), V.CHUNK, FRAME, prediction_weights(spark, sf), limit=0.05)
+    s = G.prediction_share(V.chunks(spark, sf), V.CHUNK, FRAME, PREDICTIONS, limit=0.05)
     return s.withColumn("low_share", r("low_share"))
 
 
@@ -112,7 +107,7 @@ def bad_union(spark, sf):
     c = V.chunks(spark, sf)
     return G.bad_union(
         G.bad_by_deviation(c, limit=1.5), G.bad_by_correlation(c, V.CHUNK, FRAME, limit=0.35, share=0.7),
-        G.bad_by_prediction(c, V.CHUNK, FRAME, prediction_weights(spark, sf), limit=0.05, share=0.6), present=c)
+        G.bad_by_prediction(c, V.CHUNK, FRAME, PREDICTIONS, limit=0.05, share=0.6), present=c)
 
 
 def finite_check(spark, sf):

@@ -110,14 +110,19 @@ def frame_best_correlation(data: Column, q: float) -> Column:
 def frame_prediction_correlation(channels: Column, data: Column, names: list[str],
                                  weights: np.ndarray) -> Column:
     """Per channel of a frame its correlation with the median prediction. ``weights``
-    is (predictions, names, names); channels that are not in a frame weigh nothing."""
+    is (predictions, names, names); channels that are not in a frame weigh nothing, channels
+    without weights get NaN."""
     at = {name: i for i, name in enumerate(names)}
 
     @arrow_udf("array<double>")
     def run(channels: pa.Array, data: pa.Array) -> pa.Array:
         out = []
         for present, m in zip(channels.to_pylist(), _frames(data)):
-            pick = [at[c] for c in present]
-            out.append(K.prediction_correlation(m, weights[:, pick][:, :, pick]))
+            known = [i for i, c in enumerate(present) if c in at]
+            pick = [at[present[i]] for i in known]
+            score = np.full(len(present), np.nan)
+            if known:
+                score[known] = K.prediction_correlation(m[known], weights[:, pick][:, :, pick])
+            out.append(score)
         return to_lists(out)
     return run(channels, data)

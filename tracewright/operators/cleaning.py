@@ -7,6 +7,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,7 +21,6 @@ from tracewright.operators.windows import slide_chunks, with_context
 
 RECORDING = ["recording_id"]
 IQR_TO_SD = 0.7413           # inter-quartile range to standard deviation
-MAX_WEIGHTS = 2_000_000      # bound of the prediction weights sent to the tasks
 
 
 def _polyphase(chunks: DataFrame, chunk_len: int, taps, up: int, down: int, edge: str,
@@ -86,10 +87,22 @@ def bad_sets(bad: DataFrame, keys: list[str] = RECORDING) -> DataFrame:
     return bad.groupBy(*keys).agg(F.concat_ws(",", F.array_sort(F.collect_set("channel"))).alias("bad_set"))
 
 
-def without_weights(bad: DataFrame, weights: DataFrame, keys: list[str] = RECORDING) -> DataFrame:
-    """Signals whose bad set cannot be interpolated, as rejects."""
-    return (bad_sets(bad, keys).join(weights.select("bad_set").distinct(), "bad_set", "left_anti")
-            .select(*keys, F.concat(F.lit("no weights for "), "bad_set").alias("reason")))
+def without_weights(bad: DataFrame, weights: DataFrame, keys: list[str] = RECORDING,
+                    present: DataFrame | None = None) -> DataFrame:
+    """Signals whose bad channels cannot all be interpolated, as rejects: one of them has no weights, or,
+    with ``present`` (keys, channel), a source of the weights is not among the channels."""
+    sets = bad_sets(bad, keys)
+    wanted = sets.join(bad.select(*keys, "channel").distinct(), keys)
+    have = weights.select("bad_set", F.col("bad_channel").alias("channel")).distinct()
+    lacking = wanted.join(have, ["bad_set", "channel"], "left_anti")
+    out = lacking.select(*keys, F.concat(F.lit("no weights for "), "bad_set").alias("reason")).distinct()
+    if present is not None:
+        sources = sets.join(weights.select("bad_set", F.col("src_channel").alias("channel")).distinct(), "bad_set")
+        absent = sources.join(present.select(*keys, "channel").distinct(), [*keys, "channel"], "left_anti")
+        named = absent.groupBy(*keys).agg(F.concat_ws(",", F.array_sort(F.collect_set("channel"))).alias("_s"))
+        missing = named.select(*keys, F.concat(F.lit("no source "), "_s").alias("reason"))
+        out = out.unionByName(missing.join(out.select(*keys), keys, "left_anti"))
+    return out
 
 
 def non_finite_channels(chunks: DataFrame, keys: list[str] = RECORDING) -> DataFrame:
@@ -152,28 +165,34 @@ def bad_by_correlation(chunks: DataFrame, chunk_len: int, length: int, keys: lis
     return scored.filter(F.col("low_share") > share).select(*keys, "channel")
 
 
-def prediction_share(chunks: DataFrame, chunk_len: int, length: int, weights: DataFrame,
+@dataclass(frozen=True)
+class PredictionWeights:
+    """A parameter of the prediction rule, like filter taps: ``matrix`` has one (names x names) matrix of
+    weights per draw; a row holds what the other channels contribute to a channel."""
+    names: tuple[str, ...]
+    matrix: np.ndarray
+
+    @staticmethod
+    def of(rows: Iterable[tuple[int, str, str, float]]) -> PredictionWeights:
+        """From (draw, channel, source channel, weight)."""
+        rows = list(rows)
+        names = sorted({x for r in rows for x in r[1:3]})
+        draws = sorted({r[0] for r in rows})
+        matrix = np.zeros((len(draws), len(names), len(names)))
+        for draw, channel, source, w in rows:
+            matrix[draws.index(draw), names.index(channel), names.index(source)] += w
+        return PredictionWeights(tuple(names), matrix)
+
+
+def prediction_share(chunks: DataFrame, chunk_len: int, length: int, weights: PredictionWeights,
                      keys: list[str] = RECORDING, limit: float = 0.75) -> DataFrame:
     """Share of windows in which a channel disagrees with the median of its
-    predictions from channel subsets.
-
-    ``weights`` (sample_id, channel, src_channel, w) is a parameter table of draws x
-    channels x channels; its size is checked before it is sent to the tasks.
-    """
-    rows = weights.limit(MAX_WEIGHTS + 1).collect()
-    if len(rows) > MAX_WEIGHTS:
-        raise ValueError(f"more than {MAX_WEIGHTS} prediction weights")
-    names = sorted({r.channel for r in rows} | {r.src_channel for r in rows})
-    draws = sorted({r.sample_id for r in rows})
-    at, nth = {c: i for i, c in enumerate(names)}, {d: i for i, d in enumerate(draws)}
-    matrix = np.zeros((len(draws), len(names), len(names)))
-    for r in rows:
-        matrix[nth[r.sample_id], at[r.channel], at[r.src_channel]] += r.w
-    score = arrow.frame_prediction_correlation(F.col("channels"), F.col("data"), names, matrix)
+    predictions from channel subsets. Channels without weights get no score and count as good."""
+    score = arrow.frame_prediction_correlation(F.col("channels"), F.col("data"), list(weights.names), weights.matrix)
     return _low_share(_per_channel(frames(chunks, chunk_len, length, keys), score, keys), limit, keys)
 
 
-def bad_by_prediction(chunks: DataFrame, chunk_len: int, length: int, weights: DataFrame,
+def bad_by_prediction(chunks: DataFrame, chunk_len: int, length: int, weights: PredictionWeights,
                       keys: list[str] = RECORDING, limit: float = 0.75, share: float = 0.4) -> DataFrame:
     scored = prediction_share(chunks, chunk_len, length, weights, keys, limit)
     return scored.filter(F.col("low_share") > share).select(*keys, "channel")

@@ -98,13 +98,13 @@ def worst_folds(metrics: DataFrame, key: str = "fold", metric: str = "f1", k: in
 def hard_errors(scored: DataFrame, keys: list[str] = [], k: int = 5,
                 threshold: float = C.THRESHOLD) -> DataFrame:
     """The k most confident errors of each kind: false positives by falling, false
-    negatives by rising probability, ``row_idx`` breaking ties. Spark keeps only k rows
+    negatives by rising probability, file and ``row_idx`` breaking ties. Spark keeps only k rows
     per kind in every task before the shuffle."""
     pred = decide(F.col("proba"), threshold)
     wrong = scored.withColumn("y_pred", pred).filter(F.col("y") != F.col("y_pred"))
     kind = F.when(F.col("y") == 0, "false_positive").otherwise("false_negative")
     certainty = F.when(F.col("y") == 0, -F.col("proba")).otherwise(F.col("proba"))
-    w = Window.partitionBy(*keys, "error_type").orderBy("_order", "row_idx")
+    w = Window.partitionBy(*keys, "error_type").orderBy("_order", "source", "row_idx")
     return (wrong.withColumn("error_type", kind).withColumn("_order", certainty)
             .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select(*keys, "error_type", "rank", time_text_truncated(F.col("center_sec")).alias("window_center_time"),

@@ -110,12 +110,18 @@ def shot_usage(limits: DataFrame) -> DataFrame:
 def seed_rows(rows: DataFrame, k: int = C.SEED_ROWS, seed: int = C.RANDOM_SEED,
               draw: Column | None = None) -> DataFrame:
     """Up to k random rows per class and patient. ``draw`` replaces the seeded hash
-    as the random order; ``row_idx`` breaks ties."""
-    order = draw if draw is not None else F.xxhash64("row_idx", F.lit(seed))
-    picked = _first_rows(rows.withColumn("_draw", order), ["patient_id", "y"], ["_draw", "row_idx"], k)
+    as the random order; file and ``row_idx`` break ties. ``row_idx`` may restart in every file."""
+    key = row_key(rows)
+    order = draw if draw is not None else F.xxhash64(*key, F.lit(seed))
+    picked = _first_rows(rows.withColumn("_draw", order), ["patient_id", "y"], ["_draw", *key], k)
     return picked.drop("_rank", "_draw")
 
 
+def row_key(rows: DataFrame) -> list[str]:
+    """What identifies a row: patient, file (where there is one) and number."""
+    return [c for c in ("patient_id", "source", "row_idx") if c in rows.columns]
+
+
 def seeded_split(rows: DataFrame, seeds: DataFrame, patient: str,
                  seed_weight: float = C.SEED_WEIGHT) -> tuple[DataFrame, DataFrame]:
     """Train: the other patients (weight 1) and the patient's seed rows
@@ -124,7 +130,8 @@ def seeded_split(rows: DataFrame, seeds: DataFrame, patient: str,
     own = seeds.filter(F.col("patient_id") == patient)
     train = train.withColumn("weight", F.lit(1.0)).unionByName(
         own.select(*rows.columns).withColumn("weight", F.lit(float(seed_weight))))
-    return train, test.join(own.select("row_idx"), "row_idx", "left_anti")
+    key = row_key(rows)
+    return train, test.join(own.select(*key), key, "left_anti")
 
 
 def seeded_fold_table(rows: DataFrame, seeds: DataFrame) -> DataFrame:

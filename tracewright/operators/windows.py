@@ -45,8 +45,7 @@ def sliding_windows(segments: DataFrame, rate: float, window_sec: float = C.WIND
             .withColumn("onset_sec", F.col("seg_start") + F.col("s") / float(rate)).drop("_n", "_block"))
 
 
-def annotation_windows(annotations: DataFrame, recordings: DataFrame, window_ms: int = 500,
-                       bucket_sec: float = HOUR) -> DataFrame:
+def annotation_windows(annotations: DataFrame, recordings: DataFrame, window_ms: int = 500) -> DataFrame:
     """One window around every labelled mark of a whole recording, kept when it lies
     inside the data. Descriptions must match exactly. ``row_idx`` follows the source."""
     placed = label_annotations(annotations).join(

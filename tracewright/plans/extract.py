@@ -48,22 +48,37 @@ def filter_and_resample_taps(rates: Rates, low: float = C.LOW_HZ, high: float =
     return np.convolve(spread, K.resample_taps(up, down))
 
 
-def clean_recordings(signals: DataFrame, rates: Rates, report: DataFrame, weights: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class CleanRecordings:
+    """Cleaned ``chunks`` at the target rate, and the ``rejected`` recordings (recording_id, reason): a
+    channel given twice, no weights for a bad channel, or a source of the weights missing."""
+    chunks: DataFrame
+    rejected: DataFrame
+
+
+def clean_recordings(signals: DataFrame, rates: Rates, report: DataFrame, weights: DataFrame) -> CleanRecordings:
     """Whole recordings: band-pass and resample in one pass, replace the channels the
-    report names, average reference. ``report``: recording_id, category, channel."""
+    report names, average reference. ``report``: recording_id, category, channel. A
+    recording that cannot be cleaned is rejected; it would change the mean of all channels."""
     up, down = rates.ratio
-    named = signals.withColumn("channel", CH.clean_channel(F.col("channel")))
+    raw = signals.select("recording_id", "channel").distinct()
+    name = CH.clean_channel(F.col("channel"))
+    twice = CH.duplicate_channels(raw, name)
+    present = raw.select("recording_id", name.alias("channel")).distinct()
+    bad = CH.bad_channel_rows(CH.channels_to_interpolate(report, present))
+    hopeless = G.without_weights(bad, weights, present=present).join(twice, "recording_id", "left_anti")
+    rejected = materialize(twice.unionByName(hopeless), "rejected")
+    named = signals.withColumn("channel", name).join(rejected, "recording_id", "left_anti")
     resampled = G.resample(named, rates.chunk_len, up, down, filter_and_resample_taps(rates))
     stored = materialize(resampled, "resampled")
-    present = stored.select("recording_id", "channel").distinct()
-    bad = CH.bad_channel_rows(CH.channels_to_interpolate(report, present))
-    return G.average_reference(G.interpolate(stored, bad, weights))
+    return CleanRecordings(G.average_reference(G.interpolate(stored, bad, weights)), rejected)
 
 
 def annotation_features(signals: DataFrame, rates: Rates, annotations: DataFrame, report: DataFrame,
                         weights: DataFrame) -> DataFrame:
-    """One feature row per channel of every window around a labelled mark."""
-    cleaned = materialize(clean_recordings(signals, rates, report, weights), "cleaned")
+    """One feature row per channel of every window around a labelled mark, of the recordings
+    that ``clean_recordings`` does not reject."""
+    cleaned = materialize(clean_recordings(signals, rates, report, weights).chunks, "cleaned")
     lengths = W.channel_lengths(cleaned, rates.out_len).withColumn("sfreq", F.lit(rates.target))
     placed = W.annotation_windows(annotations, lengths)
     cut = W.cut_spans(cleaned, placed, rates.out_len, ["row_idx"])
@@ -83,9 +98,10 @@ class Detection:
 
 @dataclass(frozen=True)
 class CleanCrops:
-    """Padded segment crops: ``spans`` (one row per crop with its times and sample
+    """Padded segment crops: ``spans`` (one stored row per crop with its times and sample
     bounds), cleaned ``chunks`` at the target rate, the ``bad`` channels found, and the
-    ``rejected`` crops (bad set without weights, or samples that are not finite)."""
+    ``rejected`` crops (a channel given twice, a bad channel without weights, a source of the weights
+    missing, or samples that are not finite)."""
     spans: DataFrame
     chunks: DataFrame
     bad: DataFrame
@@ -93,21 +109,23 @@ class CleanCrops:
 
 
 def clean_crops(signals: DataFrame, rates: Rates, segments: DataFrame, weights: DataFrame,
-                prediction_weights: DataFrame | None = None,
+                prediction_weights: G.PredictionWeights | None = None,
                 limits: Detection = Detection()) -> CleanCrops:
     """Every segment on its own: crop with padding, band-pass, detect and replace bad
     channels at the source rate, average reference, resample. A crop that fails is
     rejected; the segment ids of the others do not change."""
     up, down = rates.ratio
-    kept = CH.resolve_channels(signals.select("recording_id", "channel").distinct())
-    named = signals.withColumnRenamed("channel", "raw_channel").join(
-        kept, ["recording_id", "raw_channel"]).select("recording_id", "channel", "chunk", "x")
+    twice = materialize(CH.duplicate_channels(signals.select("recording_id", "channel").distinct()), "rejected")
+    # names are an expression: the samples are not joined with anything
+    named = signals.select("recording_id", CH.rename_channel(F.col("channel")).alias("channel"), "chunk", "x").filter(
+        CH.canonical_position(F.col("channel")).isNotNull())
     n = W.channel_lengths(named, rates.chunk_len)
     ends = n.withColumn("rec_end_sec", (F.col("n_samples") - 1) / rates.source)
     sample = lambda sec: F.bround(F.col(sec) * rates.source).cast("bigint")
-    spans = (S.padded_crops(segments, ends).withColumn("start", sample("crop_start"))
-             .withColumn("stop", sample("crop_stop") + 1)
-             .withColumn("n_out", F.ceil((F.col("stop") - F.col("start")) * up / down)))
+    known = segments.join(twice.select("recording_id"), "recording_id", "left_anti")
+    spans = materialize(S.padded_crops(known, ends).withColumn("start", sample("crop_start"))
+                        .withColumn("stop", sample("crop_stop") + 1)
+                        .withColumn("n_out", F.ceil((F.col("stop") - F.col("start")) * up / down)), "spans")
     crops = W.cut_spans(named, spans, rates.chunk_len, ["segment_id"], rates.chunk_len)
     band = G.fir_filter(crops, rates.chunk_len, K.bandpass_taps(C.LOW_HZ, C.HIGH_HZ, rates.source), keys=CROP)
     stored = materialize(band, "filtered")
@@ -118,11 +136,12 @@ def clean_crops(signals: DataFrame, rates: Rates, segments: DataFrame, weights:
         found.append(G.bad_by_prediction(stored, rates.chunk_len, 5 * second, prediction_weights, CROP,
                                          limits.prediction, limits.prediction_share))
     bad = materialize(G.bad_union(*found, present=stored, keys=CROP), "bad")
-    hopeless = G.without_weights(bad, weights, CROP)
+    hopeless = materialize(G.without_weights(bad, weights, CROP, stored.select(*CROP, "channel").distinct()), "hopeless")
     fixed = G.interpolate(stored.join(hopeless, CROP, "left_anti"), bad, weights, CROP)
     done = materialize(G.resample(G.average_reference(fixed, CROP), rates.chunk_len, up, down, keys=CROP), "crops")
     odd = G.non_finite_channels(done, CROP).select(*CROP, "reason")
-    return CleanCrops(spans, done.join(odd, CROP, "left_anti"), bad, hopeless.unionByName(odd))
+    no_names = segments.join(twice, "recording_id").select(*CROP, "reason")
+    return CleanCrops(spans, done.join(odd, CROP, "left_anti"), bad, hopeless.unionByName(odd).unionByName(no_names))
 
 
 def sliding_features(crops: CleanCrops, rates: Rates, annotations: DataFrame) -> DataFrame:

@@ -30,10 +30,12 @@ def get_session(app: str = "tracewright", master: str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``. Only where the setting is
-    missing, as in local tests, a temporary folder takes its place."""
+    """The shared folder named by ``spark.checkpoint.dir``. Only in local mode a temporary
+    folder takes its place; on a cluster every executor would write to its own disk."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and context.getCheckpointDir() is None and not context.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracewright-"))
     return folder or context.getCheckpointDir()
