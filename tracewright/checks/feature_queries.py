@@ -8,7 +8,7 @@ from tracewright import constants as C
 from tracewright.checks import views as V
 from tracewright.checks.views import r, rs, sql
 from tracewright.functions import arrow
-from tracewright.operators import features as X, windows as W
+from tracewright.operators import features as X
 
 ID = ["window_id", "channel"]
 DIGITS = 8
@@ -32,14 +32,9 @@ def psd(spark, sf):
 
 
 def psd_averaged(spark, sf):
-    """Windows of a whole recording: several overlapping segments per PSD."""
-    spans = V.chunks(spark, sf).groupBy("recording_id").agg(
-        F.lit(0).cast("bigint").alias("start"), F.count_if(F.col("channel") == "C0").alias("n"))
-    spans = spans.select("recording_id", "start", (F.col("n") * V.CHUNK).alias("stop"))
-    w = W.cut_spans(V.chunks(spark, sf), spans, V.CHUNK, [])
-    w = w.withColumn("psd", arrow.welch_psd(F.col("x"), V.FS))
-    return w.select("recording_id", "channel", F.posexplode("psd").alias("k", "p")).select(
-        "recording_id", "channel", F.col("k").cast("bigint").alias("k"), r("p", DIGITS).alias("p"))
+    """PSD of whole channels of at least 256 samples: one per half overlapping segment, averaged."""
+    w = X.long_psd(V.chunks(spark, sf), V.CHUNK, V.FS)
+    return w.select("recording_id", "channel", "k", r("p", DIGITS).alias("p"))
 
 
 def band_features(spark, sf):
@@ -71,8 +66,12 @@ def feature_names(spark, sf):
 def feature_wide(spark, sf):
     channels = [f"C{i}" for i in range(8)]
     f = X.window_features(V.windows(spark, sf), V.FS)
-    wide = X.wide_features(f, ["window_id"], channels, ["zero_cross", "peak_freq_1_40"])
-    return wide
+    wide = X.wide_features(f, ["window_id"], channels)
+    return _round_all(wide, [f"{c}_{n}" for c in channels for n in C.FEATURES])
+
+
+def _round_all(df, names):
+    return df.withColumns({n: r(n, DIGITS) for n in names})
 
 
 QUERIES = {f.__name__: f for f in (
@@ -92,7 +91,8 @@ SELECT recording_id, channel, k, avg(q) AS p FROM (
     FROM (SELECT recording_id, channel, g.seg, idx - g.seg * 128 AS i,
                  v - avg(v) OVER (PARTITION BY recording_id, channel, g.seg) AS v,
                  0.5 - 0.5 * cos(2 * pi() * (idx - g.seg * 128) / 256) AS h
-          FROM samples, range(0, 4) g(seg) WHERE idx >= g.seg * 128 AND idx < g.seg * 128 + 256), range(0, 129) b(k)
+          FROM (SELECT *, max(idx) OVER (PARTITION BY recording_id, channel) + 1 AS n FROM samples), range(0, 4) g(seg)
+          WHERE idx >= g.seg * 128 AND idx < g.seg * 128 + 256 AND g.seg * 128 + 256 <= n), range(0, 129) b(k)
     GROUP BY recording_id, channel, seg, k) GROUP BY recording_id, channel, k"""
 
 ORACLE = {
@@ -109,6 +109,6 @@ ORACLE = {
         FROM (SELECT window_id, channel, {', '.join(C.FEATURES)} FROM wfeat)
         UNPIVOT (value FOR feature IN ({', '.join(C.FEATURES)}))""", "wfeat"),
     "feature_wide": sql("SELECT window_id, " + ", ".join(
-        f"max({n}) FILTER (channel = 'C{i}') AS C{i}_{n}" for i in range(8) for n in ("zero_cross", "peak_freq_1_40"))
+        rs(f"max({n}) FILTER (channel = 'C{i}')", DIGITS) + f" AS C{i}_{n}" for i in range(8) for n in C.FEATURES)
         + " FROM wfeat GROUP BY 1", "wfeat"),
 }

@@ -53,8 +53,7 @@ def interpolate_channels(spark, sf):
 
 
 def interpolate_and_reference(spark, sf):
-    fixed = G.interpolate(V.chunks(spark, sf), bad_rows(spark, sf), weights(spark, sf))
-    return _long(G.average_reference(fixed))
+    return _long(G.repair(V.chunks(spark, sf), bad_rows(spark, sf), weights(spark, sf)))
 
 
 def _spans(spark, sf):
@@ -131,11 +130,15 @@ _FIXED = f"""
 SELECT s.recording_id, s.channel, s.idx, CASE WHEN b.channel IS NULL THEN s.v ELSE p.v END AS v
 FROM samples s
 LEFT JOIN bad b ON b.recording_id = s.recording_id AND b.channel = s.channel
-LEFT JOIN (SELECT s.recording_id, b.channel, s.idx,
+LEFT JOIN (SELECT s.recording_id, b.channel, s.idx, count(*) AS n,
                   sum(s.v * (({_N.format('s.channel')} * 7 + {_N.format('b.channel')} * 3) % 5 - 1) / 20.0) AS v
            FROM samples s JOIN bad b USING (recording_id)
            WHERE NOT EXISTS (SELECT 1 FROM bad o WHERE o.recording_id = s.recording_id AND o.channel = s.channel)
-           GROUP BY ALL) p ON p.recording_id = s.recording_id AND p.channel = s.channel AND p.idx = s.idx"""
+           GROUP BY s.recording_id, b.channel, s.idx) p
+    ON p.recording_id = s.recording_id AND p.channel = s.channel AND p.idx = s.idx
+JOIN (SELECT recording_id, count(DISTINCT channel) FILTER ((recording_id, channel) NOT IN (SELECT (recording_id, channel) FROM bad)) AS sources
+      FROM samples GROUP BY 1) m ON m.recording_id = s.recording_id
+WHERE b.channel IS NULL OR p.n = m.sources"""
 _BAD = """
 SELECT DISTINCT recording_id, channel FROM samples
 WHERE (recording_id % 2 = 0 AND channel IN ('C1', 'C5')) OR (recording_id % 2 = 1 AND channel = 'C2')"""
@@ -149,7 +152,9 @@ _UP_TAPS = "SELECT * FROM " + _values([f"({j}, {t!r}::DOUBLE)" for j, t in enume
 _EXTENDED = """
 SELECT recording_id, channel, idx, v FROM samples
 UNION ALL SELECT recording_id, channel, -idx, 2 * (first_value(v) OVER w) - v FROM samples WINDOW w AS (PARTITION BY recording_id, channel ORDER BY idx) QUALIFY idx > 0
-UNION ALL SELECT recording_id, channel, 2 * 639 - idx, 2 * (first_value(v) OVER w) - v FROM samples WINDOW w AS (PARTITION BY recording_id, channel ORDER BY idx DESC) QUALIFY idx < 639"""
+UNION ALL SELECT recording_id, channel, 2 * last - idx, 2 * at_end - v
+FROM (SELECT *, max(idx) OVER w AS last, arg_max(v, idx) OVER w AS at_end FROM samples WINDOW w AS (PARTITION BY recording_id, channel))
+WHERE idx < last"""
 
 
 def _hazen(x: str, n: str, q: float) -> str:
@@ -198,12 +203,14 @@ ORACLE = {
         {rs('sum(v)', DIGITS)} AS total FROM samples JOIN spans USING (recording_id)
         WHERE idx >= start AND idx < stop GROUP BY 1, 2, 3, 4""", "samples", extra={"spans": _SPANS}),
     "slide_samples": sql(f"""SELECT recording_id, channel, s, count(*) AS n, {rs('sum(v)', DIGITS)} AS total
-        FROM samples, range(0, 561, 20) g(s) WHERE idx >= s AND idx < s + 80 GROUP BY 1, 2, 3""", "samples"),
+        FROM (SELECT *, max(idx) OVER (PARTITION BY recording_id, channel) + 1 AS n FROM samples), range(0, 561, 20) g(s)
+        WHERE idx >= s AND idx < s + 80 AND s + 80 <= n GROUP BY 1, 2, 3""", "samples"),
     "fir_bandpass": sql(f"""SELECT s.recording_id, s.channel, s.idx, {rs('sum(e.v * h)', DIGITS)} AS v
         FROM samples s, taps JOIN ext e ON e.recording_id = s.recording_id AND e.channel = s.channel AND e.idx = s.idx - j
         GROUP BY 1, 2, 3""", "samples", extra={"taps": _TAPS, "ext": _EXTENDED}),
     "resample": sql(f"""SELECT recording_id, channel, k AS idx, {rs('sum(v * h)', DIGITS)} AS v
-        FROM samples, range(0, 400) g(k), taps WHERE j = k * {DOWN} - idx * {UP} GROUP BY 1, 2, 3""", "samples",
+        FROM (SELECT *, max(idx) OVER (PARTITION BY recording_id, channel) + 1 AS n FROM samples), range(0, 400) g(k), taps
+        WHERE j = k * {DOWN} - idx * {UP} AND k * {DOWN} < n * {UP} GROUP BY 1, 2, 3""", "samples",
                     extra={"taps": _UP_TAPS}),
     "bad_deviation": sql(f"SELECT recording_id, channel, {rs('spread', DIGITS)} AS spread, {rs('z', 5)} AS z, abs(z) > 1.5 AS bad FROM dev",
                          "samples", extra={"dev": _DEVIATION}),

@@ -134,7 +134,7 @@ def roundtrip_csv(spark, sf):
 def embedding_reader(spark, sf):
     raw = V.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("emb"), "label")
     rows, names = B.embedding_columns(B.read_embeddings(raw, 64), 64)
-    return rows.select("vec_id", "y", *[r(n).alias(n) for n in names[:3]])
+    return rows.select("vec_id", "y", *[r(n).alias(n) for n in names])
 
 
 QUERIES = {f.__name__: f for f in (
@@ -193,5 +193,5 @@ ORACLE = {
         recording_id, ord, {rs('onset_sec')} AS time_sec, CASE WHEN ord % 2 = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS window_sec FROM annotations""", "annotations"),
     "roundtrip_csv": sql("SELECT patient_id, count(*) AS n, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg FROM scored GROUP BY 1", "scored"),
     "embedding_reader": "SELECT vec_id, label AS y, " + ", ".join(
-        f"{rs(f'CAST(embedding[{i + 1}] AS DOUBLE)')} AS f{i}" for i in range(3)) + " FROM embeddings",
+        f"{rs(f'CAST(embedding[{i + 1}] AS DOUBLE)')} AS f{i}" for i in range(64)) + " FROM embeddings",
 }

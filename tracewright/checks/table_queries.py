@@ -79,10 +79,9 @@ def pattern_folds(spark, sf):
 
 
 def holdout_split(spark, sf):
-    """Training rows from even windows, test rows from odd ones."""
+    """Two datasets with all rows; the second has other labels."""
     rows = V.embedding_rows(spark, sf).select("row_idx", "patient_id", "y")
-    first, second = (rows.filter(F.expr(f"(row_idx div 10) % 2 = {i}")) for i in (0, 1))
-    train, test = S.holdout(first, second)
+    train, test = S.holdout(rows, rows.withColumn("y", 1 - F.col("y")))
     return train.withColumn("role", F.lit("train")).unionByName(test.withColumn("role", F.lit("test")))
 
 
@@ -122,11 +121,21 @@ def seeded_folds(spark, sf):
 
 
 def seeded_weights(spark, sf):
-    """Training rows of every seeded fold are the others plus the seeds; here one fold."""
-    rows = V.embedding_rows(spark, sf).select("patient_id", "row_idx", "y")
-    train, test = S.seeded_split(rows, S.seed_rows(rows, draw=_draw()), "P58")
-    return train.withColumn("role", F.lit("train")).unionByName(
-        test.withColumn("weight", F.lit(0.0)).withColumn("role", F.lit("test")))
+    """Rows of every seeded fold: the others and the seeds train, the rest is tested. Row numbers
+    restart in every file."""
+    rows = _per_file(V.embedding_rows(spark, sf))
+    seeds, out = S.seed_rows(rows, draw=_draw()), None
+    for p in V.PATIENTS:
+        train, test = S.seeded_split(rows, seeds, p)
+        fold = train.withColumn("role", F.lit("train")).unionByName(
+            test.withColumn("weight", F.lit(0.0)).withColumn("role", F.lit("test"))).withColumn("fold", F.lit(p))
+        out = fold if out is None else out.unionByName(fold)
+    return out
+
+
+def _per_file(rows):
+    """The rows with numbers that count from 0 in every file: ten windows in turn belong to a file."""
+    return rows.select("patient_id", "source", F.expr("row_idx div 20").alias("row_idx"), "y")
 
 
 # --- metrics ----------------------------------------------------------------
@@ -327,8 +336,8 @@ ORACLE = {
             (SELECT count(*) FROM g o WHERE o.pattern = e.pattern AND o.patient_id <> e.patient_id AND y = 1) AS train_pos,
             (SELECT count(*) FROM g o WHERE o.pattern = e.pattern AND o.patient_id <> e.patient_id AND y = 0) AS train_neg
         FROM g e GROUP BY 1, 2""", extra={"emb": _EMB, "g": f"SELECT * FROM (SELECT *, {_GROUPS} AS pattern FROM emb) WHERE pattern IS NOT NULL"}),
-    "holdout_split": sql("""SELECT row_idx, patient_id, y, 'train' AS role FROM emb WHERE patient_id <> 'P58' AND row_idx // 10 % 2 = 0
-        UNION ALL SELECT row_idx, patient_id, y, 'test' FROM emb WHERE patient_id = 'P58' AND row_idx // 10 % 2 = 1""", extra={"emb": _EMB}),
+    "holdout_split": sql("""SELECT row_idx, patient_id, y, 'train' AS role FROM emb WHERE patient_id <> 'P58'
+        UNION ALL SELECT row_idx, patient_id, 1 - y, 'test' FROM emb WHERE patient_id = 'P58'""", extra={"emb": _EMB}),
     "dataset_filter": sql("""SELECT CASE WHEN patient_id = 'P58' THEN 'own' ELSE 'others' END AS part, patient_id, count(*) AS n,
         CAST(sum(y) AS BIGINT) AS n_pos FROM line_rows GROUP BY 1, 2""", "line_rows"),
     "few_shot_counts": sql("""SELECT source, n_shot, coalesce(pos_cut, -1) AS pos_cut, coalesce(neg_cut, -1) AS neg_cut, usable,
@@ -346,9 +355,12 @@ ORACLE = {
               FROM (SELECT patient_id AS fold, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n FROM emb GROUP BY 1)
               JOIN (SELECT patient_id AS fold, count(*) FILTER (y = 1) AS sp, count(*) FILTER (y = 0) AS sn FROM seeds GROUP BY 1) USING (fold))""",
                         extra={"emb": _EMB, "seeds": _SEEDS}),
-    "seeded_weights": sql("""SELECT e.patient_id, e.row_idx, e.y, CASE WHEN e.patient_id <> 'P58' THEN 1.0::DOUBLE WHEN s.row_idx IS NULL THEN 0.0::DOUBLE ELSE 15.0::DOUBLE END AS weight,
-            CASE WHEN e.patient_id <> 'P58' OR s.row_idx IS NOT NULL THEN 'train' ELSE 'test' END AS role
-        FROM emb e LEFT JOIN (SELECT * FROM seeds WHERE patient_id = 'P58') s ON s.row_idx = e.row_idx""", extra={"emb": _EMB, "seeds": _SEEDS}),
+    "seeded_weights": sql("""SELECT fold, patient_id, source, row_idx, y,
+            CASE WHEN patient_id <> fold THEN 1.0::DOUBLE WHEN k > 5 THEN 0.0::DOUBLE ELSE 15.0::DOUBLE END AS weight,
+            CASE WHEN patient_id <> fold OR k <= 5 THEN 'train' ELSE 'test' END AS role
+        FROM (SELECT *, row_number() OVER (PARTITION BY patient_id, y ORDER BY row_idx * 7919 % 10007, source, row_idx) AS k
+              FROM (SELECT patient_id, patient_id || '_rec' || (row_idx // 10 % 2) AS source, row_idx // 20 AS row_idx, y FROM emb)),
+             (SELECT DISTINCT patient_id AS fold FROM emb)""", extra={"emb": _EMB}),
     "fold_metrics": sql(f"SELECT fold, {_ROUNDED}, tp, fp, tn, fn FROM m", "scored", extra={"m": _M1}),
     "roc_pr": sql(f"SELECT source, {rs('auc')} AS roc_auc, {rs('ap')} AS pr_auc FROM r", "scored",
                   extra={"s": "SELECT source || '_' || (row_idx // 40 % 10) AS source, y, proba FROM scored", "r": _rank_sql("source", "s")}),

@@ -117,12 +117,11 @@ def windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Eight channels of ten chunks per recording; incomplete recordings are left out."""
-    e = table(spark, sf, "embeddings").select(
+    """Eight channels of ten chunks per recording. The last recording may be shorter, with channels
+    that end at different chunks."""
+    return table(spark, sf, "embeddings").select(
         idiv("vec_id", 80).alias("recording_id"), F.concat(F.lit("C"), F.col("vec_id") % 8).alias("channel"),
         F.expr("(vec_id div 8) % 10").alias("chunk"), F.col("embedding").cast("array<double>").alias("x"))
-    complete = e.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 80")
-    return e.join(complete, "recording_id", "left_semi")
 
 
 def embedding_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,8 +134,7 @@ def embedding_rows(spark: SparkSession, sf: str) -> DataFrame:
 CTES["samples"] = """
 SELECT vec_id // 80 AS recording_id, 'C' || (vec_id % 8) AS channel,
        ((vec_id // 8) % 10) * 64 + (t.i - 1) AS idx, CAST(embedding[t.i] AS DOUBLE) AS v
-FROM embeddings, range(1, 65) t(i)
-WHERE vec_id // 80 IN (SELECT vec_id // 80 FROM embeddings GROUP BY 1 HAVING count(*) = 80)"""
+FROM embeddings, range(1, 65) t(i)"""
 
 CTES["wx"] = """
 SELECT vec_id // 8 AS window_id, 'C' || (vec_id % 8) AS channel, t.i AS i,

@@ -126,3 +126,25 @@ def frame_prediction_correlation(channels: Column, data: Column, names: list[str
             out.append(score)
         return to_lists(out)
     return run(channels, data)
+
+
+def repaired_frame(channels: Column, data: Column, bad: Column, weights: Column, reference: bool) -> Column:
+    """Array of (channel, x) of one chunk: the ``bad`` channels replaced by the ``weights``
+    (bad_channel, src_channel, w) of the others, then the mean over the channels subtracted."""
+    @arrow_udf("array<struct<channel:string,x:array<double>>>")
+    def run(channels: pa.Array, data: pa.Array, bad: pa.Array, weights: pa.Array) -> pa.Array:
+        outer = data.offsets.to_numpy()
+        values, inner = flat(data.flatten())
+        outer = outer - outer[0]
+        names, parts, sizes = [], [], []
+        for i, (present, odd, w) in enumerate(zip(channels.to_pylist(), bad.to_pylist(), weights.to_pylist())):
+            x = {c: values[inner[k]:inner[k + 1]] for c, k in zip(present, range(outer[i], outer[i + 1]))}
+            fixed = K.replace_channels(x, set(odd or ()), [(p["bad_channel"], p["src_channel"], p["w"]) for p in w or ()])
+            if reference:
+                fixed = K.subtract_mean(fixed)
+            names += list(fixed)
+            parts += list(fixed.values())
+            sizes.append(len(fixed))
+        rows = pa.StructArray.from_arrays([pa.array(names, pa.string()), to_lists(parts)], names=["channel", "x"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), rows)
+    return run(channels, data, bad, weights)

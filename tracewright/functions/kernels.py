@@ -176,3 +176,27 @@ def prediction_correlation(frame: np.ndarray, weights: np.ndarray) -> np.ndarray
     b = predicted - predicted.mean(axis=1, keepdims=True)
     with np.errstate(divide="ignore", invalid="ignore"):
         return (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+
+
+def replace_channels(x: dict[str, np.ndarray], bad: set[str],
+                     weights: list[tuple[str, str, float]]) -> dict[str, np.ndarray]:
+    """Good channels as they are, bad ones as weighted sums, cut to the shortest of itself and its
+    sources; left out without weights or where a source is absent."""
+    out = {c: v for c, v in x.items() if c not in bad}
+    for c in sorted(bad & set(x)):
+        own = [(s, w) for b, s, w in weights if b == c]
+        if own and all(s in x for s, _ in own):
+            n = min(len(x[c]), *(len(x[s]) for s, _ in own))
+            out[c] = sum(w * x[s][:n] for s, w in own)
+    return out
+
+
+def subtract_mean(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Subtract at every instant the mean of the channels that reach it."""
+    n = max((len(v) for v in x.values()), default=0)
+    total, count = np.zeros(n), np.zeros(n)
+    for v in x.values():
+        total[:len(v)] += v
+        count[:len(v)] += 1
+    mean = total / np.maximum(count, 1)
+    return {c: v - mean[:len(v)] for c, v in x.items()}

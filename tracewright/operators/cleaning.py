@@ -62,24 +62,30 @@ def average_reference(chunks: DataFrame, keys: list[str] = RECORDING) -> DataFra
             .withColumn("x", F.zip_with("x", "_mean", lambda v, m: v - m)).drop("_mean"))
 
 
-def interpolate(chunks: DataFrame, bad: DataFrame, weights: DataFrame,
-                keys: list[str] = RECORDING) -> DataFrame:
-    """Replace bad channels by weighted sums of the others.
+def repair(chunks: DataFrame, bad: DataFrame, weights: DataFrame, keys: list[str] = RECORDING,
+           reference: bool = True) -> DataFrame:
+    """Replace bad channels by weighted sums of the others and, with ``reference``, subtract the mean over
+    the channels. One shuffle of the samples, on (keys, chunk): the channels of a chunk meet in
+    one row and both steps happen there.
 
     ``bad``: keys, channel. ``weights``: bad_set (sorted names joined by commas),
-    bad_channel, src_channel, w. Look at ``without_weights`` first: a bad channel
-    whose set has no weights cannot be replaced and is left out.
+    bad_channel, src_channel, w. Look at ``without_weights`` first: a bad channel that has
+    no weights, or of which a source is missing, is left out. A replaced channel ends where its own samples or
+    those of a source end. The mean at an instant is that of the channels that have it.
     """
-    wanted = bad_sets(bad, keys).join(weights, "bad_set").select(
-        *keys, "bad_channel", F.col("src_channel").alias("channel"), "w")
-    replaced = (chunks.join(wanted, [*keys, "channel"])
-                .select(*keys, "chunk", F.col("bad_channel").alias("channel"),
-                        F.transform("x", lambda v: v * F.col("w")).alias("_part"))
-                .groupBy(*keys, "channel", "chunk")
-                .agg(vector_to_array(Summarizer.sum(array_to_vector("_part"))).alias("x")))
-    cols = [*keys, "channel", "chunk", "x"]
-    kept = chunks.join(bad.select(*keys, "channel").distinct(), [*keys, "channel"], "left_anti")
-    return kept.select(*cols).unionByName(replaced.select(*cols))
+    parts = F.collect_list(F.struct("bad_channel", "src_channel", "w"))
+    plan = (bad_sets(bad, keys).join(weights, "bad_set").groupBy(*keys).agg(parts.alias("_w"))
+            .join(bad.groupBy(*keys).agg(F.collect_set("channel").alias("_bad")), keys))
+    met = chunks.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct("channel", "x"))).alias("_c"))
+    done = met.join(plan, keys, "left").select(*keys, "chunk", arrow.repaired_frame(
+        F.col("_c.channel"), F.col("_c.x"), F.col("_bad"), F.col("_w"), reference).alias("_r"))
+    return done.select(*keys, "chunk", F.explode("_r").alias("_r")).select(*keys, "_r.channel", "chunk", "_r.x")
+
+
+def interpolate(chunks: DataFrame, bad: DataFrame, weights: DataFrame,
+                keys: list[str] = RECORDING) -> DataFrame:
+    """``repair`` without the average reference."""
+    return repair(chunks, bad, weights, keys, reference=False)
 
 
 def bad_sets(bad: DataFrame, keys: list[str] = RECORDING) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tracewright import constants as C
 from tracewright.functions import arrays as A, arrow
+from tracewright.operators.windows import CHANNEL, slide_chunks
 
 
 def window_features(windows: DataFrame, fs: Column | float, native: bool = False) -> DataFrame:
@@ -72,3 +73,12 @@ def with_defaults(windows: DataFrame) -> DataFrame:
     added = {n: F.coalesce(F.col(n), v) if n in windows.columns else v for n, v in optional.items()}
     out = windows.withColumns(added).withColumn("valid", F.lit(True))
     return out.withColumn("seg_type", F.upper("seg_type")) if "seg_type" in windows.columns else out
+
+
+def long_psd(chunks: DataFrame, chunk_len: int, fs: float, keys: list[str] = CHANNEL, size: int = 256) -> DataFrame:
+    """PSD of long signals as keys, k, p: the mean over half overlapping segments of ``size`` samples.
+    Segments are cut where they start, so no task holds a whole signal; signals shorter than a segment
+    give no rows."""
+    segments = slide_chunks(chunks, chunk_len, size, size // 2, keys)
+    each = segments.select(*keys, F.posexplode(arrow.welch_psd(F.col("x"), fs)).alias("k", "p"))
+    return each.groupBy(*keys, F.col("k").cast("bigint").alias("k")).agg(F.avg("p").alias("p"))

@@ -71,7 +71,7 @@ def clean_recordings(signals: DataFrame, rates: Rates, report: DataFrame, weight
     named = signals.withColumn("channel", name).join(rejected, "recording_id", "left_anti")
     resampled = G.resample(named, rates.chunk_len, up, down, filter_and_resample_taps(rates))
     stored = materialize(resampled, "resampled")
-    return CleanRecordings(G.average_reference(G.interpolate(stored, bad, weights)), rejected)
+    return CleanRecordings(G.repair(stored, bad, weights), rejected)
 
 
 def annotation_features(signals: DataFrame, rates: Rates, annotations: DataFrame, report: DataFrame,
@@ -137,8 +137,8 @@ def clean_crops(signals: DataFrame, rates: Rates, segments: DataFrame, weights:
                                          limits.prediction, limits.prediction_share))
     bad = materialize(G.bad_union(*found, present=stored, keys=CROP), "bad")
     hopeless = materialize(G.without_weights(bad, weights, CROP, stored.select(*CROP, "channel").distinct()), "hopeless")
-    fixed = G.interpolate(stored.join(hopeless, CROP, "left_anti"), bad, weights, CROP)
-    done = materialize(G.resample(G.average_reference(fixed, CROP), rates.chunk_len, up, down, keys=CROP), "crops")
+    fixed = G.repair(stored.join(hopeless, CROP, "left_anti"), bad, weights, CROP)
+    done = materialize(G.resample(fixed, rates.chunk_len, up, down, keys=CROP), "crops")
     odd = G.non_finite_channels(done, CROP).select(*CROP, "reason")
     no_names = segments.join(twice, "recording_id").select(*CROP, "reason")
     return CleanCrops(spans, done.join(odd, CROP, "left_anti"), bad, hopeless.unionByName(odd).unionByName(no_names))
