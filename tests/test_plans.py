@@ -10,7 +10,7 @@ from test_features import expected
 from test_stats import auc, same
 from tracewright import constants as C
 from tracewright.functions import kernels as K
-from tracewright.functions.boost import fit_and_score
+from tracewright.functions import forest
 from tracewright.operators import segments as S
 from tracewright.plans import diagnose as D, evaluate as E, extract as P, few_shot as FS, model as L
 
@@ -194,7 +194,13 @@ def test_crop_without_weights_is_rejected(spark):
 # --- evaluation -------------------------------------------------------------
 
 FEATS = ["f", "g"]
-QUICK = L.BoostParams(rounds=4, rate=0.5, depth=2, max_bins=16, row_share=1.0, column_share=1.0)
+QUICK = L.BoostParams(rounds=4, rate=0.5, depth=2, max_bins=16, row_share=1.0, column_share=1.0, train_rows=None)
+TASKS = L.BoostParams(rounds=40, rate=0.3, depth=2, column_share=1.0, train_rows=1000)
+
+
+def fit_and_score(x, y, scored, rounds, rate, depth, column_share, seed):
+    model, _ = forest.fit(x, y.astype(float), forest.balanced(y), rounds, rate, depth, 1.0, column_share, 256, seed)
+    return model.probability(scored)
 
 
 def labelled_rows(spark, patients=("P20", "P36", "P58"), n=40, nan=False):
@@ -210,9 +216,10 @@ def labelled_rows(spark, patients=("P20", "P36", "P58"), n=40, nan=False):
 NAN = float("nan")
 
 
-def test_leave_one_out(spark):
+@pytest.mark.parametrize("params", [QUICK, TASKS])
+def test_leave_one_out(spark, params):
     df, rows = labelled_rows(spark)
-    done = E.leave_one_out(df, FEATS, params=QUICK)
+    done = E.leave_one_out(df, FEATS, params=params)
     scored = done.scored.collect()
     assert sorted(r.row_idx for r in scored) == sorted(r[2] for r in rows)
     assert all(r.fold == r.patient_id for r in scored)
@@ -224,9 +231,10 @@ def test_leave_one_out(spark):
     assert [r.feature for r in L.importance_summary(done.importances).collect()] == ["f", "g"]
 
 
-def test_undefined_features_and_seeds(spark):
+@pytest.mark.parametrize("params", [QUICK, TASKS])
+def test_undefined_features_and_seeds(spark, params):
     df, rows = labelled_rows(spark, nan=True)
-    done = E.seeded(df, FEATS, QUICK)
+    done = E.seeded(df, FEATS, params)
     scored = done.scored.collect()
     per = {p: sum(r.fold == p for r in scored) for p in ("P20", "P36", "P58")}
     assert per == {p: 30 for p in per}                # five rows of each class left the test side
@@ -234,18 +242,19 @@ def test_undefined_features_and_seeds(spark):
     assert done.importances.count() == 6
 
 
-def test_within_patterns_and_holdout(spark):
+@pytest.mark.parametrize("params", [QUICK, TASKS])
+def test_within_patterns_and_holdout(spark, params):
     df, _ = labelled_rows(spark, ("P20", "P36", "P48", "P58"))
-    done = E.within_patterns(df, FEATS, QUICK)
+    done = E.within_patterns(df, FEATS, params)
     assert list(done) == ["LPD"] and {r.fold for r in done["LPD"].scored.collect()} == {"P20", "P36", "P58"}
     ignored = df.withColumn("y", F.when(F.col("row_idx") % 10 == 0, -1).otherwise(F.col("y")))
     rep = E.Representation("hand", FEATS, True)
-    out = E.hold_out(df, ignored, rep, params=QUICK)
+    out = E.hold_out(df, ignored, rep, params=params)
     assert out.scored.count() == 36 and out.metrics().first().fold == "P58"
     with pytest.raises(ValueError):
         E.hold_out(df, df.drop("source"), E.Representation("hand", FEATS), params=QUICK)
     vectors = df.select("patient_id", "source", "row_idx", F.col("y").alias("label"), F.array("f", "g").alias("emb"))
-    other = E.hold_out(vectors, vectors, E.EMBEDDING, params=QUICK)
+    other = E.hold_out(vectors, vectors, E.EMBEDDING, params=params)
     pairs = {r.metric: r for r in E.compare_hold_out(out, other, ("hand", "embedding")).collect()}
     assert set(pairs) == {"bacc", "roc_auc", "f1", "pr_auc"} and pairs["roc_auc"].second > 0.9
     assert sorted(r.feature for r in other.importances.collect()) == ["f0", "f1"]
@@ -274,6 +283,45 @@ def test_few_shot_sweep(spark, monkeypatch):
     assert table[0].acc_std is not None
 
 
+def recursive_tree(x, g, h, depth, rate):
+    """One tree by trying every split between neighbouring values of every column."""
+    best = (1e-12, None, None)
+    score = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    for j in range(x.shape[1] if depth else 0):
+        v = np.where(np.isnan(x[:, j]), -np.inf, x[:, j])
+        values = np.unique(v)
+        for a, b in zip(values[:-1], values[1:]):
+            t = -np.inf if np.isinf(a) else (a + b) / 2
+            left = ~(x[:, j] >= t)
+            if h[left].sum() >= 1 and h[~left].sum() >= 1:
+                gain = score(left) + score(~left) - score(left | True)
+                if gain > best[0] + 1e-9:
+                    best = (gain, j, t)
+    if best[1] is None:
+        return lambda q: np.full(len(q), -rate * g.sum() / (h.sum() + 1))
+    left = ~(x[:, best[1]] >= best[2])
+    parts = [recursive_tree(x[m], g[m], h[m], depth - 1, rate) for m in (left, ~left)]
+    return lambda q: np.where(~(q[:, best[1]] >= best[2]), parts[0](q), parts[1](q))
+
+
+def test_forest_against_recursive_trees():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 3)).round(1)
+    x[rng.random(x.shape) < 0.1] = NAN
+    y = (np.nan_to_num(x[:, 0]) + 0.5 * rng.normal(size=120) > 0).astype(float)
+    w = forest.balanced(y)
+    model, gains = forest.fit(x, y, w, 8, 0.3, 3, 1.0, 1.0, 256, 0)
+    margin, new = np.zeros(120), rng.normal(size=(50, 3))
+    total = np.zeros(50)
+    for _ in range(8):
+        p = 1 / (1 + np.exp(-margin))
+        tree = recursive_tree(x, w * (p - y), w * p * (1 - p), 3, 0.3)
+        margin, total = margin + tree(x), total + tree(new)
+    assert np.allclose(model.margin(x), margin) and np.allclose(model.margin(new), total)
+    assert gains.sum() == pytest.approx(1.0) and gains.argmax() == 0
+    assert np.allclose(forest.Forest.of(model.to_bytes()).margin(new), total)
+
+
 def test_single_pair_gives_no_split():
     x = np.array([[0.0], [1.0]])
     assert np.allclose(fit_and_score(x, np.array([0, 1]), x, 10, 0.3, 4, 1.0, 1), 0.5)   # children too light

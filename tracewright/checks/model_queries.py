@@ -1,4 +1,5 @@
-"""Queries that train models or run whole extractions. They have no SQL; the tests
+"""Queries that train models or run whole extractions, at the published settings. Only what does not depend on
+a model has SQL; the tests
 check them against sequential code on small fixtures."""
 
 from __future__ import annotations
@@ -6,17 +7,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tracewright.checks import views as V
+from tracewright.operators.cleaning import PredictionWeights
 from tracewright.operators import features as X, metrics as M, segments as S
 from tracewright.plans import evaluate as E, extract as P, few_shot as FS, model as L
 from tracewright.plans.tables import materialize
 from tracewright.sources.tables import embedding_columns, read_embeddings
 
-QUICK = L.BoostParams(rounds=3, rate=0.3, depth=2, max_bins=32)
-LIMITS = P.Detection(correlation=0.0)      # the channels of these signals are independent
+# all three rules are on; the channels of these signals are independent, so the limits are low
+LIMITS = P.Detection(correlation=0.05, correlation_share=0.5, prediction=-0.5, prediction_share=0.4)
 RATES = P.Rates(source=256.0, chunk_len=V.CHUNK)
+CANONICAL = ["Fp1", "Fp2", "F7", "T7", "C3", "Pz", "O1", "O2"]
 CHANNELS = ["EEG Fp1", "EEG Fp2", "EEG F7", "EEG T3", "EEG C3", "EEG Pz", "EEG O1", "EEG O2"]
 
 
+PREDICTIONS = PredictionWeights.of(
+    (k, a, b, ((i * 5 + j * 3 + k * 7) % 11 - 3) / 10.0) for k in range(6)
+    for i, a in enumerate(CANONICAL) for j, b in enumerate(CANONICAL) if i != j)
+
+
 def handcrafted(spark, sf) -> DataFrame:
     """16 features of every embedding row, with patient, file and label."""
     rows = V.embedding_rows(spark, sf).withColumn("x", F.col("emb").cast("array<double>")).drop("emb")
@@ -30,19 +38,19 @@ def embedded(spark, sf) -> tuple[DataFrame, list[str]]:
 
 
 def gbt_lopo(spark, sf):
-    return E.leave_one_out(handcrafted(spark, sf), params=QUICK).metrics()
+    return E.leave_one_out(handcrafted(spark, sf)).metrics()
 
 
 def gbt_importance(spark, sf):
-    return L.importance_summary(E.leave_one_out(handcrafted(spark, sf), params=QUICK).importances)
+    return L.importance_summary(E.leave_one_out(handcrafted(spark, sf)).importances)
 
 
 def gbt_seeded(spark, sf):
-    return E.seeded(handcrafted(spark, sf), params=QUICK).metrics()
+    return E.seeded(handcrafted(spark, sf)).metrics()
 
 
 def gbt_patterns(spark, sf):
-    done = E.within_patterns(handcrafted(spark, sf), params=QUICK)
+    done = E.within_patterns(handcrafted(spark, sf))
     parts = [e.metrics().withColumn("pattern", F.lit(g)) for g, e in sorted(done.items())]
     out = parts[0]
     for p in parts[1:]:
@@ -53,19 +61,44 @@ def gbt_patterns(spark, sf):
 def gbt_holdout(spark, sf):
     """Both representations on all rows."""
     tables = ((handcrafted(spark, sf), E.HANDCRAFTED), (V.embedding_rows(spark, sf), E.EMBEDDING))
-    first, second = (E.hold_out(d, d, rep, params=QUICK) for d, rep in tables)
+    first, second = (E.hold_out(d, d, rep) for d, rep in tables)
     return E.compare_hold_out(first, second, ("handcrafted", "embedding"))
 
 
 def gbt_paired(spark, sf):
     emb, names = embedded(spark, sf)
-    first = E.leave_one_out(handcrafted(spark, sf), params=QUICK).metrics()
-    second = E.leave_one_out(emb, names, normalize=False, params=QUICK).metrics()
+    first = E.leave_one_out(handcrafted(spark, sf)).metrics()
+    second = E.leave_one_out(emb, names, normalize=False).metrics()
     return M.paired(first, second)
 
 
 def few_shot_sweep(spark, sf):
-    return FS.few_shot_sweep(handcrafted(spark, sf), max_shots=6, params=L.BoostParams(rounds=20, row_share=1.0))
+    return FS.few_shot_sweep(handcrafted(spark, sf))
+
+
+def _sizes(metrics, keys):
+    return metrics.select(*keys, (F.col("tp") + F.col("fn")).alias("n_pos"), (F.col("fp") + F.col("tn")).alias("n_neg"))
+
+
+def gbt_lopo_sizes(spark, sf):
+    """Rows of both classes that the folds of a real run scored."""
+    return _sizes(E.leave_one_out(handcrafted(spark, sf)).metrics(), ["fold"])
+
+
+def gbt_seeded_sizes(spark, sf):
+    return _sizes(E.seeded(handcrafted(spark, sf)).metrics(), ["fold"])
+
+
+def gbt_importance_sums(spark, sf):
+    """Importances of a fold: one for each feature, together 1."""
+    found = E.leave_one_out(handcrafted(spark, sf)).importances
+    return found.groupBy("fold").agg(F.count_distinct("feature").alias("n"), F.round(F.sum("importance"), 6).alias("total"))
+
+
+def few_shot_coverage(spark, sf):
+    """Rows that the models of every file and n scored."""
+    return FS.few_shot_scores(handcrafted(spark, sf)).groupBy("source", "n_shot").agg(
+        F.count_distinct("row_idx").alias("n_rows"), F.sum("y").alias("n_pos"))
 
 
 def signals(spark, sf) -> DataFrame:
@@ -106,7 +139,7 @@ def extract_annotated(spark, sf):
 
 def _crops(spark, sf):
     segs = S.build_segments(signal_annotations(spark, sf))
-    return P.clean_crops(signals(spark, sf), RATES, segs, signal_weights(spark, sf), limits=LIMITS)
+    return P.clean_crops(signals(spark, sf), RATES, segs, signal_weights(spark, sf), PREDICTIONS, LIMITS)
 
 
 def extract_sliding(spark, sf):
@@ -119,5 +152,17 @@ def extract_events(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     gbt_lopo, gbt_importance, gbt_seeded, gbt_patterns, gbt_holdout, gbt_paired, few_shot_sweep,
+    gbt_lopo_sizes, gbt_seeded_sizes, gbt_importance_sums, few_shot_coverage,
     extract_annotated, extract_sliding, extract_events)}
-ORACLE: dict[str, str] = {}
+
+_ROWS = f"""(SELECT vec_id AS row_idx, {V.patient_sql('vec_id')} AS fold, CAST(label = 0 AS INTEGER) AS y,
+    {V.patient_sql('vec_id')} || '_rec' || (vec_id // 10 % 2) AS source FROM embeddings)"""
+ORACLE = {
+    "gbt_lopo_sizes": f"SELECT fold, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg FROM {_ROWS} GROUP BY 1",
+    "gbt_seeded_sizes": f"""SELECT fold, p - least(p, 5) AS n_pos, n - least(n, 5) AS n_neg
+        FROM (SELECT fold, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n FROM {_ROWS} GROUP BY 1)""",
+    "gbt_importance_sums": f"SELECT DISTINCT fold, CAST(16 AS BIGINT) AS n, CAST(1 AS DOUBLE) AS total FROM {_ROWS}",
+    "few_shot_coverage": f"""SELECT source, CAST(k AS INTEGER) AS n_shot, p + n - 2 * k AS n_rows, p - k AS n_pos
+        FROM (SELECT source, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n FROM {_ROWS} GROUP BY 1), range(1, 21) r(k)
+        WHERE p > k AND n > k""",
+}
