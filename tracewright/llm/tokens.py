@@ -7,18 +7,19 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")       # Spark runs the tasks side by side
 
 MEMO_WORDS = 1_000_000
 MEMO_LENGTH = 64
 CHUNK_CHARS = 1 << 20
+LEARN_WORDS = 512
 
 
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, for a vocabulary whose pre-tokenizer
-    separates letters, digits, blanks and other signs and marks word ends with ``</w>``.
+    separates letters, digits, blanks and other signs, that has no capitals, and that marks word ends with ``</w>``.
 
     No token reaches across a blank, so a text is cut at blanks and line ends, and the ids of
     short words are remembered. The memory is only a cache: it is emptied when full,
@@ -28,6 +29,11 @@ class Encoder:
     def __init__(self, path: str):
         self._tokenizer = Tokenizer.from_file(path)
         self._memo: dict[str, bytes] = {"": b""}
+        # for words of small Latin letters, which need no normal form and are one pre-token each
+        self._plain = Tokenizer.from_file(path)
+        self._plain.normalizer = normalizers.Sequence([])
+        self._plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -37,8 +43,10 @@ class Encoder:
                 for c in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _letters(self, bodies: list[str]) -> list[bytes]:
-        """Words of plain letters, encoded as one text and cut after each word end."""
-        coded = self._tokenizer.encode_batch_fast([" ".join(bodies)], add_special_tokens=False)[0].ids
+        """Words of plain letters, some hundred at once as one text that is cut after each word end."""
+        if len(bodies) > LEARN_WORDS:
+            return [x for i in range(0, len(bodies), LEARN_WORDS) for x in self._letters(bodies[i:i + LEARN_WORDS])]
+        coded = self._plain.encode_batch_fast([" ".join(bodies)], add_special_tokens=False)[0].ids
         ids = np.array(coded, "<u4")
         ends = np.flatnonzero(self._ends[ids]) + 1
         if len(ends) != len(bodies):              # a vocabulary with other rules
@@ -55,8 +63,7 @@ class Encoder:
         for w in pieces:
             tail = w[-1] if w[-1] in ".," else ""
             body = w[:-1] if tail else w
-            # letters that are their own normal form and have one pre-token
-            (simple if body.isalpha() and max(body) < "İ" else other).append((w, body, tail))
+            (simple if body.isalpha() and body.islower() and max(body) < "İ" else other).append((w, body, tail))
         known = self._memo
         bodies = sorted({b for _, b, _ in simple}.difference(known))
         of_body = dict(zip(bodies, self._letters(bodies))) if bodies else {}
@@ -69,7 +76,7 @@ class Encoder:
         held: list[list[str]] = []
         size = 0
         for text in texts:
-            held.append((text or "").replace("\n", " ").split(" "))
+            held.append(_lowered(text or "").replace("\n", " ").split(" "))
             size += len(text or "")
             if size >= CHUNK_CHARS:
                 yield from self._chunk(held)
@@ -91,6 +98,15 @@ class Encoder:
             del self._memo[w]
 
 
+def _lowered(text: str) -> str:
+    """Small letters where that is certain to be what the vocabulary's rule gives: in Latin-1 texts."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else text.lower()          # special tokens are matched before
+
+
 _encoders: dict[str, Encoder] = {}
 
 
