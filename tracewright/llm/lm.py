@@ -36,9 +36,9 @@ class TrieRule:
     """``least``: smallest kept counts of orders 2 and 3. The sizes bound what a task holds and do not change results."""
     least: tuple[int, int] = (2, 2)
     shard_words: int = 1 << 20
-    shard_grams: int = 1 << 22
-    chunk_tokens: int = 1 << 21
-    memo_words: int = 1_000_000
+    shard_grams: int = 1 << 21
+    chunk_tokens: int = 3 << 19
+    memo_words: int = 600_000
 
 
 @dataclass
