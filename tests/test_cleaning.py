@@ -158,3 +158,49 @@ def test_channel_sets_and_subsets(spark):
         (0, "channel given twice: T7"), (2, "channel given twice: O2")]
     draws = CH.ransac_subsets(spark, draws=6).groupBy("sample_id").agg(F.count_distinct("src_channel").alias("n")).collect()
     assert len(draws) == 6 and {r.n for r in draws} == {5}
+
+
+def test_deviation_of_values_that_are_close_together(spark):
+    rng = np.random.default_rng(12)
+    signals = {(0, f"C{c}"): 1e6 + rng.normal(size=500) * 1e-3 * (c + 1) for c in range(4)}
+    signals[0, "C3"][::7] = np.nan
+    signals[0, "C2"] = -np.round(signals[0, "C2"] - 1e6, 3)           # ties, both signs
+    got = {r.channel: r.spread for r in G.channel_deviation(chunk_rows(spark, signals, 64)).collect()}
+    for c in range(4):
+        v = signals[0, f"C{c}"]
+        v = v[~np.isnan(v)]
+        assert got[f"C{c}"] == pytest.approx(0.7413 * (hazen(v, 0.75) - hazen(v, 0.25)), rel=1e-9), c
+
+
+def test_buckets_grow_with_the_values():
+    from tracewright.functions.kernels import value_buckets
+    v = np.sort(np.concatenate([np.random.default_rng(1).normal(size=500) * 10.0 ** np.arange(-250, 250), [0.0, -0.0, np.inf, -np.inf]]))
+    assert (np.diff(value_buckets(v)) >= 0).all()
+
+
+def test_silent_channels_and_drop_outs(spark):
+    signals = random_signals(4, 2, 5, 96)
+    signals[0, "C1"] = np.full(96, 3.0)
+    signals[0, "C2"][5] = np.nan
+    signals[1, "C3"][90] = np.inf
+    signals[1, "C4"][24:48] = 0.5
+    chunks = chunk_rows(spark, signals, 16)
+    got = {(r.recording_id, r.channel, r.reason) for r in G.silent_channels(chunks).collect()}
+    assert got == {(0, "C1", "flat"), (0, "C2", "undefined"), (1, "C3", "undefined")}
+    alive = chunks.filter("NOT (recording_id = 0 AND channel = 'C1')")
+    assert [(r.recording_id, r.channel, r.flat_share) for r in G.drop_outs(alive, 16, 24).collect()] == [(1, "C4", 0.25)]
+
+
+def test_repair_with_ragged_ends(spark):
+    signals = random_signals(5, 1, 3, 40)
+    signals[0, "C2"] = signals[0, "C2"][:25]
+    chunks = chunk_rows(spark, signals, 16)
+    bad = spark.createDataFrame([(0, "C0")], "recording_id bigint, channel string")
+    weights = spark.createDataFrame([("C0", "C0", "C1", 0.5), ("C0", "C0", "C2", 2.0)],
+                                    "bad_set string, bad_channel string, src_channel string, w double")
+    got = joined(G.repair(chunks, bad, weights))
+    a, b = signals[0, "C1"], signals[0, "C2"]
+    fixed = 0.5 * a[:25] + 2.0 * b
+    mean = np.concatenate([(fixed + a[:25] + b) / 3, a[25:]])
+    assert np.allclose(got[0, "C0"], fixed - mean[:25]) and np.allclose(got[0, "C2"], b - mean[:25])
+    assert np.allclose(got[0, "C1"], a - mean)

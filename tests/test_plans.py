@@ -159,6 +159,43 @@ def test_event_features(spark, crops):
         assert np.allclose([g[n] for n in C.FEATURES], feats, rtol=1e-6, atol=1e-14)
 
 
+@pytest.mark.parametrize("average", [True, False])
+def test_feature_dataset(spark, crops, average):
+    made, _, a, *_ = crops
+    rows = P.sliding_features(made, RATES, a)
+    names = spark.createDataFrame([(0, "P20_GHB_1.edf"), (1, "p36_x.edf"), (2, "P9_none.edf")], "recording_id bigint, file_name string")
+    got = P.feature_dataset(rows, names, average).collect()
+    own = rows.collect()
+    windows = {}
+    for r in own:
+        windows.setdefault((r.recording_id, r.onset_sec, r.segment_id, r.s), []).append(r)
+    place = {}
+    for rec in (0, 1):
+        for i, k in enumerate(sorted(k for k in windows if k[0] == rec)):
+            place[rec, i] = windows[k]
+    assert len(got) == (len(place) if average else len(own))
+    for g in got:
+        rec = {"P20_GHB_1.edf": 0, "p36_x.edf": 1}[g.source]
+        assert g.patient_id == ("P20", "P36")[rec]
+        group = [r for r in place[rec, g.row_idx] if average or r.channel == g.channel]
+        assert g.y == group[0].label and g.time_sec == group[0].onset_sec and g.segment_id == group[0].segment_id
+        assert np.allclose([g[n] for n in C.FEATURES], [np.mean([r[n] for r in group]) for n in C.FEATURES], rtol=1e-5, atol=1e-12)
+    counts = {r.source: r for r in P.dataset_counts(P.feature_dataset(rows, names, average)).collect()}
+    assert {s: c.n_windows for s, c in counts.items()} == {n: sum(k[0] == i for k in place) for i, n in ((0, "P20_GHB_1.edf"), (1, "p36_x.edf"))}
+
+
+def test_flat_channels_and_prediction_after_the_others(spark):
+    x = signals()
+    x[0, "EEG T3"] = np.zeros(N)
+    a, _ = annotations(spark)
+    w = spark.createDataFrame([("T7", "T7", s, 0.25) for s in ("Fp1", "C3", "O1", "Pz")],
+                              "bad_set string, bad_channel string, src_channel string, w double")
+    guess = P.G.PredictionWeights.of((0, c, s, 1.0) for c in CLEAN for s in CLEAN if c != s)
+    made = P.clean_crops(chunk_rows(spark, x, 50), RATES, S.build_segments(a), w, guess,
+                         P.Detection(deviation=1e9, correlation=0.0, prediction=-2.0))
+    assert {(r.recording_id, r.channel) for r in made.bad.collect()} == {(0, "T7")} and made.rejected.count() == 0
+
+
 def test_recordings_that_cannot_be_cleaned_are_rejected(spark):
     x = signals()
     report = spark.createDataFrame([(1, "ransac", "T3")], "recording_id bigint, category string, channel string")

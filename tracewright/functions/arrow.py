@@ -148,3 +148,35 @@ def repaired_frame(channels: Column, data: Column, bad: Column, weights: Column,
         rows = pa.StructArray.from_arrays([pa.array(names, pa.string()), to_lists(parts)], names=["channel", "x"])
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), rows)
     return run(channels, data, bad, weights)
+
+
+def bucket_counts(x: Column) -> Column:
+    """Array of (b, n): how many samples of a chunk lie in each value bucket (see ``kernels.value_buckets``)."""
+    @arrow_udf("array<struct<b:bigint,n:bigint>>")
+    def run(x: pa.Array) -> pa.Array:
+        values, offsets = flat(x)
+        found = [np.unique(K.value_buckets(v[~np.isnan(v)]), return_counts=True) for v in np.split(values, offsets[1:-1])]
+        return _structs([f[0] for f in found], ["b", "n"], [np.concatenate([np.empty(0, np.int64), *(f[i] for f in found)])
+                                                           for i in (0, 1)])
+    return run(x)
+
+
+def samples_in_buckets(x: Column, buckets: Column) -> Column:
+    """Array of (b, v): the samples of a chunk that lie in one of the buckets."""
+    @arrow_udf("array<struct<b:bigint,v:double>>")
+    def run(x: pa.Array, buckets: pa.Array) -> pa.Array:
+        values, offsets = flat(x)
+        kept, codes = [], []
+        for v, wanted in zip(np.split(values, offsets[1:-1]), buckets.to_pylist()):
+            v = v[~np.isnan(v)]
+            b = K.value_buckets(v)
+            on = np.isin(b, wanted)
+            kept.append(v[on])
+            codes.append(b[on])
+        return _structs(kept, ["b", "v"], [np.concatenate([np.empty(0, np.int64), *codes]), np.concatenate([np.empty(0), *kept])])
+    return run(x, buckets)
+
+
+def _structs(rows: list[np.ndarray], names: list[str], columns: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(c) for c in columns], names=names))

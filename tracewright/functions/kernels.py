@@ -200,3 +200,10 @@ def subtract_mean(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         count[:len(v)] += 1
     mean = total / np.maximum(count, 1)
     return {c: v - mean[:len(v)] for c, v in x.items()}
+
+
+def value_buckets(v: np.ndarray, bits: int = 6) -> np.ndarray:
+    """Bucket numbers that grow with the values: sign, power of two and ``bits`` leading bits of the fraction."""
+    code = np.ascontiguousarray(v, np.float64).view(np.int64)
+    ordered = np.where(code < 0, -(code & np.int64(2 ** 63 - 1)), code)
+    return ordered >> np.int64(52 - bits)

@@ -16,7 +16,6 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewright.functions import arrays as A, arrow, kernels as K
-from tracewright.operators.ordered import exact_quantiles
 from tracewright.operators.windows import slide_chunks, with_context
 
 RECORDING = ["recording_id"]
@@ -127,10 +126,49 @@ def frames(chunks: DataFrame, chunk_len: int, length: int, keys: list[str] = REC
     return rows.select(*keys, "s", F.col("r")["channel"].alias("channels"), F.col("r")["x"].alias("data"))
 
 
+def channel_quartiles(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact quartiles q1 and q3 (position n q - 1/2) of the samples of every signal in ``keys``.
+
+    First every chunk is counted by value bucket in its own row; from these counts follow the few buckets
+    that hold the ranks asked for, and only their samples are shuffled.
+    """
+    counts = (chunks.select(*keys, F.explode(arrow.bucket_counts(F.col("x"))).alias("_h"))
+              .groupBy(*keys, F.col("_h.b").alias("b")).agg(F.sum("_h.n").alias("n")))
+    w = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("n").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.withColumn("below", before).withColumn("total", F.sum("n").over(w))
+    first, last = F.col("below"), F.col("below") + F.col("n") - 1
+
+    def holds(q: float) -> Column:
+        pos = F.greatest(F.col("total") * F.lit(q) - 0.5, F.lit(0.0))
+        return (last >= F.floor(pos)) & (first <= F.least(F.ceil(pos), F.col("total") - 1))
+
+    wanted = placed.filter(holds(0.25) | holds(0.75)).select(*keys, "b", "below", "total")
+    # at most four buckets for a signal: they fit into one row of it
+    spots = wanted.groupBy(*keys).agg(F.collect_list(F.struct("b", "below")).alias("_spots"), F.max("total").alias("total"))
+    picked = chunks.join(spots, keys).select(*keys, "total", "_spots", F.explode(
+        arrow.samples_in_buckets(F.col("x"), F.col("_spots.b"))).alias("_v"))
+    per = picked.groupBy(*keys, "total", F.col("_v.b").alias("b"), F.col("_v.v").alias("v")).agg(
+        F.count(F.lit(1)).alias("n"), F.first("_spots").alias("_spots"))
+    base = F.filter("_spots", lambda s: s["b"] == F.col("b"))[0]["below"]
+    inside = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = per.withColumn("lo", base + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("lo") <= rank) & (rank < F.col("lo") + F.col("n")), F.col("v")))
+
+    aggs = []
+    for name, q in (("q1", 0.25), ("q3", 0.75)):
+        pos = F.least(F.greatest(F.col("total") * F.lit(q) - 0.5, F.lit(0.0)), (F.col("total") - 1).cast("double"))
+        aggs += [at(F.floor(pos)).alias(f"{name}_lo"), at(F.ceil(pos)).alias(f"{name}_hi"), F.max(pos - F.floor(pos)).alias(f"{name}_part")]
+    found = ranked.groupBy(*keys).agg(*aggs)
+    return found.select(*keys, *[(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_part")).alias(n)
+                                 for n in ("q1", "q3")])
+
+
 def channel_deviation(chunks: DataFrame, keys: list[str] = RECORDING) -> DataFrame:
     """Robust spread of every channel and its robust z-score among the channels."""
-    values = chunks.select(*keys, "channel", F.explode("x").alias("v"))
-    spread = exact_quantiles(values, [*keys, "channel"], "v", {"q1": 0.25, "q3": 0.75}).select(
+    spread = channel_quartiles(chunks, [*keys, "channel"]).select(
         *keys, "channel", (IQR_TO_SD * (F.col("q3") - F.col("q1"))).alias("spread"))
     # one row per signal with its channels, then back: bounded by the number of channels
     together = spread.groupBy(*keys).agg(
@@ -146,6 +184,24 @@ def bad_by_deviation(chunks: DataFrame, keys: list[str] = RECORDING, limit: floa
     return channel_deviation(chunks, keys).filter(F.abs("z") > limit).select(*keys, "channel")
 
 
+def silent_channels(chunks: DataFrame, keys: list[str] = RECORDING, flat: float = 1e-15) -> DataFrame:
+    """Channels without a signal: keys, channel, reason ("undefined" if a sample is NaN or infinite, else
+    "flat" if largest and smallest sample differ by ``flat`` at most)."""
+    odd = F.exists("x", lambda v: F.isnan(v) | (F.abs(v) == float("inf")))
+    per = chunks.groupBy(*keys, "channel").agg(
+        F.max(odd).alias("_odd"), (F.max(F.array_max("x")) - F.min(F.array_min("x"))).alias("_range"))
+    reason = F.when(F.col("_odd"), "undefined").when(F.col("_range") <= flat, "flat")
+    return per.select(*keys, "channel", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def drop_outs(chunks: DataFrame, chunk_len: int, length: int, keys: list[str] = RECORDING, share: float = 0.01) -> DataFrame:
+    """Channels whose signal stands still in more than ``share`` of the windows of ``length``
+    samples: keys, channel, flat_share."""
+    cut = slide_chunks(chunks, chunk_len, length, length, [*keys, "channel"])
+    still = F.when(F.array_max("x") == F.array_min("x"), F.lit(1.0)).otherwise(F.lit(0.0))
+    return cut.groupBy(*keys, "channel").agg(F.avg(still).alias("flat_share")).filter(F.col("flat_share") > share)
+
+
 def _per_channel(framed: DataFrame, score: Column, keys: list[str]) -> DataFrame:
     return framed.withColumn("r", score).select(
         *keys, "s", F.explode(F.arrays_zip("channels", "r")).alias("e")).select(

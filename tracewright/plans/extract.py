@@ -15,7 +15,11 @@ from pyspark.sql import DataFrame, functions as F
 from tracewright import constants as C
 from tracewright.functions import kernels as K
 from tracewright.operators import channels as CH, cleaning as G, features as X, segments as S, windows as W
+from tracewright.operators.ordered import add_position, time_bucket
+from tracewright.operators.segments import HOUR
 from tracewright.plans.tables import materialize
+from tracewright.sources.catalogue import patient_index
+from tracewright.sources.tables import as_event_onset
 
 CROP = ["recording_id", "segment_id"]
 
@@ -88,12 +92,15 @@ def annotation_features(signals: DataFrame, rates: Rates, annotations: DataFrame
 
 @dataclass(frozen=True)
 class Detection:
-    """Limits of the bad-channel detectors."""
+    """Limits of the bad-channel detectors. ``flat``: largest spread of a channel without a signal;
+    ``drop_out_share``: share of one-second windows without any change that a channel may have."""
     deviation: float = 5.0
     correlation: float = 0.4
     correlation_share: float = 0.01
     prediction: float = 0.75
     prediction_share: float = 0.4
+    flat: float = 1e-15
+    drop_out_share: float = 0.01
 
 
 @dataclass(frozen=True)
@@ -130,11 +137,17 @@ def clean_crops(signals: DataFrame, rates: Rates, segments: DataFrame, weights:
     band = G.fir_filter(crops, rates.chunk_len, K.bandpass_taps(C.LOW_HZ, C.HIGH_HZ, rates.source), keys=CROP)
     stored = materialize(band, "filtered")
     second = int(round(rates.source))
-    found = [G.bad_by_deviation(stored, CROP, limits.deviation),
-             G.bad_by_correlation(stored, rates.chunk_len, second, CROP, limits.correlation, limits.correlation_share)]
+    # channels without a signal first, then deviation and correlation; the prediction rule only sees what is left
+    silent = materialize(G.silent_channels(stored, CROP, limits.flat).select(*CROP, "channel"), "silent")
+    alive = stored.join(silent, [*CROP, "channel"], "left_anti")
+    found = [silent, G.bad_by_deviation(alive, CROP, limits.deviation),
+             G.bad_by_correlation(alive, rates.chunk_len, second, CROP, limits.correlation, limits.correlation_share),
+             G.drop_outs(alive, rates.chunk_len, second, CROP, limits.drop_out_share).select(*CROP, "channel")]
     if prediction_weights is not None:
-        found.append(G.bad_by_prediction(stored, rates.chunk_len, 5 * second, prediction_weights, CROP,
-                                         limits.prediction, limits.prediction_share))
+        before = materialize(G.bad_union(*found, present=stored, keys=CROP), "bad-before")
+        rest = stored.join(before, [*CROP, "channel"], "left_anti")
+        found = [before, G.bad_by_prediction(rest, rates.chunk_len, 5 * second, prediction_weights, CROP,
+                                             limits.prediction, limits.prediction_share)]
     bad = materialize(G.bad_union(*found, present=stored, keys=CROP), "bad")
     hopeless = materialize(G.without_weights(bad, weights, CROP, stored.select(*CROP, "channel").distinct()), "hopeless")
     fixed = G.repair(stored.join(hopeless, CROP, "left_anti"), bad, weights, CROP)
@@ -165,3 +178,34 @@ def event_features(crops: CleanCrops, rates: Rates, annotations: DataFrame) -> D
     cut = W.cut_spans(crops.chunks, placed, rates.out_len, ["ord"], signal=CROP)
     meta = placed.select(*CROP, "ord", F.col("onset_sec").alias("center_sec"), "seg_type", "label")
     return X.window_features(cut, rates.target).join(meta, [*CROP, "ord"])
+
+
+def feature_dataset(rows: DataFrame, recordings: DataFrame, channel_average: bool = True) -> DataFrame:
+    """Extraction rows as the stored feature rows that the evaluation plans read.
+
+    ``rows``: any of the three extractions. ``recordings``: recording_id, file_name; the patient is read off
+    the name, recordings without a patient or without a name are left out (see ``unparsed_files``).
+    Returns patient_id, source (the file name), row_idx (by onset over all segments of the file, from 0),
+    y, time_sec, seg_type and segment_id where they exist, and the 16 features in single precision:
+    averaged over the channels, or one row per channel.
+    """
+    timed = as_event_onset(rows).withColumnRenamed("label", "y")
+    window = ["recording_id", "time_sec", *[c for c in ("segment_id", "s", "ord", "row_idx") if c in rows.columns]]
+    meta = [c for c in ("seg_type", "y") if c in timed.columns]
+    kept = [*window, *meta]
+    data = X.channel_average(timed, kept) if channel_average else timed.select(*kept, "channel", *C.FEATURES)
+    data = materialize(data.withColumnsRenamed({"row_idx": "_row"}), "windows")
+    order = ["_row" if c == "row_idx" else c for c in window[1:]]
+    places = data.select("recording_id", *order).distinct().withColumn("_bucket", time_bucket(F.col("time_sec"), HOUR))
+    placed = add_position(places, ["recording_id"], order, "_bucket", "row_idx").drop("_bucket")
+    files = patient_index(recordings.select("recording_id", "file_name")).withColumnRenamed("file_name", "source")
+    out = data.join(placed, ["recording_id", *order]).join(files, "recording_id")
+    columns = ["patient_id", "source", "row_idx", "y", "time_sec", *[c for c in ("segment_id", "seg_type", "channel") if c in out.columns]]
+    return X.as_float(out).select(*columns, *C.FEATURES)
+
+
+def dataset_counts(dataset: DataFrame) -> DataFrame:
+    """patient_id, source, n_windows, n_pos, n_neg of a feature dataset."""
+    return dataset.groupBy("patient_id", "source").agg(
+        F.count_distinct("row_idx").alias("n_windows"), F.count_distinct(F.when(F.col("y") == 1, F.col("row_idx"))).alias("n_pos"),
+        F.count_distinct(F.when(F.col("y") == 0, F.col("row_idx"))).alias("n_neg"))
