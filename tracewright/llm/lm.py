@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -49,8 +49,10 @@ class Model:
     discounts: list[list[float]] = field(default_factory=list)
 
 
-def _hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) >> (64 - HASH_BITS)
+def _hashes(ws: Iterable[bytes]) -> np.ndarray:
+    digest = xxhash.xxh64_digest
+    raw = np.frombuffer(b"".join([digest(w) for w in ws]), ">u8").astype(np.uint64)
+    return raw >> np.uint64(64 - HASH_BITS)
 
 
 # --- level 1 -------------------------------------------------------------------------------------------------
@@ -64,7 +66,7 @@ def build_vocabulary(docs: DataFrame, folder: str, rule: TrieRule) -> Vocabulary
         ends = 0
 
         def rows() -> pd.DataFrame:
-            return pd.DataFrame({"h": [_hash(w) for w in found] + [-1], "n": [*found.values(), ends]})
+            return pd.DataFrame({"h": np.append(_hashes(found).astype(np.int64), -1), "n": [*found.values(), ends]})
 
         for batch in batches:
             for text, train in zip(batch["text"], batch["train"]):
@@ -104,7 +106,7 @@ def _before(sizes: list[int]) -> list[int]:
 
 
 class WordNumbers:
-    """Numbers and counts of words, with a bounded memory of words seen before."""
+    """Numbers and unigram log10 probabilities of words, with a bounded memory of words seen before."""
 
     def __init__(self, vocabulary: Vocabulary, limit: int):
         self._vocabulary, self._limit = vocabulary, limit
@@ -112,7 +114,7 @@ class WordNumbers:
 
     def _forget(self) -> None:
         self._slots: dict[bytes, int] = {}
-        self._ids, self._counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._ids, self._logs = np.zeros(0, np.int32), np.zeros(0)
 
     def learn(self, texts: list[list[bytes]]) -> None:
         if len(self._slots) > self._limit:
@@ -121,16 +123,18 @@ class WordNumbers:
         for ws in texts:
             seen.update(ws)
         new = list(seen.difference(self._slots))
-        hashes = np.array([_hash(w) for w in new], np.uint64)
+        hashes = _hashes(new)
         order = np.argsort(hashes)
-        ids, counts = self._vocabulary.lookup(hashes[order])
+        ids, counts = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        ids[order], counts[order] = self._vocabulary.lookup(hashes[order])
         base = len(self._slots)
-        self._slots.update((new[i], base + k) for k, i in enumerate(order.tolist()))
-        self._ids, self._counts = np.concatenate([self._ids, ids]), np.concatenate([self._counts, counts])
+        self._slots.update(zip(new, range(base, base + len(new))))
+        self._ids = np.concatenate([self._ids, ids.astype(np.int32)])
+        self._logs = np.concatenate([self._logs, self._vocabulary.log_probability(counts)])
 
     def get(self, ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         at = np.fromiter(map(self._slots.__getitem__, ws), np.int64, len(ws))
-        return self._ids[at], self._counts[at]
+        return self._ids[at], self._logs[at]
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, rule: TrieRule) -> DataFrame:
@@ -141,14 +145,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, rule: TrieRule) -> DataFrame
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         numbers = WordNumbers(vocabulary, rule.memo_words)
         end = np.array([vocabulary.words], "<i4")
+        end_log = float(vocabulary.log_probability(np.array(vocabulary.ends)))
         for held in _chunks(batches, ["doc_id", "train", "text"], lambda r: len(r[2] or "") // 4, rule.chunk_tokens // 2):
             texts = [words(t) for _, _, t in held]
             numbers.learn(texts)
             rows = []
             for (doc_id, train, _), ws in zip(held, texts):
-                ids, counts = numbers.get(ws)
-                base = float(vocabulary.log_probability(np.append(counts, vocabulary.ends)).sum())
-                known = int((counts > 0).sum()) + (vocabulary.ends > 0)
+                ids, logs = numbers.get(ws)
+                base = float(logs.sum()) + end_log
+                known = int((ids >= 0).sum()) + (vocabulary.ends > 0)
                 rows.append((doc_id, train, len(ws) + 1, known, base, np.append(ids.astype("<i4"), end).tobytes()))
             yield _frame(rows, ["doc_id", "train", "n_tokens", "n_known", "base_score", "ids"])
 
@@ -382,15 +387,17 @@ def with_pairs(table: DataFrame, vocabulary: Vocabulary, level: Level, rule: Tri
         columns = ["doc_id", "train", "n_tokens", "n_known", "base_score", "ids"]
         for held in _chunks(batches, columns, lambda r: r[2], rule.chunk_tokens):
             ids = np.frombuffer(b"".join(r[5] for r in held), "<i4").astype(np.int64)
-            each, back = np.unique(ids, return_inverse=True)
-            score = vocabulary.log_probability(vocabulary.counts(each))[back]
             has = np.flatnonzero((ids[:-1] != end) & (ids[:-1] >= 0))           # words with a context, less 1
             key = ids[has] * symbols + np.where(ids[has + 1] >= 0, ids[has + 1], end + 1)
             key, inverse = np.unique(key, return_inverse=True)
             pos, rel, lp, bow = level.find(key // symbols, key % symbols)
             pair, number = np.full(len(ids), -1, np.int64), np.full(len(ids), -1, np.int64)
             pair[has + 1], number[has + 1] = pos[inverse], rel[inverse]
-            score[has + 1] = np.where(pos >= 0, lp, bow)[inverse] + np.where(pair[has + 1] >= 0, 0.0, score[has + 1])
+            score = np.zeros(len(ids))
+            score[has + 1] = np.where(pos >= 0, lp, bow)[inverse]
+            single = np.flatnonzero(pair < 0)                    # these need their unigram probability
+            each, back = np.unique(ids[single], return_inverse=True)
+            score[single] += vocabulary.log_probability(vocabulary.counts(each))[back]
             previous = np.concatenate([[-1], pair[:-1]])        # a text ends with its end, which has no successor
             open_ = (previous >= 0) & (pair >= 0)
             lone = (previous >= 0) & (pair < 0)
