@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tracewright.checks import views as V
+from tracewright.checks.views import r, rs
 from tracewright.operators.cleaning import PredictionWeights
 from tracewright.operators import features as X, metrics as M, segments as S
 from tracewright.plans import evaluate as E, extract as P, few_shot as FS, model as L
@@ -137,6 +138,27 @@ def extract_annotated(spark, sf):
                                  signal_report(spark, sf), signal_weights(spark, sf))
 
 
+def recordings(spark, sf) -> DataFrame:
+    """File names of four patients."""
+    ids = signals(spark, sf).select("recording_id").distinct()
+    return ids.withColumn("file_name", F.format_string("P%d_rec_%d.edf", 20 + F.col("recording_id") % 4, "recording_id"))
+
+
+def _dataset(spark, sf) -> DataFrame:
+    rows = extract_annotated(spark, sf)
+    return materialize(P.feature_dataset(rows, recordings(spark, sf)), "dataset")
+
+
+def dataset_windows(spark, sf):
+    """Windows of the feature dataset: patient, file, number, label and time."""
+    return _dataset(spark, sf).select("patient_id", "source", "row_idx", "y", r("time_sec", 6).alias("time_sec"))
+
+
+def signals_to_metrics(spark, sf):
+    """From raw signals and marks to the metrics of every patient."""
+    return E.leave_one_out(_dataset(spark, sf)).metrics()
+
+
 def _crops(spark, sf):
     segs = S.build_segments(signal_annotations(spark, sf))
     return P.clean_crops(signals(spark, sf), RATES, segs, signal_weights(spark, sf), PREDICTIONS, LIMITS)
@@ -153,11 +175,20 @@ def extract_events(spark, sf):
 QUERIES = {f.__name__: f for f in (
     gbt_lopo, gbt_importance, gbt_seeded, gbt_patterns, gbt_holdout, gbt_paired, few_shot_sweep,
     gbt_lopo_sizes, gbt_seeded_sizes, gbt_importance_sums, few_shot_coverage,
-    extract_annotated, extract_sliding, extract_events)}
+    extract_annotated, extract_sliding, extract_events, dataset_windows, signals_to_metrics)}
 
 _ROWS = f"""(SELECT vec_id AS row_idx, {V.patient_sql('vec_id')} AS fold, CAST(label = 0 AS INTEGER) AS y,
     {V.patient_sql('vec_id')} || '_rec' || (vec_id // 10 % 2) AS source FROM embeddings)"""
 ORACLE = {
+    "dataset_windows": f"""
+        WITH e AS (SELECT vec_id // 80 AS recording_id, (vec_id // 8) % 10 AS chunk, label FROM embeddings WHERE vec_id % 8 = 0),
+        n AS (SELECT recording_id, min(n) * 80 // 256 AS n FROM (SELECT vec_id // 80 AS recording_id, vec_id % 8 AS ch, count(*) * 64 AS n
+              FROM embeddings GROUP BY 1, 2) GROUP BY 1),
+        w AS (SELECT recording_id, chunk * 0.25::DOUBLE + 0.1::DOUBLE AS t, CAST(label % 3 = 0 AS INTEGER) AS y, n FROM e JOIN n USING (recording_id)
+              WHERE label % 3 < 2)
+        SELECT 'P' || (20 + recording_id % 4) AS patient_id, 'P' || (20 + recording_id % 4) || '_rec_' || recording_id || '.edf' AS source,
+               row_number() OVER (PARTITION BY recording_id ORDER BY t) - 1 AS row_idx, y, {rs('t', 6)} AS time_sec
+        FROM w WHERE round_even(t * 80, 0) - 40 >= 0 AND round_even(t * 80, 0) + 40 <= n""",
     "gbt_lopo_sizes": f"SELECT fold, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg FROM {_ROWS} GROUP BY 1",
     "gbt_seeded_sizes": f"""SELECT fold, p - least(p, 5) AS n_pos, n - least(n, 5) AS n_neg
         FROM (SELECT fold, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n FROM {_ROWS} GROUP BY 1)""",
