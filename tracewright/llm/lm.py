@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 from tracewright.llm import blobfile
 from tracewright.llm.common import words
 from tracewright.llm.elias_fano import EliasFano
-from tracewright.llm.trie import (HASH_BITS, BOW_ONE, Level, Vocabulary, bow_code, probability_code, write_shard)
+from tracewright.llm.trie import (HASH_BITS, BOW_ONE, Level, Vocabulary, bow_code, make_filter, probability_code,
+                                   write_shard)
 from tracewright.plans.tables import materialize
 from tracewright.session import scratch_path
 
@@ -37,7 +38,7 @@ class TrieRule:
     least: tuple[int, int] = (2, 2)
     shard_words: int = 1 << 20
     shard_grams: int = 1 << 21
-    chunk_tokens: int = 3 << 19
+    chunk_tokens: int = 1 << 21
     memo_words: int = 600_000
 
 
@@ -350,7 +351,7 @@ def build_level(runs: DataFrame, folder: str, symbols: int, least: int, step: fl
                 path = f"{folder}/level-{uuid.uuid4().hex}"
                 write_shard(path, {"keys": (key.astype(np.uint64), width * symbols), "ptr": (pointers, len(n) + 1),
                                    "cum": (np.concatenate([[0], np.cumsum(n)]), int(n.sum()) + 1)},
-                            prob=probability_code(np.log10(p), step), bow=bow)
+                            prob=probability_code(np.log10(p), step), bow=bow, filter=make_filter(key.astype(np.uint64)))
                 yield pd.DataFrame({"shard": [row.shard], "path": [path]})
 
     work = found[["path", "shard", "first_ctx", "last_ctx"]].assign(

@@ -149,8 +149,11 @@ class Level:
                 low, high = self.first_ctx[k], self.last_ctx[k]
                 inside = np.flatnonzero(c <= high)
                 local = c[inside] - low
-                at = f["keys"].find((local * self.symbols + s[inside]).astype(np.uint64))
                 bow[a:b][inside] = f["bow"][local]
+                key = (local * self.symbols + s[inside]).astype(np.uint64)
+                maybe = np.flatnonzero(in_filter(f["filter"], key))
+                at = np.full(len(key), -1, np.int64)
+                at[maybe] = f["keys"].find(key[maybe])
                 hit = at >= 0
                 rows, at, local = inside[hit], at[hit], local[hit]
                 pos[a:b][rows] = at + self.first_pos[k]
@@ -195,6 +198,24 @@ class Level:
         return self.first_pos[k] + j, self.before[k] + int(low), int(high - low)
 
 
+def make_filter(keys: np.ndarray) -> np.ndarray:
+    """One bit in 8 to 16 a key, at a hash of it: most keys that are not there are refused at once."""
+    bits = max(3, int(8 * len(keys) - 1).bit_length())
+    marks = np.zeros(1 << bits, np.uint8)
+    marks[_filter_place(keys, bits)] = 1
+    return np.packbits(marks, bitorder="little")
+
+
+def in_filter(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = _filter_place(keys, 3 + int(len(marks) - 1).bit_length())
+    return (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+
+
+def _filter_place(keys: np.ndarray, bits: int) -> np.ndarray:
+    mixed = (keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def bow_value(code: np.ndarray) -> np.ndarray:
     return (code.astype(np.int64) - BOW_ONE) * BOW_STEP
 
