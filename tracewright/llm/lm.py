@@ -38,7 +38,7 @@ class TrieRule:
     least: tuple[int, int] = (2, 2)
     shard_words: int = 1 << 20
     shard_grams: int = 1 << 21
-    chunk_tokens: int = 1 << 21
+    chunk_tokens: int = 1 << 20
     memo_words: int = 600_000
 
 
