@@ -213,6 +213,11 @@ def test_recordings_that_cannot_be_cleaned_are_rejected(spark):
                           limits=P.Detection(deviation=1e9, correlation=0.0))
     assert {(r.recording_id, r.reason) for r in crops.rejected.collect()} == {(0, "channel given twice: T7")}
     assert {r.recording_id for r in crops.chunks.select("recording_id").distinct().collect()} == {1}
+    rates = spark.createDataFrame([(0, 100.0), (1, 256.0)], "recording_id bigint, sfreq double")
+    crops = P.clean_crops(chunk_rows(spark, x, 50), RATES, S.build_segments(a), spark.createDataFrame([], columns),
+                          limits=P.Detection(deviation=1e9, correlation=0.0), recordings=rates)
+    assert {(r.recording_id, r.reason) for r in crops.rejected.collect()} == {(1, "sampling rate 256.0")}
+    assert {r.recording_id for r in crops.chunks.select("recording_id").distinct().collect()} == {0}
     assert "Join" not in P.clean_crops(chunk_rows(spark, x, 50), RATES, S.build_segments(a), spark.createDataFrame([], columns)
                                        ).spans._jdf.queryExecution().executedPlan().toString()
 

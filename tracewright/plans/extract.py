@@ -60,10 +60,28 @@ class CleanRecordings:
     rejected: DataFrame
 
 
-def clean_recordings(signals: DataFrame, rates: Rates, report: DataFrame, weights: DataFrame) -> CleanRecordings:
+def other_rates(recordings: DataFrame, rates: Rates) -> DataFrame:
+    """Recordings (recording_id, sfreq) that are not sampled at the source rate, as rejects. Run the
+    plan once for every rate that occurs."""
+    wrong = F.col("sfreq").isNull() | (F.abs(F.col("sfreq") - F.lit(rates.source)) > 1e-6 * rates.source)
+    return recordings.filter(wrong).select("recording_id", F.concat(
+        F.lit("sampling rate "), F.coalesce(F.col("sfreq").cast("string"), F.lit("unknown"))).alias("reason"))
+
+
+def _with_rate(signals: DataFrame, rates: Rates, recordings: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    if recordings is None:
+        return signals, None
+    wrong = materialize(other_rates(recordings, rates), "rates")
+    return signals.join(wrong.select("recording_id"), "recording_id", "left_anti"), wrong
+
+
+def clean_recordings(signals: DataFrame, rates: Rates, report: DataFrame, weights: DataFrame,
+                     recordings: DataFrame | None = None) -> CleanRecordings:
     """Whole recordings: band-pass and resample in one pass, replace the channels the
     report names, average reference. ``report``: recording_id, category, channel. A
-    recording that cannot be cleaned is rejected; it would change the mean of all channels."""
+    recording that cannot be cleaned is rejected; it would change the mean of all channels. With ``recordings``
+    (recording_id, sfreq) those of another rate are rejected too."""
+    signals, wrong = _with_rate(signals, rates, recordings)
     up, down = rates.ratio
     raw = signals.select("recording_id", "channel").distinct()
     name = CH.clean_channel(F.col("channel"))
@@ -75,7 +93,7 @@ def clean_recordings(signals: DataFrame, rates: Rates, report: DataFrame, weight
     named = signals.withColumn("channel", name).join(rejected, "recording_id", "left_anti")
     resampled = G.resample(named, rates.chunk_len, up, down, filter_and_resample_taps(rates))
     stored = materialize(resampled, "resampled")
-    return CleanRecordings(G.repair(stored, bad, weights), rejected)
+    return CleanRecordings(G.repair(stored, bad, weights), rejected if wrong is None else rejected.unionByName(wrong))
 
 
 def annotation_features(signals: DataFrame, rates: Rates, annotations: DataFrame, report: DataFrame,
@@ -117,10 +135,12 @@ class CleanCrops:
 
 def clean_crops(signals: DataFrame, rates: Rates, segments: DataFrame, weights: DataFrame,
                 prediction_weights: G.PredictionWeights | None = None,
-                limits: Detection = Detection()) -> CleanCrops:
+                limits: Detection = Detection(), recordings: DataFrame | None = None) -> CleanCrops:
     """Every segment on its own: crop with padding, band-pass, detect and replace bad
     channels at the source rate, average reference, resample. A crop that fails is
-    rejected; the segment ids of the others do not change."""
+    rejected; the segment ids of the others do not change. With ``recordings`` (recording_id, sfreq)
+    the crops of those with another rate are rejected."""
+    signals, wrong = _with_rate(signals, rates, recordings)
     up, down = rates.ratio
     twice = materialize(CH.duplicate_channels(signals.select("recording_id", "channel").distinct()), "rejected")
     # names are an expression: the samples are not joined with anything
@@ -153,7 +173,7 @@ def clean_crops(signals: DataFrame, rates: Rates, segments: DataFrame, weights:
     fixed = G.repair(stored.join(hopeless, CROP, "left_anti"), bad, weights, CROP)
     done = materialize(G.resample(fixed, rates.chunk_len, up, down, keys=CROP), "crops")
     odd = G.non_finite_channels(done, CROP).select(*CROP, "reason")
-    no_names = segments.join(twice, "recording_id").select(*CROP, "reason")
+    no_names = segments.join(twice if wrong is None else twice.unionByName(wrong), "recording_id").select(*CROP, "reason")
     return CleanCrops(spans, done.join(odd, CROP, "left_anti"), bad, hopeless.unionByName(odd).unionByName(no_names))
 
 
