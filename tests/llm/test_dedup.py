@@ -162,3 +162,66 @@ def test_links_are_verified(spark):
     _, links = similar.similar_links(keyed)
     pairs = [(ids[r.a], ids[r.b]) for r in links.collect()]
     assert pairs and all(jaccard(a, b) >= 0.8 for a, b in pairs)
+
+
+def plain_groups(texts):
+    """Groups (as sets of keys) over all pairs of similarity 0.8 or more."""
+    cut = {}
+    for k, t in texts.items():
+        ws = words(t)
+        cut[k] = {" ".join(ws[i:i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+    keys = [k for k in cut if cut[k]]
+    parent = {k: k for k in keys}
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            common = len(cut[a] & cut[b])
+            if 5 * common >= 4 * (len(cut[a]) + len(cut[b]) - common):
+                x, y = find(parent, a), find(parent, b)
+                parent[max(x, y)] = min(x, y)
+    return {k: find(parent, k) for k in keys}
+
+
+@pytest.mark.parametrize("rule", [similar.Similar(), similar.Similar(count_bits=6, apart=0, pivots=2),
+                                  similar.Similar(pivots=0)])
+def test_groups_against_all_pairs_at_the_threshold(spark, rule):
+    import random
+    rng = random.Random(11)
+    texts = []
+    for k in range(60):                                # pairs of similarity 0.80 to 0.85
+        ws = prose(rng, 184 + k, 10 ** 6).split()
+        other, at = list(ws), 5
+        while True:
+            tried = list(other)
+            tried[at] = f"new{k}"
+            if jaccard(" ".join(ws), " ".join(tried)) < 0.8:
+                break
+            other, at = tried, at + 7
+        texts += [" ".join(ws), " ".join(other)]
+    close = [jaccard(texts[i], texts[i + 1]) for i in range(0, 120, 2)]
+    assert all(0.8 <= c <= 0.85 for c in close)
+    for k in range(20):                                # one set within the other: 4 shingles of 5
+        ws = prose(rng, 9, 10 ** 6).split()
+        texts += [" ".join(ws), " ".join(ws[:-1])]
+    for k in range(10):                                # a chain: neighbours are similar, its ends are not
+        ws = prose(rng, 240, 10 ** 6).split()
+        for step in range(6):
+            texts.append(" ".join(ws))
+            for i in (10 + 40 * step // 6 * 5, 20 + 40 * step // 6 * 5):
+                ws[i] = f"step{step}"
+    hot = prose(rng, 100, 10 ** 6).split()             # many copies, of which only some are similar
+    for k in range(120):
+        ws = list(hot)
+        for i in rng.sample(range(100), rng.randrange(1, 4)):
+            ws[i] = f"hot{k}"
+        texts.append(" ".join(ws))
+    docs = table(spark, [(i, t, "en", "s0") for i, t in enumerate(texts)])
+    keyed = docs.selectExpr("doc_id as k", "doc_id", "text")
+    want = plain_groups(dict(enumerate(texts)))
+    _, links = similar.similar_links(keyed, rule)
+    parent = {k: k for k in want}
+    for r in links.collect():
+        x, y = find(parent, r.a), find(parent, r.b)
+        parent[max(x, y)] = min(x, y)
+    assert {k: find(parent, k) for k in want} == want
+    kept = {r.doc_id for r in similar.keep_one_of_similar(docs, rule).collect()}
+    assert kept == set(want.values())
