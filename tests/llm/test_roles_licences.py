@@ -190,3 +190,25 @@ def test_inheritance_against_plain_walk(spark):
 
 def test_scan_empty(spark):
     assert licenses.scan_files(licenses.document_paths(empty(spark)), F.col("line") < 3).count() == 0
+
+
+@pytest.mark.parametrize("n_docs", [10_000, 51_282, 15_000_000])
+def test_commented_and_prefixed_statements_at_any_size(n_docs):
+    """Template terms keep their share of the texts, as in a corpus that grows."""
+    scan = licenses.Scan()
+    share = {b"the": 0.6, b"is": 0.5, b"a": 0.6, b"to": 0.5, b"of": 0.6, b"in": 0.5, b"this": 0.4, b"all": 0.2, b"be": 0.3}
+    df = np.array([n_docs * share.get(t, 0.01) for t in licenses.vocabulary(scan)])
+    matcher = licenses.Matcher(scan, n_docs, df)
+    for text, licence in (("# Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+                          ("// Released under the MIT License.", "MIT"),
+                          (" * SPDX-License-Identifier: MPL-2.0\n * Licensed under the MIT license. */", "MIT"),
+                          ("<!-- Licensed under CC BY-NC 4.0. -->", "CC-BY-NC-4.0"),
+                          ("# Use of this source code is governed by a BSD-style\n# license that can be found in the LICENSE file.",
+                           "BSD-3-Clause"),
+                          ("Foo: Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+                          ("Copyright Acme. All rights reserved.", "proprietary")):
+        found = matcher.best(text)
+        assert found and found[0] == licence, (text, found)
+    for text in ("the work under the public version of general things is licensed to nobody at all today",
+                 "the source of this work is a form of the library", "nothing is reserved here for all of us"):
+        assert matcher.best(text) is None, text

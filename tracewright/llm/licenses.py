@@ -35,8 +35,10 @@ TEMPLATES = [
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("proprietary", "All rights reserved."),
+    ("proprietary", "Copyright. All rights reserved."),
 ]
-_STRIP = b".,;:!?\"'()[]"
+# punctuation, and the signs that start, go on or end a comment
+_STRIP = b".,;:!?\"'()[]{}#/*-<>=%|+~_`"
 
 
 def terms(text: str | None) -> list[bytes]:
@@ -46,9 +48,11 @@ def terms(text: str | None) -> list[bytes]:
 @dataclass(frozen=True)
 class Scan:
     """A line, or two neighbouring lines, with cosine ``least`` or more to a template states its
-    licence. Of equal cosines the first template counts."""
+    licence. Of equal cosines the first template counts. A word weighs ``other`` at
+    most, as an unknown one in a table of 80 texts, so that a word beside a statement weighs no more in a larger table."""
     templates: tuple[tuple[str, str], ...] = tuple(TEMPLATES)
     least: float = 0.75
+    other: float = 5.4
 
 
 class Matcher:
@@ -58,7 +62,8 @@ class Matcher:
     def __init__(self, scan: Scan, n_docs: int, df: np.ndarray):
         self.scan, self.index = scan, vocabulary(scan)
         idf = np.log((n_docs + 1.0) / (df + 1.0)) + 1.0
-        self.idf = np.append(idf, np.log(n_docs + 1.0) + 1.0)                  # last: any other word
+        idf = np.append(idf, np.log(n_docs + 1.0) + 1.0)                       # last: any other word
+        self.idf = np.minimum(idf, scan.other)
         rows = np.zeros((len(scan.templates), len(self.idf)))
         for i, (_, text) in enumerate(scan.templates):
             for t in terms(text):
