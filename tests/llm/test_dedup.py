@@ -164,7 +164,7 @@ def test_links_are_verified(spark):
     assert pairs and all(jaccard(a, b) >= 0.8 for a, b in pairs)
 
 
-def plain_groups(texts):
+def similar_groups(texts):
     """Groups (as sets of keys) over all pairs of similarity 0.8 or more."""
     cut = {}
     for k, t in texts.items():
@@ -216,7 +216,7 @@ def test_groups_against_all_pairs_at_the_threshold(spark, rule):
         texts.append(" ".join(ws))
     docs = table(spark, [(i, t, "en", "s0") for i, t in enumerate(texts)])
     keyed = docs.selectExpr("doc_id as k", "doc_id", "text")
-    want = plain_groups(dict(enumerate(texts)))
+    want = similar_groups(dict(enumerate(texts)))
     _, links = similar.similar_links(keyed, rule)
     parent = {k: k for k in want}
     for r in links.collect():
