@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from tracewright.plans.tables import materialize
 
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
@@ -32,3 +34,18 @@ def few_files(df: DataFrame, per_core: int = 4) -> DataFrame:
     tiny file for each shuffle partition. Partitions are read one after the other by
     a task, so its memory does not grow."""
     return df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def ranked(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with i, the place (from 0) of each among the rows of its key, and n, their number. The keys must not be
+    null. Rows are sorted over all partitions and numbered inside them; only one row for each partition and
+    key is summed up, so a key may hold any part of the rows."""
+    placed = rows.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
+    placed = materialize(placed.withColumn("_at", F.monotonically_increasing_id())
+                         .withColumn("_part", F.shiftright("_at", 33)), "ranked")
+    runs = placed.groupBy(*key, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_m"))
+    whole = Window.partitionBy(*key)
+    before = F.sum("_m").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select(*key, "_part", (F.coalesce(before, F.lit(0).cast("long")) - F.col("_first")).alias("_shift"),
+                       F.sum("_m").over(whole).alias("n"))
+    return placed.join(runs, [*key, "_part"]).withColumn("i", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
