@@ -102,3 +102,12 @@ def test_crop_is_pushed_to_the_scan(spark, tmp_path):
     assert [r.chunk for r in df.orderBy("chunk").collect()] == list(range(20, 40))
     assert "PushedFilters: [IsNotNull(chunk), GreaterThanOrEqual(chunk,20), LessThanOrEqual(chunk,39)]" in (
         df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_stage_tables_are_deleted_when_asked(spark):
+    from tracewright.plans.tables import discard, materialize
+    table = materialize(spark.range(5), "numbers")
+    assert table.count() == 5
+    discard(table)
+    with pytest.raises(Exception):
+        spark.read.parquet(table.stage_path)
