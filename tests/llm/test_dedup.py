@@ -181,8 +181,8 @@ def similar_groups(texts):
     return {k: find(parent, k) for k in keys}
 
 
-@pytest.mark.parametrize("rule", [similar.Similar(), similar.Similar(count_bits=6, apart=0, pivots=2),
-                                  similar.Similar(pivots=0)])
+@pytest.mark.parametrize("rule", [similar.Similar(), similar.Similar(apart=0), similar.Similar(apart=10 ** 9),
+                                  similar.Similar(apart=0, block=3)])
 def test_groups_against_all_pairs_at_the_threshold(spark, rule):
     import random
     rng = random.Random(11)

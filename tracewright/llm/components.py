@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tracewright.plans.tables import materialize
+from tracewright.plans.tables import discard, materialize
 
 
 def connected_components(edges: DataFrame, name: str = "edges") -> DataFrame:
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, name: str = "edges") -> DataFrame:
     now = materialize(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), name)
     before = mark(now)
     while before[0]:
-        now = materialize(star(star(now, True), False), name)
+        old, now = now, materialize(star(star(now, True), False), name)
+        discard(old)
         after = mark(now)
         if after == before:
             break
