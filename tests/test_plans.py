@@ -12,7 +12,7 @@ from tracewright import constants as C
 from tracewright.functions import kernels as K
 from tracewright.functions import forest
 from tracewright.operators import segments as S
-from tracewright.plans import diagnose as D, evaluate as E, extract as P, few_shot as FS, model as L
+from tracewright.plans import boosting, diagnose as D, evaluate as E, extract as P, few_shot as FS, model as L
 
 RATES = P.Rates(source=100.0, chunk_len=50)
 NAMES = ["EEG Fp1", "EEG T3", "EEG C3", "EEG O1", "EEG Pz"]
@@ -302,6 +302,56 @@ def test_within_patterns_and_holdout(spark, params):
     assert sorted(r.feature for r in other.importances.collect()) == ["f0", "f1"]
 
 
+def boosting_rows(spark, nan=True):
+    rng = np.random.default_rng(8)
+    n = 300
+    x = rng.normal(size=(n, 3)).round(1)
+    if nan:
+        x[rng.random(x.shape) < 0.15] = NAN
+    y = (np.nan_to_num(x[:, 0], nan=1.0) + x[:, 1] ** 2 - 1 + 0.4 * rng.normal(size=n) > 0)
+    y = np.where(np.isnan(y), 0, y).astype(int)
+    who = [f"P{i % 4}" for i in range(n)]
+    df = spark.createDataFrame([(who[i], f"{who[i]}_f", i, int(y[i]), *map(float, x[i])) for i in range(n)],
+                               "patient_id string, source string, row_idx bigint, y int, a double, b double, c double")
+    return df.repartition(5), x, y, np.array(who)
+
+
+@pytest.mark.parametrize("flush", [2, 10])
+def test_boosting_on_all_rows_equals_the_model_of_one_task(spark, monkeypatch, flush):
+    monkeypatch.setattr(boosting, "FLUSH_ROUNDS", flush)
+    df, x, y, who = boosting_rows(spark)
+    params = L.BoostParams(rounds=5, rate=0.3, depth=3, row_share=1.0, column_share=1.0, train_rows=None)
+    folds = spark.createDataFrame([("all", [])], "fold string, seeds array<array<double>>")
+    (r,) = boosting.fit_folds(df, folds, ["a", "b", "c"], params).collect()
+    want, gains = forest.fit(x, y.astype(float), forest.balanced(y), 5, 0.3, 3, 1.0, 1.0, 256, 0)
+    assert np.allclose(forest.Forest.of(r.model).margin(x), want.margin(x)) and np.allclose(r.importances, gains)
+    # all folds at once, with a seed row of its own in one of them; cuts are those of all rows
+    monkeypatch.setattr(forest, "_bins", lambda part, bins, whole=x, plain=forest._bins: (
+        plain(np.concatenate([part, whole]), bins)[0][:len(part)], plain(whole, bins)[1]))
+    seed = [0.3, -0.2, 1.1, 1.0, 15.0]
+    folds = spark.createDataFrame([(f"P{i}", [seed] if i == 1 else []) for i in range(4)], "fold string, seeds array<array<double>>")
+    for r in boosting.fit_folds(df, folds, ["a", "b", "c"], params).collect():
+        own = who != r.fold
+        xs, ys, w = x[own], y[own].astype(float), np.ones(own.sum())
+        if r.fold == "P1":
+            xs, ys, w = np.concatenate([xs, [seed[:3]]]), np.append(ys, 1.0), np.append(w, 15.0)
+        want, _ = forest.fit(xs, ys, forest.balanced(ys, w), 5, 0.3, 3, 1.0, 1.0, 256, 0)
+        assert np.allclose(forest.Forest.of(r.model).margin(x), want.margin(x)), r.fold
+
+
+def test_boosting_draws_rows_and_columns(spark):
+    df, x, y, _ = boosting_rows(spark)
+    params = L.BoostParams(rounds=12, rate=0.3, depth=2, row_share=0.5, column_share=0.7, train_rows=None)
+    folds = spark.createDataFrame([("all", [])], "fold string, seeds array<array<double>>")
+    first, again = (boosting.fit_folds(df.repartition(n), folds, ["a", "b", "c"], params).first() for n in (2, 7))
+    p = forest.Forest.of(first.model).probability(x)
+    assert np.allclose(p, forest.Forest.of(again.model).probability(x)) and auc(list(p), list(y)) > 0.85
+    share = boosting._uniform(np.arange(10000) * 7919, 42, 3)
+    assert 0.48 < (share < 0.5).mean() < 0.52
+    none = boosting.fit_folds(df.filter("false"), folds, ["a", "b", "c"], params).first()
+    assert np.allclose(forest.Forest.of(none.model).margin(x), 0)
+
+
 def test_few_shot_sweep(spark, monkeypatch):
     df, rows = labelled_rows(spark, n=60)
     params = L.BoostParams(rounds=6, rate=0.3, depth=3, row_share=1.0)
@@ -326,24 +376,27 @@ def test_few_shot_sweep(spark, monkeypatch):
 
 
 def recursive_tree(x, g, h, depth, rate):
-    """One tree by trying every split between neighbouring values of every column."""
-    best = (1e-12, None, None)
+    """One tree by trying every split between neighbouring values of every column, undefined ones on either side."""
+    best = (1e-9, None, None, None)
     score = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
-    for j in range(x.shape[1] if depth else 0):
-        v = np.where(np.isnan(x[:, j]), -np.inf, x[:, j])
-        values = np.unique(v)
-        for a, b in zip(values[:-1], values[1:]):
-            t = -np.inf if np.isinf(a) else (a + b) / 2
-            left = ~(x[:, j] >= t)
-            if h[left].sum() >= 1 and h[~left].sum() >= 1:
-                gain = score(left) + score(~left) - score(left | True)
-                if gain > best[0] + 1e-9:
-                    best = (gain, j, t)
+    for side in (False, True):
+        for j in range(x.shape[1] if depth else 0):
+            v = x[:, j]
+            values = np.unique(v[~np.isnan(v)])
+            cuts = [] if side else [-np.inf]
+            for t in [*cuts, *(values[:-1] + values[1:]) / 2, np.inf]:
+                left = (v < t) | (np.isnan(v) & (not side))
+                if h[left].sum() >= 1 and h[~left].sum() >= 1:
+                    gain = score(left) + score(~left) - score(left | True)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, j, t, side)
     if best[1] is None:
         return lambda q: np.full(len(q), -rate * g.sum() / (h.sum() + 1))
-    left = ~(x[:, best[1]] >= best[2])
+    _, j, t, side = best
+    where = lambda q: (q[:, j] < t) | (np.isnan(q[:, j]) & (not side))
+    left = where(x)
     parts = [recursive_tree(x[m], g[m], h[m], depth - 1, rate) for m in (left, ~left)]
-    return lambda q: np.where(~(q[:, best[1]] >= best[2]), parts[0](q), parts[1](q))
+    return lambda q: np.where(where(q), parts[0](q), parts[1](q))
 
 
 def test_forest_against_recursive_trees():
@@ -369,7 +422,13 @@ def test_single_pair_gives_no_split():
     assert np.allclose(fit_and_score(x, np.array([0, 1]), x, 10, 0.3, 4, 1.0, 1), 0.5)   # children too light
 
 
-def test_undefined_values_go_left():
+def test_undefined_values_go_where_they_fit():
+    x = np.array([[NAN]] * 5 + [[1.0]] * 5 + [[9.0]] * 5)
+    p = fit_and_score(x, np.array([1] * 5 + [0] * 5 + [1] * 5), np.array([[NAN], [1.0], [9.0]]), 20, 0.3, 1, 1.0, 1)
+    assert p[0] > 0.7 and p[1] < 0.3 and p[2] > 0.7             # right, with the large values
+
+
+def test_undefined_values_alone():
     x = np.array([[NAN], [NAN], [NAN], [NAN], [NAN], [1.0], [1.0], [1.0], [1.0], [1.0]])
     p = fit_and_score(x, np.array([0] * 5 + [1] * 5), np.array([[NAN], [5.0]]), 20, 0.3, 2, 1.0, 1)
     assert p[0] < 0.3 and p[1] > 0.7

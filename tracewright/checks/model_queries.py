@@ -6,11 +6,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tracewright import constants as C
 from tracewright.checks import views as V
 from tracewright.checks.views import r, rs
 from tracewright.operators.cleaning import PredictionWeights
 from tracewright.operators import features as X, metrics as M, segments as S
-from tracewright.plans import evaluate as E, extract as P, few_shot as FS, model as L
+from tracewright.operators.quantiles import quantile_rows, summaries
+from tracewright.plans import boosting as B, evaluate as E, extract as P, few_shot as FS, model as L, task_models as T
 from tracewright.plans.tables import materialize
 from tracewright.sources.tables import embedding_columns, read_embeddings
 
@@ -96,6 +98,41 @@ def gbt_importance_sums(spark, sf):
     return found.groupBy("fold").agg(F.count_distinct("feature").alias("n"), F.round(F.sum("importance"), 6).alias("total"))
 
 
+GRID = [f"g{j}" for j in range(8)]
+
+
+def gbt_first_split(spark, sf):
+    """The first split of the first tree of every fold, on all rows: eight embedding columns in steps of 1/16."""
+    rows = V.embedding_rows(spark, sf).select("patient_id", "source", "row_idx", "y", *[
+        F.floor(F.col("emb")[j].cast("double") * 16).cast("double").alias(n) for j, n in enumerate(GRID)])
+    params = L.BoostParams(rounds=1, depth=1, row_share=1.0, column_share=1.0, train_rows=None)
+    models = B.fit_folds(rows, T.no_seeds(rows), GRID, params)
+    nodes = B.tree_nodes(models, GRID).filter("tree = 0")
+    left, right = (nodes.filter(F.col("node") == i).select("fold", F.col("value").alias(n))
+                   for i, n in ((1, "left_value"), (2, "right_value")))
+    root = nodes.filter("node = 0 AND feature IS NOT NULL").select("fold", "feature", "threshold")
+    return root.join(left, "fold").join(right, "fold").select("fold", "feature", r("threshold", 6).alias("bound"),
+                                                             r("left_value", 6).alias("left_value"), r("right_value", 6).alias("right_value"))
+
+
+def gbt_all_rows(spark, sf):
+    """Leave-one-out with models of ten rounds that see all rows of their folds."""
+    params = L.BoostParams(rounds=10, rate=0.3, train_rows=None)
+    return E.leave_one_out(handcrafted(spark, sf), params=params).metrics()
+
+
+def feature_summaries(spark, sf):
+    """Rows behind the quantile summary of every feature, and whether its median is one to a twentieth of the rows."""
+    rows = handcrafted(spark, sf)
+    found = quantile_rows(summaries(rows, C.FEATURES, size=512, fan_in=4), [0.5])
+    ranks = found.select(F.col("name").alias("_name"), "value")
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("v")) for n in C.FEATURES])).alias("e"))
+    known = long.select("e.name", "e.v").filter(~F.isnan("v")).join(ranks, F.col("name") == F.col("_name"))
+    n, slack = F.count(F.lit(1)), F.count(F.lit(1)) / 20 + 1
+    near = (F.count_if(F.col("v") < F.col("value")) <= n / 2 + slack) & (F.count_if(F.col("v") <= F.col("value")) >= n / 2 - slack)
+    return known.groupBy("name").agg(n.alias("n_rows"), near.alias("median_near"))
+
+
 def few_shot_coverage(spark, sf):
     """Rows that the models of every file and n scored."""
     return FS.few_shot_scores(handcrafted(spark, sf)).groupBy("source", "n_shot").agg(
@@ -174,12 +211,31 @@ def extract_events(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     gbt_lopo, gbt_importance, gbt_seeded, gbt_patterns, gbt_holdout, gbt_paired, few_shot_sweep,
-    gbt_lopo_sizes, gbt_seeded_sizes, gbt_importance_sums, few_shot_coverage,
+    gbt_first_split, gbt_all_rows, feature_summaries, gbt_lopo_sizes, gbt_seeded_sizes, gbt_importance_sums, few_shot_coverage,
     extract_annotated, extract_sliding, extract_events, dataset_windows, signals_to_metrics)}
 
 _ROWS = f"""(SELECT vec_id AS row_idx, {V.patient_sql('vec_id')} AS fold, CAST(label = 0 AS INTEGER) AS y,
     {V.patient_sql('vec_id')} || '_rec' || (vec_id // 10 % 2) AS source FROM embeddings)"""
 ORACLE = {
+    "feature_summaries": "SELECT name, (SELECT count(*) FROM embeddings) AS n_rows, true AS median_near FROM (SELECT unnest(["
+                         + ", ".join(f"'{n}'" for n in C.FEATURES) + "]) AS name)",
+    "gbt_first_split": f"""
+        WITH e AS (SELECT {V.patient_sql('vec_id')} AS p, CAST(label = 0 AS INTEGER) AS y, embedding FROM embeddings),
+        v AS (SELECT p, y, j - 1 AS j, floor(CAST(embedding[j] AS DOUBLE) * 16) AS v FROM e, range(1, 9) t(j)),
+        f AS (SELECT a.p AS fold, (sum(n) - sum(pos)) / sum(pos) AS w FROM (SELECT DISTINCT p FROM e) a
+              JOIN (SELECT p, count(*) AS n, sum(y) AS pos FROM e GROUP BY p) b ON a.p <> b.p GROUP BY a.p),
+        grid AS (SELECT DISTINCT fold, w, j, v FROM v, f),
+        s AS (SELECT g.fold, g.j, g.v, coalesce(sum(CASE WHEN y = 1 THEN -0.5 * w WHEN y = 0 THEN 0.5 END), 0) AS g,
+                     coalesce(sum(CASE WHEN y = 1 THEN 0.25 * w WHEN y = 0 THEN 0.25 END), 0) AS h
+              FROM grid g LEFT JOIN v ON v.j = g.j AND v.v = g.v AND v.p <> g.fold GROUP BY g.fold, g.j, g.v),
+        c AS (SELECT fold, j, v, lead(v) OVER o AS nxt, sum(g) OVER o AS gl, sum(h) OVER o AS hl,
+                     sum(g) OVER a AS gt, sum(h) OVER a AS ht
+              FROM s WINDOW o AS (PARTITION BY fold, j ORDER BY v), a AS (PARTITION BY fold, j)),
+        k AS (SELECT *, round(gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1), 9) AS gain
+              FROM c WHERE nxt IS NOT NULL AND hl >= 1 AND ht - hl >= 1),
+        best AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY gain DESC, j, v) AS i FROM k WHERE gain > 1e-9)
+        SELECT fold, 'g' || j AS feature, {rs('(v + nxt) / 2', 6)} AS bound, {rs('-0.05 * gl / (hl + 1)', 6)} AS left_value,
+               {rs('-0.05 * (gt - gl) / (ht - hl + 1)', 6)} AS right_value FROM best WHERE i = 1""",
     "dataset_windows": f"""
         WITH e AS (SELECT vec_id // 80 AS recording_id, (vec_id // 8) % 10 AS chunk, label FROM embeddings WHERE vec_id % 8 = 0),
         n AS (SELECT recording_id, min(n) * 80 // 256 AS n FROM (SELECT vec_id // 80 AS recording_id, vec_id % 8 AS ch, count(*) * 64 AS n
