@@ -28,7 +28,30 @@ def test_exact_groups(spark, keep, runs, fan_in):
         ids = groups[sha[r.text_sha256]]
         some = [d for d in ids if d is not None]
         best = (min if keep == "min" else max)(some) if some else None
-        assert (r.keep_id, r.group_size, r.kept) == (best, len(ids), r.doc_id == best)
+        assert (r.keep_id, r.group_size) == (best, len(ids)) and (not r.kept or r.doc_id == best)
+    assert sorted(r.text_sha256 for r in got if r.kept) == sorted(sha)              # one row of every text
+
+
+def test_exact_repeated_rows(spark):
+    rows = [(5, "t", "en", "s"), (5, "t", "en", "s"), (3, "t", "en", "s"), (None, "u", "en", "s"), (None, "u", "en", "s"), (None, None, "en", "s"),
+            (9, "", "en", "s")]
+    got = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in exact_dedup.exact_groups(table(spark, rows), "max").collect())
+    assert got == [("3", "5", 3, False), ("5", "5", 3, False), ("5", "5", 3, True), ("9", "9", 2, True), ("None", "9", 2, False),
+                   ("None", "None", 2, False), ("None", "None", 2, True)]
+    assert exact_dedup.keep_one(table(spark, rows), "max").count() == 3
+
+
+def test_exact_rounds_move_no_rows(spark):
+    rows = exact_dedup.digests(table(spark)).selectExpr(
+        "seq % 4 as run", *exact_dedup.KEY, "struct(true as o, doc_id, seq) as best", "1L as group_size")
+    level = exact_dedup._Runs(exact_dedup.merge_round(rows, 1, "max").repartition(8, "digest"), 8)
+    again = exact_dedup.merge_round(level.rows(), 2, "max")
+    assert again.count() > 0
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    before = {t.name for t in spark.catalog.listTables()}
+    level.drop()
+    assert before - {t.name for t in spark.catalog.listTables()} == {level._name}
 
 
 def test_exact_keep_one(spark):
