@@ -76,7 +76,7 @@ def chain(rng, n):
 SMALL = lm.TrieRule(shard_words=16, shard_grams=40, chunk_tokens=300, memo_words=50)
 
 
-@pytest.mark.parametrize("rule", [lm.TrieRule(), SMALL, lm.TrieRule(least=(3, 2), shard_grams=97)])
+@pytest.mark.parametrize("rule", [lm.TrieRule(), SMALL, lm.TrieRule(least=(2, 2)), lm.TrieRule(least=(3, 2), shard_grams=97)])
 def test_language_model(spark, rule):
     rng = random.Random(6)
     rows = documents(30) + [(500 + i, chain(rng, rng.randrange(5, 120)), "en", "s") for i in range(60)]

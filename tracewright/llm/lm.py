@@ -3,7 +3,8 @@
 Back-off model of order 3 with modified Kneser-Ney discounts, estimated from the counts of
 counts: a kept n-gram has (count - discount) / count of its context, any other the back-off
 weight of the context times the probability one order down. The unigrams are add-one
-estimates. Pairs and triples that occur once are not kept (their mass goes into the back-off weights).
+estimates. All pairs and triples are kept; a caller may raise ``least``, and the mass of those that go is then part of the
+back-off weights.
 
 Counting: every task sorts the n-grams of some million tokens and sends one coded run of distinct keys to each shard; a
 shard is a range of keys, with bounds taken from the running counts of the order below, so that a
@@ -35,7 +36,7 @@ from tracewright.session import scratch_path
 @dataclass(frozen=True)
 class TrieRule:
     """``least``: smallest kept counts of orders 2 and 3. The sizes bound what a task holds and do not change results."""
-    least: tuple[int, int] = (2, 2)
+    least: tuple[int, int] = (1, 1)
     shard_words: int = 1 << 20
     shard_grams: int = 1 << 21
     chunk_tokens: int = 1 << 20
