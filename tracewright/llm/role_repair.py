@@ -105,6 +105,15 @@ def path(roles: list[int], entry: int, exit_state: int, table: dict) -> list[tup
     return out[::-1]
 
 
+def escape(text: str) -> str:
+    """A text that opens no turn of its own: every ``<|`` gets a second bar, which marks never have. ``unescape`` undoes it."""
+    return text.replace("<|", "<||")
+
+
+def unescape(text: str) -> str:
+    return text.replace("<||", "<|")
+
+
 def _role_code(role) -> int:
     return ROLES.index(role) if role in ROLES[1:] else START
 
@@ -152,7 +161,7 @@ def repair(turns: DataFrame, costs: Costs = Costs(), chunk: int = CHUNK) -> Data
 
     One row per input turn and per inserted turn: conv_id, position (of the turn in the repaired
     sequence), part (0 opens the turn, above 0 are merged pieces in order), role, action (keep, relabel, merge,
-    insert), rendered, last, cost. The ``rendered`` pieces in order of (position, part) are the
+    insert), rendered, last, cost. Marks inside texts are escaped. The ``rendered`` pieces in order of (position, part) are the
     conversation's text, closed by the row with ``last``; cost is that of the whole conversation.
 
     Turns are ordered by turn (nulls last), then role and text, so repeated rows are repeated turns. A null
@@ -211,7 +220,7 @@ def repair(turns: DataFrame, costs: Costs = Costs(), chunk: int = CHUNK) -> Data
                     at, part = at + 1, 0
                     add(x, "insert", "")
                 at, part = (at, part + 1) if merged else (at + 1, 0)
-                add(state, "merge" if merged else "keep" if role == state else "relabel", row[5] or "")
+                add(state, "merge" if merged else "keep" if role == state else "relabel", escape(row[5] or ""))
             if final:
                 for x in finish(exit_state, costs)[1]:
                     at, part = at + 1, 0
