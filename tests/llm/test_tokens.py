@@ -3,11 +3,13 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from text_fixtures import documents, empty, prose, table
 from tokenizers import Tokenizer
 
 from tracewright.llm import packing, token_file, tokens
 from tracewright.llm.queries import VOCABULARY
+from tracewright.plans.tables import materialize
 
 
 @pytest.fixture(scope="module")
@@ -115,6 +117,20 @@ def test_best_fit_against_plain_program(rule):
     assert ((free.T <= capacity.limits() + 1e-9).all(1) | alone).all()
 
 
+def test_rows_without_id_are_spread(spark):
+    rows = [(None, 0, 0, 100, 1)] * 3000 + [(7, 0, 0, 50, 1)] * 3000
+    pieces = materialize(spark.createDataFrame(rows, packing.PIECES), "pieces")
+    out = packing.pack(pieces, group_items=500)
+    sizes = [r["count"] for r in out.groupBy((F.col("sequence_id") % 12).alias("g")).count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 800 and out.count() == 6000
+
+
+def test_ids_must_fit(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    with pytest.raises(Exception, match="do not fit"):
+        token_file.write_files(docs, str(tmp_path / "ids"), VOCABULARY, 70_000, dtype="<u2").collect()
+
+
 def test_few_sequences(spark):
     import random
     rng = random.Random(5)

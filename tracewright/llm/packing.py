@@ -99,7 +99,7 @@ def vector_best_fit(sizes: np.ndarray, capacity: Capacity) -> np.ndarray:
 def pack(pieces: DataFrame, capacity: Capacity = Capacity(), group_items: int = GROUP_ITEMS) -> DataFrame:
     """Add sequence_id and offset to the pieces (doc_id, piece, length, ...), which should be a stored table.
 
-    Pieces are dealt by hash into groups of about ``group_items``; each group is packed in
+    Pieces are dealt by a hash of their number in the table (ids may be null or repeat) into groups of about ``group_items``; each group is packed in
     one task, longest pieces first. Groups share no bins, which costs about one partly
     filled sequence per group. Pieces of one document may lie in different sequences.
     """
@@ -117,7 +117,7 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity(), group_items: int =
         part["offset"] = part.groupby("sequence_id", sort=False)["length"].cumsum() - part["length"]
         return part.drop(columns="_group")
 
-    grouped = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
+    grouped = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     return grouped.groupBy("_group").applyInPandas(fill, schema)
 
 

@@ -46,12 +46,14 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int, dtyp
 
     Null texts count as empty. Repeated ids are kept next to each other, the texts in
     their own order; a null id is stored as the smallest 64-bit integer. An empty table gives no file.
-    ``dtype`` must hold every id of the vocabulary (``<u2`` or ``<u4``).
+    ``dtype`` must hold every id of the vocabulary (``<u2`` or ``<u4``), else an error is raised.
     """
     lowest = -SIGN
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        if max(coder.largest, end_id) > np.iinfo(dtype).max:
+            raise ValueError(f"ids up to {max(coder.largest, end_id)} do not fit into {dtype}")
         made, keys, lengths, parts, held = [], [], [], [], 0
         for batch in batches:
             for key, coded in zip(batch["doc_id"].tolist(), coder.encode(batch["text"].tolist())):

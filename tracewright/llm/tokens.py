@@ -38,6 +38,11 @@ class Encoder:
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
+    @property
+    def largest(self) -> int:
+        """The largest id of the vocabulary."""
+        return len(self._ends) - 1
+
     def _coded(self, pieces: list[str]) -> list[bytes]:
         return [array("I", c.ids).tobytes()
                 for c in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
