@@ -130,3 +130,16 @@ def test_sweep_without_usable_files(spark):
     empty = M.fold_metrics(spark.createDataFrame([], "n_shot int, source string, y int, proba double"), ["n_shot", "source"])
     row = M.sweep_table(empty, usage).first()
     assert row.tp_sum == 0 and np.isnan(row.acc) and np.isnan(row.acc_std)
+
+
+@pytest.mark.parametrize("spread", [1e-9, 1e9])
+def test_value_ranges_are_even_for_any_spread(spark, spread):
+    from tracewright.operators import ordered as O
+    n = 200_000
+    df = spark.range(n).selectExpr("'k' as k", f"1 + {spread} * (pmod(id * 7919, {n}) / {n}.0d) as v", "cast(id % 3 = 0 as int) as y")
+    stored = O.counts_by_value(df, ["k"], "v", {"pos": F.col("y"), "neg": 1 - F.col("y")})
+    sizes = [r["count"] for r in stored.groupBy("_bucket").count().collect()]
+    assert sum(sizes) == stored.count() and len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / 8
+    won = O.pairs_won(df, ["k"], "v", F.col("y"), 1 - F.col("y")).first()
+    pos, neg = -(-n // 3), n - -(-n // 3)
+    assert (won.pos, won.neg) == (pos, neg) and abs(won.wins / (pos * neg) - 0.5) < 0.01

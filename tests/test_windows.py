@@ -1,7 +1,6 @@
 """Window positions, labels and samples against sequential code."""
 
 import numpy as np
-from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from helpers import ANNOTATIONS, chunk_rows, joined, random_signals
@@ -93,28 +92,6 @@ def test_slide_chunks(spark):
         assert all(np.array_equal(r.x, signals[0, r.channel][r.s:r.s + length]) for r in got)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.floats(1e-200, 1e200), st.floats(1e-200, 1e200), st.booleans(), st.booleans())
-def test_value_bucket_formula_is_monotone(a, b, na, nb):
-    def bucket(v):
-        size = abs(v)
-        p = np.floor(np.log(size) / np.log(2.0))
-        code = (p + 1100) * 1024 + np.floor((size / 2.0 ** p - 1) * 1024)
-        return -code if v < 0 else code
-    a, b = (-a if na else a), (-b if nb else b)
-    if a <= b:
-        assert bucket(a) <= bucket(b)
-
-
-def test_value_bucket_on_hard_values(spark):
-    v = sorted([0.0, -0.0, 1.0, -1.0, 8.0, np.nextafter(8, 0), np.nextafter(8, 9), 1e-310, 0.5, 1 / 3, 1e300,
-                float("inf"), float("-inf"), -3.7, 1e-12] + [2.0 ** k for k in range(-60, 60)]
-               + [np.nextafter(2.0 ** k, 0) for k in range(-60, 60)])
-    df = spark.createDataFrame([(float(x),) for x in v] + [(float("nan"),)], "v double").coalesce(1)
-    got = [r.b for r in df.select(O.value_bucket(F.col("v")).alias("b")).collect()]
-    assert got == sorted(got)
-
-
 def test_positions_and_quantiles(spark):
     rng = np.random.default_rng(5)
     rows = [(int(k), float(t), i) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 500), rng.integers(0, 40, 500)))]

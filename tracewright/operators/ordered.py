@@ -3,14 +3,16 @@
 A recording, a fold or a feature may hold a large share of all rows, so a window
 over the key alone would end in one task. Each helper splits the key into buckets
 that follow the order, runs the window inside a bucket, and carries one small row
-per bucket across the buckets of the key. Buckets are plain functions of the row,
-so a recomputed task gives the same result.
+per bucket across the buckets of the key. Buckets of times are plain functions of the row;
+those of values are ranges that Spark draws from the data, stored once, so a recomputed task gives the same result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tracewright.plans.tables import materialize
+
 _BUCKET = "_bucket"
 
 
@@ -18,21 +20,6 @@ def time_bucket(sec: Column, width: float) -> Column:
     return F.floor(sec / F.lit(float(width))).cast("bigint")
 
 
-def value_bucket(value: Column, bits: int = 10) -> Column:
-    """Monotone bucket number of a double: sign, power of two, ``bits`` leading
-    bits of the fraction. NaN goes last."""
-    size = F.abs(value)
-    power = F.floor(F.log2(size)).cast("bigint")
-    fraction = F.floor((size / F.pow(F.lit(2.0), power) - 1.0) * float(2 ** bits)).cast("bigint")
-    code = (power + 1100) * (2 ** bits) + fraction
-    top = 4000 * 2 ** bits
-    bucket = (F.when(F.isnan(value), F.lit(top + 1))
-              .when(size == float("inf"), F.signum(value).cast("bigint") * top)
-              .when(size < 1e-300, F.lit(0).cast("bigint"))
-              .when(value < 0, -code).otherwise(code))
-    return F.coalesce(bucket, F.lit(-top - 1).cast("bigint"))     # never null: no null checks before the scan
-
-
 def add_position(df: DataFrame, keys: list[str], order: list[str], bucket: str, name: str) -> DataFrame:
     """0-based row number inside each key. The ``bucket`` column must not decrease along
     ``order``. ``df`` is read twice (sizes and rows): store it first when it is costly."""
@@ -66,14 +53,21 @@ def add_previous(df: DataFrame, keys: list[str], order: list[str], bucket: str,
 
 
 def counts_by_value(df: DataFrame, keys: list[str], value: str, counts: dict[str, Column]) -> DataFrame:
-    """One row per distinct value of a key with the named sums and its bucket. Equal
+    """One row per distinct value of a key with the named sums and its bucket, as a stored table. Equal
     values are pre-aggregated before the shuffle, so ties cost one row. Rows with a
     null key or value are left out."""
     known = df
     for c in (*keys, value):
         known = known.filter(F.col(c).isNotNull())
-    return (known.groupBy(*keys, value).agg(*[F.sum(e).cast("bigint").alias(c) for c, e in counts.items()])
-            .withColumn(_BUCKET, value_bucket(F.col(value).cast("double"))))
+    return in_ranges(known.groupBy(*keys, value).agg(*[F.sum(e).cast("bigint").alias(c) for c, e in counts.items()]), [*keys, value])
+
+
+def in_ranges(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` as a stored table with a bucket that does not decrease along ``order``. The bounds are quantiles of the rows
+    themselves, so buckets hold about equally many, however close or far apart the values lie."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(parts, *order).withColumn(_BUCKET, F.spark_partition_id())
+    return materialize(placed, "ranges")
 
 
 def _before(order: str, *keys: str):
