@@ -9,6 +9,7 @@ from tracewright.checks.views import r, rs, sql
 from tracewright.functions import text as T
 from tracewright.operators import channels as CH, features as X, segments as S, windows as W
 from tracewright.sources import catalogue as CAT, report as R, tables as B
+from tracewright.plans.tables import materialize
 from tracewright.session import scratch_path
 
 RAW_CHANNELS = ["EEG Fp1", "EEG T3 ", " EEG T5", "Cz", "EEG EKG", "T8", "EEG EEG O1", "Pz ", "A1", "EEG T6", "fp2"]
@@ -137,10 +138,15 @@ def embedding_reader(spark, sf):
     return rows.select("vec_id", "y", *[r(n).alias(n) for n in names])
 
 
+def crop_scan(spark, sf):
+    """Samples 100 to 299 of the stored recordings."""
+    return B.crop_samples(materialize(V.chunks(spark, sf), "chunks"), V.CHUNK, 100, 299)
+
+
 QUERIES = {f.__name__: f for f in (
     catalogue, patient_index, files_per_patient, channel_clean, channel_set, time_text, report_channels,
     report_interpolation, rejects, missing_recordings, window_defaults, roundtrip_parquet, roundtrip_csv,
-    embedding_reader)}
+    embedding_reader, crop_scan)}
 
 _FILES = """
 SELECT CASE WHEN k % 7 = 0 THEN 'p' || (k % 40) || '_A_' || k WHEN k % 7 = 1 THEN 'X' || k WHEN k % 7 = 2 THEN 'P28_' || k
@@ -192,6 +198,7 @@ ORACLE = {
     "roundtrip_parquet": sql(f"""SELECT CASE WHEN ord % 2 = 0 THEN 'annot_centered' ELSE 'features' END AS dataset, 'P' || (recording_id % 10) AS patient_id,
         recording_id, ord, {rs('onset_sec')} AS time_sec, CASE WHEN ord % 2 = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS window_sec FROM annotations""", "annotations"),
     "roundtrip_csv": sql("SELECT patient_id, count(*) AS n, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg FROM scored GROUP BY 1", "scored"),
+    "crop_scan": sql("SELECT recording_id, channel, idx, v FROM samples WHERE idx BETWEEN 100 AND 299", "samples"),
     "embedding_reader": "SELECT vec_id, label AS y, " + ", ".join(
         f"{rs(f'CAST(embedding[{i + 1}] AS DOUBLE)')} AS f{i}" for i in range(64)) + " FROM embeddings",
 }

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tracewright import constants as C
 from tracewright.checks import views as V
 from tracewright.checks.views import LINE_FEATURES, r, rs, sql
 from tracewright.operators import metrics as M, splits as S, stats as N
 from tracewright.operators.channels import pattern
+from tracewright.session import scratch_path
+from tracewright.sources import tables as B
 
 DATASETS = ["TRAIN", "P58_F", "P58_O", "MISSING"]
 
@@ -180,6 +182,25 @@ def hard_errors_overall(spark, sf):
     return M.hard_errors(V.scored(spark, sf), k=7).withColumn("proba", r("proba", 8))
 
 
+def _through_file(made: DataFrame, name: str) -> DataFrame:
+    """The result as written to its file and read again."""
+    path = scratch_path(made.sparkSession, name)
+    B.write_csv(made, path, single_file=True)
+    return B.read_csv(made, path)
+
+
+def hard_error_file(spark, sf):
+    return _through_file(hard_errors(spark, sf), "hard-errors")
+
+
+def sweep_file(spark, sf):
+    return _through_file(sweep_table(spark, sf), "sweep")
+
+
+def holdout_file(spark, sf):
+    return _through_file(metric_pairs(spark, sf), "hold-out")
+
+
 def accuracy_by_patient(spark, sf):
     return _round(M.accuracy_by_patient(_metrics(spark, sf)), "acc")
 
@@ -223,7 +244,7 @@ QUERIES = {f.__name__: f for f in (
     holdout_split, dataset_filter, few_shot_counts, few_shot_split, few_shot_usage, seed_rows, seeded_folds,
     seeded_weights, fold_metrics, roc_pr, fold_summary, aggregate_confusion, worst_folds, hard_errors,
     hard_errors_overall, accuracy_by_patient, paired_representation, unpaired_patients, metric_pairs,
-    sweep_table, pattern_lookup)}
+    sweep_table, hard_error_file, sweep_file, holdout_file, pattern_lookup)}
 
 NAN = "CAST('NaN' AS DOUBLE)"
 
@@ -390,3 +411,4 @@ ORACLE = {
             "m": _metrics_sql("n_shot, source", "t")}),
     "pattern_lookup": sql(f"SELECT row_idx, {_PATTERN.format('p')} AS pattern FROM (SELECT row_idx, CASE WHEN row_idx % 11 = 0 THEN 'P99' ELSE patient_id END AS p FROM scored)", "scored"),
 }
+ORACLE |= {"hard_error_file": ORACLE["hard_errors"], "sweep_file": ORACLE["sweep_table"], "holdout_file": ORACLE["metric_pairs"]}
