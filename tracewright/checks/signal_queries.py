@@ -94,11 +94,11 @@ def bad_deviation(spark, sf):
 
 
 def bad_correlation(spark, sf):
-    return G.correlation_share(V.chunks(spark, sf), V.CHUNK, FRAME, limit=0.35).withColumn("low_share", r("low_share"))
+    return G.correlation_share(V.chunks(spark, sf), V.CHUNK, FRAME, limit=0.35).drop("error").withColumn("low_share", r("low_share"))
 
 
 def ransac_vote(spark, sf):
-    s = G.prediction_share(V.chunks(spark, sf), V.CHUNK, FRAME, PREDICTIONS, limit=0.05)
+    s = G.prediction_share(V.chunks(spark, sf), V.CHUNK, FRAME, PREDICTIONS, limit=0.05).drop("error")
     return s.withColumn("low_share", r("low_share"))
 
 

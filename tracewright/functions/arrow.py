@@ -9,7 +9,9 @@ from pyspark.sql.functions import arrow_udf
 
 from tracewright import constants as C
 from tracewright.functions import kernels as K
+from tracewright.functions.guarded import value_or_error
 
+_SCORES = "struct<value:array<double>,error:string>"
 FEATURE_STRUCT = "struct<" + ",".join(f"{f}:double" for f in C.FEATURES) + ">"
 
 
@@ -47,12 +49,26 @@ def window_feature_struct(x: Column, fs: Column | float) -> Column:
     """The 16 features of a window as a struct. A window without samples gives null fields."""
     @arrow_udf(FEATURE_STRUCT)
     def run(x: pa.Array, fs: pa.Array) -> pa.Array:
-        values, offsets = flat(x)
-        out = np.full((len(x), len(C.FEATURES)), np.nan)
-        for rows, length, rate in _same_shape_groups(offsets, fs.to_numpy(zero_copy_only=False)):
-            if length:
-                out[rows] = K.all_features(_rows(values, offsets, rows, length), rate)
-        return pa.StructArray.from_arrays([pa.array(c) for c in out.T], names=C.FEATURES)
+        return _feature_rows(x, fs)
+    return run(x, _rate(fs))
+
+
+def _feature_rows(x: pa.Array, fs: pa.Array) -> pa.Array:
+    values, offsets = flat(x)
+    out = np.full((len(x), len(C.FEATURES)), np.nan)
+    for rows, length, rate in _same_shape_groups(offsets, fs.to_numpy(zero_copy_only=False)):
+        if length:
+            out[rows] = K.all_features(_rows(values, offsets, rows, length), rate)
+    return pa.StructArray.from_arrays([pa.array(c) for c in out.T], names=C.FEATURES)
+
+
+def window_features_or_error(x: Column, fs: Column | float) -> Column:
+    """(value, error) of every window: the features as a struct, or what the window raised."""
+    kind = pa.struct([(f, pa.float64()) for f in C.FEATURES])
+
+    @arrow_udf(f"struct<value:{FEATURE_STRUCT},error:string>")
+    def run(x: pa.Array, fs: pa.Array) -> pa.Array:
+        return value_or_error(_feature_rows, [x, fs], kind)
     return run(x, _rate(fs))
 
 
@@ -100,10 +116,13 @@ def _frames(data: pa.Array):
 
 def frame_best_correlation(data: Column, q: float) -> Column:
     """Per channel of a frame (array of channel arrays) the q-quantile of its
-    absolute correlation with the other channels."""
-    @arrow_udf("array<double>")
-    def run(data: pa.Array) -> pa.Array:
+    absolute correlation with the other channels: (value, error), one of them null."""
+    def scores(data: pa.Array) -> pa.Array:
         return to_lists([K.best_correlation(m, q) for m in _frames(data)])
+
+    @arrow_udf(_SCORES)
+    def run(data: pa.Array) -> pa.Array:
+        return value_or_error(scores, [data], pa.list_(pa.float64()))
     return run(data)
 
 
@@ -111,11 +130,10 @@ def frame_prediction_correlation(channels: Column, data: Column, names: list[str
                                  weights: np.ndarray) -> Column:
     """Per channel of a frame its correlation with the median prediction. ``weights``
     is (predictions, names, names); channels that are not in a frame weigh nothing, channels
-    without weights get NaN."""
+    without weights get NaN. Gives (value, error), one of them null."""
     at = {name: i for i, name in enumerate(names)}
 
-    @arrow_udf("array<double>")
-    def run(channels: pa.Array, data: pa.Array) -> pa.Array:
+    def scores(channels: pa.Array, data: pa.Array) -> pa.Array:
         out = []
         for present, m in zip(channels.to_pylist(), _frames(data)):
             known = [i for i, c in enumerate(present) if c in at]
@@ -125,6 +143,10 @@ def frame_prediction_correlation(channels: Column, data: Column, names: list[str
                 score[known] = K.prediction_correlation(m[known], weights[:, pick][:, :, pick])
             out.append(score)
         return to_lists(out)
+
+    @arrow_udf(_SCORES)
+    def run(channels: pa.Array, data: pa.Array) -> pa.Array:
+        return value_or_error(scores, [channels, data], pa.list_(pa.float64()))
     return run(channels, data)
 
 

@@ -203,14 +203,29 @@ def drop_outs(chunks: DataFrame, chunk_len: int, length: int, keys: list[str] =
 
 
 def _per_channel(framed: DataFrame, score: Column, keys: list[str]) -> DataFrame:
-    return framed.withColumn("r", score).select(
-        *keys, "s", F.explode(F.arrays_zip("channels", "r")).alias("e")).select(
-        *keys, "s", F.col("e.channels").alias("channel"), F.col("e.r").alias("r"))
+    """One row per channel and frame: r, or the error of the frame for all its channels."""
+    scored = framed.withColumn("_r", score).withColumn("error", F.col("_r.error")).withColumn(
+        "r", F.coalesce("_r.value", F.array().cast("array<double>")))              # zipped with nulls then
+    return scored.select(*keys, "s", "error", F.explode(F.arrays_zip("channels", "r")).alias("e")).select(
+        *keys, "s", F.col("e.channels").alias("channel"), F.col("e.r").alias("r"), "error")
 
 
 def _low_share(scores: DataFrame, limit: float, keys: list[str]) -> DataFrame:
+    """keys, channel, low_share; null where a frame with the channel raised, with its error."""
     low = F.when(F.isnan("r") | (F.col("r") >= limit), F.lit(0.0)).otherwise(F.lit(1.0))
-    return scores.groupBy(*keys, "channel").agg(F.avg(low).alias("low_share"))
+    each = scores.groupBy(*keys, "channel").agg(F.avg(low).alias("low_share"), F.max("error").alias("error"))
+    return each.withColumn("low_share", F.when(F.col("error").isNull(), F.col("low_share")))
+
+
+def low_channels(shares: DataFrame, share: float, keys: list[str] = RECORDING) -> DataFrame:
+    """Channels above the share; those of a frame that raised are not reported, see ``detector_failures``."""
+    return shares.filter(F.col("low_share") > share).select(*keys, "channel")
+
+
+def detector_failures(shares: DataFrame, detector: str, keys: list[str] = RECORDING) -> DataFrame:
+    """keys, detector, reason: a warning for every item where the detector raised."""
+    return (shares.filter(F.col("error").isNotNull()).groupBy(*keys).agg(F.max("error").alias("reason"))
+            .select(*keys, F.lit(detector).alias("detector"), "reason"))
 
 
 def correlation_share(chunks: DataFrame, chunk_len: int, length: int, keys: list[str] = RECORDING,
@@ -223,8 +238,7 @@ def correlation_share(chunks: DataFrame, chunk_len: int, length: int, keys: list
 
 def bad_by_correlation(chunks: DataFrame, chunk_len: int, length: int, keys: list[str] = RECORDING,
                        limit: float = 0.4, share: float = 0.01) -> DataFrame:
-    scored = correlation_share(chunks, chunk_len, length, keys, limit)
-    return scored.filter(F.col("low_share") > share).select(*keys, "channel")
+    return low_channels(correlation_share(chunks, chunk_len, length, keys, limit), share, keys)
 
 
 @dataclass(frozen=True)
@@ -256,8 +270,7 @@ def prediction_share(chunks: DataFrame, chunk_len: int, length: int, weights: Pr
 
 def bad_by_prediction(chunks: DataFrame, chunk_len: int, length: int, weights: PredictionWeights,
                       keys: list[str] = RECORDING, limit: float = 0.75, share: float = 0.4) -> DataFrame:
-    scored = prediction_share(chunks, chunk_len, length, weights, keys, limit)
-    return scored.filter(F.col("low_share") > share).select(*keys, "channel")
+    return low_channels(prediction_share(chunks, chunk_len, length, weights, keys, limit), share, keys)
 
 
 def bad_union(*found: DataFrame, present: DataFrame, keys: list[str] = RECORDING) -> DataFrame:

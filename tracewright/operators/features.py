@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tracewright import constants as C
 from tracewright.functions import arrays as A, arrow
 from tracewright.operators.windows import CHANNEL, slide_chunks
+from tracewright.plans.tables import materialize
 
 
 def window_features(windows: DataFrame, fs: Column | float, native: bool = False) -> DataFrame:
@@ -61,6 +62,14 @@ def wide_features(features: DataFrame, keys: list[str], channels: list[str],
         F.max(F.when(F.col("channel") == c, F.col(n))).alias(f"{c}_{n}") for c in channels for n in names])
 
 
+def features_and_failures(windows: DataFrame, fs: Column | float, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Feature rows of the windows (keys, channel, x) that can be computed, and the others as (keys, channel, reason).
+    The samples are read once; both are views of one stored table."""
+    made = materialize(windows.select(*keys, "channel", arrow.window_features_or_error(F.col("x"), fs).alias("_r")), "features")
+    good = made.filter(F.col("_r.error").isNull()).select(*keys, "channel", "_r.value.*")
+    return good, made.filter(F.col("_r.error").isNotNull()).select(*keys, "channel", F.col("_r.error").alias("reason"))
+
+
 def as_float(df: DataFrame, names: list[str] = C.FEATURES) -> DataFrame:
     """Single precision for storage."""
     return df.withColumns({n: F.col(n).cast("float") for n in names})

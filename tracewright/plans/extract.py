@@ -126,11 +126,13 @@ class CleanCrops:
     """Padded segment crops: ``spans`` (one stored row per crop with its times and sample
     bounds), cleaned ``chunks`` at the target rate, the ``bad`` channels found, and the
     ``rejected`` crops (a channel given twice, a bad channel without weights, a source of the weights
-    missing, or samples that are not finite)."""
+    missing, or samples that are not finite). ``warnings``: crops where a detector raised (detector, reason); it reports
+    no channel there, and the crop goes on."""
     spans: DataFrame
     chunks: DataFrame
     bad: DataFrame
     rejected: DataFrame
+    warnings: DataFrame
 
 
 def clean_crops(signals: DataFrame, rates: Rates, segments: DataFrame, weights: DataFrame,
@@ -160,21 +162,26 @@ def clean_crops(signals: DataFrame, rates: Rates, segments: DataFrame, weights:
     # channels without a signal first, then deviation and correlation; the prediction rule only sees what is left
     silent = materialize(G.silent_channels(stored, CROP, limits.flat).select(*CROP, "channel"), "silent")
     alive = stored.join(silent, [*CROP, "channel"], "left_anti")
+    shares = materialize(G.correlation_share(alive, rates.chunk_len, second, CROP, limits.correlation), "correlation")
+    warnings = G.detector_failures(shares, "correlation", CROP)
     found = [silent, G.bad_by_deviation(alive, CROP, limits.deviation),
-             G.bad_by_correlation(alive, rates.chunk_len, second, CROP, limits.correlation, limits.correlation_share),
+             G.low_channels(shares, limits.correlation_share, CROP),
              G.drop_outs(alive, rates.chunk_len, second, CROP, limits.drop_out_share).select(*CROP, "channel")]
     if prediction_weights is not None:
         before = materialize(G.bad_union(*found, present=stored, keys=CROP), "bad-before")
         rest = stored.join(before, [*CROP, "channel"], "left_anti")
-        found = [before, G.bad_by_prediction(rest, rates.chunk_len, 5 * second, prediction_weights, CROP,
-                                             limits.prediction, limits.prediction_share)]
+        shares = materialize(G.prediction_share(rest, rates.chunk_len, 5 * second, prediction_weights, CROP, limits.prediction),
+                             "prediction")
+        warnings = warnings.unionByName(G.detector_failures(shares, "prediction", CROP))
+        found = [before, G.low_channels(shares, limits.prediction_share, CROP)]
     bad = materialize(G.bad_union(*found, present=stored, keys=CROP), "bad")
     hopeless = materialize(G.without_weights(bad, weights, CROP, stored.select(*CROP, "channel").distinct()), "hopeless")
     fixed = G.repair(stored.join(hopeless, CROP, "left_anti"), bad, weights, CROP)
     done = materialize(G.resample(fixed, rates.chunk_len, up, down, keys=CROP), "crops")
     odd = G.non_finite_channels(done, CROP).select(*CROP, "reason")
     no_names = segments.join(twice if wrong is None else twice.unionByName(wrong), "recording_id").select(*CROP, "reason")
-    return CleanCrops(spans, done.join(odd, CROP, "left_anti"), bad, hopeless.unionByName(odd).unionByName(no_names))
+    return CleanCrops(spans, done.join(odd, CROP, "left_anti"), bad, hopeless.unionByName(odd).unionByName(no_names),
+                      warnings)
 
 
 def sliding_features(crops: CleanCrops, rates: Rates, annotations: DataFrame) -> DataFrame:
