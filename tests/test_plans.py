@@ -80,6 +80,16 @@ def test_annotation_features(spark):
         assert np.allclose([g[n] for n in C.FEATURES], feats, rtol=1e-6, atol=1e-14)
 
 
+def test_rejects_of_the_annotation_plan(spark):
+    x, (a, _) = signals(), annotations(spark)
+    report = spark.createDataFrame([], "recording_id bigint, category string, channel string")
+    weights = spark.createDataFrame([], "bad_set string, bad_channel string, src_channel string, w double")
+    rates = spark.createDataFrame([(0, 100.0), (1, 256.0)], "recording_id bigint, sfreq double")
+    made = P.annotation_rows(chunk_rows(spark, x, 50), RATES, a, report, weights, rates)
+    assert [(r.recording_id, r.reason) for r in made.rejected.collect()] == [(1, "sampling rate 256.0")]
+    assert {r.recording_id for r in made.rows.select("recording_id").distinct().collect()} == {0}
+
+
 def sequential_crops(x, segs, weights):
     """Clean every crop; deviation is the only active detector."""
     out = {}

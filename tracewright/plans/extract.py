@@ -96,16 +96,33 @@ def clean_recordings(signals: DataFrame, rates: Rates, report: DataFrame, weight
     return CleanRecordings(G.repair(stored, bad, weights), rejected if wrong is None else rejected.unionByName(wrong))
 
 
-def annotation_features(signals: DataFrame, rates: Rates, annotations: DataFrame, report: DataFrame,
-                        weights: DataFrame) -> DataFrame:
-    """One feature row per channel of every window around a labelled mark, of the recordings
-    that ``clean_recordings`` does not reject."""
-    cleaned = materialize(clean_recordings(signals, rates, report, weights).chunks, "cleaned")
+@dataclass(frozen=True)
+class AnnotationRows:
+    """Feature ``rows`` of the windows around labelled marks, and the recordings ``rejected`` (recording_id, reason) on the way."""
+    rows: DataFrame
+    rejected: DataFrame
+
+
+def annotation_rows(signals: DataFrame, rates: Rates, annotations: DataFrame, report: DataFrame, weights: DataFrame,
+                    recordings: DataFrame | None = None) -> AnnotationRows:
+    """One feature row per channel of every window around a labelled mark. Rejected are the recordings that
+    ``clean_recordings`` rejects, and each window that raises, with its channel in the reason."""
+    made = clean_recordings(signals, rates, report, weights, recordings)
+    cleaned = materialize(made.chunks, "cleaned")
     lengths = W.channel_lengths(cleaned, rates.out_len).withColumn("sfreq", F.lit(rates.target))
     placed = W.annotation_windows(annotations, lengths)
     cut = W.cut_spans(cleaned, placed, rates.out_len, ["row_idx"])
     meta = placed.drop("start", "stop", "ord")
-    return X.window_features(cut, rates.target).join(meta, ["recording_id", "row_idx"])
+    key = ["recording_id", "row_idx"]
+    good, failed = X.features_and_failures(cut, rates.target, key)
+    reason = F.concat(F.lit("window "), F.col("row_idx").cast("string"), F.lit(" of "), "channel", F.lit(": "), "reason")
+    return AnnotationRows(good.join(meta, key), made.rejected.unionByName(failed.select("recording_id", reason.alias("reason"))))
+
+
+def annotation_features(signals: DataFrame, rates: Rates, annotations: DataFrame, report: DataFrame,
+                        weights: DataFrame) -> DataFrame:
+    """The rows of ``annotation_rows``."""
+    return annotation_rows(signals, rates, annotations, report, weights).rows
 
 
 @dataclass(frozen=True)
