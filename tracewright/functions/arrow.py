@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
@@ -127,20 +129,19 @@ def frame_best_correlation(data: Column, q: float) -> Column:
 
 
 def frame_prediction_correlation(channels: Column, data: Column, names: list[str],
-                                 weights: np.ndarray) -> Column:
-    """Per channel of a frame its correlation with the median prediction. ``weights``
-    is (predictions, names, names); channels that are not in a frame weigh nothing, channels
-    without weights get NaN. Gives (value, error), one of them null."""
-    at = {name: i for i, name in enumerate(names)}
+                                 weights_of: Callable[[tuple[str, ...]], np.ndarray]) -> Column:
+    """Per channel of a frame its correlation with the median prediction. ``weights_of`` gives
+    (predictions, present, present) for those of ``names`` that a frame has; its other channels
+    get NaN. Gives (value, error), one of them null."""
+    have = set(names)
 
     def scores(channels: pa.Array, data: pa.Array) -> pa.Array:
         out = []
         for present, m in zip(channels.to_pylist(), _frames(data)):
-            known = [i for i, c in enumerate(present) if c in at]
-            pick = [at[present[i]] for i in known]
+            known = [i for i, c in enumerate(present) if c in have]
             score = np.full(len(present), np.nan)
             if known:
-                score[known] = K.prediction_correlation(m[known], weights[:, pick][:, :, pick])
+                score[known] = K.prediction_correlation(m[known], weights_of(tuple(present[i] for i in known)))
             out.append(score)
         return to_lists(out)
 

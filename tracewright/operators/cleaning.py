@@ -16,6 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewright.functions import arrays as A, arrow, kernels as K
+from tracewright.operators.geometry import SubsetPredictions
 from tracewright.operators.windows import slide_chunks, with_context
 
 RECORDING = ["recording_id"]
@@ -68,12 +69,12 @@ def repair(chunks: DataFrame, bad: DataFrame, weights: DataFrame, keys: list[str
     one row and both steps happen there.
 
     ``bad``: keys, channel. ``weights``: bad_set (sorted names joined by commas),
-    bad_channel, src_channel, w. Look at ``without_weights`` first: a bad channel that has
+    bad_channel, src_channel, w; or, with the keys instead of bad_set, those of each signal (``geometry.interpolation_weights``). Look at ``without_weights`` first: a bad channel that has
     no weights, or of which a source is missing, is left out. A replaced channel ends where its own samples or
     those of a source end. The mean at an instant is that of the channels that have it.
     """
     parts = F.collect_list(F.struct("bad_channel", "src_channel", "w"))
-    plan = (bad_sets(bad, keys).join(weights, "bad_set").groupBy(*keys).agg(parts.alias("_w"))
+    plan = (bad_sets(bad, keys).join(weights, _weight_keys(weights, keys)).groupBy(*keys).agg(parts.alias("_w"))
             .join(bad.groupBy(*keys).agg(F.collect_set("channel").alias("_bad")), keys))
     met = chunks.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct("channel", "x"))).alias("_c"))
     done = met.join(plan, keys, "left").select(*keys, "chunk", arrow.repaired_frame(
@@ -87,6 +88,10 @@ def interpolate(chunks: DataFrame, bad: DataFrame, weights: DataFrame,
     return repair(chunks, bad, weights, keys, reference=False)
 
 
+def _weight_keys(weights: DataFrame, keys: list[str]) -> list[str]:
+    return ["bad_set"] if "bad_set" in weights.columns else keys
+
+
 def bad_sets(bad: DataFrame, keys: list[str] = RECORDING) -> DataFrame:
     """keys, bad_set: the sorted bad channels of a signal."""
     return bad.groupBy(*keys).agg(F.concat_ws(",", F.array_sort(F.collect_set("channel"))).alias("bad_set"))
@@ -98,11 +103,12 @@ def without_weights(bad: DataFrame, weights: DataFrame, keys: list[str] = RECORD
     with ``present`` (keys, channel), a source of the weights is not among the channels."""
     sets = bad_sets(bad, keys)
     wanted = sets.join(bad.select(*keys, "channel").distinct(), keys)
-    have = weights.select("bad_set", F.col("bad_channel").alias("channel")).distinct()
-    lacking = wanted.join(have, ["bad_set", "channel"], "left_anti")
+    by = _weight_keys(weights, keys)
+    have = weights.select(*by, F.col("bad_channel").alias("channel")).distinct()
+    lacking = wanted.join(have, [*by, "channel"], "left_anti")
     out = lacking.select(*keys, F.concat(F.lit("no weights for "), "bad_set").alias("reason")).distinct()
     if present is not None:
-        sources = sets.join(weights.select("bad_set", F.col("src_channel").alias("channel")).distinct(), "bad_set")
+        sources = sets.join(weights.select(*by, F.col("src_channel").alias("channel")).distinct(), by)
         absent = sources.join(present.select(*keys, "channel").distinct(), [*keys, "channel"], "left_anti")
         named = absent.groupBy(*keys).agg(F.concat_ws(",", F.array_sort(F.collect_set("channel"))).alias("_s"))
         missing = named.select(*keys, F.concat(F.lit("no source "), "_s").alias("reason"))
@@ -243,10 +249,15 @@ def bad_by_correlation(chunks: DataFrame, chunk_len: int, length: int, keys: lis
 
 @dataclass(frozen=True)
 class PredictionWeights:
-    """A parameter of the prediction rule, like filter taps: ``matrix`` has one (names x names) matrix of
+    """A parameter of the prediction rule, like filter taps: ``values`` has one (names x names) matrix of
     weights per draw; a row holds what the other channels contribute to a channel."""
     names: tuple[str, ...]
-    matrix: np.ndarray
+    values: np.ndarray
+
+    def matrix(self, names: tuple[str, ...]) -> np.ndarray:
+        """(draws, names, names) for the channels of a frame; channels that are absent weigh nothing."""
+        pick = [self.names.index(c) for c in names]
+        return self.values[:, pick][:, :, pick]
 
     @staticmethod
     def of(rows: Iterable[tuple[int, str, str, float]]) -> PredictionWeights:
@@ -254,21 +265,22 @@ class PredictionWeights:
         rows = list(rows)
         names = sorted({x for r in rows for x in r[1:3]})
         draws = sorted({r[0] for r in rows})
-        matrix = np.zeros((len(draws), len(names), len(names)))
+        values = np.zeros((len(draws), len(names), len(names)))
         for draw, channel, source, w in rows:
-            matrix[draws.index(draw), names.index(channel), names.index(source)] += w
-        return PredictionWeights(tuple(names), matrix)
+            values[draws.index(draw), names.index(channel), names.index(source)] += w
+        return PredictionWeights(tuple(names), values)
 
 
-def prediction_share(chunks: DataFrame, chunk_len: int, length: int, weights: PredictionWeights,
+def prediction_share(chunks: DataFrame, chunk_len: int, length: int, weights: PredictionWeights | SubsetPredictions,
                      keys: list[str] = RECORDING, limit: float = 0.75) -> DataFrame:
     """Share of windows in which a channel disagrees with the median of its
-    predictions from channel subsets. Channels without weights get no score and count as good."""
+    predictions from channel subsets. Channels without weights get no score and count as good. ``weights`` are given
+    (``PredictionWeights``) or solved from positions for the channels of each frame (``SubsetPredictions``)."""
     score = arrow.frame_prediction_correlation(F.col("channels"), F.col("data"), list(weights.names), weights.matrix)
     return _low_share(_per_channel(frames(chunks, chunk_len, length, keys), score, keys), limit, keys)
 
 
-def bad_by_prediction(chunks: DataFrame, chunk_len: int, length: int, weights: PredictionWeights,
+def bad_by_prediction(chunks: DataFrame, chunk_len: int, length: int, weights: PredictionWeights | SubsetPredictions,
                       keys: list[str] = RECORDING, limit: float = 0.75, share: float = 0.4) -> DataFrame:
     return low_channels(prediction_share(chunks, chunk_len, length, weights, keys, limit), share, keys)
 

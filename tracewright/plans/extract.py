@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tracewright import constants as C
 from tracewright.functions import kernels as K
-from tracewright.operators import channels as CH, cleaning as G, features as X, segments as S, windows as W
+from tracewright.operators import channels as CH, cleaning as G, features as X, geometry as GEO, segments as S, windows as W
 from tracewright.operators.ordered import add_position, time_bucket
 from tracewright.operators.segments import HOUR
 from tracewright.plans.tables import materialize
@@ -75,12 +75,20 @@ def _with_rate(signals: DataFrame, rates: Rates, recordings: DataFrame | None) -
     return signals.join(wrong.select("recording_id"), "recording_id", "left_anti"), wrong
 
 
-def clean_recordings(signals: DataFrame, rates: Rates, report: DataFrame, weights: DataFrame,
+def _weights(weights: DataFrame | GEO.Positions, present: DataFrame, bad: DataFrame, keys: list[str]) -> DataFrame:
+    """Weights as given, or those that follow from positions, stored once."""
+    if isinstance(weights, DataFrame):
+        return weights
+    return materialize(GEO.interpolation_weights(present, bad, weights, keys), "weights")
+
+
+def clean_recordings(signals: DataFrame, rates: Rates, report: DataFrame, weights: DataFrame | GEO.Positions,
                      recordings: DataFrame | None = None) -> CleanRecordings:
     """Whole recordings: band-pass and resample in one pass, replace the channels the
     report names, average reference. ``report``: recording_id, category, channel. A
     recording that cannot be cleaned is rejected; it would change the mean of all channels. With ``recordings``
-    (recording_id, sfreq) those of another rate are rejected too."""
+    (recording_id, sfreq) those of another rate are rejected too. ``weights``: a table for ``cleaning.repair``, or the
+    positions of the channels (``geometry.sphere_positions``), from which weights are solved."""
     signals, wrong = _with_rate(signals, rates, recordings)
     up, down = rates.ratio
     raw = signals.select("recording_id", "channel").distinct()
@@ -88,6 +96,7 @@ def clean_recordings(signals: DataFrame, rates: Rates, report: DataFrame, weight
     twice = CH.duplicate_channels(raw, name)
     present = raw.select("recording_id", name.alias("channel")).distinct()
     bad = CH.bad_channel_rows(CH.channels_to_interpolate(report, present))
+    weights = _weights(weights, present, bad, ["recording_id"])
     hopeless = G.without_weights(bad, weights, present=present).join(twice, "recording_id", "left_anti")
     rejected = materialize(twice.unionByName(hopeless), "rejected")
     named = signals.withColumn("channel", name).join(rejected, "recording_id", "left_anti")
@@ -103,7 +112,7 @@ class AnnotationRows:
     rejected: DataFrame
 
 
-def annotation_rows(signals: DataFrame, rates: Rates, annotations: DataFrame, report: DataFrame, weights: DataFrame,
+def annotation_rows(signals: DataFrame, rates: Rates, annotations: DataFrame, report: DataFrame, weights: DataFrame | GEO.Positions,
                     recordings: DataFrame | None = None) -> AnnotationRows:
     """One feature row per channel of every window around a labelled mark. Rejected are the recordings that
     ``clean_recordings`` rejects, and each window that raises, with its channel in the reason."""
@@ -152,8 +161,8 @@ class CleanCrops:
     warnings: DataFrame
 
 
-def clean_crops(signals: DataFrame, rates: Rates, segments: DataFrame, weights: DataFrame,
-                prediction_weights: G.PredictionWeights | None = None,
+def clean_crops(signals: DataFrame, rates: Rates, segments: DataFrame, weights: DataFrame | GEO.Positions,
+                prediction_weights: G.PredictionWeights | GEO.SubsetPredictions | None = None,
                 limits: Detection = Detection(), recordings: DataFrame | None = None) -> CleanCrops:
     """Every segment on its own: crop with padding, band-pass, detect and replace bad
     channels at the source rate, average reference, resample. A crop that fails is
@@ -192,7 +201,9 @@ def clean_crops(signals: DataFrame, rates: Rates, segments: DataFrame, weights:
         warnings = warnings.unionByName(G.detector_failures(shares, "prediction", CROP))
         found = [before, G.low_channels(shares, limits.prediction_share, CROP)]
     bad = materialize(G.bad_union(*found, present=stored, keys=CROP), "bad")
-    hopeless = materialize(G.without_weights(bad, weights, CROP, stored.select(*CROP, "channel").distinct()), "hopeless")
+    present = stored.select(*CROP, "channel").distinct()
+    weights = _weights(weights, present, bad, CROP)
+    hopeless = materialize(G.without_weights(bad, weights, CROP, present), "hopeless")
     fixed = G.repair(stored.join(hopeless, CROP, "left_anti"), bad, weights, CROP)
     done = materialize(G.resample(fixed, rates.chunk_len, up, down, keys=CROP), "crops")
     odd = G.non_finite_channels(done, CROP).select(*CROP, "reason")
