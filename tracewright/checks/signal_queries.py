@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tracewright.checks import views as V
 from tracewright.checks.views import r, rs, sql
-from tracewright.operators import cleaning as G, windows as W
+from tracewright.functions.splines import spline_weights
+from tracewright.operators import cleaning as G, geometry as GEO, windows as W
 
 ID = ["recording_id", "channel"]
 DIGITS = 8
@@ -44,6 +46,28 @@ PREDICTIONS = G.PredictionWeights.of(
     (k, f"C{i}", f"C{j}", ((i * 5 + j * 3 + k * 7) % 11 - 3) / 10.0) for k in range(6) for i in range(8) for j in range(8) if i != j)
 
 
+# the eight channels at eight places of the head; every third recording lacks one of them
+PLACES = dict(zip([f"C{i}" for i in range(8)], [GEO.sphere_positions()[c] for c in ("Fp1", "Fp2", "F7", "T7", "C3", "Pz", "O1", "O2")]))
+LACKING = "C6"
+SUBSETS = GEO.SubsetPredictions.of(PLACES, draws=6, share=0.5)
+
+
+def _lacking(spark, sf):
+    return V.chunks(spark, sf).filter((F.col("recording_id") % 3 != 0) | (F.col("channel") != LACKING))
+
+
+def interpolate_positions(spark, sf):
+    """Bad channels replaced with weights from positions, of the channels that each recording has."""
+    c, bad = _lacking(spark, sf), bad_rows(spark, sf)
+    return _long(G.repair(c, bad, GEO.interpolation_weights(c, bad, PLACES)))
+
+
+def ransac_positions(spark, sf):
+    """The prediction rule without a weight input."""
+    s = G.prediction_share(_lacking(spark, sf), V.CHUNK, FRAME, SUBSETS, limit=0.05).drop("error")
+    return s.withColumn("low_share", r("low_share"))
+
+
 def avg_reference(spark, sf):
     return _long(G.average_reference(V.chunks(spark, sf)))
 
@@ -118,7 +142,8 @@ def finite_check(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     avg_reference, interpolate_channels, interpolate_and_reference, crop_trim, crop_chunks, slide_samples,
-    fir_bandpass, resample, bad_deviation, bad_correlation, ransac_vote, bad_union, finite_check)}
+    fir_bandpass, resample, bad_deviation, bad_correlation, ransac_vote, bad_union, finite_check,
+    interpolate_positions, ransac_positions)}
 
 
 def _values(rows, names):
@@ -189,6 +214,46 @@ FROM (SELECT s.recording_id, s.channel, s.idx // {FRAME} AS win, corr(s.v, m.v)
               WHERE s.channel <> t.channel GROUP BY ALL) GROUP BY ALL) m USING (recording_id, channel, idx)
       GROUP BY ALL) GROUP BY ALL"""
 
+_SETS = {True: tuple(c for c in PLACES if c != LACKING), False: tuple(PLACES)}
+
+
+def _spline_rows() -> list[str]:
+    """(recording lacks a channel, recording is even, bad, source, w) as SQL literals."""
+    rows = []
+    for lacks, names in _SETS.items():
+        for even, gone in ((True, ("C1", "C5")), (False, ("C2",))):
+            src = [c for c in names if c not in gone]
+            w = spline_weights(np.array([PLACES[c] for c in src]), np.array([PLACES[c] for c in gone]))
+            rows += [f"({lacks}, {even}, '{b}', '{c}', {float(w[i, j])!r}::DOUBLE)"
+                     for i, b in enumerate(gone) for j, c in enumerate(src)]
+    return rows
+
+
+def _subset_rows() -> list[str]:
+    """(recording lacks a channel, draw, channel, source, w) as SQL literals."""
+    return [f"({lacks}, {k}, '{names[a]}', '{names[b]}', {float(m[k, a, b])!r}::DOUBLE)"
+            for lacks, names in _SETS.items() for m in [SUBSETS.matrix(names)] for k, a, b in zip(*np.nonzero(m))]
+
+
+_HAVE = f"SELECT * FROM samples WHERE recording_id % 3 <> 0 OR channel <> '{LACKING}'"
+_FROM_PLACES = f"""
+SELECT s.recording_id, s.channel, s.idx, s.v FROM have s ANTI JOIN bad USING (recording_id, channel)
+UNION ALL SELECT s.recording_id, w.bad, s.idx, sum(s.v * w.w)
+FROM have s JOIN {_values(_spline_rows(), ['lacks', 'even', 'bad', 'src', 'w']).replace(' t(', ' w(')}
+    ON w.lacks = (s.recording_id % 3 = 0) AND w.even = (s.recording_id % 2 = 0) AND w.src = s.channel
+GROUP BY s.recording_id, w.bad, s.idx, w.lacks, w.even
+HAVING count(*) = CASE WHEN w.lacks THEN 7 ELSE 8 END - CASE WHEN w.even THEN 2 ELSE 1 END"""
+# a frame with fewer than seven channels has too few for a subset: no share for its channels
+_FROM_SUBSETS = f"""
+SELECT recording_id, channel, CASE WHEN min(k) >= 7 THEN avg(CASE WHEN c < 0.05 THEN 1.0 ELSE 0.0 END) END AS low_share
+FROM (SELECT s.recording_id, s.channel, s.idx // {FRAME} AS win, corr(s.v, m.v) AS c, any_value(n.k) AS k
+      FROM have s JOIN (SELECT recording_id, idx, count(*) AS k FROM have GROUP BY ALL) n USING (recording_id, idx) LEFT JOIN (
+          SELECT recording_id, channel, idx, median(v) AS v FROM (
+              SELECT s.recording_id, w.channel, s.idx, w.k, sum(s.v * w.w) AS v
+              FROM have s JOIN {_values(_subset_rows(), ['lacks', 'k', 'channel', 'src', 'w']).replace(' t(', ' w(')}
+                  ON w.lacks = (s.recording_id % 3 = 0) AND w.src = s.channel GROUP BY ALL) GROUP BY ALL) m USING (recording_id, channel, idx)
+      GROUP BY ALL) GROUP BY ALL"""
+
 _V = rs("v", DIGITS)
 _REF = "SELECT recording_id, channel, idx, v - avg(v) OVER (PARTITION BY recording_id, idx) AS v FROM {}"
 
@@ -216,6 +281,10 @@ ORACLE = {
                          "samples", extra={"dev": _DEVIATION}),
     "bad_correlation": sql(f"SELECT recording_id, channel, {rs('low_share')} AS low_share FROM cor", "samples", extra={"cor": _CORRELATION}),
     "ransac_vote": sql(f"SELECT recording_id, channel, {rs('low_share')} AS low_share FROM pre", "samples", extra={"pre": _PREDICTION}),
+    "interpolate_positions": sql(f"SELECT recording_id, channel, idx, {_V} AS v FROM ({_REF.format('placed')})", "samples",
+                                 extra={"bad": _BAD, "have": _HAVE, "placed": _FROM_PLACES}),
+    "ransac_positions": sql(f"SELECT recording_id, channel, {rs('low_share')} AS low_share FROM pre", "samples",
+                            extra={"have": _HAVE, "pre": _FROM_SUBSETS}),
     "bad_union": sql("""SELECT recording_id, channel FROM dev WHERE abs(z) > 1.5
         UNION SELECT recording_id, channel FROM cor WHERE low_share > 0.7
         UNION SELECT recording_id, channel FROM pre WHERE low_share > 0.6""", "samples",
