@@ -206,6 +206,78 @@ def test_flat_channels_and_prediction_after_the_others(spark):
     assert {(r.recording_id, r.channel) for r in made.bad.collect()} == {(0, "T7")} and made.rejected.count() == 0
 
 
+def by_key(rows, keys, value):
+    return {tuple(r[k] for k in keys): r[value] for r in rows}
+
+
+@pytest.mark.parametrize("in_rows", [True, False])
+def test_two_rates_in_one_run(spark, in_rows):
+    """Recordings of 100 and 128 Hz together give what each gives alone; one of 90 Hz and one without a rate are listed."""
+    rng = np.random.default_rng(12)
+    of = {0: (100.0, 50), 1: (128.0, 64), 2: (90.0, 45), 3: (None, 50)}
+    x = {(r, c): np.cumsum(rng.normal(size=int(9 * (f or 100)) - r)) * 1e-5 for r, (f, _) in of.items() for c in NAMES}
+    parts = {r: chunk_rows(spark, {k: v for k, v in x.items() if k[0] == r}, n) for r, (_, n) in of.items()}
+    chunks = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    recs = spark.createDataFrame([(r, f) for r, (f, _) in of.items()] + [(2, 80.0)], "recording_id bigint, sfreq double")
+    table = P.RateTable((100.0, 128.0), 0.5)
+    report = spark.createDataFrame([(1, "ransac", "T3")], "recording_id bigint, category string, channel string")
+    columns = "bad_set string, bad_channel string, src_channel string, w double"
+    weights = spark.createDataFrame([("T3", "T3", "Pz", 1.0)], columns)
+    given = {"signals": chunks.join(recs.filter("sfreq <> 80 OR sfreq IS NULL"), "recording_id")} if in_rows else {"signals": chunks, "recordings": recs}
+    made = P.clean_recordings(rates=table, report=report, weights=weights, **given)
+    got = by_key(made.chunks.collect(), ["recording_id", "channel", "chunk"], "x")
+    want = {}
+    for r in (0, 1):
+        one = P.clean_recordings(parts[r], P.Rates(of[r][0], of[r][1]), report, weights)
+        want |= by_key(one.chunks.collect(), ["recording_id", "channel", "chunk"], "x")
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k], atol=1e-15) for k in want)
+    assert all(len(v) <= table.out_len for v in got.values())
+    reasons = {r.recording_id: r.reason for r in made.rejected.collect()}
+    assert reasons == {2: "sampling rate 90.0" if in_rows else "sampling rate unknown", 3: "sampling rate unknown"}
+
+    rows = [(r, i, t, d) for r in of for i, (t, d) in enumerate([(1.0, "NON_PD_START"), (2.25, "*"), (5.0, "NON_PD_STOP")])]
+    marks = spark.createDataFrame(rows, ANNOTATIONS)
+    segs, none = S.build_segments(marks), spark.createDataFrame([], columns)
+    limits = P.Detection(deviation=1e9, correlation=0.0)
+    crops = P.clean_crops(rates=table, segments=segs, weights=none, limits=limits, **given)
+    key = ["recording_id", "segment_id", "s", "channel"]
+    got = by_key(P.sliding_features(crops, table, marks).collect(), key, "rms")
+    want = {}
+    for r in (0, 1):
+        rates = P.Rates(of[r][0], of[r][1])
+        one = P.clean_crops(parts[r], rates, segs, none, limits=limits)
+        want |= by_key(P.sliding_features(one, rates, marks).collect(), key, "rms")
+    assert set(got) == set(want) and len({k[0] for k in got}) == 2 and all(np.isclose(got[k], want[k]) for k in want)
+    assert {r.recording_id for r in crops.rejected.collect()} == {2, 3}
+
+
+def test_rates_that_do_not_fit(spark):
+    with pytest.raises(ValueError):
+        P.RateTable((100.0, 128.0), 0.3)
+    chunks = chunk_rows(spark, {(0, "EEG Fp1"): np.ones(10)}, 5)
+    with pytest.raises(ValueError):
+        P.clean_recordings(chunks, P.RateTable((100.0,), 0.5), None, None)
+    with pytest.raises(Exception, match="no rule for the rate"):
+        P.G.resample_rates(chunks.withColumn("sfreq", F.lit(7.0)), P.RateTable((100.0,), 0.05, 80.0).changes()).collect()
+
+
+def test_positions_instead_of_weights(spark):
+    """Weights and predictions from positions in a whole extraction; a crop too short for the rule is listed."""
+    x = signals()
+    x[0, "EEG T3"] = np.zeros(N)
+    a, _ = annotations(spark)
+    at = P.GEO.sphere_positions()
+    rule = P.GEO.SubsetPredictions.of(at, share=0.8, draws=8)
+    made = P.clean_crops(chunk_rows(spark, x, 50), RATES, S.build_segments(a), at, rule,
+                         P.Detection(deviation=1e9, correlation=0.0, prediction=-2.0))
+    assert {(r.recording_id, r.channel) for r in made.bad.collect()} == {(0, "T7")} and made.rejected.count() == 0
+    assert {(r.recording_id, "channels in a subset" in r.reason) for r in made.warnings.collect()} == {(0, True)}
+    ends = spark.createDataFrame([(r, 0, 0.5, "PD_START") for r in range(2)] + [(r, 1, 1.5, "PD_STOP") for r in range(2)], ANNOTATIONS)
+    short = {k: v[:300] for k, v in signals().items()}
+    made = P.clean_crops(chunk_rows(spark, short, 50), RATES, S.build_segments(ends), at, rule, P.Detection(deviation=1e9, correlation=0.0))
+    assert [(r.recording_id, r.reason) for r in made.warnings.orderBy("recording_id").collect()] == [(r, "shorter than a window of 5 s") for r in range(2)]
+
+
 def test_recordings_that_cannot_be_cleaned_are_rejected(spark):
     x = signals()
     report = spark.createDataFrame([(1, "ransac", "T3")], "recording_id bigint, category string, channel string")

@@ -112,6 +112,16 @@ def resample(spark, sf):
     return _long(G.resample(V.chunks(spark, sf), V.CHUNK, UP, DOWN, UP_TAPS, edge="zero"), V.CHUNK * UP // DOWN)
 
 
+def resample_rates(spark, sf):
+    """Recordings of 64 Hz (chunks of 64 samples) and, every second one, of 32 Hz (chunks of 32) to 40 Hz in one run."""
+    c, odd = V.chunks(spark, sf), F.col("recording_id") % 2 == 1
+    halves = c.filter(odd).select(*ID, "chunk", F.posexplode(F.array(F.slice("x", 1, 32), F.slice("x", 33, 32))).alias("half", "part"))
+    rows = c.filter(~odd).withColumn("sfreq", F.lit(64.0)).unionByName(
+        halves.select(*ID, (F.col("chunk") * 2 + F.col("half")).alias("chunk"), F.col("part").alias("x"), F.lit(32.0).alias("sfreq")))
+    made = G.resample_rates(rows, {64.0: G.RateChange(64, UP, DOWN, UP_TAPS), 32.0: G.RateChange(32, UP, DOWN // 2, UP_TAPS)}, edge="zero")
+    return _long(made, 40)
+
+
 def bad_deviation(spark, sf):
     d = G.channel_deviation(V.chunks(spark, sf))
     return d.select(*ID, r("spread", DIGITS).alias("spread"), r("z", 5).alias("z"), (F.abs("z") > 1.5).alias("bad"))
@@ -143,7 +153,7 @@ def finite_check(spark, sf):
 QUERIES = {f.__name__: f for f in (
     avg_reference, interpolate_channels, interpolate_and_reference, crop_trim, crop_chunks, slide_samples,
     fir_bandpass, resample, bad_deviation, bad_correlation, ransac_vote, bad_union, finite_check,
-    interpolate_positions, ransac_positions)}
+    interpolate_positions, ransac_positions, resample_rates)}
 
 
 def _values(rows, names):
@@ -277,6 +287,10 @@ ORACLE = {
         FROM (SELECT *, max(idx) OVER (PARTITION BY recording_id, channel) + 1 AS n FROM samples), range(0, 400) g(k), taps
         WHERE j = k * {DOWN} - idx * {UP} AND k * {DOWN} < n * {UP} GROUP BY 1, 2, 3""", "samples",
                     extra={"taps": _UP_TAPS}),
+    "resample_rates": sql(f"""SELECT recording_id, channel, k AS idx, {rs('sum(v * h)', DIGITS)} AS v
+        FROM (SELECT *, max(idx) OVER (PARTITION BY recording_id, channel) + 1 AS n, CASE WHEN recording_id % 2 = 1 THEN {DOWN // 2} ELSE {DOWN} END AS down
+              FROM samples), range(0, 800) g(k), taps
+        WHERE j = k * down - idx * {UP} AND k * down < n * {UP} GROUP BY 1, 2, 3""", "samples", extra={"taps": _UP_TAPS}),
     "bad_deviation": sql(f"SELECT recording_id, channel, {rs('spread', DIGITS)} AS spread, {rs('z', 5)} AS z, abs(z) > 1.5 AS bad FROM dev",
                          "samples", extra={"dev": _DEVIATION}),
     "bad_correlation": sql(f"SELECT recording_id, channel, {rs('low_share')} AS low_share FROM cor", "samples", extra={"cor": _CORRELATION}),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -92,19 +93,29 @@ def psd_step(x: Column, fs: Column | float) -> Column:
     return _rate(fs) / F.least(F.size(x), F.lit(256))
 
 
-def filter_chunk(ext: Column, before: Column, start: Column, own: Column, taps: np.ndarray,
-                 up: int, down: int, context: int, edge: str) -> Column:
-    """Polyphase filter of one chunk with its context; see ``kernels.polyphase``."""
+class Kernel(NamedTuple):
+    """Centred taps at ``up`` times the input rate, every ``down``-th output kept, and the context in input samples."""
+    taps: np.ndarray
+    up: int
+    down: int
+    context: int
+
+
+def filter_chunk(ext: Column, before: Column, start: Column, own: Column, rate: Column,
+                 kernels: dict[float, Kernel], edge: str) -> Column:
+    """Polyphase filter of one chunk with its context by the kernel of its rate; see ``kernels.polyphase``."""
     @arrow_udf("array<double>")
-    def run(ext: pa.Array, before: pa.Array, start: pa.Array, own: pa.Array) -> pa.Array:
+    def run(ext: pa.Array, before: pa.Array, start: pa.Array, own: pa.Array, rate: pa.Array) -> pa.Array:
         values, offsets = flat(ext)
+        spectra = {r: {} for r in kernels}
         out = []
-        for i, (b, s, n) in enumerate(zip(before.to_pylist(), start.to_pylist(), own.to_pylist())):
+        for i, (b, s, n, r) in enumerate(zip(*(c.to_pylist() for c in (before, start, own, rate)))):
+            k = kernels[r]
             x = values[offsets[i]:offsets[i + 1]]
-            x = K.extend_edges(x, context - b, context - (len(x) - b - n), edge)
-            out.append(K.polyphase(x, context, s, n, taps, up, down))
+            x = K.extend_edges(x, k.context - b, k.context - (len(x) - b - n), edge)
+            out.append(K.polyphase(x, k.context, s, n, k.taps, k.up, k.down, spectra[r]))
         return to_lists(out)
-    return run(ext, before, start, own)
+    return run(ext, before, start, own, rate)
 
 
 def _frames(data: pa.Array):

@@ -94,21 +94,36 @@ def extend_edges(x: np.ndarray, left: int, right: int, edge: str) -> np.ndarray:
     return np.concatenate([before, x, after])
 
 
+def fast_length(n: int) -> int:
+    """The smallest length from ``n`` on without prime factors above 5."""
+    while True:
+        rest = n
+        for p in (2, 3, 5):
+            while rest % p == 0:
+                rest //= p
+        if rest == 1:
+            return n
+        n += 1
+
+
 def polyphase(x: np.ndarray, before: int, start: int, count: int, taps: np.ndarray,
-              up: int, down: int) -> np.ndarray:
+              up: int, down: int, spectra: dict[int, np.ndarray] | None = None) -> np.ndarray:
     """Centred filter at ``up`` times the input rate, every ``down``-th output kept.
 
     ``x`` holds ``before`` context samples, then the ``count`` samples whose first
     has absolute index ``start``, then context. Returns the outputs whose time lies
-    within those samples.
+    within those samples. ``spectra`` keeps the transformed taps by length from call to call.
     """
     c = (len(taps) - 1) // 2
     k = np.arange(-(-start * up // down), -(-(start + count) * up // down))
     nearest, phase = np.divmod(k * down, up)
     at = nearest - start + before
     if up == 1:
-        size = len(x) + len(taps) - 1
-        full = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(taps, size), size)
+        size = fast_length(len(x) + len(taps) - 1)
+        spectra = {} if spectra is None else spectra
+        if size not in spectra:
+            spectra[size] = np.fft.rfft(taps, size)
+        full = np.fft.irfft(np.fft.rfft(x, size) * spectra[size], size)
         return full[at + c]
     y = np.empty(len(k))
     for r in range(up):

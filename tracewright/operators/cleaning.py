@@ -23,17 +23,50 @@ RECORDING = ["recording_id"]
 IQR_TO_SD = 0.7413           # inter-quartile range to standard deviation
 
 
-def _polyphase(chunks: DataFrame, chunk_len: int, taps, up: int, down: int, edge: str,
-               keys: list[str]) -> DataFrame:
+def _kernel(chunk_len: int, taps, up: int, down: int) -> arrow.Kernel:
     taps = np.asarray(taps, dtype=float)
     if len(taps) % 2 == 0:
         raise ValueError("taps must have odd length")
     if chunk_len * up % down:
         raise ValueError("chunk_len * up must be a multiple of down")
-    context = math.ceil((len(taps) // 2) / up) + 1
-    ext = with_context(chunks, chunk_len, context, context, [*keys, "channel"])
-    y = arrow.filter_chunk(F.col("ext"), F.col("before"), F.col("chunk") * chunk_len, F.col("own"),
-                           taps, up, down, context, edge)
+    return arrow.Kernel(taps, up, down, math.ceil((len(taps) // 2) / up) + 1)
+
+
+def _polyphase(chunks: DataFrame, chunk_len: int, taps, up: int, down: int, edge: str,
+               keys: list[str]) -> DataFrame:
+    k = _kernel(chunk_len, taps, up, down)
+    ext = with_context(chunks, chunk_len, k.context, k.context, [*keys, "channel"])
+    y = arrow.filter_chunk(F.col("ext"), F.col("before"), F.col("chunk") * chunk_len, F.col("own"), F.lit(0.0), {0.0: k}, edge)
+    return ext.select(*keys, "channel", "chunk", y.alias("x"))
+
+
+@dataclass(frozen=True)
+class RateChange:
+    """What signals of one rate need: the samples of a chunk, and a kernel of ``taps`` at ``up`` times the rate."""
+    chunk_len: int
+    up: int
+    down: int
+    taps: np.ndarray
+
+
+def resample_rates(chunks: DataFrame, changes: dict[float, RateChange], edge: str = "reflect", keys: list[str] = RECORDING) -> DataFrame:
+    """Signals of several rates to one, in one pass. Rows carry their rate in ``sfreq``, chunks span the same time at every rate, and
+    ``changes`` has a rule for every rate that occurs; another rate fails the job, so list its recordings first
+    (``plans.extract.other_rates``). The result is on one grid of chunks, without sfreq."""
+    kernels = {float(r): _kernel(c.chunk_len, c.taps, c.up, c.down) for r, c in changes.items()}
+    if len({c.chunk_len * c.up // c.down for c in changes.values()}) > 1:
+        raise ValueError("chunks of the rates do not span the same time")
+
+    def of_rate(values: dict[float, int]) -> Column:
+        return F.coalesce(*[F.when(F.col("sfreq") == r, F.lit(v)) for r, v in values.items()],
+                          F.raise_error(F.concat(F.lit("no rule for the rate "), F.col("sfreq").cast("string"))).cast("int"))
+
+    lengths = of_rate({r: c.chunk_len for r, c in changes.items()})
+    context = of_rate({r: k.context for r, k in kernels.items()})
+    reach = max(math.ceil(k.context / changes[r].chunk_len) for r, k in kernels.items())
+    named = chunks.withColumn("sfreq", F.col("sfreq").cast("double"))
+    ext = with_context(named, lengths, context, context, [*keys, "sfreq", "channel"], reach)
+    y = arrow.filter_chunk(F.col("ext"), F.col("before"), F.col("chunk") * lengths, F.col("own"), F.col("sfreq"), kernels, edge)
     return ext.select(*keys, "channel", "chunk", y.alias("x"))
 
 

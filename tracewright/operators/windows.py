@@ -152,24 +152,31 @@ def cut_spans(chunks: DataFrame, spans: DataFrame, chunk_len: int, keys: list[st
     return whole.withColumnRenamed("out_chunk", "chunk") if out_len else whole.drop("out_chunk")
 
 
-def with_context(chunks: DataFrame, chunk_len: int, left: int, right: int,
-                 keys: list[str] = CHANNEL) -> DataFrame:
+def with_context(chunks: DataFrame, chunk_len: int | Column, left: int | Column, right: int | Column,
+                 keys: list[str] = CHANNEL, neighbours: int | None = None) -> DataFrame:
     """Adds to each chunk up to ``left`` samples before and ``right`` after it:
     ``ext`` with ``before`` context samples in front.
 
     One shuffle, on the chunk without the channel: a chunk's channels land in the same
     task, so a following mean over the channels is mostly done before it shuffles.
+
+    For signals of several rates the lengths are columns, and ``neighbours`` is the largest number of
+    chunks that a context reaches on one side.
     """
     def piece(shift: int, part: Column) -> Column:
         # a piece for the chunk ``shift`` places further on
         return F.struct((F.col("chunk") + shift).alias("chunk"), F.lit(-shift).alias("rel"), part.alias("part"))
 
+    def parts(wanted: int | Column):              # how far, and how many samples there
+        if neighbours is not None:
+            return [(j, F.greatest(F.lit(0), F.least(chunk_len, wanted - (j - 1) * chunk_len))) for j in range(1, neighbours + 1)]
+        return [(j, F.lit(min(chunk_len, wanted - (j - 1) * chunk_len))) for j in range(1, math.ceil(wanted / chunk_len) + 1)]
+
     sent = [piece(0, F.col("x"))]
-    for j in range(1, math.ceil(left / chunk_len) + 1):
-        k = min(chunk_len, left - (j - 1) * chunk_len)
-        sent.append(piece(j, F.slice("x", F.greatest(F.size("x") - k + 1, F.lit(1)), F.lit(k))))
-    for j in range(1, math.ceil(right / chunk_len) + 1):
-        sent.append(piece(-j, F.slice("x", 1, min(chunk_len, right - (j - 1) * chunk_len))))
+    for j, k in parts(left):
+        sent.append(piece(j, F.slice("x", F.greatest(F.size("x") - k + 1, F.lit(1)), k)))
+    for j, k in parts(right):
+        sent.append(piece(-j, F.slice("x", F.lit(1), k)))
     together = [k for k in keys if k != "channel"]
     met = (chunks.select(*keys, F.explode(F.array(*sent)).alias("p")).select(*keys, "p.*")
            .repartition(*together, "chunk").groupBy(*keys, "chunk")

@@ -1,16 +1,16 @@
 """From signals and annotations to labelled feature rows.
 
-Signals are chunk rows of one sampling rate (see ``operators.windows``). Run once
-per rate when recordings differ.
+Signals are chunk rows (see ``operators.windows``), of one sampling rate (``Rates``) or of
+several (``RateTable``), where chunks span the same time at every rate.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tracewright import constants as C
 from tracewright.functions import kernels as K
@@ -43,6 +43,31 @@ class Rates:
         return self.chunk_len * up // down
 
 
+@dataclass(frozen=True)
+class RateTable:
+    """Signals of several rates: a chunk spans ``chunk_sec`` seconds at each of the rates ``sources``. The rate of a
+    signal is its ``sfreq`` column or that of its recording."""
+    sources: tuple[float, ...]
+    chunk_sec: float
+    target: float = C.TARGET_HZ
+
+    def __post_init__(self):
+        for rate in (*self.sources, self.target):
+            if abs(rate * self.chunk_sec - round(rate * self.chunk_sec)) > 1e-6:
+                raise ValueError(f"{self.chunk_sec} s are no whole number of samples at {rate} Hz")
+
+    def of(self, rate: float) -> Rates:
+        return Rates(rate, int(round(rate * self.chunk_sec)), self.target)
+
+    @property
+    def out_len(self) -> int:
+        return int(round(self.target * self.chunk_sec))
+
+    def changes(self) -> dict[float, G.RateChange]:
+        """Band-pass and resampling of every rate."""
+        return {r: G.RateChange(self.of(r).chunk_len, *self.of(r).ratio, filter_and_resample_taps(self.of(r))) for r in self.sources}
+
+
 def filter_and_resample_taps(rates: Rates, low: float = C.LOW_HZ, high: float = C.HIGH_HZ) -> np.ndarray:
     """Band-pass followed by the resampling filter, as one kernel at the up-sampled rate."""
     up, down = rates.ratio
@@ -60,15 +85,35 @@ class CleanRecordings:
     rejected: DataFrame
 
 
-def other_rates(recordings: DataFrame, rates: Rates) -> DataFrame:
-    """Recordings (recording_id, sfreq) that are not sampled at the source rate, as rejects. Run the
-    plan once for every rate that occurs."""
-    wrong = F.col("sfreq").isNull() | (F.abs(F.col("sfreq") - F.lit(rates.source)) > 1e-6 * rates.source)
-    return recordings.filter(wrong).select("recording_id", F.concat(
+def _matched(rates: Rates | RateTable) -> Column:
+    """The rate of the table that ``sfreq`` means, null if none."""
+    known = rates.sources if isinstance(rates, RateTable) else (rates.source,)
+    near = [F.when(F.abs(F.col("sfreq") - F.lit(float(r))) <= 1e-6 * r, F.lit(float(r))) for r in known]
+    return F.coalesce(*near, F.lit(None).cast("double"))
+
+
+def other_rates(recordings: DataFrame, rates: Rates | RateTable) -> DataFrame:
+    """Recordings (recording_id, sfreq) that are not sampled at a source rate, as rejects."""
+    return recordings.filter(_matched(rates).isNull()).select("recording_id", F.concat(
         F.lit("sampling rate "), F.coalesce(F.col("sfreq").cast("string"), F.lit("unknown"))).alias("reason"))
 
 
-def _with_rate(signals: DataFrame, rates: Rates, recordings: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+def _one_rate(rows: DataFrame) -> DataFrame:
+    """recording_id, sfreq: null where the rows of a recording name several rates, or none."""
+    same = F.count_distinct("sfreq") == 1
+    return rows.groupBy("recording_id").agg(F.when(same, F.max("sfreq")).cast("double").alias("sfreq"))
+
+
+def _with_rate(signals: DataFrame, rates: Rates | RateTable, recordings: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Signals of the source rates, for a ``RateTable`` with their sfreq, and the recordings left out."""
+    if isinstance(rates, RateTable):
+        if "sfreq" not in signals.columns:
+            if recordings is None:
+                raise ValueError("several rates need a column sfreq in the signals, or the recordings")
+            signals = signals.join(_one_rate(recordings), "recording_id", "left")
+        wrong = materialize(other_rates(_one_rate(signals), rates), "rates")
+        kept = signals.join(wrong.select("recording_id").distinct(), "recording_id", "left_anti")
+        return kept.withColumn("sfreq", _matched(rates)), wrong
     if recordings is None:
         return signals, None
     wrong = materialize(other_rates(recordings, rates), "rates")
@@ -82,7 +127,7 @@ def _weights(weights: DataFrame | GEO.Positions, present: DataFrame, bad: DataFr
     return materialize(GEO.interpolation_weights(present, bad, weights, keys), "weights")
 
 
-def clean_recordings(signals: DataFrame, rates: Rates, report: DataFrame, weights: DataFrame | GEO.Positions,
+def clean_recordings(signals: DataFrame, rates: Rates | RateTable, report: DataFrame, weights: DataFrame | GEO.Positions,
                      recordings: DataFrame | None = None) -> CleanRecordings:
     """Whole recordings: band-pass and resample in one pass, replace the channels the
     report names, average reference. ``report``: recording_id, category, channel. A
@@ -90,7 +135,6 @@ def clean_recordings(signals: DataFrame, rates: Rates, report: DataFrame, weight
     (recording_id, sfreq) those of another rate are rejected too. ``weights``: a table for ``cleaning.repair``, or the
     positions of the channels (``geometry.sphere_positions``), from which weights are solved."""
     signals, wrong = _with_rate(signals, rates, recordings)
-    up, down = rates.ratio
     raw = signals.select("recording_id", "channel").distinct()
     name = CH.clean_channel(F.col("channel"))
     twice = CH.duplicate_channels(raw, name)
@@ -100,7 +144,10 @@ def clean_recordings(signals: DataFrame, rates: Rates, report: DataFrame, weight
     hopeless = G.without_weights(bad, weights, present=present).join(twice, "recording_id", "left_anti")
     rejected = materialize(twice.unionByName(hopeless), "rejected")
     named = signals.withColumn("channel", name).join(rejected, "recording_id", "left_anti")
-    resampled = G.resample(named, rates.chunk_len, up, down, filter_and_resample_taps(rates))
+    if isinstance(rates, RateTable):
+        resampled = G.resample_rates(named, rates.changes())
+    else:
+        resampled = G.resample(named, rates.chunk_len, *rates.ratio, filter_and_resample_taps(rates))
     stored = materialize(resampled, "resampled")
     return CleanRecordings(G.repair(stored, bad, weights), rejected if wrong is None else rejected.unionByName(wrong))
 
@@ -112,7 +159,7 @@ class AnnotationRows:
     rejected: DataFrame
 
 
-def annotation_rows(signals: DataFrame, rates: Rates, annotations: DataFrame, report: DataFrame, weights: DataFrame | GEO.Positions,
+def annotation_rows(signals: DataFrame, rates: Rates | RateTable, annotations: DataFrame, report: DataFrame, weights: DataFrame | GEO.Positions,
                     recordings: DataFrame | None = None) -> AnnotationRows:
     """One feature row per channel of every window around a labelled mark. Rejected are the recordings that
     ``clean_recordings`` rejects, and each window that raises, with its channel in the reason."""
@@ -128,7 +175,7 @@ def annotation_rows(signals: DataFrame, rates: Rates, annotations: DataFrame, re
     return AnnotationRows(good.join(meta, key), made.rejected.unionByName(failed.select("recording_id", reason.alias("reason"))))
 
 
-def annotation_features(signals: DataFrame, rates: Rates, annotations: DataFrame, report: DataFrame,
+def annotation_features(signals: DataFrame, rates: Rates | RateTable, annotations: DataFrame, report: DataFrame,
                         weights: DataFrame) -> DataFrame:
     """The rows of ``annotation_rows``."""
     return annotation_rows(signals, rates, annotations, report, weights).rows
@@ -161,14 +208,18 @@ class CleanCrops:
     warnings: DataFrame
 
 
-def clean_crops(signals: DataFrame, rates: Rates, segments: DataFrame, weights: DataFrame | GEO.Positions,
+def clean_crops(signals: DataFrame, rates: Rates | RateTable, segments: DataFrame, weights: DataFrame | GEO.Positions,
                 prediction_weights: G.PredictionWeights | GEO.SubsetPredictions | None = None,
                 limits: Detection = Detection(), recordings: DataFrame | None = None) -> CleanCrops:
     """Every segment on its own: crop with padding, band-pass, detect and replace bad
     channels at the source rate, average reference, resample. A crop that fails is
     rejected; the segment ids of the others do not change. With ``recordings`` (recording_id, sfreq)
-    the crops of those with another rate are rejected."""
+    the crops of those with another rate are rejected. Signals of several rates (``RateTable``) are cleaned rate by rate, each
+    detector at its own rate, and end on one grid. A crop shorter than five seconds has no window for the prediction rule;
+    it is listed in the warnings."""
     signals, wrong = _with_rate(signals, rates, recordings)
+    if isinstance(rates, RateTable):
+        return _crops_of_rates(signals, rates, segments, weights, prediction_weights, limits, wrong)
     up, down = rates.ratio
     twice = materialize(CH.duplicate_channels(signals.select("recording_id", "channel").distinct()), "rejected")
     # names are an expression: the samples are not joined with anything
@@ -198,7 +249,9 @@ def clean_crops(signals: DataFrame, rates: Rates, segments: DataFrame, weights:
         rest = stored.join(before, [*CROP, "channel"], "left_anti")
         shares = materialize(G.prediction_share(rest, rates.chunk_len, 5 * second, prediction_weights, CROP, limits.prediction),
                              "prediction")
-        warnings = warnings.unionByName(G.detector_failures(shares, "prediction", CROP))
+        short = spans.filter(F.col("stop") - F.col("start") < 5 * second).select(
+            *CROP, F.lit("prediction").alias("detector"), F.lit("shorter than a window of 5 s").alias("reason"))
+        warnings = warnings.unionByName(G.detector_failures(shares, "prediction", CROP)).unionByName(short)
         found = [before, G.low_channels(shares, limits.prediction_share, CROP)]
     bad = materialize(G.bad_union(*found, present=stored, keys=CROP), "bad")
     present = stored.select(*CROP, "channel").distinct()
@@ -212,7 +265,20 @@ def clean_crops(signals: DataFrame, rates: Rates, segments: DataFrame, weights:
                       warnings)
 
 
-def sliding_features(crops: CleanCrops, rates: Rates, annotations: DataFrame) -> DataFrame:
+def _crops_of_rates(signals: DataFrame, table: RateTable, segments: DataFrame, weights, prediction_weights, limits: Detection,
+                    wrong: DataFrame) -> CleanCrops:
+    """``clean_crops`` for each rate of the table, side by side in one result."""
+    rate_of = materialize(signals.select("recording_id", "sfreq").distinct(), "sfreq")
+    out = None
+    for rate in table.sources:
+        own = segments.join(rate_of.filter(F.col("sfreq") == rate).select("recording_id"), "recording_id", "left_semi")
+        one = clean_crops(signals.filter(F.col("sfreq") == rate).drop("sfreq"), table.of(rate), own, weights, prediction_weights, limits)
+        out = one if out is None else CleanCrops(*[getattr(out, f.name).unionByName(getattr(one, f.name)) for f in fields(CleanCrops)])
+    other = segments.join(wrong, "recording_id").select(*CROP, "reason")
+    return replace(out, rejected=out.rejected.unionByName(other))
+
+
+def sliding_features(crops: CleanCrops, rates: Rates | RateTable, annotations: DataFrame) -> DataFrame:
     """One feature row per channel of every sliding window inside a segment, labelled
     by the marks. Windows of the padding are not made."""
     length, stride = (int(round(s * rates.target)) for s in (C.WINDOW_SEC, C.STRIDE_SEC))
@@ -226,7 +292,7 @@ def sliding_features(crops: CleanCrops, rates: Rates, annotations: DataFrame) ->
     return made.join(labelled, [*CROP, "s"])
 
 
-def event_features(crops: CleanCrops, rates: Rates, annotations: DataFrame) -> DataFrame:
+def event_features(crops: CleanCrops, rates: Rates | RateTable, annotations: DataFrame) -> DataFrame:
     """One feature row per channel of the window around every mark inside a segment."""
     spans = crops.spans.drop("start", "stop")
     placed = W.event_windows(S.events_in_segments(annotations, spans), rates.target, F.col("n_out"))
