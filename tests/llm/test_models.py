@@ -148,6 +148,51 @@ def test_ordinal_model_recovers_weights():
     assert all(abs(weight.get(k, 0.0)) < 0.3 for k in range(5, 41))
 
 
+def newton(x, target, l2, steps=60):
+    """Weights and thresholds of the cumulative-link model, by Newton steps on the dense system."""
+    n, width = x.shape
+    levels = target.shape[1]
+    design = [np.hstack([x, -np.eye(levels)[np.full(n, k)]]) for k in range(levels)]
+    v, ridge = np.concatenate([np.zeros(width), np.arange(levels, dtype=float)]), np.diag([l2] * width + [0.0] * levels)
+    for _ in range(steps):
+        grad, hess = ridge @ v, ridge.copy()
+        for k, d in enumerate(design):
+            p = 1 / (1 + np.exp(-d @ v))
+            grad = grad + d.T @ (p - target[:, k]) / n
+            hess = hess + (d * (p * (1 - p))[:, None]).T @ d / n
+        v = v - np.linalg.solve(hess, grad)
+    return v[:width], v[width:]
+
+
+def test_ordinal_fit_against_dense_newton():
+    rng = np.random.default_rng(5)
+    x = (rng.random((300, 6)) < 0.4).astype(float)
+    score = x @ [1.5, -1.0, 0.8, 0.0, 0.4, -0.3] + rng.logistic(size=300)
+    target = np.stack([score > 0.4, score > 1.6], 1).astype(float)
+    row, col = np.nonzero(x)
+    w, th = ordinal._solve(col, row, 300, 6, target, np.array([0.0, 1.0]), 0.0, 0.01, 4000)
+    want_w, want_th = newton(x, target, 0.01)
+    assert np.allclose(w, want_w, atol=1e-4) and np.allclose(th, want_th, atol=1e-4) and th[0] < th[1]
+
+
+def test_ordinal_scores_against_plain_sums(spark):
+    """All rows of a table, with repeated ids and null texts, from the model's own weights by plain sums."""
+    docs, labels = labelled(300, 8)
+    rows = docs + [(docs[0][0], docs[1][1], "en", "s"), (9001, None, "en", "s"), (None, docs[2][1], "en", "s")]
+    given, marks = table(spark, rows), spark.createDataFrame(labels, LABELS)
+    model = ordinal.train(given, marks)
+    again = ordinal.train(given.repartition(5), marks)
+    assert np.array_equal(model.keys, again.keys) and np.allclose(model.weights, again.weights)
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist()))
+    want = []
+    for d, text, *_ in rows:
+        s = sum(weight.get(k, 0.0) for k in ordinal.features(text).tolist())
+        p = [1 / (1 + np.exp(t - s)) for t in model.thresholds]
+        want.append((-1 if d is None else d, round(p[0], 9), round(p[1], 9)))
+    got = [(-1 if r.doc_id is None else r.doc_id, round(r.p_mild, 9), round(r.p_severe, 9)) for r in ordinal.severity(given, marks).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_ordinal_with_nothing_to_learn(spark):
     rows, _ = labelled(20, 2)
     none = spark.createDataFrame([], LABELS)
@@ -225,6 +270,37 @@ def test_raking_awkward_tables(spark):
     assert raking.mixture(empty(spark)).count() == 0 and raking.keep_sample(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("trim", [1e6, 7.7, 6.0])
+def test_raking_inside_the_bound(spark, trim):
+    """Without a bound one cell needs the factor 7.858; others make up for it at 7.7, and at 6 a known error remains."""
+    cells = spark.createDataFrame([("a", "en", "t", 900.0), ("a", "de", "t", 10.0), ("b", "en", "t", 50.0), ("b", "de", "t", 90.0)],
+                                  "source string, lang string, topic string, weight double")
+    rule = raking.Mix(source=1.0, topic=1.0, shares={"lang": {"de": 0.2, "en": 0.8}}, tolerance=1e-6, sweeps=150, trim=trim)
+    fit = raking.cell_factors(cells, rule)
+    f = {(r.source, r.lang): r.factor for r in fit.factors.collect()}
+    de, a, b = 10 * f["a", "de"] + 90 * f["b", "de"], 900 * f["a", "en"] + 10 * f["a", "de"], 50 * f["b", "en"] + 90 * f["b", "de"]
+    assert max(f.values()) <= trim and fit.largest == max(f.values())
+    assert a == pytest.approx(910, rel=1e-4) and b == pytest.approx(140, rel=1e-4)
+    if trim > 7:
+        assert de == pytest.approx(210, rel=1e-4) and max(fit.errors.values()) < 1e-6
+        # raking keeps the odds ratio r: x (x - 70) = r (910 - x) (210 - x) for the weight x of the cell
+        r = 10 * 50 / (900 * 90)
+        x = max(np.roots([1 - r, -70 + 1120 * r, -910 * 210 * r]))
+        assert f["a", "de"] == pytest.approx(min(x / 10, trim), abs=1e-3)
+    else:
+        assert fit.errors["lang"] == pytest.approx((210 - de) / 1050, abs=1e-6) and 0.009 < fit.errors["lang"] < 0.011
+
+
+def test_rows_without_id_have_draws_of_their_own(spark):
+    rng = random.Random(4)
+    rows = [(None, prose(rng, 50), rng.choice(["en", "en", "en", "de"]), "s") for _ in range(400)]
+    rule = raking.Mix(source=1.0, topic=1.0, shares={"lang": {"=en": 0.5, "=de": 0.5}})
+    got = raking.mixture(table(spark, rows), rule).toPandas()
+    part = got[got["lang"] == "en"]["selected"].mean()
+    assert 0.15 < part < 0.55 and "draw_key" not in got.columns
+    assert raking.keep_sample(table(spark, rows), rule).count() == got["selected"].sum()
+
+
 def test_raking_bounds_what_the_driver_gets(spark, monkeypatch):
     monkeypatch.setattr(raking, "NARROW_CELLS", 3)
     with pytest.raises(ValueError):

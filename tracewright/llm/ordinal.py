@@ -64,7 +64,7 @@ def features(text: str | None) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rule: FitRule = FitRule()) -> DataFrame:
-    """features, toxic of at most ``rule.rows`` labelled documents."""
+    """features, toxic of at most ``rule.rows`` labelled documents; of several texts of one id the smallest."""
     chosen = (labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
               .groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
               .orderBy(unit_hash(F.col("_id"), rule.seed), "_id").limit(rule.rows))
@@ -75,7 +75,7 @@ def sample(docs: DataFrame, labels: DataFrame, rule: FitRule = FitRule()) -> Dat
                                 "toxic": b["toxic"]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = rows.join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic").dropDuplicates(["doc_id"])
+    joined = rows.join(chosen, F.col("doc_id") == F.col("_id")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     return joined.mapInPandas(work, "doc_id long, features array<long>, toxic int")
 
 
@@ -127,7 +127,17 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rule: FitRule = FitRule()) -
 
 def _solve(col: np.ndarray, row: np.ndarray, n: int, width: int, target: np.ndarray, thresholds: np.ndarray,
            l1: float, l2: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Accelerated proximal gradient for the weights, a damped Newton step for each threshold."""
+    """Accelerated proximal gradient for the weights; the thresholds are solved by damped Newton steps for every score
+    before its gradient is taken, so the steps see a function of the weights alone."""
+    def solved(score: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+        for _ in range(20):
+            p = sigmoid(score[:, None] - thresholds)
+            move = np.clip((p - target).sum(0) / np.maximum((p * (1 - p)).sum(0), 1e-9), -1, 1)
+            thresholds = thresholds + move
+            if np.abs(move).max() < 1e-9:
+                break
+        return np.maximum.accumulate(thresholds)
+
     # the squared norm of the data matrix, by power iteration, bounds the curvature
     v = np.ones(width)
     norm = 1.0
@@ -137,19 +147,16 @@ def _solve(col: np.ndarray, row: np.ndarray, n: int, width: int, target: np.ndar
         v /= norm
     levels = target.shape[1]
     rate = 1.0 / (norm * levels / (4.0 * n) + l2)
-    w, y, momentum, thresholds = np.zeros(width), np.zeros(width), 1.0, thresholds.copy()
+    w, y, momentum = np.zeros(width), np.zeros(width), 1.0
     for _ in range(steps):
         score = np.bincount(row, y[col], n)
+        thresholds = solved(score, thresholds)
         error = sigmoid(score[:, None] - thresholds) - target
         step = y - rate * (np.bincount(col, error.sum(1)[row], width) / n + l2 * y)
         new = np.sign(step) * np.maximum(np.abs(step) - rate * l1, 0.0)
         after = 0.5 * (1 + np.sqrt(1 + 4 * momentum ** 2))
         y, w, momentum = new + (momentum - 1) / after * (new - w), new, after
-        for k in range(levels):
-            p = sigmoid(score - thresholds[k])
-            thresholds[k] += np.clip((p - target[:, k]).sum() / max((p * (1 - p)).sum(), 1e-9), -1, 1)
-        thresholds = np.maximum.accumulate(thresholds)
-    return w, thresholds
+    return w, solved(np.bincount(row, w[col], n), thresholds)
 
 
 def train(docs: DataFrame, labels: DataFrame, rule: FitRule = FitRule()) -> Model:

@@ -20,14 +20,17 @@ from tracewright.llm.common import SPACE, WORD, few_files, text_or_empty, unit_h
 from tracewright.plans.tables import materialize
 
 NARROW_CELLS = 100_000
+DIMS = ["source", "lang", "topic"]
+INNER, LARGE = 60, 1e12          # steps along a source with bounded cells; a factor that no cell exceeds before the bound
 
 
 @dataclass(frozen=True)
 class Mix:
     """Target shares of a marginal are its current shares to the given power (1 leaves it as it is), or
     those given in ``shares`` ({"lang": {"=en": 0.5, ...}}; values are written with a leading "=", null is
-    "null"). ``tolerance`` is the largest error of a marginal at the end, as a share of all weights; factors
-    above ``trim`` are cut to it, so that a rare cell does not make all others rare."""
+    "null"). ``tolerance`` is the largest error of a marginal at the end, as a share of all weights. No factor
+    exceeds ``trim``, so that a rare cell does not make all others rare: the fit works inside this bound, and other cells take what
+    a bounded one cannot."""
     source: float = 0.8
     lang: float = 0.9
     topic: float = 0.95
@@ -68,12 +71,20 @@ def goals(weights: dict[str, float], power: float, given: dict[str, float] | Non
     return {v: x / total for v, x in raw.items()}
 
 
-def cell_factors(cells: DataFrame, rule: Mix = Mix()) -> tuple[DataFrame, float]:
-    """source, lang, topic (as keys) and factor (fitted over current weight) of every cell, and the largest
-    factor. ``cells``: source, lang, topic, weight > 0, one row per cell, a stored table.
+@dataclass(frozen=True)
+class Fit:
+    """``factors``: source, lang, topic (as keys) and factor (fitted over current weight) of every cell; the ``largest`` of them; and by
+    marginal the largest difference to a target that remains, as a share of all weights."""
+    factors: DataFrame
+    largest: float
+    errors: dict[str, float]
+
+
+def cell_factors(cells: DataFrame, rule: Mix = Mix()) -> Fit:
+    """Bounded raking. ``cells``: source, lang, topic, weight > 0, one row per cell, a stored table.
 
-    The sweeps end when the marginals fit within the tolerance, or after ``sweeps`` if the targets
-    contradict each other. A value with target 0 gets factor 0.
+    Every step scales a marginal by what the bounded factors lack, until all marginals fit within the tolerance, or for ``sweeps`` sweeps
+    if the targets contradict each other or the bound; ``Fit.errors`` tells. A value with target 0 gets factor 0.
     """
     sums = cells.groupBy("lang", "topic").agg(F.sum("weight").alias("weight")).limit(NARROW_CELLS + 1).collect()
     if len(sums) > NARROW_CELLS:
@@ -114,34 +125,41 @@ def cell_factors(cells: DataFrame, rule: Mix = Mix()) -> tuple[DataFrame, float]
         row = np.repeat(np.arange(len(batch)), size)
         pair = np.concatenate([*batch["pair"], np.zeros(0, int)]).astype(int)
         own = np.concatenate([*batch["weight"], np.zeros(0)])
-        part = np.bincount(row, own * factor[pair], len(batch))
-        ratio = np.divide(batch["goal"].to_numpy(float), part, out=np.zeros(len(batch)), where=part > 0)
-        return row, pair, own, ratio[row] * factor[pair]
+        goal, ratio = batch["goal"].to_numpy(float), np.ones(len(batch))
+        for _ in range(INNER):                  # once is enough where no factor is at the bound
+            part = np.bincount(row, own * np.minimum(ratio[row] * factor[pair], rule.trim), len(batch))
+            step = np.divide(goal, part, out=np.zeros(len(batch)), where=part > 0)
+            ratio = np.minimum(ratio * step, LARGE)
+            if np.all(np.abs(step - 1) < 1e-12):
+                break
+        return row, pair, own, np.minimum(ratio[row] * factor[pair], rule.trim)
 
     def sweep(factor: np.ndarray):
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            out = np.zeros(width)
+            out, lack = np.zeros(width), 0.0
             for batch in batches:
-                _, pair, own, f = scaled(batch, factor)
+                row, pair, own, f = scaled(batch, factor)
                 out += np.bincount(pair, own * f, width)
-            yield pd.DataFrame({"pair": np.arange(width), "weight": out})
+                lack = max(lack, float(np.abs(np.bincount(row, own * f, len(batch)) - batch["goal"].to_numpy(float)).max(initial=0.0)))
+            yield pd.DataFrame({"pair": np.arange(width), "weight": out, "lack": lack})
         return work
 
-    factor = np.ones(width)
-    for _ in range(rule.sweeps if width else 0):
-        found = (wide.select("goal", "pair", "weight").mapInPandas(sweep(factor), "pair int, weight double")
-                 .groupBy("pair").agg(F.sum("weight").alias("weight")).collect())             # one row per pair
+    factor, errors = np.ones(width), {d: 0.0 for d in DIMS}
+    for turn in range(rule.sweeps + 1 if width else 0):                                       # the last turn only measures
+        found = (wide.select("goal", "pair", "weight").mapInPandas(sweep(factor), "pair int, weight double, lack double")
+                 .groupBy("pair").agg(F.sum("weight").alias("weight"), F.max("lack").alias("lack")).collect())   # one row per pair
         now = np.zeros(width)
         for r in found:
             now[r["pair"]] = r["weight"]
-        worst = 0.0
+        errors["source"] = max(r["lack"] for r in found) / total
+        for name, (index, target) in zip(("lang", "topic"), axes):
+            errors[name] = float(np.abs(np.bincount(index, now, len(target)) - target).max() / total)
+        if max(errors.values()) < rule.tolerance or turn == rule.sweeps:
+            break
         for index, target in axes:
             have = np.bincount(index, now, len(target))
             ratio = np.divide(target, have, out=np.zeros(len(target)), where=have > 0)
-            worst = max(worst, float(np.abs(have - target).max() / total))
-            factor, now = factor * ratio[index], now * ratio[index]
-        if worst < rule.tolerance:
-            break
+            factor, now = np.minimum(factor * ratio[index], LARGE), now * ratio[index]
 
     names = [(r["lang"], r["topic"]) for r in sums]
 
@@ -149,53 +167,60 @@ def cell_factors(cells: DataFrame, rule: Mix = Mix()) -> tuple[DataFrame, float]
         for batch in batches:
             row, pair, _, f = scaled(batch, factor)
             yield pd.DataFrame({"source": batch["source"].to_numpy()[row], "lang": [names[p][0] for p in pair],
-                                "topic": [names[p][1] for p in pair], "factor": np.minimum(f, rule.trim)})
+                                "topic": [names[p][1] for p in pair], "factor": f})
 
     table = materialize(wide.mapInPandas(final, "source string, lang string, topic string, factor double"), "factors")
-    return table, float(table.agg(F.max("factor")).first()[0] or 1.0)
-
-
-DIMS = ["source", "lang", "topic"]
+    return Fit(table, float(table.agg(F.max("factor")).first()[0] or 1.0), errors)
 
 
 def mix(docs: DataFrame, rule: Mix = Mix()) -> DataFrame:
-    """``docs`` (doc_id, source, lang, topic, n_tokens, ...) with factor, probability and selected.
+    """``docs`` (doc_id, source, lang, topic, n_tokens, ...) with factor, probability, selected, and error_source, error_lang and error_topic:
+    how far the expected share of a value is from its target at most.
 
     The probability is the factor of the cell over the largest factor, so the expected weights of the sample
-    have the target shares and no document is taken twice. Selection depends on doc_id and the seed
-    only, so repeated rows go together. A document without tokens is never selected; null ids share one draw.
+    have the target shares, up to these errors, and no document is taken twice. Selection depends on doc_id and the seed
+    only, so repeated rows go together. A document without tokens is never selected. Null ids share one draw, unless a
+    column draw_key tells the rows apart (see ``draw_key``); it is dropped.
     """
     keys = [value_key(d).alias(d) for d in DIMS]
     cells = materialize(docs.groupBy(*keys).agg(F.sum("n_tokens").cast("double").alias("weight"))
                         .filter(F.col("weight") > 0), "cells")
-    factors, most = cell_factors(cells, rule)
+    fit = cell_factors(cells, rule)
     on = None
     for d in DIMS:
         same = value_key(d) == F.col(f"_{d}")
         on = same if on is None else on & same
-    out = docs.join(factors.select(*[F.col(d).alias(f"_{d}") for d in DIMS], "factor"), on, "left")
+    out = docs.join(fit.factors.select(*[F.col(d).alias(f"_{d}") for d in DIMS], "factor"), on, "left")
     out = out.drop(*[f"_{d}" for d in DIMS]).withColumn("factor", F.coalesce("factor", F.lit(0.0)))
-    p = F.when(F.col("n_tokens") > 0, F.col("factor") / F.lit(most)).otherwise(0.0)
-    draw = unit_hash(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), rule.seed)
-    return out.withColumn("probability", p).withColumn("selected", draw < F.col("probability"))
+    p = F.when(F.col("n_tokens") > 0, F.col("factor") / F.lit(fit.largest)).otherwise(0.0)
+    own = "draw_key" if "draw_key" in docs.columns else "doc_id"
+    draw = unit_hash(F.coalesce(F.col(own).cast("long"), F.lit(-1)), rule.seed)
+    out = out.withColumn("probability", p).withColumn("selected", draw < F.col("probability")).drop("draw_key")
+    return out.withColumns({f"error_{d}": F.lit(fit.errors[d]) for d in DIMS})
+
+
+def draw_key(doc_id: str, text: str) -> Column:
+    """What a document's draw follows from: its id, without one its text."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text_or_empty(text)))
 
 
 def documents_with_topic(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens (words). Null texts have no tokens."""
-    n = docs.select("doc_id", "source", "lang", text_or_empty().alias("text"), word_count().alias("n_tokens"))
-    return n.select("doc_id", "source", "lang", topic_of(F.col("text"), F.col("n_tokens")).alias("topic"), "n_tokens")
+    """doc_id, source, lang, topic, n_tokens (words), draw_key. Null texts have no tokens."""
+    n = docs.select("doc_id", "source", "lang", text_or_empty().alias("text"), word_count().alias("n_tokens"), draw_key("doc_id", "text").alias("draw_key"))
+    return n.select("doc_id", "source", "lang", topic_of(F.col("text"), F.col("n_tokens")).alias("topic"), "n_tokens", "draw_key")
 
 
 def mixture(docs: DataFrame, rule: Mix = Mix()) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, factor, probability, selected of every document. An empty
+    """doc_id, source, lang, topic, n_tokens, factor, probability, selected and the errors (see ``mix``) of every document. An empty
     table gives an empty result; other columns are ignored."""
     return few_files(mix(materialize(few_files(documents_with_topic(docs)), "weights"), rule))
 
 
 def keep_sample(docs: DataFrame, rule: Mix = Mix()) -> DataFrame:
-    """The selected documents with their columns. A row's fate follows from its id and its own cell."""
+    """The selected documents with their columns. A row's fate follows from its id (its text without one) and its own cell."""
     rows = docs.select(F.struct("*").alias("_row"))
     keyed = rows.select("_row", *[F.col(f"_row.{c}").alias(c) for c in ("doc_id", "source", "lang")],
-                        word_count("_row.text").alias("n_tokens"))
+                        word_count("_row.text").alias("n_tokens"),
+                        draw_key("_row.doc_id", "_row.text").alias("draw_key"))
     keyed = keyed.withColumn("topic", topic_of(text_or_empty("_row.text"), F.col("n_tokens")))
     return mix(keyed, rule).filter("selected").select("_row.*")
