@@ -136,30 +136,33 @@ def cell_factors(cells: DataFrame, rule: Mix = Mix()) -> Fit:
 
     def sweep(factor: np.ndarray):
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            out, lack = np.zeros(width), 0.0
+            out, held, lack = np.zeros(width), np.zeros(width), 0.0
             for batch in batches:
                 row, pair, own, f = scaled(batch, factor)
                 out += np.bincount(pair, own * f, width)
+                held += np.bincount(pair, own * f * (f >= rule.trim), width)
                 lack = max(lack, float(np.abs(np.bincount(row, own * f, len(batch)) - batch["goal"].to_numpy(float)).max(initial=0.0)))
-            yield pd.DataFrame({"pair": np.arange(width), "weight": out, "lack": lack})
+            yield pd.DataFrame({"pair": np.arange(width), "weight": out, "held": held, "lack": lack})
         return work
 
     factor, errors = np.ones(width), {d: 0.0 for d in DIMS}
     for turn in range(rule.sweeps + 1 if width else 0):                                       # the last turn only measures
-        found = (wide.select("goal", "pair", "weight").mapInPandas(sweep(factor), "pair int, weight double, lack double")
-                 .groupBy("pair").agg(F.sum("weight").alias("weight"), F.max("lack").alias("lack")).collect())   # one row per pair
-        now = np.zeros(width)
+        found = (wide.select("goal", "pair", "weight").mapInPandas(sweep(factor), "pair int, weight double, held double, lack double")
+                 .groupBy("pair").agg(F.sum("weight").alias("weight"), F.sum("held").alias("held"), F.max("lack").alias("lack")).collect())   # one row per pair
+        now, held = np.zeros(width), np.zeros(width)
         for r in found:
-            now[r["pair"]] = r["weight"]
+            now[r["pair"]], held[r["pair"]] = r["weight"], r["held"]
         errors["source"] = max(r["lack"] for r in found) / total
         for name, (index, target) in zip(("lang", "topic"), axes):
             errors[name] = float(np.abs(np.bincount(index, now, len(target)) - target).max() / total)
         if max(errors.values()) < rule.tolerance or turn == rule.sweeps:
             break
         for index, target in axes:
-            have = np.bincount(index, now, len(target))
-            ratio = np.divide(target, have, out=np.zeros(len(target)), where=have > 0)
-            factor, now = np.minimum(factor * ratio[index], LARGE), now * ratio[index]
+            have, fixed = np.bincount(index, now, len(target)), np.bincount(index, held, len(target))
+            fixed = np.where((target > have) & (have > fixed), fixed, 0.0)         # cells at the bound cannot grow: the others do
+            ratio = np.divide(target - fixed, have - fixed, out=np.zeros(len(target)), where=have > fixed)
+            factor = np.minimum(factor * ratio[index], LARGE)
+            now = np.where(fixed[index] > 0, held + (now - held) * ratio[index], now * ratio[index])
 
     names = [(r["lang"], r["topic"]) for r in sums]
 
