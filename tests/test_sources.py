@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.operators.channels import channels_to_interpolate
+from tracewright.plans.tables import materialize
 from tracewright.sources import catalogue as CAT, report as R, tables as B
 
 REPORT = """header text
@@ -57,6 +58,27 @@ def test_report_file_and_interpolation_sets(spark, tmp_path):
     assert got == {"P20_A": [], "P22_C": ["C3"]}
 
 
+def test_one_report_read_by_several_tasks(spark, tmp_path):
+    """Lines of one file over many splits give what the whole text gives, with blocks and repeated recordings across splits."""
+    parts = [REPORT.replace("P20_A", f"P20_{i % 7}").replace("P22_C", f"P22_{i}").replace("C3", f"C{i}") for i in range(40)]
+    (tmp_path / "long.txt").write_text("no block yet\n  ransac : ['Q1']\n" + "\n".join(parts) + "\n" + "tail\n" * 400)
+    (tmp_path / "empty.txt").write_text("")
+    (tmp_path / "short.txt").write_text(REPORT)
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for k, v in zip(keys, ("700", "1")):
+            spark.conf.set(k, v)
+        lines = materialize(R.read_report_lines(spark, str(tmp_path / "*.txt")), "lines")
+        assert lines.filter(F.col("report_id").contains("long")).select("split").distinct().count() > 10
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
+    value = lambda df: sorted((r.report_id.rsplit("/", 1)[1], r.recording_id, r.deviation, r.hf_noise, r.correlation, r.ransac) for r in df.collect())
+    got, want = value(R.parse_report_lines(lines)), value(R.parse_reports(R.read_reports(spark, str(tmp_path / "*.txt"))))
+    assert got == want and len(got) > 50
+
+
 def test_catalogue_names(spark, tmp_path):
     names = ["P20_a.edf", "p20_x.edf", "X20_.edf", "P28_b.edf", "P7_c.edf", "P_1.edf", "P20.edf", "note.txt"]
     for n in names:

@@ -10,11 +10,13 @@ from tracewright import constants as C
 from tracewright.checks import views as V
 from tracewright.checks.views import r, rs
 from tracewright.operators.cleaning import PredictionWeights
-from tracewright.operators import features as X, metrics as M, segments as S
+from tracewright.operators import features as X, metrics as M, segments as S, windows as W
 from tracewright.operators.quantiles import quantile_rows, summaries
-from tracewright.plans import boosting as B, evaluate as E, extract as P, few_shot as FS, model as L, task_models as T
+from tracewright.plans import (boosting as B, evaluate as E, extract as P, few_shot as FS, model as L, relabel as RL,
+                               task_models as T)
 from tracewright.plans.tables import materialize
-from tracewright.sources.tables import embedding_columns, read_embeddings
+from tracewright.session import scratch_path
+from tracewright.sources.tables import embedding_columns, read_dataset, read_embeddings
 
 # all three rules are on; the channels of these signals are independent, so the limits are low
 LIMITS = P.Detection(correlation=0.05, correlation_share=0.5, prediction=-0.5, prediction_share=0.4)
@@ -209,14 +211,47 @@ def extract_events(spark, sf):
     return P.event_features(_crops(spark, sf), RATES, signal_annotations(spark, sf))
 
 
+def _stored_windows(spark, sf) -> DataFrame:
+    """Windows of 80 samples with their samples, stored when two thirds of the marks were known."""
+    cut = W.slide_chunks(V.chunks(spark, sf), V.CHUNK, 80, 20).withColumn("onset_sec", F.col("s") / F.lit(V.FS))
+    path = scratch_path(spark, "stored-windows")
+    RL.store_windows(cut, signal_annotations(spark, sf).filter("ord % 3 <> 0"), path)
+    return read_dataset(spark, path)
+
+
+def _relabelled(spark, sf) -> RL.Relabelled:
+    there = V.chunks(spark, sf).select("recording_id").distinct().filter("recording_id % 5 <> 4")
+    return RL.relabel(_stored_windows(spark, sf), signal_annotations(spark, sf), there, 1.25)
+
+
+def relabelled_windows(spark, sf):
+    w = _relabelled(spark, sf).windows
+    return w.select(F.col("recording_id").cast("bigint").alias("recording_id"), "channel", "s", F.size("x").cast("bigint").alias("n"),
+                    r(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 8).alias("total"), "label")
+
+
+def changed_marks(spark, sf):
+    return _relabelled(spark, sf).changed.withColumn("recording_id", F.col("recording_id").cast("bigint"))
+
+
 QUERIES = {f.__name__: f for f in (
-    gbt_lopo, gbt_importance, gbt_seeded, gbt_patterns, gbt_holdout, gbt_paired, few_shot_sweep,
+    relabelled_windows, changed_marks, gbt_lopo, gbt_importance, gbt_seeded, gbt_patterns, gbt_holdout, gbt_paired, few_shot_sweep,
     gbt_first_split, gbt_all_rows, feature_summaries, gbt_lopo_sizes, gbt_seeded_sizes, gbt_importance_sums, few_shot_coverage,
     extract_annotated, extract_sliding, extract_events, dataset_windows, signals_to_metrics)}
 
 _ROWS = f"""(SELECT vec_id AS row_idx, {V.patient_sql('vec_id')} AS fold, CAST(label = 0 AS INTEGER) AS y,
     {V.patient_sql('vec_id')} || '_rec' || (vec_id // 10 % 2) AS source FROM embeddings)"""
+_MARKS = """
+SELECT vec_id // 80 AS recording_id, ((vec_id // 8) % 10) * 0.25::DOUBLE + 0.1::DOUBLE AS t, ((vec_id // 8) % 10 + 10) % 3 <> 0 AS old
+FROM embeddings WHERE vec_id % 8 = 0 AND label % 3 = 0"""
 ORACLE = {
+    "relabelled_windows": V.sql(f"""SELECT recording_id, channel, s, count(*) AS n, {rs('sum(v)', 8)} AS total,
+            CAST(EXISTS (SELECT 1 FROM fresh f WHERE f.recording_id = w.recording_id AND f.t >= s / 64.0::DOUBLE AND f.t <= s / 64.0::DOUBLE + 1.25::DOUBLE) AS INTEGER) AS label
+        FROM (SELECT *, max(idx) OVER (PARTITION BY recording_id, channel) + 1 AS n FROM samples) w, range(0, 561, 20) g(s)
+        WHERE idx >= s AND idx < s + 80 AND s + 80 <= n AND recording_id % 5 <> 4 GROUP BY 1, 2, 3""", "samples", extra={"fresh": _MARKS}),
+    "changed_marks": V.sql("""SELECT recording_id, count(*) AS n_read, count(*) FILTER (old) AS n_stored FROM fresh
+        WHERE recording_id % 5 <> 4 AND recording_id IN (SELECT recording_id FROM samples GROUP BY recording_id HAVING max(idx) >= 79)
+        GROUP BY 1 HAVING count(*) <> count(*) FILTER (old)""", "samples", extra={"fresh": _MARKS}),
     "feature_summaries": "SELECT name, (SELECT count(*) FROM embeddings) AS n_rows, true AS median_near FROM (SELECT unnest(["
                          + ", ".join(f"'{n}'" for n in C.FEATURES) + "]) AS name)",
     "gbt_first_split": f"""

@@ -80,6 +80,14 @@ def report_channels(spark, sf):
         F.concat_ws(",", c).alias(c) for c in ("deviation", "hf_noise", "correlation", "ransac")])
 
 
+def report_lines(spark, sf):
+    """The reports as text files, read line by line over splits."""
+    path = scratch_path(spark, "reports")
+    reports(spark, sf).select("value").write.text(path)
+    p = R.parse_report_lines(materialize(R.read_report_lines(spark, path), "lines"))
+    return p.select("recording_id", *[F.concat_ws(",", c).alias(c) for c in ("deviation", "hf_noise", "correlation", "ransac")])
+
+
 def report_interpolation(spark, sf):
     """Lists per recording, limited to channels C0 to C5 and O1."""
     rows = R.report_rows(R.parse_reports(reports(spark, sf))).drop("report_id")
@@ -146,7 +154,7 @@ def crop_scan(spark, sf):
 QUERIES = {f.__name__: f for f in (
     catalogue, patient_index, files_per_patient, channel_clean, channel_set, time_text, report_channels,
     report_interpolation, rejects, missing_recordings, window_defaults, roundtrip_parquet, roundtrip_csv,
-    embedding_reader, crop_scan)}
+    embedding_reader, crop_scan, report_lines)}
 
 _FILES = """
 SELECT CASE WHEN k % 7 = 0 THEN 'p' || (k % 40) || '_A_' || k WHEN k % 7 = 1 THEN 'X' || k WHEN k % 7 = 2 THEN 'P28_' || k
@@ -182,6 +190,8 @@ ORACLE = {
                      CAST(floor(onset_sec) AS BIGINT) * 1000 + CAST(floor((onset_sec - floor(onset_sec)) * 1000) AS BIGINT) AS b FROM annotations)""", "annotations"),
     "report_channels": sql("""SELECT report_id, recording_id, deviation, hf_noise, correlation, ransac FROM rep
         UNION ALL SELECT report_id, 'P' || d || '_B', '', '', '', '' FROM rep""", extra={"rep": _REPORT}),
+    "report_lines": sql("""SELECT recording_id, deviation, hf_noise, correlation, ransac FROM rep
+        UNION ALL SELECT 'P' || d || '_B', '', '', '', '' FROM rep""", extra={"rep": _REPORT}),
     "report_interpolation": sql("""SELECT recording_id, coalesce(string_agg(DISTINCT c, ',' ORDER BY c) FILTER (regexp_full_match(c, 'C[0-5]|O1')), '') AS interpolate,
             CASE WHEN max(hf_noise) = '' OR list_contains(list(c), max(hf_noise)) THEN '' ELSE max(hf_noise) END AS hf_only
         FROM (SELECT recording_id, hf_noise, unnest(string_split(deviation || ',' || correlation || ',' || ransac, ',')) AS c FROM rep) GROUP BY 1""", extra={"rep": _REPORT}),

@@ -7,12 +7,13 @@ category wins inside a block, the last block of a recording wins in a report.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tracewright import constants as C
 
 # (?md): ^ and $ at line ends, newline the only line end.
 _HEADER = r"\[\d+/\d+\]\s+(.+?)\.edf\s*$"
+_HEADER_LINE = rf"^{_HEADER}"
 _ITEM = r"""(?:'[^'\\]*'|"[^"\\]*"|[+-]?\d+(?:\.\d+)?)"""
 _LIST = rf"^\[\s*(?:{_ITEM}\s*(?:,\s*{_ITEM}\s*)*,?\s*)?\]$"
 
@@ -46,6 +47,41 @@ def parse_reports(reports: DataFrame) -> DataFrame:
     return last.select("report_id", "recording_id", "b.*")
 
 
+def read_report_lines(spark: SparkSession, path: str) -> DataFrame:
+    """report_id, split (where the part of the file that a task reads begins), line (grows inside a split), value: reports
+    of any size, one row per line. Store the result: lines are numbered while they are read."""
+    rows = spark.read.option("lineSep", "\n").text(path)
+    return rows.select(F.col("_metadata.file_path").alias("report_id"), F.col("_metadata.file_block_start").alias("split"),
+                       F.monotonically_increasing_id().alias("line"), "value")
+
+
+def parse_report_lines(lines: DataFrame) -> DataFrame:
+    """``parse_reports`` for lines (report_id, split, line, value). A header stands on one line, so does a category with its list.
+
+    The header of a line is the last one before it: inside a split by a window over the split, and for the lines before
+    the first header of a split by one row per split that carries the last header on.
+    """
+    place = F.struct("split", "line")
+    name = F.trim(F.regexp_extract("value", rf"(?d){_HEADER_LINE}", 1))
+    marked = lines.withColumn("_head", F.when(name != "", F.struct(place.alias("at"), name.alias("recording_id"))))
+    inside = Window.partitionBy("report_id", "split").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy("report_id").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    ends = marked.groupBy("report_id", "split").agg(F.max("_head").alias("_last"))       # the latest: ordered by its place
+    carried = ends.select("report_id", "split", F.last("_last", ignorenulls=True).over(across).alias("_before"))
+    owned = marked.withColumn("_own", F.last("_head", ignorenulls=True).over(inside)).join(carried, ["report_id", "split"])
+    owned = owned.withColumn("_block", F.coalesce("_own", "_before")).filter(F.col("_block").isNotNull())
+
+    def first(category: str) -> Column:
+        found = F.regexp_extract("value", rf"(?d)^\s*{category}\s*:\s*(\[.*?\])\s*$", 1)
+        return F.min_by(found, F.when(found != "", place)).alias(category)
+
+    blocks = owned.groupBy("report_id", "_block").agg(*[first(c) for c in C.REPORT_CATEGORIES])
+    lists = blocks.select("report_id", "_block", *[_channel_list(F.coalesce(c, F.lit(""))).alias(c) for c in C.REPORT_CATEGORIES])
+    last = lists.groupBy("report_id", F.col("_block.recording_id").alias("recording_id")).agg(
+        F.max_by(F.struct(*C.REPORT_CATEGORIES), "_block.at").alias("b"))
+    return last.select("report_id", "recording_id", "b.*")
+
+
 def report_rows(parsed: DataFrame) -> DataFrame:
     """report_id, recording_id, category, channel: one row per flagged channel."""
     return (parsed.unpivot(["report_id", "recording_id"], C.REPORT_CATEGORIES, "category", "channels")
