@@ -30,7 +30,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with similarity 0.8 or more over five-word shingles one stays."""
+    """Of documents with similarity 0.8 or more over five-word shingles one stays: SimHash balls link them, exact
+    similarity checks the links, and an exact join adds those that fingerprints miss."""
     ship_package(spark)
     return similar.keep_one_of_similar(docs)
 

@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from text_fixtures import documents, empty, prose, table, words
 
+import corpus_pipeline
 from tracewright.llm import components, exact_dedup, similar, simhash
 
 
@@ -187,6 +188,22 @@ def test_links_are_verified(spark):
     assert pairs and all(jaccard(a, b) >= 0.8 for a, b in pairs)
 
 
+def test_near_dedup_goes_through_the_balls(spark, monkeypatch):
+    """The pipeline's step sends every text through ball hashing, and the exact check follows."""
+    import random
+    rng = random.Random(9)
+    ws = prose(rng, 4000, 10 ** 6).split()
+    rows = [(1, " ".join(ws), "en", "s0"), (2, " ".join([*ws[:2000], "other", *ws[2001:]]), "en", "s0"),
+            (3, prose(rng, 200), "en", "s0"), (4, "", "en", "s0"), (5, None, "en", "s0")]
+    docs = table(spark, rows)
+    pairs = similar.fingerprint_pairs(docs.selectExpr("doc_id as k", "text")).collect()
+    assert sorted((r.a, r.b) for r in pairs) == [(1, 2), (4, 5)]      # texts without words have fingerprint zero
+    seen = []
+    monkeypatch.setattr(similar, "components", lambda d: seen.append(d.count()) or simhash.components(d))
+    kept = corpus_pipeline.near(spark, docs, "").collect()
+    assert seen == [5] and sorted(r.doc_id for r in kept) == [1, 3, 4, 5]
+
+
 def similar_groups(texts):
     """Groups (as sets of keys) over all pairs of similarity 0.8 or more."""
     cut = {}

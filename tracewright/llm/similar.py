@@ -1,5 +1,9 @@
-"""Groups of similar documents: an exact join of shingle sets by their rarest shingles, verified by
-the Jaccard similarity.
+"""Groups of similar documents: those whose SimHash balls meet, verified by the Jaccard similarity of
+their shingle sets, then an exact join of the sets for what fingerprints miss.
+
+The ball hashing of ``simhash`` (three words, two bits) puts all documents into components. Every document of a component
+is compared with the first one, and those that are similar are joined before anything else is compared. Fingerprints that differ
+by two bits are rare at similarity 0.8, so the rest is joined by the rarest shingles.
 
 Two sets of similarity 0.8 share at least 0.8 of the larger one. Put in one order for all sets, the
 first n - ceil(0.8 n) + 1 shingles of each must then have one in common, so every similar pair meets
@@ -25,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewright.llm.common import text_or_empty
 from tracewright.llm.components import connected_components
-from tracewright.llm.simhash import shingle_hashes
+from tracewright.llm.simhash import components, shingle_hashes
 from tracewright.plans.tables import discard, materialize
 
 PARITY = ["p0", "p1", "p2", "p3"]
@@ -231,12 +235,27 @@ def _meeting(table: DataFrame) -> DataFrame:
     return sent.join(shared, F.col("token") == F.col("_t")).select("token", "k", "s", F.col("k").alias("c"))
 
 
+def fingerprint_pairs(docs: DataFrame) -> DataFrame:
+    """a, b: every document (k, text) with the first one of its component of SimHash balls."""
+    found = components(docs.select(F.col("k").alias("doc_id"), "text"))
+    pairs = found.filter(F.col("doc_id") != F.col("component_id"))
+    return pairs.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
+def _grouped(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members, ``c`` being the group that the links put them in."""
+    group = connected_components(links).select(F.col("node").alias("_k"), "component")
+    return materialize(members.join(group, F.col("k") == F.col("_k"), "left").select(
+        "token", "k", "s", F.coalesce("component", "k").alias("c")), "meeting")
+
+
 def similar_links(docs: DataFrame, rule: Similar = Similar()) -> tuple[DataFrame, DataFrame]:
     """Table of the documents that may have a partner (k, doc_id, ...) and verified links (a, b) between them. Similar keys are
     joined by a path of links; those joined already need not have a link of their own."""
     table = materialize(partners(docs, rule), "similar-sets")
-    members = materialize(_meeting(table), "meeting")
-    links = checked = None
+    checked = materialize(fingerprint_pairs(docs), "pairs")
+    links = materialize(_verified(checked, table, rule), "verified")
+    members = _grouped(_meeting(table), links)
     turn, block = 0, rule.block
     while True:
         # shingles whose members are all joined need no more work
@@ -260,24 +279,17 @@ def similar_links(docs: DataFrame, rule: Similar = Similar()) -> tuple[DataFrame
         y = others.select(F.col("token").alias("_token"), F.col("k").alias("b"), F.col("s").alias("sb"), F.col("c").alias("cb"))
         met = x.join(y, (F.col("token") == F.col("_token")) & (F.col("ca") != F.col("cb")) & _possible("sa", "sb", rule))
         met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if checked is not None:
-            met = met.join(checked, ["a", "b"], "left_anti")
-        pairs = materialize(met, "pairs")
-        found = materialize(_verified(pairs, table, rule), "verified")
-        links = found if links is None else links.union(found)
+        pairs = materialize(met.join(checked, ["a", "b"], "left_anti"), "pairs")
+        links = links.union(materialize(_verified(pairs, table, rule), "verified"))
         if last:
             discard(open_)
             break
-        checked = pairs if checked is None else checked.union(pairs)
-        group = connected_components(links).select(F.col("node").alias("_k"), "component")
+        checked = checked.union(pairs)
         done = others.select(F.col("token").alias("_t"), F.col("k").alias("_d"))
         left = left.join(done, (F.col("token") == F.col("_t")) & (F.col("k") == F.col("_d")), "left_anti")
-        after = materialize(left.join(group, F.col("k") == F.col("_k"), "left").select(
-            "token", "k", "s", F.coalesce("component", "k").alias("c")), "meeting")
+        after = _grouped(left, links)
         discard(open_, members, others)
         members, turn, block = after, turn + 1, 4 * block
-    if links is None:
-        links = members.select(F.col("k").alias("a"), F.col("k").alias("b")).limit(0)
     return table, links
 
 
