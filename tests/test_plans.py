@@ -522,3 +522,25 @@ def test_separability_report(spark):
     table = {r.feature: r for r in out.auc_table.collect()}
     assert table["f"].one > 0.99 and table["f"].none is None and table["f"].TRAIN > 0.8
     assert {r.dataset for r in out.balance.collect()} == {"TRAIN", "one"}
+
+
+def test_histograms_in_blocks(monkeypatch):
+    """Blocks of columns give the same model, and a fit holds little beside the rows."""
+    import tracemalloc
+    from tracewright.functions import forest
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_000, 32))
+    x[rng.random(x.shape) < 0.01] = np.nan
+    y = (rng.random(len(x)) < 0.2).astype(float)
+
+    def fit():
+        return forest.fit(x, y, forest.balanced(y), 2, 0.1, 3, 0.8, 0.8, 256, 1)
+
+    tracemalloc.start()
+    model, gains = fit()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * x.nbytes
+    monkeypatch.setattr(forest, "BLOCK_CELLS", 1 << 30)
+    whole, all_gains = fit()
+    assert model.to_bytes() == whole.to_bytes() and (gains == all_gains).all()
