@@ -305,3 +305,10 @@ def test_raking_bounds_what_the_driver_gets(spark, monkeypatch):
     monkeypatch.setattr(raking, "NARROW_CELLS", 3)
     with pytest.raises(ValueError):
         raking.mixture(table(spark))
+
+
+def test_trie_tables_go_when_they_are_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lm, "scratch_path", lambda _, name: f"file://{tmp_path}/{name}")
+    rows = table(spark)
+    assert lm.train_and_score(rows).count() == rows.count()
+    assert (tmp_path / "pairs").exists() and not (tmp_path / "numbers").exists()

@@ -29,7 +29,7 @@ from tracewright.llm.common import words
 from tracewright.llm.elias_fano import EliasFano
 from tracewright.llm.trie import (HASH_BITS, BOW_ONE, Level, Vocabulary, bow_code, make_filter, probability_code,
                                    write_shard)
-from tracewright.plans.tables import materialize
+from tracewright.plans.tables import discard, materialize
 from tracewright.session import scratch_path
 
 
@@ -98,6 +98,7 @@ def build_vocabulary(docs: DataFrame, folder: str, rule: TrieRule) -> Vocabulary
     shard = F.shiftright("h", width) if bits else F.lit(0).cast("long")
     made = (table.filter(real).withColumn("shard", shard).groupBy("shard")
             .applyInPandas(write, "shard long, path string, n long, total long").toPandas().sort_values("shard"))
+    discard(table)
     sizes, totals = made["n"].tolist(), made["total"].tolist()
     return Vocabulary(bits, made["shard"].tolist(), made["path"].tolist(), _before(sizes), _before(totals),
                       sum(sizes), sum(totals), int(stats["ends"] or 0))
@@ -446,7 +447,9 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     """A stage table; the packed columns are worth a stronger codec."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
 
 
 def train_and_score(docs: DataFrame, rule: TrieRule = TrieRule()) -> DataFrame:
@@ -472,15 +475,16 @@ def train_and_score(docs: DataFrame, rule: TrieRule = TrieRule()) -> DataFrame:
 def train(rows: DataFrame, folder: str, rule: TrieRule) -> tuple[Model, DataFrame]:
     """The model of the rows with ``train`` and the table of all rows, scored with pairs."""
     vocabulary = build_vocabulary(rows, folder, rule)
-    table = _stored(encode(rows, vocabulary, rule), "numbers")
+    numbers = _stored(encode(rows, vocabulary, rule), "numbers")
     step = float(np.log10(2.0 * max(vocabulary.tokens, 5))) / 255
     symbols = vocabulary.words + 2                       # words, the end, and one that never occurs
     bounds = mass_bounds(vocabulary.at_mass, vocabulary.word_tokens, symbols,
                          lambda share, _: vocabulary.at_mass(share * vocabulary.word_tokens)[0], rule)
     level2, d2, most = build_level(
-        pair_runs(table, vocabulary, symbols, bounds, rule), folder, symbols, rule.least[0], step, vocabulary.counts,
+        pair_runs(numbers, vocabulary, symbols, bounds, rule), folder, symbols, rule.least[0], step, vocabulary.counts,
         lambda ids: vocabulary.log_probability(vocabulary.counts(ids)), 0.0)
-    table = _stored(with_pairs(table, vocabulary, level2, rule), "pairs")
+    table = _stored(with_pairs(numbers, vocabulary, level2, rule), "pairs")
+    discard(numbers)
     symbols = most + 1
     bounds = mass_bounds(level2.at_mass, level2.total, symbols, lambda share, _: int(share * most), rule)
     level3, d3, _ = build_level(triple_runs(table, symbols, bounds, rule), folder, symbols, rule.least[1], step,
