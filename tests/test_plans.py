@@ -527,7 +527,6 @@ def test_separability_report(spark):
 def test_histograms_in_blocks(monkeypatch):
     """Blocks of columns give the same model, and a fit holds little beside the rows."""
     import tracemalloc
-    from tracewright.functions import forest
     rng = np.random.default_rng(5)
     x = rng.normal(size=(20_000, 32))
     x[rng.random(x.shape) < 0.01] = np.nan
