@@ -18,6 +18,14 @@ def test_select_and_search(values, shift):
     assert ((e.find(x) >= 0) == np.isin(x, v)).all()
 
 
+def test_search_among_many_equal_high_parts():
+    v = np.sort(np.concatenate([np.arange(0, 600, 2), np.full(200, 1001), [0, 1 << 20]])).astype(np.uint64)
+    e = EliasFano(EliasFano.encode(v, 1 << 21))
+    x = np.arange(0, 1100, dtype=np.uint64)
+    assert (e.search(x) == np.searchsorted(v, x)).all()
+    assert (e.find(x) == np.where(np.isin(x, v), np.searchsorted(v, x), -1)).all()
+
+
 def test_space_is_near_the_bound():
     n, u = 200_000, 1 << 40
     v = np.sort(np.random.default_rng(0).integers(0, u, n, dtype=np.uint64))

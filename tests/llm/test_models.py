@@ -1,14 +1,21 @@
 import math
 import random
+import tempfile
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from text_fixtures import documents, empty, prose, table
 
 from tracewright.llm import lm, ordinal, raking
+from tracewright.llm.common import words
+from tracewright.plans.tables import shuffles_deleted
 
 
 def is_held_out(d):
@@ -312,3 +319,32 @@ def test_trie_tables_go_when_they_are_read(spark, tmp_path, monkeypatch):
     rows = table(spark)
     assert lm.train_and_score(rows).count() == rows.count()
     assert (tmp_path / "pairs").exists() and not (tmp_path / "numbers").exists()
+
+
+def test_trie_shuffles_go_with_their_stage(spark, tmp_path):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    # Spark's own folders: the test session names none
+    top = Path(spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir()))
+    shuffles = lambda: {str(f) for f in top.glob("blockmgr-*/*/shuffle_*.data")}
+    before, setting = shuffles(), spark.conf.get(key, None)
+    rows = table(spark).select("doc_id", "text", (F.col("doc_id") % 7 != 2).alias("train"))
+    with shuffles_deleted(spark):
+        lm.train(rows, str(tmp_path), lm.TrieRule())
+    for _ in range(50):                                  # files go in the background
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert spark.conf.get(key, None) == setting
+    lm.train_and_score(table(spark)).count()
+    assert spark.conf.get(key, None) == setting
+
+
+def test_words_of_a_batch():
+    texts = ["A  b\tC", None, "", " \n", "\x0b\x0cx\r", "É a b c d\x1fe ", "z" * 300, " \x85 q"]
+    found, edges = lm._split_words(pa.array(texts).slice(1))
+    got = [found[a:b].to_pylist() for a, b in zip(edges[:-1], edges[1:])]
+    assert got == [words(t) for t in texts[1:]]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    for limit in (1, 5, 10 ** 6):
+        assert [t for p in lm._pieces(batch, limit) for t in p.column("text").to_pylist()] == texts

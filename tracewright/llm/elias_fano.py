@@ -118,16 +118,27 @@ class EliasFano:
         high = (self._find_bit(i, self.ones, True) - i).astype(np.uint64)
         return (high << np.uint64(self.low)) | self._low(i)
 
-    def search(self, x: np.ndarray) -> np.ndarray:
-        """For each x (below the bound) the index of the first value >= x; n if none."""
-        x = np.asarray(x).astype(np.uint64)
-        if not len(x) or not self.n:
-            return np.zeros(len(x), np.int64)
-        high = (x >> np.uint64(self.low)).astype(np.int64)
-        after = self._find_bit(high, self.zeros, False) - high
-        start = np.zeros(len(x), np.int64)
+    def _bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes of the first value with each high part, and of the first one after these."""
+        bit = np.zeros(len(high), np.int64)
         some = high > 0
-        start[some] = self._find_bit(high[some] - 1, self.zeros, False) - high[some] + 1
+        bit[some] = self._find_bit(high[some] - 1, self.zeros, False) + 1
+        # the values with this high part are the set bits from here to the next clear one
+        word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+        bits = (self.highs[word] >> shift) | ((self.highs[word + 1] << np.uint64(1)) << (np.uint64(63) - shift))
+        run = np.bitwise_count(bits & ~(bits + np.uint64(1))).astype(np.int64)
+        start = bit - high
+        after = start + run
+        more = np.flatnonzero(run == 64)
+        if len(more):
+            after[more] = self._find_bit(high[more], self.zeros, False) - high[more]
+        return start, after
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``search``, and whether the value there equals x."""
+        high = (x >> np.uint64(self.low)).astype(np.int64)
+        start, end = self._bucket(high)
+        after = end.copy()
         want = x & np.uint64((1 << self.low) - 1)
         todo = np.flatnonzero(start < after)
         while len(todo):                                  # binary search among equal high parts
@@ -136,14 +147,22 @@ class EliasFano:
             start[todo] = np.where(less, middle + 1, start[todo])
             after[todo] = np.where(less, after[todo], middle)
             todo = todo[start[todo] < after[todo]]
-        return start
+        same = start < end
+        inside = np.flatnonzero(same)
+        same[inside] = self._low(start[inside]) == want[inside]
+        return start, same
+
+    def search(self, x: np.ndarray) -> np.ndarray:
+        """For each x (below the bound) the index of the first value >= x; n if none."""
+        x = np.asarray(x).astype(np.uint64)
+        return self._search(x)[0] if len(x) and self.n else np.zeros(len(x), np.int64)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Index of the first value equal to x, or -1."""
-        at = self.search(x)
-        inside = at < self.n
-        same = np.zeros(len(at), bool)
-        same[inside] = self.select(at[inside]) == np.asarray(x).astype(np.uint64)[inside]
+        x = np.asarray(x).astype(np.uint64)
+        if not len(x) or not self.n:
+            return np.full(len(x), -1, np.int64)
+        at, same = self._search(x)
         return np.where(same, at, -1)
 
     def values(self) -> np.ndarray:

@@ -15,21 +15,21 @@ opens the level files through memory maps; nothing is broadcast but their names
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tracewright.llm import blobfile
-from tracewright.llm.common import words
 from tracewright.llm.elias_fano import EliasFano
 from tracewright.llm.trie import (HASH_BITS, BOW_ONE, Level, Vocabulary, bow_code, make_filter, probability_code,
                                    write_shard)
-from tracewright.plans.tables import discard, materialize
+from tracewright.plans.tables import discard, materialize, shuffles_deleted
 from tracewright.session import scratch_path
 
 
@@ -59,28 +59,51 @@ def _hashes(ws: Iterable[bytes]) -> np.ndarray:
 
 # --- level 1 -------------------------------------------------------------------------------------------------
 
+def _split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, as ``common.words`` cuts them, and where each text begins among them (one more at the end)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    parts = lists.flatten()
+    real = pc.not_equal(parts, "")                       # blanks at the ends leave empty parts
+    kept = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    edges = lists.offsets.to_numpy().astype(np.int64)
+    return parts.filter(real).cast(pa.binary()), kept[edges - edges[0]]
+
+
+def _pieces(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in pieces whose texts have about ``limit`` bytes."""
+    sizes = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
+    total, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        before = int(total[start - 1]) if start else 0
+        stop = max(start, int(np.searchsorted(total, before + limit, "left"))) + 1
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def build_vocabulary(docs: DataFrame, folder: str, rule: TrieRule) -> Vocabulary:
     """``docs``: text, train. Words are identified by a 63-bit hash."""
     flush = rule.memo_words // 2
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter = Counter()
-        ends = 0
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, n, ends = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
-        def rows() -> pd.DataFrame:
-            return pd.DataFrame({"h": np.append(_hashes(found).astype(np.int64), -1), "n": [*found.values(), ends]})
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.append(h, -1)), pa.array(np.append(n, ends))], ["h", "n"])
 
         for batch in batches:
-            for text, train in zip(batch["text"], batch["train"]):
-                if train:
-                    found.update(words(text))
-                    ends += 1
-                    if len(found) > flush:
-                        yield rows()
-                        found, ends = Counter(), 0
+            for piece in _pieces(batch.filter(batch.column("train")), 4 * rule.chunk_tokens):
+                found = _split_words(piece.column("text"))[0].value_counts()
+                ends += piece.num_rows
+                h = np.concatenate([h, _hashes(found.field("values").to_pylist()).astype(np.int64)])
+                n = np.concatenate([n, found.field("counts").to_numpy()])
+                h, back = np.unique(h, return_inverse=True)
+                n = np.bincount(back, n, len(h)).astype(np.int64)
+                if len(h) > flush:
+                    yield rows()
+                    h, n, ends = h[:0], n[:0], 0
         yield rows()
 
-    table = materialize(docs.select("text", "train").mapInPandas(count, "h long, n long").groupBy("h")
+    table = materialize(docs.select("text", "train").mapInArrow(count, "h long, n long").groupBy("h")
                         .agg(F.sum("n").alias("n")), "words")
     real = F.col("h") >= 0
     stats = table.agg(F.count(F.when(real, 1)).alias("words"), F.sum(F.when(real, F.col("n"))).alias("tokens"),
@@ -145,22 +168,29 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, rule: TrieRule) -> DataFrame
     if vocabulary.words >= 2 ** 31 - 2:
         raise ValueError("more than 2**31 distinct words: widen the stored numbers")
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = WordNumbers(vocabulary, rule.memo_words)
-        end = np.array([vocabulary.words], "<i4")
         end_log = float(vocabulary.log_probability(np.array(vocabulary.ends)))
-        for held in _chunks(batches, ["doc_id", "train", "text"], lambda r: len(r[2] or "") // 4, rule.chunk_tokens // 2):
-            texts = [words(t) for _, _, t in held]
-            numbers.learn(texts)
-            rows = []
-            for (doc_id, train, _), ws in zip(held, texts):
-                ids, logs = numbers.get(ws)
-                base = float(logs.sum()) + end_log
-                known = int((ids >= 0).sum()) + (vocabulary.ends > 0)
-                rows.append((doc_id, train, len(ws) + 1, known, base, np.append(ids.astype("<i4"), end).tobytes()))
-            yield _frame(rows, ["doc_id", "train", "n_tokens", "n_known", "base_score", "ids"])
-
-    return docs.select("doc_id", "train", "text").mapInPandas(
+        for batch in batches:
+            for piece in _pieces(batch, 2 * rule.chunk_tokens):
+                ws, edges = _split_words(piece.column("text"))
+                coded = ws.dictionary_encode()
+                distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+                numbers.learn([distinct])
+                ids, logs = (v[at] for v in numbers.get(distinct))
+                base = [float(logs[a:b].sum()) + end_log for a, b in zip(edges[:-1], edges[1:])]
+                known = np.diff(np.concatenate([[0], np.cumsum(ids >= 0)])[edges]) + (vocabulary.ends > 0)
+                sizes = np.diff(edges)
+                stored = np.full(len(ids) + len(sizes), vocabulary.words, "<i4")         # the last of a text is the end
+                stored[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+                offsets = 4 * (edges + np.arange(len(edges)))
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [
+                    None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(stored)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("doc_id"), piece.column("train"), pa.array(sizes + 1), pa.array(known.astype(np.int64)),
+                     pa.array(base, pa.float64()), packed], ["doc_id", "train", "n_tokens", "n_known", "base_score", "ids"])
+
+    return docs.select("doc_id", "train", "text").mapInArrow(
         work, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, ids binary")
 
 
@@ -467,7 +497,8 @@ def train_and_score(docs: DataFrame, rule: TrieRule = TrieRule()) -> DataFrame:
     remainder = F.crc32(F.col("doc_id").cast("long").cast("string")) % 7
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                        F.coalesce(remainder != 2, F.lit(False)).alias("train"))
-    model, table = train(rows, folder, rule)
+    with shuffles_deleted(spark):
+        model, table = train(rows, folder, rule)
     out = with_triples(table, model.level2.step, model.level3, rule)
     return out.withColumn("train_tokens", F.lit(model.vocabulary.tokens).cast("long"))
 
