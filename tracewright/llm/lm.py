@@ -69,6 +69,10 @@ def _split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return parts.filter(real).cast(pa.binary()), kept[edges - edges[0]]
 
 
+def _listed(words_: pa.Array) -> list[bytes]:
+    return words_.to_numpy(zero_copy_only=False).tolist()          # much faster than to_pylist
+
+
 def _pieces(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in pieces whose texts have about ``limit`` bytes."""
     sizes = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
@@ -94,7 +98,7 @@ def build_vocabulary(docs: DataFrame, folder: str, rule: TrieRule) -> Vocabulary
             for piece in _pieces(batch.filter(batch.column("train")), 4 * rule.chunk_tokens):
                 found = _split_words(piece.column("text"))[0].value_counts()
                 ends += piece.num_rows
-                h = np.concatenate([h, _hashes(found.field("values").to_pylist()).astype(np.int64)])
+                h = np.concatenate([h, _hashes(_listed(found.field("values"))).astype(np.int64)])
                 n = np.concatenate([n, found.field("counts").to_numpy()])
                 h, back = np.unique(h, return_inverse=True)
                 n = np.bincount(back, n, len(h)).astype(np.int64)
@@ -175,7 +179,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, rule: TrieRule) -> DataFrame
             for piece in _pieces(batch, 2 * rule.chunk_tokens):
                 ws, edges = _split_words(piece.column("text"))
                 coded = ws.dictionary_encode()
-                distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+                distinct, at = _listed(coded.dictionary), coded.indices.to_numpy()
                 numbers.learn([distinct])
                 ids, logs = (v[at] for v in numbers.get(distinct))
                 base = [float(logs[a:b].sum()) + end_log for a, b in zip(edges[:-1], edges[1:])]
@@ -300,6 +304,9 @@ def build_level(runs: DataFrame, folder: str, symbols: int, least: int, step: fl
     contexts, ``lower`` the log10 probabilities of symbols one order down (None: the codes
     of the runs have them, in steps of ``lower_step``). Also returns the discounts and the largest number of
     successors of a context."""
+    def coded(code: np.ndarray) -> np.ndarray:
+        return (10.0 ** (-lower_step * np.arange(256.0)))[code]
+
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         keys, counts, codes = [], [], []
         for raw in group["run"]:
@@ -318,14 +325,15 @@ def build_level(runs: DataFrame, folder: str, symbols: int, least: int, step: fl
             return pd.DataFrame([("", shard, 0, *kinds, 0, 0, 0, 0, 0, [], [])], columns=_columns(SHARD))
         ctx, sym = distinct // symbols, distinct % symbols
         if lower is None:
-            q = 10.0 ** (-lower_step * code.astype(float))
+            q, kept = coded(code), {"code": code}
         else:
             each, back = np.unique(sym, return_inverse=True)
-            q = 10.0 ** lower(each)[back]
+            q = (10.0 ** lower(each))[back]
+            kept = {"q": q.astype(np.float32)}
         path = f"{folder}/raw-{uuid.uuid4().hex}"
         base = int(ctx[0]) * symbols
         write_shard(path, {"keys": ((distinct - base).astype(np.uint64), (int(ctx[-1]) - int(ctx[0]) + 1) * symbols)},
-                    q=q.astype(np.float32), **_small(n))
+                    **kept, **_small(n))
         starts = np.flatnonzero(np.diff(ctx, prepend=-1))
         sizes = np.diff(np.append(starts, len(ctx)))
 
@@ -363,7 +371,8 @@ def build_level(runs: DataFrame, folder: str, symbols: int, least: int, step: fl
         for batch in batches:
             for row in batch.itertuples():
                 raw = blobfile.read_arrays(row.path)
-                n, q = _large(raw), np.asarray(raw["q"], float)
+                n = _large(raw)
+                q = np.asarray(coded(raw["code"]).astype(np.float32) if lower is None else raw["q"], float)
                 key = EliasFano(blobfile.group(raw, "keys")).values().astype(np.int64)
                 width = row.last_ctx - row.first_ctx + 1
                 ctx = key // symbols
