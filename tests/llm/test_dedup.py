@@ -7,6 +7,7 @@ import xxhash
 from text_fixtures import documents, empty, prose, table, words
 
 import corpus_pipeline
+from tracewright.plans.tables import materialize
 from tracewright.llm import components, exact_dedup, similar, simhash
 
 
@@ -265,3 +266,16 @@ def test_groups_against_all_pairs_at_the_threshold(spark, rule):
     assert {k: find(parent, k) for k in want} == want
     kept = {r.doc_id for r in similar.keep_one_of_similar(docs, rule).collect()}
     assert kept == set(want.values())
+
+
+def test_components_of_few_rounds_and_of_stars(spark, monkeypatch):
+    """A graph of stars is done as it is; a bounded number of rounds gives every node one component it is joined to."""
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    stars = spark.createDataFrame([(1, b) for b in range(2, 30)] + [(50, 40), (51, 40), (7, 7)], "a long, b long")
+    got = {r.node: r.component for r in components.connected_components(stars).collect()}
+    assert got == {b: 1 for b in range(1, 30)} | {40: 40, 50: 40, 51: 40} and written == ["edges"]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    rows = components.connected_components(chain, rounds=1).collect()
+    assert sorted(r.node for r in rows) == list(range(61)) and written == ["edges"] * 3
+    assert all(0 <= r.component <= r.node for r in rows) and len({r.component for r in rows}) > 1

@@ -13,7 +13,7 @@ A shingle of one set only is sent once and never comes back; a document whose pr
 has no partner and is done. The others keep the shingles that came back, which are all that they can share.
 
 Only groups count, not pairs, so two documents that are joined already are not compared again. Where many meet
-at a shingle, some members are compared with all others, four times as many in every turn, and what they join is
+at a shingle, some members are compared with all others, sixteen times as many in every turn, and what they join is
 joined before the next turn; when few pairs are still apart, all of them are compared. Before the exact
 test a pair goes only if its sizes or the parities of its shingles prove a similarity below 0.8.
 """
@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tracewright.llm.common import text_or_empty
+from tracewright.llm.common import few_files, text_or_empty
 from tracewright.llm.components import connected_components
 from tracewright.llm.simhash import components, shingle_hashes
 from tracewright.plans.tables import discard, materialize
@@ -47,7 +47,7 @@ _SETS = ("k long, doc_id long, n long, single long, p0 long, p1 long, p2 long, p
 @dataclass(frozen=True)
 class Similar:
     """Five-word shingles, similarity 0.8. The others change the work, not the result: while more than ``apart``
-    pairs for each member are apart, members are compared with the first ``block`` of their shingle, four times as many each turn."""
+    pairs for each member are apart, members are compared with the first ``block`` of their shingle, sixteen times as many each turn."""
     words: int = 5
     similarity: float = 0.8
     apart: int = 4
@@ -219,13 +219,13 @@ def _possible(a: str, b: str, rule: Similar) -> Column:
 
 
 def _verified(pairs: DataFrame, table: DataFrame, rule: Similar) -> DataFrame:
-    """a, b of the pairs whose shingle sets are similar."""
+    """The pairs (a, b, other columns) whose shingle sets are similar."""
     left = table.select(F.col("k").alias("_a"), F.col("keys").alias("_x"), F.col("n").alias("_m"))
     right = table.select(F.col("k").alias("_b"), F.col("keys").alias("_y"), F.col("n").alias("_n"))
     both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
-    common = both.select("a", "b", F.size(F.array_intersect("_x", "_y")).alias("_c"), "_m", "_n")
+    common = both.select(*pairs.columns, F.size(F.array_intersect("_x", "_y")).alias("_c"), "_m", "_n")
     near = F.col("_c") >= rule.similarity * (F.col("_m") + F.col("_n") - F.col("_c")) - 1e-9
-    return common.filter(near).select("a", "b").distinct()
+    return few_files(common.filter(near).select(*pairs.columns).distinct())
 
 
 def _meeting(table: DataFrame) -> DataFrame:
@@ -243,10 +243,11 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
 
 
 def _grouped(members: DataFrame, links: DataFrame) -> DataFrame:
-    """The members, ``c`` being the group that the links put them in."""
-    group = connected_components(links).select(F.col("node").alias("_k"), "component")
-    return materialize(members.join(group, F.col("k") == F.col("_k"), "left").select(
-        "token", "k", "s", F.coalesce("component", "k").alias("c")), "meeting")
+    """The members, ``c`` being the group that the links between groups (a, b) put them in. Members of one group are joined, and
+    that is all that is asked of it: joined members that are still in two groups are compared once more."""
+    group = connected_components(links, rounds=1).select(F.col("node").alias("_c"), "component")
+    return materialize(few_files(members.join(group, F.col("c") == F.col("_c"), "left").select(
+        "token", "k", "s", F.coalesce("component", "c").alias("c"))), "meeting")
 
 
 def similar_links(docs: DataFrame, rule: Similar = Similar()) -> tuple[DataFrame, DataFrame]:
@@ -262,34 +263,39 @@ def similar_links(docs: DataFrame, rule: Similar = Similar()) -> tuple[DataFrame
         parts = members.groupBy("token", "c").agg(F.count(F.lit(1)).cast("double").alias("n"))
         open_ = parts.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"),
                                            F.count(F.lit(1)).alias("_p")).filter("_p > 1")
-        open_ = materialize(open_.select(F.col("token").alias("_t"), "n", "q"), "open")
+        open_ = materialize(few_files(open_.select(F.col("token").alias("_t"), "n", "q")), "open")
         rows, apart = open_.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()
         if not rows:
             break
         left = members.join(open_.select("_t"), F.col("token") == F.col("_t")).drop("_t")
         last = apart <= rule.apart * rows
-        x = left.select("token", F.col("k").alias("a"), F.col("s").alias("sa"), F.col("c").alias("ca"))
+        # members in a random order, the same one wherever they meet
+        place = F.struct(F.xxhash64("k", F.lit(turn)), "k")
+        x = left.select("token", F.col("k").alias("a"), F.col("s").alias("sa"), F.col("c").alias("ca"), place.alias("pa"))
         if last:
             others = left
         else:
-            # members in a random order, the same one wherever they meet
-            order = Window.partitionBy("token").orderBy(F.xxhash64("k", F.lit(turn)), "k")
+            order = Window.partitionBy("token").orderBy(place)
             others = left.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= block).drop("_r")
-            others = materialize(others, "compared")
-        y = others.select(F.col("token").alias("_token"), F.col("k").alias("b"), F.col("s").alias("sb"), F.col("c").alias("cb"))
-        met = x.join(y, (F.col("token") == F.col("_token")) & (F.col("ca") != F.col("cb")) & _possible("sa", "sb", rule))
-        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialize(met.join(checked, ["a", "b"], "left_anti"), "pairs")
-        links = links.union(materialize(_verified(pairs, table, rule), "verified"))
+            others = materialize(few_files(others), "compared")
+        y = others.select(F.col("token").alias("_token"), F.col("k").alias("b"), F.col("s").alias("sb"), F.col("c").alias("cb"),
+                          place.alias("pb"))
+        met = x.join(y, (F.col("token") == F.col("_token")) & (F.col("pa") > F.col("pb")) & (F.col("ca") != F.col("cb"))
+                     & _possible("sa", "sb", rule))
+        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("ca", "cb").alias("ca"),
+                         F.greatest("ca", "cb").alias("cb")).distinct()
+        pairs = materialize(few_files(met.join(checked, ["a", "b"], "left_anti")), "pairs")
+        found = materialize(_verified(pairs, table, rule), "verified")
+        links = links.union(found.select("a", "b"))
         if last:
             discard(open_)
             break
-        checked = checked.union(pairs)
+        checked = checked.union(pairs.select("a", "b"))
         done = others.select(F.col("token").alias("_t"), F.col("k").alias("_d"))
         left = left.join(done, (F.col("token") == F.col("_t")) & (F.col("k") == F.col("_d")), "left_anti")
-        after = _grouped(left, links)
+        after = _grouped(left, found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         discard(open_, members, others)
-        members, turn, block = after, turn + 1, 4 * block
+        members, turn, block = after, turn + 1, 16 * block
     return table, links
 
 
