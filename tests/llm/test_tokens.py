@@ -35,6 +35,17 @@ def test_encoder_equals_the_tokenizer(plain):
             tokens.MEMO_WORDS = before
 
 
+def test_letters_with_signs_are_learned_as_letters(plain, monkeypatch):
+    """Only the signs go to the whole tokenizer, once for all words that end in them."""
+    coder, sent = tokens.Encoder(VOCABULARY), []
+    coded = coder._coded
+    monkeypatch.setattr(coder, "_coded", lambda pieces: sent.extend(pieces) or coded(pieces))
+    texts = ["word&&& other&&& straße,*** end.", "word!! word&&& &&& a.b 12&&& &&&x more&&&", "İx&&& don't,"]
+    for text, got in zip(texts, coder.encode(texts)):
+        assert got == ids_of(plain, text)[:-1].tobytes(), text
+    assert sorted(sent) == sorted(["&&&", ",***", ".", "!!", "a.b", "12&&&", "&&&x", "İx&&&", "don't,"])
+
+
 @pytest.mark.parametrize("file_ids", [token_file.FILE_IDS, 500])
 def test_round_trip(spark, plain, file_ids):
     rows = documents()
