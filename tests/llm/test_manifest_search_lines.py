@@ -182,6 +182,20 @@ def test_search(spark, monkeypatch, shard, block, wave):
     assert got == plain_search(rows, [(i, t) for i, t in items if t])
 
 
+def test_index_shards_hold_a_bounded_number_of_words(spark, monkeypatch):
+    """Long documents make more shards, a shard comes in batches of terms, and results stay the same."""
+    monkeypatch.setattr(strata, "TERM_BATCH", 5)
+    rng = random.Random(10)
+    rows = [(i, prose(rng, 60, 90), "en", "s0") for i in range(50)] + [(None, prose(rng, 60, 90), "en", "s0")]
+    items = [(1, prose(rng, 12, 90)), (2, prose(rng, 5, 90))]
+    index = strata.build_index(table(spark, rows), shard_words=300)
+    heads = index.filter("term is null").collect()
+    assert len(heads) > 4 and sum(r.n_docs for r in heads) == 51
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r.item_id, r["rank"], r.doc_id, r.score) for r in strata.search(index, asked).collect()), key=str)
+    assert got == plain_search(rows, items)
+
+
 def test_search_visits_fewer_strata_than_there_are():
     import numpy as np
     m, held = np.arange(75, 175), np.full(100, 50)

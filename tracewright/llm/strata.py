@@ -6,7 +6,7 @@ number of occurrences; an impact is computed once for each such run. The first r
 largest impact there, and the sum over an item's terms bounds the score of every document of the stratum.
 Strata are visited in the order of their bounds until the bound falls below the worst score that still counts.
 
-The index is cut into shards of some thousand documents, each with all its strata, so no stratum, length or
+The index is cut into shards of some thousand documents and four million words, each with all its strata, so no stratum, length or
 term is larger than a shard. A first wave of shards gives every item a score to beat, which the other shards start with.
 """
 
@@ -17,11 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewright.plans.tables import materialize
 
 SHARD_DOCS = 8192
+SHARD_WORDS = 1 << 22       # words with repeats, so that long documents do not make larger shards
+TERM_BATCH = 1 << 15
 ITEM_BLOCK = 512
 FIRST_WAVE = 32
 _SCALE = 10 ** 9
@@ -43,10 +46,13 @@ def forward(docs: DataFrame) -> DataFrame:
     """no_id, d, n (terms with repeats), words (distinct terms), tf, for every document with a term."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            counts = [Counter(terms(t)) for t in batch["text"]]
-            yield batch[["no_id", "d"]].assign(
-                n=[sum(c.values()) for c in counts], words=[b" ".join(c) for c in counts],
-                tf=[np.fromiter(c.values(), "<u4", len(c)).tobytes() for c in counts])
+            n, words, tf = [], [], []
+            for text in batch["text"]:                  # one table of counts at a time
+                c = Counter(terms(text))
+                n.append(sum(c.values()))
+                words.append(b" ".join(c))
+                tf.append(np.fromiter(c.values(), "<u4", len(c)).tobytes())
+            yield batch[["no_id", "d"]].assign(n=n, words=words, tf=tf)
 
     rows = docs.select(F.col("doc_id").isNull().alias("no_id"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("d"), F.col("text").alias("text"))
@@ -59,37 +65,51 @@ class _Codes(dict):
         return code
 
 
-def _shard(group: pd.DataFrame) -> pd.DataFrame:
+def _slices(raw: bytes, at: np.ndarray, size: int) -> pa.Array:
+    """The runs of ``raw`` between neighbours of ``at`` (places of ``size`` bytes), without an object for each."""
+    data = raw[size * int(at[0]):size * int(at[-1])]
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((size * (at - at[0])).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the index of one shard: a head (term null) with strata and ids, then one row for each term."""
-    group = group.sort_values(["m", "no_id", "d"], kind="stable")
-    codes, parts = _Codes(), []
-    for words in group["words"]:
-        parts.append(np.fromiter(map(codes.__getitem__, words.split(b" ")), np.int32))
-    code = np.concatenate(parts)
-    tf = np.concatenate([np.frombuffer(x, "<u4") for x in group["tf"]]).astype(np.int64)
-    doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    m, held = np.unique(group["m"].to_numpy(np.int64), return_counts=True)
-    stratum = np.repeat(np.arange(len(m)), held)[doc]
-    order = np.lexsort((doc, -tf, stratum, code))
-    code, tf, stratum, doc = code[order], tf[order], stratum[order], doc[order].astype("<u2")
+    group = pa.Table.from_batches(list(batches))
+    shard = group["shard"][0].as_py()
+    ms, no_id, ids = group["m"].to_numpy(), group["no_id"].to_numpy(), group["d"].to_numpy()
+    order = np.lexsort((ids, no_id, ms))
+    words, tfs = group["words"], group["tf"]
+    codes, parts, tf = _Codes(), [], []
+    for i in order.tolist():
+        parts.append(np.fromiter(map(codes.__getitem__, words[i].as_py().split(b" ")), np.int32))
+        tf.append(np.frombuffer(tfs[i].as_py(), "<u4"))
+    del group, words, tfs
+    code, tf = np.concatenate(parts), np.concatenate(tf).astype(np.int64)
+    doc = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+    m, held = np.unique(ms, return_counts=True)
+    stratum = np.repeat(np.arange(len(m), dtype=np.int32), held)[doc]
+    sort = np.lexsort((doc, -tf, stratum, code))
+    code, tf, stratum, doc = code[sort], tf[sort], stratum[sort], doc[sort].astype("<u2")
     new = np.ones(len(code), bool)
     new[1:] = (code[1:] != code[:-1]) | (stratum[1:] != stratum[:-1]) | (tf[1:] != tf[:-1])
     at = np.flatnonzero(new)
     runs = np.stack([stratum[at], tf[at], np.diff(at, append=len(code))], axis=1).astype("<i4").tobytes()
     every = np.arange(len(codes) + 1)
-    d_at = np.searchsorted(code, every)
-    r_at = np.searchsorted(code[at], every)
+    d_at, r_at = np.searchsorted(code, every), np.searchsorted(code[at], every)
     doc = doc.tobytes()
-    ids = group["d"].to_numpy(np.int64).astype("<i8").tobytes() + group["no_id"].to_numpy(bool).tobytes()
-    d, r = d_at.tolist(), r_at.tolist()
-    return pd.DataFrame({
-        "shard": group["shard"].iloc[0], "term": [None, *[w.decode() for w in codes]],
-        "n_docs": [len(parts), *np.diff(d_at).tolist()],
-        "runs": [np.stack([m, held], axis=1).astype("<i8").tobytes(), *[runs[12 * a:12 * b] for a, b in zip(r, r[1:])]],
-        "docs": [ids, *[doc[2 * a:2 * b] for a, b in zip(d, d[1:])]]})
-
-
-def build_index(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    names = ["shard", "term", "n_docs", "runs", "docs"]
+    head = np.stack([m, held], axis=1).astype("<i8").tobytes()
+    numbers = ids[order].astype("<i8").tobytes() + no_id[order].tobytes()
+    yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([None], pa.string()), pa.array([len(parts)], pa.int64()),
+                           pa.array([head], pa.binary()), pa.array([numbers], pa.binary())], names=names)
+    term = list(codes)
+    for i in range(0, len(term), TERM_BATCH):
+        some = pa.array(term[i:i + TERM_BATCH], pa.string())
+        here = slice(i, i + len(some) + 1)
+        yield pa.record_batch([pa.array(np.full(len(some), shard, np.int64)), some, pa.array(np.diff(d_at[here]).astype(np.int64)),
+                               _slices(runs, r_at[here], 12), _slices(doc, d_at[here], 2)], names=names)
+
+
+def build_index(docs: DataFrame, shard_docs: int = SHARD_DOCS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The stored index of all documents: shard, term, n_docs, runs (stratum, occurrences, documents), docs (their
     numbers in the shard); rows without a term are the heads of the shards.
 
@@ -98,11 +118,11 @@ def build_index(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """
     rows = materialize(forward(docs).withColumn("seq", F.monotonically_increasing_id()), "forward")
     n_docs, length = rows.agg(F.count(F.lit(1)), F.sum("n")).first()
-    shards = max(1, -(-n_docs // shard_docs))
+    shards = max(1, -(-n_docs // shard_docs), -(-(length or 0) // shard_words))
     m = F.expr(f"75L + (25L * n * {n_docs}L) div {max(length or 0, 1)}L")
     placed = rows.select("no_id", "d", "words", "tf", m.alias("m"),
                          F.pmod(F.xxhash64("seq"), F.lit(shards)).alias("shard"))
-    return materialize(placed.groupBy("shard").applyInPandas(_shard, _INDEX), "strata-index")
+    return materialize(placed.groupBy("shard").applyInArrow(_shard, _INDEX), "strata-index")
 
 
 class _Term:
