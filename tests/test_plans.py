@@ -384,6 +384,25 @@ def test_within_patterns_and_holdout(spark, params):
     assert sorted(r.feature for r in other.importances.collect()) == ["f0", "f1"]
 
 
+def vector_rows(df):
+    return df.select("patient_id", "source", "row_idx", F.col("y").alias("label"), F.array("f", "g").alias("emb"))
+
+
+def probabilities(done):
+    return {r.row_idx: r.proba for r in done.scored.collect()}
+
+
+@pytest.mark.parametrize("rep", [E.Representation("hand", FEATS, True), E.EMBEDDING])
+def test_holdout_trains_on_all_rows(spark, rep):
+    """More rows than a task may hold: the model is that of all of them; up to that many, that of one task on all of them."""
+    df, rows = labelled_rows(spark, ("P20", "P36", "P58"))
+    df = df if rep.features else vector_rows(df)
+    fitted = lambda n: probabilities(E.hold_out(df, df, rep, params=L.BoostParams(
+        rounds=3, rate=0.3, depth=2, row_share=1.0, column_share=1.0, train_rows=n)))
+    whole = fitted(None)
+    assert len(whole) == 40 and all(fitted(n) == pytest.approx(whole) for n in (30, 80))
+
+
 def boosting_rows(spark, nan=True):
     rng = np.random.default_rng(8)
     n = 300
