@@ -453,6 +453,17 @@ def test_boosting_draws_rows_and_columns(spark):
     assert np.allclose(forest.Forest.of(none.model).margin(x), 0)
 
 
+def test_boosting_in_small_blocks(spark, monkeypatch):
+    df, x, *_ = boosting_rows(spark)
+    params = L.BoostParams(rounds=3, rate=0.3, depth=2, row_share=0.7, column_share=1.0, train_rows=None)
+    folds = spark.createDataFrame([(f"P{i}", []) for i in range(4)], "fold string, seeds array<array<double>>")
+    fitted = lambda: {r.fold: forest.Forest.of(r.model).margin(x) for r in boosting.fit_folds(df, folds, ["a", "b", "c"], params).collect()}
+    whole = fitted()
+    monkeypatch.setattr(boosting, "BLOCK_BYTES", 7 * 35)          # seven rows
+    monkeypatch.setattr(boosting, "FLUSH_ROUNDS", 1)
+    assert {f: pytest.approx(m) for f, m in whole.items()} == fitted()
+
+
 def test_few_shot_sweep(spark, monkeypatch):
     df, rows = labelled_rows(spark, n=60)
     params = L.BoostParams(rounds=6, rate=0.3, depth=3, row_share=1.0)
