@@ -403,6 +403,14 @@ def test_holdout_trains_on_all_rows(spark, rep):
     assert len(whole) == 40 and all(fitted(n) == pytest.approx(whole) for n in (30, 80))
 
 
+def test_leave_one_out_trains_on_all_rows(spark):
+    df, rows = labelled_rows(spark)
+    fitted = lambda n: probabilities(E.leave_one_out(df, FEATS, params=L.BoostParams(
+        rounds=3, rate=0.3, depth=2, row_share=1.0, column_share=1.0, train_rows=n)))
+    whole = fitted(None)
+    assert len(whole) == 120 and fitted(40) == pytest.approx(whole)
+
+
 def boosting_rows(spark, nan=True):
     rng = np.random.default_rng(8)
     n = 300
